@@ -4,6 +4,8 @@ A word's symbols form a doubly linked list; a priority queue holds (merge rank,
 lowest entry is merged if it still describes the two symbols there, and skipped as stale otherwise. Decoding looks up
 each id's vocabulary string and joins them as the tokenizer file's (absent) decoder does: with one space.
 
+Letters are those of Unicode 15.1: a code point assigned later is split off as neither letter nor number.
+
 Defined cases: a null text is encoded as the empty text (no ids, empty decoding); rows with equal ids or texts are
 each encoded; an empty table gives an empty result; columns other than the id and the text are carried through
 unless they are named like an output column, in which case the output column replaces them.
