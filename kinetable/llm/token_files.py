@@ -30,7 +30,7 @@ from .common import id_text, prepare, shared_dir, table
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 18
 #: A pair is replaced while it occurs this often in a shard.
-MIN_PAIRS = 6
+MIN_PAIRS = 16
 END_ID = 1
 _MAGIC = b"RPG1"
 _CACHE_WORDS = 150_000
@@ -42,14 +42,18 @@ _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary
 
 
 def _pick(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Frequent pairs, most frequent first, no symbol being in two of them."""
+    """Frequent pairs, most frequent first, whose occurrences can't overlap: no symbol is the left of one and the
+    right of another, and a doubled symbol is in no other pair."""
     order = np.lexsort((keys, -counts))
     left, right = (keys >> 32).astype(np.int64)[order].tolist(), (keys & 0xFFFFFFFF).astype(np.int64)[order].tolist()
-    used: set[int] = set()
+    side: dict[int, str] = {}
     chosen = []
     for at, a, b in zip(order.tolist(), left, right, strict=True):
-        if a not in used and b not in used:
-            used.update((a, b))
+        if a == b:
+            fits = side.setdefault(a, "double") == "double"
+        elif fits := side.get(a, "left") == "left" and side.get(b, "right") == "right":
+            side[a], side[b] = "left", "right"
+        if fits:
             chosen.append(at)
     return np.sort(keys[chosen])
 
