@@ -13,11 +13,12 @@ unless they are named like an output column, in which case the output column rep
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
+import struct
 import unicodedata
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 import regex
@@ -32,8 +33,11 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _WORDS = re.compile(f"[^{_SPACE}]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Words kept with their ids in one Python worker; the memory is bounded by this and _LONGEST.
-_CACHE_WORDS = 150_000
+_CACHE_WORDS = 100_000
 _LONGEST = 48
+#: Bits of an id and of a position in the packed entries of merge table and queue.
+_ID, _AT = 24, 32
+_LOW_ID, _LOW_AT = (1 << _ID) - 1, (1 << _AT) - 1
 
 
 def _byte_letters() -> list[str]:
@@ -47,6 +51,27 @@ def _byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+class Known:
+    """Ids of words seen lately: a full table becomes the old one, and a word found in the old one moves on."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, word: str) -> bytes | None:
+        ids = self.new.get(word)
+        if ids is None and (ids := self.old.get(word)) is not None:
+            self.put(word, ids)
+        return ids
+
+    def put(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= _LONGEST:
+            if len(self.new) >= _CACHE_WORDS:
+                self.new, self.old = {}, self.new
+            self.new[word] = ids
+        return ids
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file (NFC, lower case, split by pattern, byte letters, word-end suffix)."""
 
@@ -59,75 +84,88 @@ class Bpe:
         self.strings = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.strings[i] = s
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # left id, right id: rank, merged id
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.merges[vocab[a] << _ID | vocab[b]] = rank << _ID | vocab[a + b]
         letters = _byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + model["end_of_word_suffix"]] for c in letters]
         steps = spec["pre_tokenizer"]["pretokenizers"]
-        self.pieces = regex.compile(steps[0]["pattern"]["Regex"])
+        self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.cache: dict[str, bytes] = {}
+        self.words_known, self.pieces_known = Known(), Known()
 
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece."""
-        ids: list[int] = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
+    def merge(self, piece: bytes) -> bytes:
+        """Ids of one piece (little-endian unsigned 32 bit)."""
+        ids = [self.inner[b] for b in piece]
+        ids[-1] = self.last[piece[-1]]
         n = len(ids)
-        if n == 1:
-            return ids
         merges = self.merges
-        left, right = list(range(-1, n - 1)), [*range(1, n), -1]
         queue = []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, found[1]))
-        heapq.heapify(queue)
+        a = ids[0]
+        for i in range(1, n):
+            b = ids[i]
+            if (found := merges.get(a << _ID | b)) is not None:
+                queue.append((found >> _ID) << _AT | i - 1)
+            a = b
+        if not queue:
+            return struct.pack(f"<{n}I", *ids)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        right[-1] = -1
+        heapify(queue)
         while queue:
-            _, i, new = heapq.heappop(queue)
-            j = right[i] if ids[i] >= 0 else -1
-            if j < 0 or (found := merges.get((ids[i], ids[j]))) is None or found[1] != new:
+            top = heappop(queue)
+            i = top & _LOW_AT
+            j = right[i]
+            if j < 0 or (found := merges.get(ids[i] << _ID | ids[j])) is None or found >> _ID != top >> _AT:
                 continue  # stale: one of the two symbols has been merged meanwhile
+            new = found & _LOW_ID
             ids[i], ids[j] = new, -1
             k = right[i] = right[j]
+            right[j] = -1
             if k >= 0:
                 left[k] = i
-                if found := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if (found := merges.get(new << _ID | ids[k])) is not None:
+                    heappush(queue, (found >> _ID) << _AT | i)
             h = left[i]
-            if h >= 0 and (found := merges.get((ids[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1]))
-        return [x for x in ids if x >= 0]
+            if h >= 0 and (found := merges.get(ids[h] << _ID | new)) is not None:
+                heappush(queue, (found >> _ID) << _AT | h)
+        out = [x for x in ids if x >= 0]
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def piece(self, text: str) -> bytes:
+        ids = self.pieces_known.get(text)
+        if ids is None:
+            ids = self.pieces_known.put(text, self.merge(text.encode("utf-8", "surrogatepass")))
+        return ids
 
     def word(self, raw: str) -> bytes:
-        """Ids (little-endian unsigned 32 bit) of a stretch without white space or special tokens."""
-        text = unicodedata.normalize("NFC", raw)
+        """Ids of a stretch without white space or special tokens."""
+        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
         # lower case by single characters: a final sigma isn't treated apart
         text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
-        out: list[int] = []
+        if text.isalpha():
+            return self.piece(text)
+        if text[-1] in ".,:;!?" and text[:-1].isalpha():
+            return self.piece(text[:-1]) + self.piece(text[-1])
         shape = text
         if not text.isascii() and "Cn" in map(unicodedata.category, text):
             # letters newer than the tokenizer's tables count as neither letter nor number, like private use
             shape = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
-        for found in self.pieces.finditer(shape):
-            out += self.merge(text[found.start() : found.end()].encode("utf-8", "surrogatepass"))
-        return b"".join(x.to_bytes(4, "little") for x in out)
+        return b"".join([self.piece(text[m.start() : m.end()]) for m in self.pattern.finditer(shape)])
 
     def encode(self, text: str) -> bytes:
-        out, cache = [], self.cache
+        out = []
         for part in self.split_special.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
+            known = self.words_known
             for w in _WORDS.findall(part) if _ODD_SPACE.search(part) else part.split():
-                ids = cache.get(w)
-                if ids is None:
-                    ids = self.word(w)
-                    if len(w) <= _LONGEST:
-                        if len(cache) >= _CACHE_WORDS:
-                            cache.clear()
-                        cache[w] = ids
+                ids = known.new.get(w)
+                if ids is None and (ids := known.get(w)) is None:
+                    ids = known.put(w, self.word(w))
                 out.append(ids)
         return b"".join(out)
 
