@@ -54,7 +54,8 @@ def _byte_letters() -> list[str]:
 class Known:
     """Ids of words seen lately: a full table becomes the old one, and a word found in the old one moves on."""
 
-    def __init__(self):
+    def __init__(self, most: int = _CACHE_WORDS):
+        self.most = most
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -66,7 +67,7 @@ class Known:
 
     def put(self, word: str, ids: bytes) -> bytes:
         if len(word) <= _LONGEST:
-            if len(self.new) >= _CACHE_WORDS:
+            if len(self.new) >= self.most:
                 self.new, self.old = {}, self.new
             self.new[word] = ids
         return ids

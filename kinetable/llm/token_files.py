@@ -33,7 +33,8 @@ SHARD_TOKENS = 1 << 18
 MIN_PAIRS = 16
 END_ID = 1
 _MAGIC = b"RPG1"
-_CACHE_WORDS = 150_000
+#: Words and runs of letters kept with their ids in one Python worker, but for those of one batch.
+_KNOWN_WORDS, _KNOWN_PARTS = 300_000, 500_000
 _SHARDS = "partition int, shard int, n_docs int, n_tokens long, data binary"
 _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary"
 
@@ -181,23 +182,59 @@ def _tokenizer(path: str):
 
 
 class _Encoder:
-    """The library's ids, asked once for each distinct stretch between white space: this file's tokenizer drops white
-    space and never joins pieces or special tokens across it."""
+    """The library's ids, asked once for each distinct run of letters or other stretch between white space: this file's
+    tokenizer drops white space, ignores case, and never joins pieces or special tokens across it or letters with
+    punctuation."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        self.tokenizer = _tokenizer(path)
+        self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
+        self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def _learn_parts(self, new: list[str]) -> None:
+        # a run of letters is one piece: many of them are one call, and their ids end where a piece ends
+        letters, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
+        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            found = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+            if len(cuts) != len(group):  # letters by Python's tables but not by the tokenizer's
+                others += group
+                continue
+            raw = found.tobytes()
+            self.parts.update((p, raw[a:b]) for p, a, b in zip(group, [0, *cuts], cuts, strict=False))
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        split = {}
+        for w in words:
+            head, tail = (w[:-1], w[-1]) if w[-1] in ".,:;!?" and w[:-1].isalpha() else (w, "")
+            if head.isalpha() and "Σ" not in head and "İ" not in head:
+                head = head.lower()
+            split[w] = (head, tail)
+        if len(self.parts) > _KNOWN_PARTS:
+            self.parts.clear()
+        parts = self.parts
+        parts[""] = b""
+        self._learn_parts(list({p for ps in split.values() for p in ps}.difference(parts)))
+        self.words.update((w, parts[head] + parts[tail]) for w, (head, tail) in split.items())
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [_WORDS.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        known = self.known
-        if len(known) > _CACHE_WORDS:
-            known.clear()
-        new = list({w for words in split for w in words}.difference(known))
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in words]), "<u4") for words in split]
+        words = self.words
+        if len(words) > _KNOWN_WORDS:
+            words.clear()
+        self._learn(set().union(*split).difference(words))
+        return [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") for ws in split]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
@@ -208,7 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches):
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), _Encoder(tokenizer)
+        part, encode = TaskContext.get().partitionId(), _encoder(tokenizer)
         ids, lengths, held, total, before, n = [], [], [], 0, 0, 0
 
         def shard():
