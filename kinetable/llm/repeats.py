@@ -160,6 +160,8 @@ _UNIQUE = "doc_id long, doc_hash long, first int, last int"
 
 def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring places of one row joined: (row, first, last)."""
+    if not len(at):
+        return doc, at, at
     new = np.ones(len(at), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
     start = np.flatnonzero(new)
