@@ -123,7 +123,8 @@ def _decided(rows: DataFrame) -> DataFrame:
     """Rows with: total (weight of the inner rank's rows), go (undecided, or stands for a repeated outer rank that an
     undecided row may equal), n (1, or 2 for a repeated outer rank), members (how many rows of the inner rank go on)."""
     by_g, by_e = Window.partitionBy("g"), Window.partitionBy("g", "e")
-    out = rows.withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
+    # dealt by g once: that also brings the rows of each (g, e) together
+    out = rows.repartition("g").withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
     out = out.withColumns({
         "total": F.sum("n").over(by_g),
         "_open": F.max(F.col("same") == 1).over(by_g),
