@@ -68,8 +68,8 @@ def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MI
         pair = (seq[:-1] << np.uint64(32)) | seq[1:]
         pair[doc[:-1] != doc[1:]] = np.uint64(0xFFFFFFFFFFFFFFFF)
         # a hashed count leaves few pairs to sort
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
-        often = np.bincount(slot, minlength=1 << 20)[slot] >= min_pairs
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+        often = np.bincount(slot, minlength=1 << 18)[slot] >= min_pairs
         often &= pair != np.uint64(0xFFFFFFFFFFFFFFFF)
         keys, counts = np.unique(pair[often], return_counts=True)
         keys, counts = keys[counts >= min_pairs], counts[counts >= min_pairs]
@@ -228,8 +228,13 @@ class _Encoder:
         words = self.words
         if len(words) > _KNOWN_WORDS:
             words.clear()
-        self._learn(set().union(*split).difference(words))
-        return [np.frombuffer(b"".join([words[w] for w in ws]), "<u4") for ws in split]
+        get = words.get
+        ids = [[get(w) for w in ws] for ws in split]
+        part = [i for i, x in enumerate(ids) if None in x]
+        self._learn({w for i in part for w, x in zip(split[i], ids[i], strict=True) if x is None})
+        for i in part:
+            ids[i] = [words[w] for w in split[i]]
+        return [np.frombuffer(b"".join(x), "<u4") for x in ids]
 
 
 @lru_cache(maxsize=2)
