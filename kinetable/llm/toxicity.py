@@ -23,6 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -257,6 +258,23 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, train(docs, labels))
 
 
+def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose score is under ``threshold``, with all their columns."""
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(train(docs, labels))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+
+    def run(batches):
+        scorer = Scorer(sent.value)
+        for part in regrouped(batches, _BATCH_BYTES, "_row"):
+            row = part.column("_row").combine_chunks()
+            texts = pc.fill_null(pc.struct_field(row, "text"), "").to_pylist()
+            clean = pa.array([s < threshold for s, *_ in scorer(texts)], pa.bool_())
+            yield from part.select(["_row"]).filter(clean).to_batches()
+
+    return packed.mapInArrow(run, packed.schema).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_tokens", "expected_toxic", "spans")
