@@ -1,7 +1,7 @@
 """Operator 9: toxicity by a linear-chain conditional random field.
 
 Labels are known by document, so tokens are labelled first: a token of a toxic document is toxic if its word or one of
-its affixes is significantly more frequent in toxic than in clean training documents. A CRF with two states (clean, toxic),
+its affixes is among the few features that explain the toxic training documents against the clean ones. A CRF with two states (clean, toxic),
 word and affix features and a transition matrix is fitted to these labelled tokens. Forward-backward marginals of every
 token of every whole text give the offending offsets (marginal of 0.5 or more) and, through a logistic link fitted to the
 document labels, the document's score.
@@ -32,6 +32,8 @@ from .common import id_text, prepare, regrouped, table
 #: Bounds of the training sample.
 MAX_TOXIC, MAX_CLEAN = 3000, 5000
 FOLDS = 5
+#: Tokens of a training sequence.
+PIECE = 256
 _TOKENS = re.compile(r"\w+")
 _CACHE_WORDS = 200_000
 _BATCH_BYTES = 4 << 20
@@ -84,22 +86,45 @@ def marginals(logit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans:
     return p, (w / w.sum(0)).sum(1).reshape(2, 2)
 
 
-def _significant(kinds: list[list[int]], docs: list[set[int]], toxic: list[int], n_features: int) -> np.ndarray:
-    """Features much more frequent in toxic documents: likelihood ratio over 20 and five times the rate."""
-    n1 = np.zeros(n_features)
-    n0 = np.zeros(n_features)
+def _telling(kinds: list[list[int]], docs: list[set[int]], toxic: list[int], names: list[str], least: float = 15.0) -> np.ndarray:
+    """Features that tell toxic documents: the one with the highest likelihood ratio is taken, the toxic documents with it
+    are explained and leave, and so on while the ratio is over ``least`` and the rate five times that of clean documents.
+    So copies of a toxic text don't make all of its words toxic: a few features explain them all. Of features nearly as
+    telling as the best the longest is taken: a word before its beginning."""
+    n_features = len(names)
+    n1, n0 = np.zeros(n_features), np.zeros(n_features)
+    left = []
     for words, y in zip(docs, toxic, strict=True):
         seen = np.fromiter({f for w in words for f in kinds[w]}, np.int64)
         (n1 if y else n0)[seen] += 1
-    t1, t0 = sum(toxic), len(toxic) - sum(toxic)
+        if y:
+            left.append(seen)
+    t0 = max(len(toxic) - sum(toxic), 1)
+    out = np.zeros(n_features, bool)
+    some = np.flatnonzero(n1 >= 3)
+    n0 = n0[some]
+    width = np.array([len(names[i]) for i in some], np.int64)
+    place = np.full(n_features, -1)
+    place[some] = np.arange(len(some))
+    left = [place[x][place[x] >= 0] for x in left]
 
     def ll(k, n, p):
         p = np.clip(p, 1e-12, 1 - 1e-12)
         return k * np.log(p) + (n - k) * np.log(1 - p)
 
-    both = (n1 + n0) / (t1 + t0)
-    g2 = 2 * (ll(n1, t1, n1 / t1) + ll(n0, t0, n0 / t0) - ll(n1, t1, both) - ll(n0, t0, both))
-    return (g2 > 20) & (n1 / t1 > 5 * (n0 + 0.5) / t0)
+    while left and len(some):
+        t1 = len(left)
+        k = np.bincount(np.concatenate(left), minlength=len(some)).astype(float)
+        both = (k + n0) / (t1 + t0)
+        g2 = 2 * (ll(k, t1, k / t1) + ll(n0, t0, n0 / t0) - ll(k, t1, both) - ll(n0, t0, both))
+        g2[k / t1 <= 5 * (n0 + 0.5) / t0] = 0
+        close = np.flatnonzero(g2 >= 0.9 * g2.max())
+        best = int(close[np.lexsort((g2[close], width[close]))[-1]])
+        if g2[best] < least:
+            break
+        out[some[best]] = True
+        left = [x for x in left if best not in x]
+    return out
 
 
 def _link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -115,11 +140,9 @@ def _link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _evidence(p: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Of each document: log of the chance that no token is toxic, bounded, and the expected number of toxic tokens, damped."""
-    c = np.r_[0, np.cumsum(-np.log1p(-np.minimum(p, 1 - 1e-9)))]
-    s = np.r_[0, np.cumsum(p)]
-    none, number = c[starts + lengths] - c[starts], s[starts + lengths] - s[starts]
-    return np.c_[np.log(none + 1e-3), np.log1p(number)]
+    """Of each document: log of minus the log chance that no token is toxic (tokens under 0.05 don't add up to evidence)."""
+    c = np.r_[0, np.cumsum(np.where(p < 0.05, 0, -np.log1p(-np.minimum(p, 1 - 1e-9))))]
+    return np.log(c[starts + lengths] - c[starts] + 1e-2)[:, None]
 
 
 def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
@@ -131,15 +154,18 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
     tokens = [np.array([number.setdefault(w, len(number)) for w in _TOKENS.findall(t)], np.int64) for t in texts]
     of_feature: dict[str, int] = {}
     kinds = [[of_feature.setdefault(f, len(of_feature)) for f in features(w)] for w in number]
-    often = _significant(kinds, [set(t.tolist()) for t in tokens], toxic, len(of_feature))
+    often = _telling(kinds, [set(t.tolist()) for t in tokens], toxic, list(of_feature))
     bad_word = np.array([any(often[f] for f in fs) for fs in kinds], bool) if kinds else np.zeros(0, bool)
 
     lengths = np.array([len(t) for t in tokens], np.int64)
     starts = np.cumsum(lengths) - lengths
     flat = np.concatenate(tokens) if len(texts) else np.zeros(0, np.int64)
     y = bad_word[flat] & np.repeat(np.array(toxic, bool), lengths)
+    # for fitting, long sequences are cut, so that a step takes as many passes as the longest piece has tokens
+    cut = np.unique(np.concatenate([starts[lengths > 0], *(np.arange(a, a + n, PIECE) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True) if n > PIECE)]))
+    piece_lengths = np.diff(np.r_[cut, len(flat)])
     inner = np.ones(len(flat), bool)
-    inner[starts[lengths > 0]] = False
+    inner[cut] = False
     at = np.flatnonzero(inner)
     seen = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2).astype(float)
 
@@ -150,7 +176,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
     per_word = np.bincount(flat[y], minlength=len(kinds)).astype(float)
     for _ in range(steps):
         logit = bias + np.bincount(word_of, theta[feat_of], len(kinds))
-        p, moved = marginals(logit[flat], starts, lengths, trans)
+        p, moved = marginals(logit[flat], cut, piece_lengths, trans)
         off = per_word - np.bincount(flat, p, len(kinds))
         grad = np.bincount(feat_of, off[word_of], len(of_feature)) - 0.05 * theta
         g_theta += grad**2
