@@ -1,0 +1 @@
+"""Nothing to stream: all jobs here work on finished clips and logs (see README)."""
