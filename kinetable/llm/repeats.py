@@ -95,7 +95,7 @@ def rows_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     return np.searchsorted(offsets, first, "right") - 1, first, last, anchor, r[anchor], outer
 
 
-_ROWS = "doc_id long, doc_hash long, first int, last int, anchor int, g long, e long, n int"
+_ROWS = "doc_id long, doc_hash long, first int, last int, reach int, anchor int, g long, e long, n int"
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -111,9 +111,16 @@ def _anchored(keyed: DataFrame) -> DataFrame:
         for part in regrouped(batches, _BATCH_BYTES):
             data, offsets = byte_column(part.column("text"))
             doc, first, last, anchor, g, e = rows_of(data, offsets)
+            # in periodic text neighbouring rows have equal ranks: they repeat each other, and the first stands for the run
+            start = np.ones(len(doc), bool)
+            start[1:] = (g[1:] != g[:-1]) | (e[1:] != e[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != last[:-1] + 1)
+            head = np.flatnonzero(start)
+            size = np.diff(np.r_[head, len(doc)])
+            reach = last[head + size - 1]
+            doc, first, last, anchor, g, e = (x[head] for x in (doc, first, last, anchor, g, e))
             base = offsets[doc]
             cols = [part.column(c).take(pa.array(doc)) for c in _KEY]
-            out = pa.table([*cols, _int(first - base), _int(last - base), _int(anchor - base), _long(g), _long(e), _int(np.ones(len(doc)))], [*_KEY, "first", "last", "anchor", "g", "e", "n"])
+            out = pa.table([*cols, _int(first - base), _int(last - base), _int(reach - base), _int(anchor - base), _long(g), _long(e), _int(np.minimum(size, 2))], [*_KEY, "first", "last", "reach", "anchor", "g", "e", "n"])
             yield from out.to_batches(max_chunksize=20_000)
 
     return keyed.mapInArrow(run, _ROWS)
@@ -262,13 +269,13 @@ def remove_repeats(docs: DataFrame, small: int = SMALL) -> DataFrame:
     prepare(docs.sparkSession)
     keyed = id_text(docs).withColumn("doc_hash", F.xxhash64("doc_id", "text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     keyed = keyed.select(*_KEY, "text")
-    rows = _decided(_anchored(keyed)).where("total > 1").select(*_KEY, "first", "last", "anchor", "g", "n", "go", "members")
+    rows = _decided(_anchored(keyed)).where("total > 1").select(*_KEY, "first", "last", "reach", "anchor", "g", "n", "go", "members")
     rows = stored(rows, "repeat-rows")
     opened = stored(_with_context(rows.where("go"), keyed), "repeat-context")
     unique = _unique_in_small(opened.where(F.col("members") <= small)).unionByName(_unique_in_large(opened.where(F.col("members") > small)))
     # per text: places where repeated strings may start, less those of unique ones
     span = F.struct("first", "last")
-    parts = rows.select(*_KEY, span.alias("r"), F.lit(None).cast("struct<first:int,last:int>").alias("u"))
+    parts = rows.select(*_KEY, F.struct("first", F.col("reach").alias("last")).alias("r"), F.lit(None).cast("struct<first:int,last:int>").alias("u"))
     parts = parts.unionByName(unique.select(*_KEY, F.lit(None).cast("struct<first:int,last:int>").alias("r"), span.alias("u")))
     per_doc = parts.groupBy(*_KEY).agg(F.collect_set("r").alias("repeated"), F.collect_set("u").alias("unique"))
 
