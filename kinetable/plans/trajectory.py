@@ -124,9 +124,9 @@ parts AS (
     SELECT h.*, path_px, CASE WHEN stable THEN path_px * 1.93::DOUBLE / median_h END AS path_m FROM heights h LEFT JOIN paths USING (seq, track, window_index, part))
 )"""
 ITEMS = f"""{METRICS},
-balls AS (SELECT d.seq, frame, x + w / 2 AS bx, y + h / 2 AS by FROM detections d JOIN roles r ON d.seq = r.seq AND d.track = r.track AND role = 'ball'
+balls AS (SELECT d.seq, frame, x + w / 2 AS bx, y + h / 2 AS "by" FROM detections d JOIN roles r ON d.seq = r.seq AND d.track = r.track AND role = 'ball'
 ), intercepts AS (
-  SELECT m.seq, m.track, window_index, sqrt(pow(d.x + d.w / 2 - bx, 2) + pow(d.y + d.h - by, 2)) * 1.93::DOUBLE / median_h / speed AS seconds
+  SELECT m.seq, m.track, window_index, sqrt(pow(d.x + d.w / 2 - balls.bx, 2) + pow(d.y + d.h - balls."by", 2)) * 1.93::DOUBLE / median_h / speed AS seconds
   FROM metrics m JOIN detections d ON d.seq = m.seq AND d.track = m.track AND d.frame = m.b JOIN balls ON balls.seq = m.seq AND balls.frame = m.b WHERE part = 'full' AND speed > 0
 ), every AS (
   SELECT 'speed' AS category, seq, track, window_index, stable, speed AS value FROM metrics WHERE part = 'full' UNION ALL
@@ -180,7 +180,7 @@ SELECT w.seq, w.a, w.b, w.k, w.window_index AS win_window, l.window_index AS los
     "box_overlap": f"""WITH {A.DETECTIONS}, {WINDOWS}, shown AS (
   SELECT d.* FROM detections d WHERE track <> 0 AND (seq, frame) IN (SELECT seq, unnest([f0, f0 + 20, f0 + 40, f0 + 60]) FROM windows)
 ), iou AS (
-  SELECT a.seq, a.track, a.frame, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS both, a.w * a.h + b.w * b.h AS area
+  SELECT a.seq, a.track, a.frame, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared, a.w * a.h + b.w * b.h AS area
   FROM shown a JOIN detections b ON a.seq = b.seq AND a.frame = b.frame AND a.track <> b.track
-) SELECT s.seq, s.track, s.frame, round(coalesce(max(both / (area - both)), 0.0), 6) AS max_iou FROM shown s LEFT JOIN iou USING (seq, track, frame) GROUP BY ALL""",
+) SELECT s.seq, s.track, s.frame, round(coalesce(max(shared / (area - shared)), 0.0), 6) AS max_iou FROM shown s LEFT JOIN iou USING (seq, track, frame) GROUP BY ALL""",
 }
