@@ -10,7 +10,8 @@ filled are never made; a text whose registers aren't full by then runs on for tw
 Signatures are cut into bands. Texts with equal multisets are one node. In each bucket all nodes are linked to one leader
 (another choice in each band), and the links are verified on the multisets (Σmin/Σmax >= 0.8) and joined to components.
 That needs no pairs inside a bucket; links it may have missed can only be between nodes of one bucket that are still in
-different components, and exactly those pairs are verified too, so no candidate link is lost.
+different components. Those nodes are compared block by block inside small tasks, which return only links, so no
+candidate link is lost. (One leader is the bucket's most popular node, the other is chosen at random.)
 
 Defined cases: texts without words (null, empty) are one class; a text of 1 to 4 words has one shingle of all of them; rows that
 share an id are told apart by their text, and the least id of a class is its class_id; a null id is the id -1; an empty
@@ -33,6 +34,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 _REGISTERS = BANDS * ROWS
 _SLACK = 4.0
+#: Nodes of a block when the nodes of a bucket are compared with each other.
+BLOCK = 128
 _BATCH_BYTES = 2 << 20
 _KEY = ["d", "h"]
 _U = np.uint64
@@ -167,6 +170,47 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def _compared(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between nodes of one group (b, node, root, n) with different roots.
+
+    A group is cut into blocks of about ``BLOCK`` nodes; each pair of blocks is one small task of its own, and only links
+    leave it. Multisets become sets of (shingle, occurrence), so all overlaps of two blocks are one matrix product."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
+    rows = placed.select("b", "node", "root", mine.alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("m"))
+    rows = rows.select("b", "node", "root", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j")).join(texts, "node")
+
+    def compare(part: pa.Table) -> pa.Table:
+        n = part.num_rows
+        doc, h = shingles(*byte_column(part.column("text")))
+        order = np.lexsort((h, doc))
+        doc, h = doc[order], h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        element = mix(h + (np.arange(len(h)) - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        _, column, count = np.unique(element, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        size = np.bincount(doc, minlength=n)
+        doc, column = doc[shared], np.unique(column[shared], return_inverse=True)[1]
+        overlap = np.zeros((n, n), np.float32)
+        for start in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+            inside = (column >= start) & (column < start + 4096)
+            m = np.zeros((n, 4096), np.float32)
+            m[doc[inside], column[inside] - start] = 1
+            overlap += m @ m.T
+        alike = overlap >= similarity * (size[:, None] + size[None, :] - overlap) - 1e-6
+        root = np.unique(np.array(part.column("root").to_pylist(), object), return_inverse=True)[1] if n else np.zeros(0, int)
+        k = part.column("k").to_numpy()
+        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
+        alike &= (root[:, None] != root[None, :]) & ((k[:, None] == i) & (k[None, :] == j))
+        x, y = np.nonzero(alike)
+        node = part.column("node")
+        return pa.table([node.take(pa.array(x)), node.take(pa.array(y))], ["a", "b"])
+
+    return rows.groupBy("b", "i", "j").applyInArrow(lambda t: compare(t), "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((d, h, node, class_id, class_h) of every text, verified links (a, b) between nodes)."""
     prepare(docs.sparkSession)
@@ -176,12 +220,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     nodes = stored(nodes, "near-nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("key"))
 
-    # one leader a bucket: the node with the least hash, another order in each band
-    rank = F.struct(F.xxhash64("node", "key").alias("r"), F.col("node").alias("b"), F.col("size").alias("s"))
-    leaders = members.groupBy("key").agg(F.min(rank).alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader.b", "leader.s")
-    led = members.join(leaders, "key").where((F.col("node") != F.col("b")) & _fits("size", "s", similarity)).select(F.col("node").alias("a"), "b")
+    # two leaders a bucket: the node that shares most buckets (the centre of a group of copies), and one by chance
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    in_bucket = stored(members.join(sizes, "key"), "near-buckets")
+    popular = in_bucket.groupBy("node").agg(F.sum("n").alias("p"))
+    rank = lambda *first: F.max(F.struct(*first, F.xxhash64("node", "key").alias("r"), F.col("node").alias("b"), F.col("size").alias("s")))
+    leaders = in_bucket.join(popular, "node").groupBy("key").agg(F.array(rank("p").dropFields("p"), rank()).alias("leaders"))
+    led = stored(in_bucket.join(leaders, "key").select("node", "size", F.posexplode("leaders").alias("which", "l")).select("node", "size", "which", "l.b", "l.s").distinct(), "near-led")
+    groups = led.where("which = 0").select("b", "node")  # nodes that share a bucket share its popular leader
+    led = led.where((F.col("node") != F.col("b")) & _fits("size", "s", similarity)).select(F.col("node").alias("a"), "b")
     pairs = stored(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    in_bucket = stored(members.join(leaders.select("key"), "key", "left_semi"), "near-buckets")
 
     # the text of each node that shares a bucket, from one of its documents
     wanted = in_bucket.select("node").distinct().join(nodes.select("node", "at.d", "at.h"), "node")
@@ -190,14 +238,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Da
     links = stored(_verified(pairs, texts, similarity), "near-links")
     roots = components(links)
 
-    # pairs of one bucket that are in different components have not been compared with each other yet
-    placed = in_bucket.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = stored(placed.join(split, "key", "left_semi"), "near-open")
-    other = placed.select("key", F.col("node").alias("b"), F.col("size").alias("s"), F.col("root").alias("root_b"))
-    rest = placed.withColumnRenamed("node", "a").join(other, "key").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits("size", "s", similarity))
-    rest = rest.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    links = stored(links.unionByName(_verified(rest, texts, similarity)), "near-links")
+    # nodes of one bucket that are in different components have not been compared with each other yet
+    placed = groups.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("root"))
+    split = placed.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("b", "n")
+    rest = _compared(placed.join(split, "b"), texts, similarity)
+    links = stored(links.unionByName(rest), "near-links")
     roots = components(links)
 
     rooted = nodes.select("node", "at").join(roots, "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
