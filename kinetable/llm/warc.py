@@ -175,7 +175,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 names = [x.split()[0] for x in _RECORD.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return scanned.join(entries, ["archive", "start"]).select("archive", "candidates", "entry").mapInArrow(walk, _RECORD)
+    # by merging: the candidates are small on disk but not in memory
+    return scanned.hint("merge").join(entries, ["archive", "start"]).select("archive", "candidates", "entry").mapInArrow(walk, _RECORD)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
