@@ -88,3 +88,40 @@ def paired_relational_score(rows: DataFrame, cell: list[str]) -> DataFrame:
         F.try_divide(F.sum("a"), F.sum("items")).alias("rate_a"), F.try_divide(F.sum("b"), F.sum("items")).alias("rate_b"),
     )
     return g
+
+
+def item_ratio_shares(scored_rows: DataFrame, item: list[str], cell: list[str]) -> DataFrame:
+    """(cell, n, median, q1, q3, share_2, share_125, distinct_cm): cm answers over a hundred metre answers, item by item."""
+    wide = side_by_side(scored_rows, [*cell, *item], "arm", ["m", "cm"], ["prediction"]).where("prediction_cm is not null and prediction_m > 0")
+    r = wide.withColumn("r", F.col("prediction_cm") / (100 * F.col("prediction_m")))
+    q = lambda p: F.percentile("r", F.lit(p))
+    inside = lambda a, b: F.avg(F.col("r").between(a, b).cast("double"))
+    return r.groupBy(*cell).agg(F.count("r").alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), inside(0.5, 2).alias("share_2"), inside(0.8, 1.25).alias("share_125"), F.count_distinct("prediction_cm").alias("distinct_cm"))
+
+
+def align_predictions(items: DataFrame, predictions: DataFrame, keys: list[str]) -> DataFrame:
+    """``items`` with their prediction and whether there is one; of repeated predictions the greatest counts."""
+    one = predictions.groupBy(*keys).agg(F.max("raw_answer").alias("raw_answer"))
+    return items.join(one.withColumn("observed", F.lit(True)), keys, "left").withColumn("observed", F.coalesce("observed", F.lit(False)))
+
+
+def arm_vs_base(rows: DataFrame, base: DataFrame, item: list[str], cell: list[str], correct: str) -> DataFrame:
+    """(cell, only_arm, only_base, p): each arm against one base on the same items."""
+    j = rows.select(*cell, *item, F.col(correct).alias("_a")).join(base.select(*item, F.col(correct).alias("_b")), item)
+    g = j.groupBy(*cell).agg(F.count_if(F.col("_a") & ~F.col("_b")).alias("only_arm"), F.count_if(~F.col("_a") & F.col("_b")).alias("only_base"))
+    return g.withColumn("p", mcnemar_p("only_arm", "only_base"))
+
+
+def paired_statistics(rows: DataFrame, item: list[str], cell: list[str], a: str, b: str) -> DataFrame:
+    """(cell, common, parsed, ratio, expected, normalised, delta_tmra, non_positive): arm ``a`` against arm ``b`` on their common items."""
+    w = side_by_side(rows.withColumn("seen", F.lit(1)).withColumn("score", F.coalesce("score", F.lit(0.0))), [*cell, *item], "arm", [a, b], ["seen", "prediction", "reference_value", "score"])
+    w = w.where(f"seen_{a} = 1 and seen_{b} = 1")
+    both = F.col(f"prediction_{a}").isNotNull() & F.col(f"prediction_{b}").isNotNull()
+    ok = both & (F.col(f"prediction_{b}") > 0)
+    ratio = F.when(ok, F.col(f"prediction_{a}") / F.when(ok, F.col(f"prediction_{b}")))
+    expected = F.try_divide(f"reference_value_{a}", f"reference_value_{b}")
+    g = w.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("common"), F.count_if(both).alias("parsed"), F.median(ratio).alias("ratio"), F.median(F.when(ok, expected)).alias("expected"), F.median(ratio / expected).alias("normalised"),
+        F.avg(F.col(f"score_{a}") - F.col(f"score_{b}")).alias("delta_tmra"), F.count_if(both & ~ok).alias("non_positive"),
+    )
+    return g

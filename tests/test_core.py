@@ -134,3 +134,14 @@ def test_entry_without_the_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'numeric_items' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); print(len(q), len(e.oracle_sql()))"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin"})
+
+
+def test_accel_visual_pairs(spark):
+    from kinetable.operators.more_geometry import accel_visual
+
+    speeds = [(0, 1.0, 2.0), (1, 2.0, 1.0), (2, 1.0, 3.0), (3, 3.0, 1.0), (4, 1.0, 1.1), (5, 2.0, 1.0)]
+    rows = [("c", 1, k, part, v) for k, a, b in speeds for part, v in (("first", a), ("second", b))]
+    m = spark.createDataFrame(rows, "seq string, track int, window_index int, part string, speed double")
+    w = spark.createDataFrame([("c", k, 6 + 30 * k, 66 + 30 * k) for k in range(6)], "seq string, window_index int, f0 int, f1 int")
+    got = {(r.up, r.down, r.gap) for r in accel_visual(m, w).collect()}
+    assert got == {(0, 3, 30), (2, 5, 30)}
