@@ -102,12 +102,13 @@ class Bpe:
         ids = [self.inner[b] for b in piece]
         ids[-1] = self.last[piece[-1]]
         n = len(ids)
-        merges = self.merges
-        queue = []
+        merges = self.merges.get
+        queue, pair = [], [None] * n  # pair[i]: the table's entry of symbol i with its right neighbour
         a = ids[0]
         for i in range(1, n):
             b = ids[i]
-            if (found := merges.get(a << _ID | b)) is not None:
+            if (found := merges(a << _ID | b)) is not None:
+                pair[i - 1] = found
                 queue.append((found >> _ID) << _AT | i - 1)
             a = b
         if not queue:
@@ -118,20 +119,23 @@ class Bpe:
         while queue:
             top = heappop(queue)
             i = top & _LOW_AT
-            j = right[i]
-            if j < 0 or (found := merges.get(ids[i] << _ID | ids[j])) is None or found >> _ID != top >> _AT:
+            found = pair[i]
+            if found is None or found >> _ID != top >> _AT:
                 continue  # stale: one of the two symbols has been merged meanwhile
-            new = found & _LOW_ID
+            new, j = found & _LOW_ID, right[i]
             ids[i], ids[j] = new, -1
+            pair[i] = pair[j] = None
             k = right[i] = right[j]
-            right[j] = -1
             if k >= 0:
                 left[k] = i
-                if (found := merges.get(new << _ID | ids[k])) is not None:
+                if (found := merges(new << _ID | ids[k])) is not None:
+                    pair[i] = found
                     heappush(queue, (found >> _ID) << _AT | i)
             h = left[i]
-            if h >= 0 and (found := merges.get(ids[h] << _ID | new)) is not None:
-                heappush(queue, (found >> _ID) << _AT | h)
+            if h >= 0:
+                pair[h] = found = merges(ids[h] << _ID | new)
+                if found is not None:
+                    heappush(queue, (found >> _ID) << _AT | h)
         out = [x for x in ids if x >= 0]
         return struct.pack(f"<{len(out)}I", *out)
 
