@@ -29,27 +29,28 @@ SIMILAR = 6
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, h, line_no, leaf, line): parsed lines of enough tokens, with fields masked; ``leaf`` is a hash."""
+    """(d, h, line_no, leaf, lid, line): parsed lines of enough tokens, with fields masked; leaf and lid are hashes."""
     keyed = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), "text")
     lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     tokens = F.filter(F.split("raw", " "), lambda t: t != "")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
     parsed = lines.select("d", "h", "line_no", masked.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return parsed.select("d", "h", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.array_join("tokens", " ").alias("line"))
+    line = F.array_join("tokens", " ")
+    return parsed.select("d", "h", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64(line).alias("lid"), line.alias("line"))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(leaf, line, own): the template of every line that has one; own is null for the leaf's, else the line."""
-    distinct = stored(lines.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("c")), "line-distinct")
-    tokens = distinct.select("leaf", "line", "c", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= DEPTH)
+    """(leaf, lid, template): the template of every line that has one: its leaf's, or the line's own."""
+    distinct = stored(lines.groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("c"), F.first("line").alias("line")), "line-distinct")
+    tokens = distinct.select("leaf", "lid", "c", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= DEPTH)
     totals = distinct.groupBy("leaf").agg(F.sum("c").alias("total"))
     counted = tokens.groupBy("leaf", "pos", "tok").agg(F.sum("c").alias("k"))
     constants = counted.join(totals, "leaf").where("2 * k > total").select("leaf", "pos", "tok")
-    hits = tokens.join(constants, ["leaf", "pos", "tok"]).groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("hits"))
-    docs = lines.select("leaf", "line", "d").distinct().groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"))
-    found = distinct.select("leaf", "line", F.size(F.split("line", " ")).alias("n")).join(hits, ["leaf", "line"], "left").join(docs, ["leaf", "line"], "left")
+    hits = tokens.join(constants, ["leaf", "pos", "tok"]).groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("hits"))
+    docs = lines.select("leaf", "lid", "d").distinct().groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("docs"))
+    found = distinct.select("leaf", "lid", F.size(F.split("line", " ")).alias("n")).join(hits, ["leaf", "lid"], "left").join(docs, ["leaf", "lid"], "left")
     follows = 10 * F.coalesce("hits", F.lit(0)) >= SIMILAR * (F.col("n") - DEPTH)
-    return found.where(follows | (F.col("docs") >= MIN_DOCS)).select("leaf", "line", F.when(~follows, F.col("line")).alias("own"))
+    return found.where(follows | (F.col("docs") >= MIN_DOCS)).select("leaf", "lid", F.when(follows, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "lid")).alias("template"))
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
@@ -57,12 +58,12 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     lines = _lines(docs)
     often = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
     lines = stored(lines.join(often, "leaf", "left_semi"), "line-leaves")
-    classes = _classes(lines).withColumn("template", F.xxhash64("leaf", F.col("own").isNull(), "own"))
-    found = stored(lines.join(classes, ["leaf", "line"]).select("template", "leaf", "own", "d", "h", "line_no"), "line-templates")
-    by_doc = found.groupBy("template", "leaf", "own", "d").agg(F.min(F.struct("h", "line_no")).alias("at"))
-    often = by_doc.groupBy("template", "leaf", "own").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "at")).alias("first")).where(F.col("docs") >= MIN_DOCS)
-    often = often.select("template", "leaf", F.col("own").alias("_own"), F.col("first.d").alias("_d"), F.col("first.at.h").alias("_h"), F.col("first.at.line_no").alias("_line"))
-    drop = found.join(often, ["template", "leaf"]).where("own <=> _own and not (d = _d and h = _h and line_no = _line)")
+    found = lines.select("d", "h", "line_no", "leaf", "lid").join(_classes(lines), ["leaf", "lid"]).select("template", "d", "h", "line_no")
+    found = stored(found, "line-templates")
+    by_doc = found.groupBy("template", "d").agg(F.min(F.struct("h", "line_no")).alias("at"))
+    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "at")).alias("first")).where(F.col("docs") >= MIN_DOCS)
+    often = often.select("template", F.col("first.d").alias("_d"), F.col("first.at.h").alias("_h"), F.col("first.at.line_no").alias("_line"))
+    drop = found.join(often, "template").where("not (d = _d and h = _h and line_no = _line)")
     return drop.groupBy("d", "h").agg(F.collect_set("line_no").alias("drop"))
 
 
