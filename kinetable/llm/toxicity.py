@@ -20,10 +20,12 @@ from __future__ import annotations
 import math
 import pickle
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,11 @@ def features(word: str) -> list[str]:
     return out
 
 
+def _key(feature: str) -> int:
+    """Features are kept by a 64-bit hash, so that no table of their names is held."""
+    return xxhash.xxh3_64_intdigest(feature.encode("utf-8", "surrogatepass"))
+
+
 def _by_length(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Documents from long to short, and how many of them have a token at each step."""
     order = np.argsort(-lengths, kind="stable")
@@ -82,20 +89,23 @@ def marginals(logit: np.ndarray, starts: np.ndarray, lengths: np.ndarray, trans:
     inner[starts[lengths > 0]] = False
     at = np.flatnonzero(inner)
     a, r = ahead[at - 1], behind[at] * e[at]
-    w = np.stack([np.full(len(at), t[0, 0]), t[0, 1] * r, a * t[1, 0], a * t[1, 1] * r])
-    return p, (w / w.sum(0)).sum(1).reshape(2, 2)
+    all_ = t[0, 0] + t[0, 1] * r + a * (t[1, 0] + t[1, 1] * r)
+    ways = (t[0, 0] / all_).sum(), (t[0, 1] * r / all_).sum(), (t[1, 0] * a / all_).sum(), (t[1, 1] * a * r / all_).sum()
+    return p, np.array(ways).reshape(2, 2)
 
 
-def _telling(kinds: list[list[int]], docs: list[set[int]], toxic: list[int], names: list[str], least: float = 15.0) -> np.ndarray:
+def _telling(feat_of: np.ndarray, bounds: np.ndarray, docs: list[np.ndarray], toxic: list[int], lengths: np.ndarray, least: float = 15.0) -> np.ndarray:
     """Features that tell toxic documents: the one with the highest likelihood ratio is taken, the toxic documents with it
     are explained and leave, and so on while the ratio is over ``least`` and the rate five times that of clean documents.
     So copies of a toxic text don't make all of its words toxic: a few features explain them all. Of features nearly as
-    telling as the best the longest is taken: a word before its beginning."""
-    n_features = len(names)
+    telling as the best the longest is taken: a word before its beginning. The features of word w are
+    ``feat_of[bounds[w]:bounds[w + 1]]``; ``docs`` has the distinct words of each document."""
+    n_features = len(lengths)
     n1, n0 = np.zeros(n_features), np.zeros(n_features)
     left = []
     for words, y in zip(docs, toxic, strict=True):
-        seen = np.fromiter({f for w in words for f in kinds[w]}, np.int64)
+        n = bounds[words + 1] - bounds[words]
+        seen = np.unique(feat_of[np.repeat(bounds[words] - (np.cumsum(n) - n), n) + np.arange(n.sum())])
         (n1 if y else n0)[seen] += 1
         if y:
             left.append(seen)
@@ -103,7 +113,7 @@ def _telling(kinds: list[list[int]], docs: list[set[int]], toxic: list[int], nam
     out = np.zeros(n_features, bool)
     some = np.flatnonzero(n1 >= 3)
     n0 = n0[some]
-    width = np.array([len(names[i]) for i in some], np.int64)
+    width = lengths[some]
     place = np.full(n_features, -1)
     place[some] = np.arange(len(some))
     left = [place[x][place[x] >= 0] for x in left]
@@ -151,11 +161,21 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
     if not 0 < share < 1:
         return {"share": share}
     number: dict[str, int] = {}
-    tokens = [np.array([number.setdefault(w, len(number)) for w in _TOKENS.findall(t)], np.int64) for t in texts]
-    of_feature: dict[str, int] = {}
-    kinds = [[of_feature.setdefault(f, len(of_feature)) for f in features(w)] for w in number]
-    often = _telling(kinds, [set(t.tolist()) for t in tokens], toxic, list(of_feature))
-    bad_word = np.array([any(often[f] for f in fs) for fs in kinds], bool) if kinds else np.zeros(0, bool)
+    tokens = [np.fromiter((number.setdefault(w, len(number)) for w in _TOKENS.findall(t)), np.int32) for t in texts]
+    keys, widths, counts = array("Q"), array("H"), array("H")
+    for w in number:
+        fs = features(w)
+        keys.extend(map(_key, fs))
+        widths.extend(min(len(f), 60_000) for f in fs)
+        counts.append(len(fs))
+    n_words = len(number)
+    del number
+    names, first, feat_of = np.unique(np.frombuffer(keys, np.uint64), return_index=True, return_inverse=True)
+    counts = np.frombuffer(counts, np.uint16).astype(np.int64)
+    bounds = np.r_[0, np.cumsum(counts)]
+    word_of = np.repeat(np.arange(n_words, dtype=np.int32), counts)
+    often = _telling(feat_of, bounds, [np.unique(t) for t in tokens], toxic, np.frombuffer(widths, np.uint16)[first].astype(np.int64))
+    bad_word = np.bincount(word_of, often[feat_of], n_words) > 0
 
     lengths = np.array([len(t) for t in tokens], np.int64)
     starts = np.cumsum(lengths) - lengths
@@ -169,16 +189,14 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
     at = np.flatnonzero(inner)
     seen = np.bincount(2 * y[at - 1] + y[at], minlength=4).reshape(2, 2).astype(float)
 
-    word_of = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds])
-    feat_of = np.concatenate([np.array(k, np.int64) for k in kinds]) if kinds else np.zeros(0, np.int64)
-    theta, bias, trans = np.zeros(len(of_feature)), -4.0, np.log(np.array([[0.98, 0.02], [0.7, 0.3]]))
-    g_theta, g_bias, g_trans = np.full(len(of_feature), 1e-8), 1e-8, np.full((2, 2), 1e-8)
-    per_word = np.bincount(flat[y], minlength=len(kinds)).astype(float)
+    theta, bias, trans = np.zeros(len(names)), -4.0, np.log(np.array([[0.98, 0.02], [0.7, 0.3]]))
+    g_theta, g_bias, g_trans = np.full(len(names), 1e-8), 1e-8, np.full((2, 2), 1e-8)
+    per_word = np.bincount(flat[y], minlength=n_words).astype(float)
     for _ in range(steps):
-        logit = bias + np.bincount(word_of, theta[feat_of], len(kinds))
+        logit = bias + np.bincount(word_of, theta[feat_of], n_words)
         p, moved = marginals(logit[flat], cut, piece_lengths, trans)
-        off = per_word - np.bincount(flat, p, len(kinds))
-        grad = np.bincount(feat_of, off[word_of], len(of_feature)) - 0.05 * theta
+        off = per_word - np.bincount(flat, p, n_words)
+        grad = np.bincount(feat_of, off[word_of], len(names)) - 0.05 * theta
         g_theta += grad**2
         theta += 0.6 * grad / np.sqrt(g_theta)
         d = off.sum() - 0.05 * bias
@@ -187,9 +205,10 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
         d = seen - moved
         g_trans += d**2
         trans = trans + 0.2 * d / np.sqrt(g_trans)
-    p, _ = marginals((bias + np.bincount(word_of, theta[feat_of], len(kinds)))[flat], starts, lengths, trans)
+    p, _ = marginals((bias + np.bincount(word_of, theta[feat_of], n_words))[flat], starts, lengths, trans)
     link = _link(_evidence(p, starts, lengths), np.array(toxic, float))
-    strong = {f: float(theta[i]) for f, i in of_feature.items() if abs(theta[i]) >= 0.01}
+    keep = np.abs(theta) >= 0.01
+    strong = dict(zip(names[keep].tolist(), theta[keep].tolist(), strict=True))
     return {"share": share, "theta": strong, "bias": float(bias), "trans": trans, "link": link}
 
 
@@ -203,7 +222,7 @@ class Scorer:
         found = self.cache.get(word)
         if found is None:
             theta = self.model["theta"]
-            found = self.model["bias"] + sum(theta.get(f, 0.0) for f in features(word))
+            found = self.model["bias"] + sum(theta.get(_key(f), 0.0) for f in features(word))
             if len(self.cache) >= _CACHE_WORDS:
                 self.cache.clear()
             self.cache[word] = found
