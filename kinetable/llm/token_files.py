@@ -34,7 +34,7 @@ MIN_PAIRS = 16
 END_ID = 1
 _MAGIC = b"RPG1"
 #: Words and runs of letters kept with their ids in one Python worker, but for those of one batch.
-_KNOWN_WORDS, _KNOWN_PARTS = 300_000, 500_000
+_KNOWN_WORDS, _KNOWN_PARTS = 600_000, 800_000
 _SHARDS = "partition int, shard int, n_docs int, n_tokens long, data binary"
 _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary"
 
