@@ -57,6 +57,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, drop array<int>): line numbers to drop from the text of hash h of the document d."""
     lines = _lines(docs)
     often = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
+    often = stored(often, "line-often")  # a table of its own, so that Spark can split a hot leaf of the join
     lines = stored(lines.join(often, "leaf", "left_semi"), "line-leaves")
     found = lines.select("d", "h", "line_no", "leaf", "lid").join(_classes(lines), ["leaf", "lid"]).select("template", "d", "h", "line_no")
     found = stored(found, "line-templates")
