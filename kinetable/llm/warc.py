@@ -138,12 +138,12 @@ def _entries(scanned: DataFrame) -> DataFrame:
     while True:
         step = jump.select("archive", "offset", F.col("exit").alias("_to"))
         # only offsets where some candidate stands lead on; the archive's end doesn't
-        fresh = reached.join(step, ["archive", "offset"]).select("archive", F.col("_to").alias("offset")).distinct().join(reached, ["archive", "offset"], "left_anti")
+        fresh = reached.hint("merge").join(step, ["archive", "offset"]).select("archive", F.col("_to").alias("offset")).distinct().join(reached, ["archive", "offset"], "left_anti")
         fresh = stored(fresh, "warc-fresh")
         if fresh.isEmpty():
             return reached
         reached = stored(reached.unionByName(fresh), "warc-reached")
-        jump = stored(step.join(jump.select("archive", F.col("offset").alias("_to"), F.col("exit").alias("_far")), ["archive", "_to"]).select("archive", "offset", F.col("_far").alias("exit")), "warc-jump")
+        jump = stored(step.hint("merge").join(jump.select("archive", F.col("offset").alias("_to"), F.col("exit").alias("_far")), ["archive", "_to"]).select("archive", "offset", F.col("_far").alias("exit")), "warc-jump")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
