@@ -1,6 +1,6 @@
 """Operator 3: line dedup by a log-template tree, with DataFrame functions only.
 
-Lines are parsed to a fixed depth: count of the tokens between spaces, then the leading ``DEPTH`` tokens, tokens with a digit
+Lines are parsed to a fixed depth: count of the tokens between spaces (or tabs, carriage returns, form feeds), then the leading ``DEPTH`` tokens, tokens with a digit
 standing for a field (``<*>``). In a leaf that occurs in at least ``MIN_DOCS`` documents, a later position whose most frequent token covers more
 than half of the leaf's lines is constant and any other position a variable field; a line follows the leaf's template if
 at least ``SIMILAR`` tenths of its later tokens are the constants. A line that doesn't, but recurs itself, is a template of
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, stored, table
 
-DEPTH = 5
+DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
 SIMILAR = 6
@@ -30,7 +30,10 @@ SIMILAR = 6
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(d, h, line_no, leaf, lid, line): parsed lines of enough tokens, with fields masked; leaf and lid are hashes."""
-    keyed = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), "text")
+    spaced = F.col("text")
+    for blank in "\t\r\f":
+        spaced = F.replace(spaced, F.lit(blank), F.lit(" "))  # a split at one character takes no regular expression
+    keyed = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), spaced.alias("text"))
     lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     tokens = F.filter(F.split("raw", " "), lambda t: t != "")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
@@ -92,20 +95,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_DROP = r"""
 lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs WHERE text IS NOT NULL)
 ), parsed AS (
-  SELECT d, line_no, list_transform(list_filter(string_split(raw, ' '), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w FROM lines
+  SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w FROM lines
 ), keyed AS (
-  SELECT d, line_no, len(w) AS n, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:5], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM parsed WHERE len(w) >= 4
+  SELECT d, line_no, len(w) AS n, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM parsed WHERE len(w) >= 4
 ), hot AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT d) >= 3
 ), lv AS (SELECT * FROM keyed WHERE leaf IN (SELECT leaf FROM hot)
 ), dl AS (SELECT leaf, line, n, count(*) AS c, count(DISTINCT d) AS docs FROM lv GROUP BY ALL
 ), tok AS (SELECT leaf, line, c, unnest(range(len(s))) AS pos, unnest(s) AS t FROM (SELECT leaf, line, c, string_split(line, ' ') AS s FROM dl)
-), later AS (SELECT * FROM tok WHERE pos >= 5
+), later AS (SELECT * FROM tok WHERE pos >= 3
 ), totals AS (SELECT leaf, sum(c) AS total FROM dl GROUP BY leaf
 ), constants AS (SELECT leaf, pos, t FROM later JOIN totals USING (leaf) GROUP BY leaf, pos, t, total HAVING 2 * sum(c) > total
 ), hits AS (SELECT leaf, line, count(*) AS hits FROM later JOIN constants USING (leaf, pos, t) GROUP BY leaf, line
 ), classes AS (
-  SELECT leaf, line, CASE WHEN 10 * coalesce(hits, 0) >= 6 * (n - 5) THEN '' ELSE line END AS own
-  FROM dl LEFT JOIN hits USING (leaf, line) WHERE 10 * coalesce(hits, 0) >= 6 * (n - 5) OR docs >= 3
+  SELECT leaf, line, CASE WHEN 10 * coalesce(hits, 0) >= 6 * (n - 3) THEN '' ELSE line END AS own
+  FROM dl LEFT JOIN hits USING (leaf, line) WHERE 10 * coalesce(hits, 0) >= 6 * (n - 3) OR docs >= 3
 ), found AS (SELECT leaf, own, d, line_no FROM lv JOIN classes USING (leaf, line)
 ), often AS (SELECT leaf, own, min((d, line_no)) AS first FROM found GROUP BY leaf, own HAVING count(DISTINCT d) >= 3
 ), dropped AS (SELECT d, line_no FROM found JOIN often USING (leaf, own) WHERE (d, line_no) <> first
