@@ -5,6 +5,8 @@ standing for a field (``<*>``). In a leaf that occurs in at least ``MIN_DOCS`` d
 than half of the leaf's lines is constant and any other position a variable field; a line follows the leaf's template if
 at least ``SIMILAR`` tenths of its later tokens are the constants. A line that doesn't, but recurs itself, is a template of
 its own. A template that recurs in ``MIN_DOCS`` documents is dropped from all of them but the first (lowest id).
+Besides, a line whose tokens are exactly the same, digits too, in ``EXACT_DOCS`` documents is dropped from all but the first:
+only what is generalised needs a third document. A template's first line is also the first of its exact copies, so one stays.
 
 Copies are merged to one row per distinct line before its tokens are counted, and every grouping has a partial step, so a
 line in a third of all documents costs one row a task.
@@ -25,11 +27,12 @@ from .common import prepare, stored, table
 DEPTH = 3
 MIN_TOKENS = 4
 MIN_DOCS = 3
+EXACT_DOCS = 2
 SIMILAR = 6
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, h, line_no, leaf, lid, line): parsed lines of enough tokens, with fields masked; leaf and lid are hashes."""
+    """(d, h, line_no, leaf, lid, exact, line): parsed lines of enough tokens, with fields masked; leaf, lid and exact are hashes, exact without a mask."""
     spaced = F.col("text")
     for blank in "\t\r\f":
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))  # a split at one character takes no regular expression
@@ -37,9 +40,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     tokens = F.filter(F.split("raw", " "), lambda t: t != "")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
-    parsed = lines.select("d", "h", "line_no", masked.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    parsed = lines.select("d", "h", "line_no", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
     line = F.array_join("tokens", " ")
-    return parsed.select("d", "h", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64(line).alias("lid"), line.alias("line"))
+    return parsed.select("d", "h", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64(line).alias("lid"), "exact", line.alias("line"))
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -56,9 +59,20 @@ def _classes(lines: DataFrame) -> DataFrame:
     return found.where(follows | (F.col("docs") >= MIN_DOCS)).select("leaf", "lid", F.when(follows, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "lid")).alias("template"))
 
 
+def _repeats(lines: DataFrame) -> DataFrame:
+    """(d, h, line_no): lines that stand in ``EXACT_DOCS`` documents, without the first of each."""
+    assert EXACT_DOCS == 2  # two documents have two ids, so that the least and the greatest tell
+    at = F.struct("d", "h", "line_no")
+    often = lines.groupBy("exact").agg(F.min(at).alias("first"), F.max("d").alias("last")).where("first.d < last").select("exact", "first")
+    often = stored(often, "line-exact")
+    return lines.select("exact", "d", "h", "line_no").join(often, "exact").where(at != F.col("first")).select("d", "h", "line_no")
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, drop array<int>): line numbers to drop from the text of hash h of the document d."""
-    lines = _lines(docs)
+    lines = stored(_lines(docs), "line-parsed")
+    repeats = _repeats(lines)
+    lines = lines.drop("exact")
     often = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
     often = stored(often, "line-often")  # a table of its own, so that Spark can split a hot leaf of the join
     lines = stored(lines.join(often, "leaf", "left_semi"), "line-leaves")
@@ -67,7 +81,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     by_doc = found.groupBy("template", "d").agg(F.min(F.struct("h", "line_no")).alias("at"))
     often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "at")).alias("first")).where(F.col("docs") >= MIN_DOCS)
     often = often.select("template", F.col("first.d").alias("_d"), F.col("first.at.h").alias("_h"), F.col("first.at.line_no").alias("_line"))
-    drop = found.join(often, "template").where("not (d = _d and h = _h and line_no = _line)")
+    drop = found.join(often, "template").where("not (d = _d and h = _h and line_no = _line)").select("d", "h", "line_no").unionAll(repeats)
     return drop.groupBy("d", "h").agg(F.collect_set("line_no").alias("drop"))
 
 
@@ -95,7 +109,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_DROP = r"""
 lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs WHERE text IS NOT NULL)
 ), parsed AS (
-  SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w FROM lines
+  SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w, array_to_string(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), ' ') AS exact FROM lines
 ), keyed AS (
   SELECT d, line_no, len(w) AS n, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM parsed WHERE len(w) >= 4
 ), hot AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT d) >= 3
@@ -111,7 +125,11 @@ lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw
   FROM dl LEFT JOIN hits USING (leaf, line) WHERE 10 * coalesce(hits, 0) >= 6 * (n - 3) OR docs >= 3
 ), found AS (SELECT leaf, own, d, line_no FROM lv JOIN classes USING (leaf, line)
 ), often AS (SELECT leaf, own, min((d, line_no)) AS first FROM found GROUP BY leaf, own HAVING count(DISTINCT d) >= 3
-), dropped AS (SELECT d, line_no FROM found JOIN often USING (leaf, own) WHERE (d, line_no) <> first
+), copies AS (SELECT exact, d, line_no FROM parsed WHERE len(w) >= 4
+), twice AS (SELECT exact, min((d, line_no)) AS first FROM copies GROUP BY exact HAVING count(DISTINCT d) >= 2
+), dropped AS (
+  SELECT d, line_no FROM found JOIN often USING (leaf, own) WHERE (d, line_no) <> first
+  UNION SELECT d, line_no FROM copies JOIN twice USING (exact) WHERE (d, line_no) <> first
 )"""
 
 ORACLE = f"""

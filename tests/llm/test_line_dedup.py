@@ -34,3 +34,18 @@ def test_tabs_and_carriage_returns_part_tokens(spark):
     texts = [f"{own(i)}\nName\tStreet\tTown\tCountry\tTelephone" + "\r" * (i % 2) for i in range(4)]
     out = kept(spark, texts)
     assert ["Street" in out[i] for i in range(4)] == [True, False, False, False]
+
+
+def test_two_documents_make_an_exact_line_recur(spark):
+    passage = " ".join(WORDS * 5)
+    texts = [f"{own(0)}\n{passage}\nIn 1999 the sum rose by 7 percent", f"{own(3)}\n{passage}\nIn 2004 the sum rose by 9 percent"]
+    out = kept(spark, texts)
+    assert passage in out[0] and passage not in out[1]
+    assert "1999" in out[0] and "2004" in out[1]  # alike only under the mask: a third document is needed
+
+
+def test_of_exact_copies_of_a_template_one_line_stays(spark):
+    row = "Printed on page {} of the annual report"
+    texts = [f"{own(i)}\n{row.format(n)}\n{row.format(n)}" for i, n in enumerate((5, 4, 5, 4))]
+    out = kept(spark, texts)
+    assert [out[i].count("Printed") for i in range(4)] == [1, 0, 0, 0]
