@@ -8,10 +8,13 @@ its own. A template that recurs in ``MIN_DOCS`` documents is dropped from all of
 Besides, a line whose tokens are exactly the same, digits too, in ``EXACT_DOCS`` documents is dropped from all but the first:
 only what is generalised needs a third document. A template's first line is also the first of its exact copies, so one stays.
 
+Lines under ``MIN_TOKENS`` tokens take no part in the tree, where they would be all prefix, but in the exact rule, if they
+have ``SHORT`` tokens or ``SHORT`` letters of scripts written without spaces (``UNSPACED``), whose lines are one token.
+
 Copies are merged to one row per distinct line before its tokens are counted, and every grouping has a partial step, so a
 line in a third of all documents costs one row a task.
 
-Defined cases: a null text stays null; blank lines and lines under ``MIN_TOKENS`` tokens are kept; a repeated line of one
+Defined cases: a null text stays null; blank lines and lines of one or two words are kept; a repeated line of one
 document counts as one document; rows that share an id are one document for counting and are cut each by its own text;
 a null id counts as the id -1; an empty table gives an empty result. All columns are kept; extra columns may have
 any name (those used inside start with ``_ld_``).
@@ -26,13 +29,17 @@ from .common import prepare, stored, table
 
 DEPTH = 3
 MIN_TOKENS = 4
+SHORT = 3
+#: Thai, Lao, Tibetan, Burmese, Khmer, Kana and Han, as ranges of a character class.
+UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 MIN_DOCS = 3
 EXACT_DOCS = 2
 SIMILAR = 6
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(d, h, line_no, leaf, lid, exact, line): parsed lines of enough tokens, with fields masked; leaf, lid and exact are hashes, exact without a mask."""
+    """(d, h, line_no, leaf, lid, exact, line): parsed lines, with fields masked; leaf, lid and exact are hashes, exact without a mask.
+    Lines under ``MIN_TOKENS`` tokens have only exact."""
     spaced = F.col("text")
     for blank in "\t\r\f":
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))  # a split at one character takes no regular expression
@@ -40,9 +47,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     tokens = F.filter(F.split("raw", " "), lambda t: t != "")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
-    parsed = lines.select("d", "h", "line_no", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    parsed = lines.select("d", "h", "line_no", "raw", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens"))
+    parsed = parsed.where((F.size("tokens") >= SHORT) | (F.length(F.regexp_replace("raw", f"[^{UNSPACED}]", "")) >= SHORT))
     line = F.array_join("tokens", " ")
-    return parsed.select("d", "h", "line_no", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64(line).alias("lid"), "exact", line.alias("line"))
+    tree = {"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "lid": F.xxhash64(line), "line": line}
+    leaf, lid, line = (F.when(F.size("tokens") >= MIN_TOKENS, c).alias(name) for name, c in tree.items())
+    return parsed.select("d", "h", "line_no", leaf, lid, "exact", line)
 
 
 def _classes(lines: DataFrame) -> DataFrame:
@@ -72,7 +82,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, drop array<int>): line numbers to drop from the text of hash h of the document d."""
     lines = stored(_lines(docs), "line-parsed")
     repeats = _repeats(lines)
-    lines = lines.drop("exact")
+    lines = lines.where("leaf is not null").drop("exact")
     often = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
     often = stored(often, "line-often")  # a table of its own, so that Spark can split a hot leaf of the join
     lines = stored(lines.join(often, "leaf", "left_semi"), "line-leaves")
@@ -106,7 +116,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of a relation docs(doc_id, text) to drop: (d, line_no).
-ORACLE_DROP = r"""
+ORACLE_DROP = rf"""
 lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs WHERE text IS NOT NULL)
 ), parsed AS (
   SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w, array_to_string(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), ' ') AS exact FROM lines
@@ -125,7 +135,7 @@ lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw
   FROM dl LEFT JOIN hits USING (leaf, line) WHERE 10 * coalesce(hits, 0) >= 6 * (n - 3) OR docs >= 3
 ), found AS (SELECT leaf, own, d, line_no FROM lv JOIN classes USING (leaf, line)
 ), often AS (SELECT leaf, own, min((d, line_no)) AS first FROM found GROUP BY leaf, own HAVING count(DISTINCT d) >= 3
-), copies AS (SELECT exact, d, line_no FROM parsed WHERE len(w) >= 4
+), copies AS (SELECT exact, d, line_no FROM parsed WHERE len(w) >= 3 OR length(regexp_replace(exact, '[^{UNSPACED}]', '', 'g')) >= 3
 ), twice AS (SELECT exact, min((d, line_no)) AS first FROM copies GROUP BY exact HAVING count(DISTINCT d) >= 2
 ), dropped AS (
   SELECT d, line_no FROM found JOIN often USING (leaf, own) WHERE (d, line_no) <> first

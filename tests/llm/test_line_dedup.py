@@ -49,3 +49,12 @@ def test_of_exact_copies_of_a_template_one_line_stays(spark):
     texts = [f"{own(i)}\n{row.format(n)}\n{row.format(n)}" for i, n in enumerate((5, 4, 5, 4))]
     out = kept(spark, texts)
     assert [out[i].count("Printed") for i in range(4)] == [1, 0, 0, 0]
+
+
+def test_short_and_unspaced_lines(spark):
+    lines = ["All rights reserved.", "版权所有，未经许可不得转载。", "สงวนลิขสิทธิ์ตามกฎหมาย", "著作権2024年"]
+    texts = ["\n".join([own(i), *lines, "", "Read more", "年"]) for i in range(3)]
+    texts[2] = texts[2].replace("2024", "2025")
+    out = kept(spark, texts)
+    assert all(x in out[0] for x in lines)
+    assert out[1] == f"{own(1)}\n\nRead more\n年" and out[2] == f"{own(2)}\n著作権2025年\n\nRead more\n年"
