@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Replicates; the index picks of the interval are those of 2.5 % and 97.5 %.
-B = 200
+B = 2000
 
 
 def bootstrap_mean(rows: DataFrame, cell: list[str], cluster: str, value: str, b: int = B, seed: str = "boot") -> DataFrame:
