@@ -4,7 +4,9 @@ A word's symbols form a doubly linked list; a priority queue holds (merge rank,
 lowest entry is merged if it still describes the two symbols there, and skipped as stale otherwise. Decoding looks up
 each id's vocabulary string and joins them as the tokenizer file's (absent) decoder does: with one space.
 
-Letters are those of Unicode 15.1: a code point assigned later is split off as neither letter nor number.
+The Unicode tables are those of the tokenizers library, which Python's may be older than and whose normalisation differs in
+rare orders of combining marks: a word beyond U+02FF is normalised by its normalizer, and one with a code point that Python
+doesn't know is split into pieces by its pre-tokenizer. The pieces are merged like all others.
 
 Defined cases: a null text is encoded as the empty text (no ids, empty decoding); rows with equal ids or texts are
 each encoded; an empty table gives an empty result; columns other than the id and the text are carried through
@@ -94,6 +96,7 @@ class Bpe:
         self.last = [vocab[c + model["end_of_word_suffix"]] for c in letters]
         steps = spec["pre_tokenizer"]["pretokenizers"]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"])
+        self.path = path
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.words_known, self.pieces_known = Known(), Known()
 
@@ -147,18 +150,19 @@ class Bpe:
 
     def word(self, raw: str) -> bytes:
         """Ids of a stretch without white space or special tokens."""
-        text = raw if raw.isascii() else unicodedata.normalize("NFC", raw)
-        # lower case by single characters: a final sigma isn't treated apart
-        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        if raw.isascii() or max(raw) < "\u0300":
+            text = raw.lower()
+        else:
+            text = _library(self.path).normalizer.normalize_str(raw)
         if text.isalpha():
             return self.piece(text)
         if text[-1] in ".,:;!?" and text[:-1].isalpha():
             return self.piece(text[:-1]) + self.piece(text[-1])
-        shape = text
         if not text.isascii() and "Cn" in map(unicodedata.category, text):
-            # letters newer than the tokenizer's tables count as neither letter nor number, like private use
-            shape = "".join("\ue000" if unicodedata.category(c) == "Cn" else c for c in text)
-        return b"".join([self.piece(text[m.start() : m.end()]) for m in self.pattern.finditer(shape)])
+            found = [at for _, at in _library(self.path).pre_tokenizer.pre_tokenize_str(text)]
+        else:
+            found = [m.span() for m in self.pattern.finditer(text)]
+        return b"".join([self.piece(text[a:b]) for a, b in found])
 
     def encode(self, text: str) -> bytes:
         out = []
@@ -179,6 +183,13 @@ class Bpe:
         return " ".join([strings[i] for i in memoryview(ids).cast("I")])
 
 
+@lru_cache(maxsize=2)
+def _library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def _bpe(path: str) -> Bpe:
     return Bpe(path)
