@@ -1,17 +1,20 @@
 """Operator 2: token-id files compressed by Re-Pair grammars.
 
 Documents are encoded, range-partitioned and sorted by doc_id; each task cuts its documents into shards and replaces
-frequent id pairs by nonterminals, round after round, until no pair is frequent. A shard keeps its rules, every
-symbol's expansion length and an index of its documents, so any token range is decoded without the rest.
+frequent id pairs by nonterminals, round after round, until no pair occurs ``MIN_PAIRS`` times. (A round replaces all frequent
+pairs that can't overlap each other, not one, so that a shard takes tens of passes instead of thousands.) A shard keeps its
+rules, every symbol's expansion length and an index of its documents, so any token range is decoded without the rest.
 
-Layout of one shard (all integers little-endian): magic ``RPG1``; version, n_docs, n_rules, n_symbols, first
-nonterminal (uint32 each); ids before the shard in its partition, n_tokens (uint64 each); then the arrays doc_id
-(int64), doc_id is known (uint8), symbols before each document and after the last (uint32), tokens of each document
-(uint32), rule left, rule right, rule expansion length (uint32), symbols (uint32). A shard holds whole documents and
-is one row (partition, shard, n_docs, n_tokens, data) of a Parquet table that Spark writes in the shared folder.
+Layout of one shard (all integers little-endian): magic ``RPG2``; n_docs, n_rules, n_symbols, first nonterminal (uint32
+each); ids before the shard in its partition, n_tokens (uint64 each); doc_id (int64); then, each as byte planes (the number
+of planes, then the lowest bytes of all values, the next ones, ..., as many as the largest value needs): doc_id is known,
+symbols of each document, tokens of each document, rule left, rule right, rule expansion length, symbols. A shard holds
+whole documents and is one row (partition, shard, n_docs, n_tokens, data) of a Parquet table that Spark writes in the
+shared folder.
 
 Defined cases: a null text is the empty text (only the end id); a null doc_id comes first, repeated doc_ids follow in
-the order of a hash of their text; a document longer than a shard gets a shard of its own; an empty table gives an empty table.
+the order of a hash of their text; a document longer than a shard gets a shard of its own; an empty table gives an empty
+table; columns other than doc_id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .bpe import _ODD_SPACE, _WORDS, word_bpe_path
-from .common import id_text, prepare, shared_dir, table
+from .bpe import word_bpe_path
+from .common import byte_column, id_text, prepare, regrouped, shared_dir, table
 
 #: Tokens after which a shard is closed.
 SHARD_TOKENS = 1 << 18
-#: A pair is replaced while it occurs this often in a shard.
-MIN_PAIRS = 16
+#: A pair is replaced while it occurs this often in a shard: a rule takes about 5 bytes and saves 2 an occurrence.
+MIN_PAIRS = 4
 END_ID = 1
-_MAGIC = b"RPG1"
-#: Words and runs of letters kept with their ids in one Python worker, but for those of one batch.
-_KNOWN_WORDS, _KNOWN_PARTS = 300_000, 500_000
+_MAGIC = b"RPG2"
+#: Stretches of text kept with their ids in one Python worker, but for those of one batch.
+_KNOWN = 400_000
+_BATCH_BYTES = 8 << 20
 _SHARDS = "partition int, shard int, n_docs int, n_tokens long, data binary"
 _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary"
 
@@ -43,8 +48,8 @@ _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary
 
 
 def _pick(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Frequent pairs, most frequent first, whose occurrences can't overlap: no symbol is the left of one and the
-    right of another, and a doubled symbol is in no other pair."""
+    """Number of the rule of each pair, or -1: frequent pairs, most frequent first, whose occurrences can't overlap: no
+    symbol is the left of one and the right of another, and a doubled symbol is in no other pair."""
     order = np.lexsort((keys, -counts))
     left, right = (keys >> 32).astype(np.int64)[order].tolist(), (keys & 0xFFFFFFFF).astype(np.int64)[order].tolist()
     side: dict[int, str] = {}
@@ -56,7 +61,9 @@ def _pick(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
             side[a], side[b] = "left", "right"
         if fits:
             chosen.append(at)
-    return np.sort(keys[chosen])
+    rule = np.full(len(keys), -1)
+    rule[np.sort(chosen)] = np.arange(len(chosen))
+    return rule
 
 
 def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple:
@@ -64,30 +71,37 @@ def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MI
     ``min_pairs`` times are replaced until none is left. ``base``: the first nonterminal."""
     seq, doc = ids.astype(np.uint64), doc_of
     lefts, rights, n = [], [], base
-    while len(seq) > 1:
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
-        pair[doc[:-1] != doc[1:]] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    # places whose pair may be frequent: a rare pair stays rare, only places beside a replaced one have new pairs
+    live = np.r_[doc[:-1] == doc[1:], False] if len(doc) else np.zeros(0, bool)
+    while len(where := np.flatnonzero(live)):
+        pair = (seq[where] << np.uint64(32)) | seq[where + 1]
         # a hashed count leaves few pairs to sort
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
         often = np.bincount(slot, minlength=1 << 18)[slot] >= min_pairs
-        often &= pair != np.uint64(0xFFFFFFFFFFFFFFFF)
-        keys, counts = np.unique(pair[often], return_counts=True)
-        keys, counts = keys[counts >= min_pairs], counts[counts >= min_pairs]
-        if not len(keys):
+        live[where[~often]] = False
+        where = where[often]
+        keys, which, counts = np.unique(pair[often], return_inverse=True, return_counts=True)
+        frequent = counts >= min_pairs
+        live[where[~frequent[which]]] = False
+        if not frequent.any():
             break
-        rules = _pick(keys, counts)
-        where = np.flatnonzero(often)
-        at = np.minimum(np.searchsorted(rules, pair[where]), len(rules) - 1)
-        hit = rules[at] == pair[where]
-        where, at = where[hit], at[hit]
+        rule = np.full(len(keys), -1)
+        rule[frequent] = _pick(keys[frequent], counts[frequent])
+        at = rule[which]
+        where, at = where[at >= 0], at[at >= 0]
         # only a pair of equal symbols overlaps itself: keep every second place of such a run
-        start = np.r_[True, np.diff(where) != 1]
-        place = np.arange(len(where)) - np.maximum.accumulate(np.where(start, np.arange(len(where)), 0))
+        place = np.arange(len(where))
+        place -= np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, place, 0))
         where, at = where[place % 2 == 0], at[place % 2 == 0]
         seq[where] = at.astype(np.uint64) + np.uint64(n)
-        gone = np.ones(len(seq), bool)
-        gone[where + 1] = False
-        seq, doc = seq[gone], doc[gone]
+        stays = np.ones(len(seq), bool)
+        stays[where + 1] = False
+        seq, doc, live = seq[stays], doc[stays], live[stays]
+        where = where - np.arange(len(where))
+        for left in (where, where[where > 0] - 1):
+            live[left] = doc[left] == doc[np.minimum(left + 1, len(doc) - 1)]
+        live[-1] = False
+        rules = keys[rule >= 0]
         lefts.append((rules >> np.uint64(32)).astype(np.uint32))
         rights.append((rules & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         n += len(rules)
@@ -115,16 +129,20 @@ def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, base: int
     return seq
 
 
-def pack(doc_ids: list, lengths: list[int], ids: np.ndarray, before: int, min_pairs: int = MIN_PAIRS) -> bytes:
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of unsigned values under 2^32: their number, then the lowest bytes of all values, the next ones, ..."""
+    n = max((int(x.max()).bit_length() + 7) // 8, 1) if len(x) else 1
+    return bytes([n]) + x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :n].T.tobytes()
+
+
+def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, before: int, min_pairs: int = MIN_PAIRS) -> bytes:
     """One shard's bytes."""
-    lengths = np.array(lengths, np.uint32)
     base = int(ids.max()) + 1 if len(ids) else 0
     symbols, doc, lefts, rights = compress(ids, np.repeat(np.arange(len(lengths)), lengths), base, min_pairs)
-    head = np.array([1, len(doc_ids), len(lefts), len(symbols), base], "<u4").tobytes() + np.array([before, len(ids)], "<u8").tobytes()
-    index = np.searchsorted(doc, np.arange(len(lengths) + 1)).astype("<u4")
-    known = np.array([d is not None for d in doc_ids], np.uint8)
-    parts = [np.array([d or 0 for d in doc_ids], "<i8"), known, index, lengths.astype("<u4"), lefts.astype("<u4"), rights.astype("<u4"), expansion_lengths(lefts, rights, base).astype("<u4"), symbols.astype("<u4")]
-    return _MAGIC + head + b"".join(p.tobytes() for p in parts)
+    head = np.array([len(doc_ids), len(lefts), len(symbols), base], "<u4").tobytes() + np.array([before, len(ids)], "<u8").tobytes()
+    known = np.array([d is not None for d in doc_ids], np.uint32)
+    parts = [known, np.bincount(doc, minlength=len(lengths)), lengths, lefts, rights, expansion_lengths(lefts, rights, base), symbols]
+    return _MAGIC + head + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + b"".join(map(_planes, parts))
 
 
 class Shard:
@@ -133,22 +151,22 @@ class Shard:
     def __init__(self, data: bytes):
         if data[:4] != _MAGIC:
             raise ValueError("not a token shard")
-        version, docs, rules, symbols, self.base = np.frombuffer(data, "<u4", 5, 4).tolist()
-        if version != 1:
-            raise ValueError(f"unknown version {version}")
-        self.before, self.n_tokens = np.frombuffer(data, "<u8", 2, 24).tolist()
-        at = 40
+        docs, rules, symbols, self.base = np.frombuffer(data, "<u4", 4, 4).tolist()
+        self.before, self.n_tokens = np.frombuffer(data, "<u8", 2, 20).tolist()
+        self.doc_ids = np.frombuffer(data, "<i8", docs, 36)
+        at = 36 + 8 * docs
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(n: int) -> np.ndarray:
             nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
+            planes = data[at]
+            out = np.zeros((n, 4), np.uint8)
+            out[:, :planes] = np.frombuffer(data, np.uint8, planes * n, at + 1).reshape(planes, n).T
+            at += 1 + planes * n
+            return out.view("<u4").ravel()
 
-        self.doc_ids, self.known = take("<i8", docs), take("u1", docs)
-        self.index, self.lengths = take("<u4", docs + 1), take("<u4", docs)
-        self.lefts, self.rights, self.expansions = take("<u4", rules), take("<u4", rules), take("<u4", rules)
-        self.symbols = take("<u4", symbols)
+        self.known = take(docs)
+        self.index = np.r_[0, np.cumsum(take(docs), dtype=np.int64)]
+        self.lengths, self.lefts, self.rights, self.expansions, self.symbols = (take(n) for n in (docs, rules, rules, rules, symbols))
 
     def all(self) -> np.ndarray:
         return expand(self.symbols, self.lefts, self.rights, self.base)
@@ -181,60 +199,107 @@ def _tokenizer(path: str):
     return found
 
 
+_byte = np.arange(256)
+_BLANK = ((_byte >= 9) & (_byte <= 13)) | (_byte == 32)
+_ASCII_LETTER = ((_byte | 32) >= 0x61) & ((_byte | 32) <= 0x7A)
+#: Second bytes of the letters U+00C0 to U+00FF, whose first byte is 0xC3 (0x97 and 0xB7 are the signs of arithmetic).
+_LATIN_TAIL = (_byte >= 0x80) & (_byte <= 0xBF) & (_byte != 0x97) & (_byte != 0xB7)
+_LATIN_CAPITAL = _LATIN_TAIL & (_byte <= 0x9E)
+_CLOSING = np.isin(_byte, np.frombuffer(b".,:;!?", np.uint8))
+_LOWER = np.where(_ASCII_LETTER, _byte | 32, _byte).astype(np.uint8)
+
+
 class _Encoder:
-    """The library's ids, asked once for each distinct run of letters or other stretch between white space: this file's
-    tokenizer drops white space, ignores case, and never joins pieces or special tokens across it or letters with
-    punctuation."""
+    """The library's ids, asked once for each distinct stretch between blanks of ASCII.
+
+    This file's tokenizer replaces white space by one space, drops it, and joins nothing across it, so such a stretch has the
+    same ids anywhere. Stretches of letters of ASCII and Latin-1, which no normalisation changes but lower-casing, are one
+    piece each and are asked many in a call, in lower case and without a closing mark, which is a piece of its own.
+    Everything else is asked as it stands."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-
-    def _learn_parts(self, new: list[str]) -> None:
-        # a run of letters is one piece: many of them are one call, and their ids end where a piece ends
-        letters, others = [p for p in new if p.isalpha()], [p for p in new if not p.isalpha()]
-        groups = [letters[i : i + 256] for i in range(0, len(letters), 256)]
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            found = np.array(e.ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
-            if len(cuts) != len(group):  # letters by Python's tables but not by the tokenizer's
-                others += group
-                continue
-            raw = found.tobytes()
-            self.parts.update((p, raw[a:b]) for p, a, b in zip(group, [0, *cuts], cuts, strict=False))
-        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        split = {}
-        for w in words:
-            head, tail = (w[:-1], w[-1]) if w[-1] in ".,:;!?" and w[:-1].isalpha() else (w, "")
-            if head.isalpha() and "Σ" not in head and "İ" not in head:
-                head = head.lower()
-            split[w] = (head, tail)
-        if len(self.parts) > _KNOWN_PARTS:
-            self.parts.clear()
-        parts = self.parts
-        parts[""] = b""
-        self._learn_parts(list({p for ps in split.values() for p in ps}.difference(parts)))
-        self.words.update((w, parts[head] + parts[tail]) for w, (head, tail) in split.items())
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [_WORDS.findall(t) if _ODD_SPACE.search(t) else t.split() for t in texts]
-        words = self.words
-        if len(words) > _KNOWN_WORDS:
-            words.clear()
-        get = words.get
-        ids = [[get(w) for w in ws] for ws in split]
-        part = [i for i, x in enumerate(ids) if None in x]
-        self._learn({w for i in part for w, x in zip(split[i], ids[i], strict=True) if x is None})
-        for i in part:
-            ids[i] = [words[w] for w in split[i]]
-        return [np.frombuffer(b"".join(x), "<u4") for x in ids]
+        self.closing = np.zeros(256, np.uint32)
+        for b in np.flatnonzero(_CLOSING).tolist():
+            (self.closing[b],) = self._ids([chr(b)])[0].ids
+        self._forget()
+
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
+    def _forget(self) -> None:
+        self.row: dict[bytes, int] = {}
+        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _learn(self, pieces: list[bytes], others: list[bytes]) -> None:
+        words, ids, lengths = [], [], []
+        groups = [pieces[i : i + 256] for i in range(0, len(pieces), 256)]
+        for group, e in zip(groups, self._ids([b" ".join(g).decode() for g in groups]), strict=True):
+            found = np.array(e.ids, np.uint32)
+            cuts = np.flatnonzero(self.ends[found]) + 1
+            assert len(cuts) == len(group)  # one piece each
+            words += group
+            ids.append(found)
+            lengths.append(np.diff(cuts, prepend=0))
+        for e in self._ids([w.decode("utf-8", "surrogatepass") for w in others]):
+            ids.append(np.array(e.ids, np.uint32))
+            lengths.append(np.array([len(e.ids)]))
+        words += others
+        self.row.update(zip(words, range(len(self.row), len(self.row) + len(words)), strict=True))
+        more = np.concatenate([np.zeros(0, np.int64), *lengths])
+        self.start = np.r_[self.start, len(self.ids) + np.cumsum(more) - more]
+        self.length, self.ids = np.r_[self.length, more], np.concatenate([self.ids, *ids])
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, ids of each text) of concatenated texts in UTF-8."""
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        word = ~_BLANK[data]
+        cuts = offsets[(offsets > 0) & (offsets < len(data))]
+        before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        before[1:], after[:-1] = word[:-1], word[1:]
+        before[cuts], after[cuts - 1] = False, False
+        starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        # letters, and their lower case
+        tail = np.zeros(len(data), bool)
+        tail[1:] = (data[:-1] == 0xC3) & _LATIN_TAIL[data[1:]]
+        letter = _ASCII_LETTER[data] | tail
+        letter[:-1] |= tail[1:]
+        lower = _LOWER[data]
+        lower[tail & _LATIN_CAPITAL[data]] += 32
+        odd = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(~letter, out=odd[1:])
+        n_odd = odd[ends] - odd[starts]
+        closed = (n_odd == 1) & _CLOSING[data[ends - 1]] & (ends - starts > 1)
+        plain = n_odd == closed
+        # stretches without their closing marks, as an Arrow array
+        word[ends[closed] - 1] = False
+        size = ends - starts - closed
+        raw = np.where(np.repeat(plain, size), lower[word], data[word])
+        found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]).dictionary_encode()
+        distinct, which = found.dictionary.to_pylist(), found.indices.to_numpy()
+        kind = np.zeros(len(distinct), bool)
+        kind[which] = plain
+        if len(self.row) > _KNOWN:
+            self._forget()
+        new = [(w, k) for w, k in zip(distinct, kind.tolist(), strict=True) if w not in self.row]
+        if new:
+            self._learn([w for w, k in new if k], [w for w, k in new if not k])
+        row = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[which]
+        # gather: each stretch's ids, then its closing mark
+        n = self.length[row]
+        inner = np.repeat(self.start[row] - (np.cumsum(n) - n), n)
+        inner += np.arange(len(inner))
+        total = np.cumsum(n + closed)
+        out = np.empty(int(total[-1]) if len(total) else 0, np.uint32)
+        mark = np.zeros(len(out), bool)
+        mark[total[closed] - 1] = True
+        out[mark] = self.closing[data[ends[closed] - 1]]
+        out[~mark] = self.ids[inner]
+        return out, np.diff(np.r_[0, total][np.searchsorted(starts, offsets)])
 
 
 @lru_cache(maxsize=2)
@@ -254,20 +319,23 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         ids, lengths, held, total, before, n = [], [], [], 0, 0, 0
 
         def shard():
-            data = pack(held, lengths, np.concatenate(ids), before)
+            data = pack(held, np.array(lengths), np.concatenate(ids), before)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([len(held)], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["partition", "shard", "n_docs", "n_tokens", "data"])
 
-        for batch in batches:
-            found = batch.to_pydict()
-            for d, x in zip(found["doc_id"], encode(found["text"]), strict=True):
-                ids += [x, np.array([end_id], "<u4")]
+        for batch in regrouped(batches, _BATCH_BYTES):
+            flat, count = encode(*byte_column(batch.column("text")))
+            flat, ends = np.insert(flat, np.cumsum(count), end_id), np.cumsum(count + 1)
+            at = 0
+            for d, c, end in zip(batch.column("doc_id").to_pylist(), (count + 1).tolist(), ends.tolist(), strict=True):
                 held.append(d)
-                lengths.append(len(x) + 1)
-                total += len(x) + 1
+                lengths.append(c)
+                total += c
                 if total >= shard_tokens:
+                    ids.append(flat[at:end])
                     yield shard()
-                    before, n = before + total, n + 1
+                    before, n, at = before + total, n + 1, end
                     ids, lengths, held, total = [], [], [], 0
+            ids.append(flat[at:])
         if held:
             yield shard()
 
@@ -292,10 +360,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 doc = pa.array(s.doc_ids.astype(np.int64), pa.int64(), mask=s.known == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), part, np.int32)), doc, pa.array(starts + s.before), pa.array(s.lengths.astype(np.int64)), raw], ["partition", "doc_id", "local_start", "n_tokens", "ids"])
 
-    # ids before each write task's part: as many rows as there were tasks
-    sums = shards.groupBy("partition").agg(F.sum("n_tokens").alias("_n")).agg(F.sort_array(F.collect_list(F.struct("partition", "_n"))).alias("_all"))
-    earlier = sums.select(F.explode("_all").alias("p"), "_all").select(F.col("p.partition").alias("partition"), F.expr("aggregate(filter(_all, x -> x.partition < p.partition), 0L, (s, x) -> s + x._n)").alias("_base"))
-    return shards.mapInArrow(run, _DOCS).join(F.broadcast(earlier), "partition").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    # ids before each write task's part: a running sum over as many rows as there were tasks
+    sums = shards.groupBy("partition").agg(F.sum("n_tokens").alias("_n"))
+    earlier = sums.select("partition", (F.sum("_n").over(Window.orderBy("partition")) - F.col("_n")).alias("_base"))
+    return shards.mapInArrow(run, _DOCS).join(earlier, "partition").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
