@@ -47,48 +47,62 @@ _DOCS = "partition int, doc_id long, local_start long, n_tokens long, ids binary
 # --- Re-Pair on one shard -------------------------------------------------------------------------------------------
 
 
+_SLOTS = 18
+
+
+def _slot(pair: np.ndarray) -> np.ndarray:
+    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)).astype(np.int64)
+
+
 def _pick(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Number of the rule of each pair, or -1: frequent pairs, most frequent first, whose occurrences can't overlap: no
-    symbol is the left of one and the right of another, and a doubled symbol is in no other pair."""
+    """Frequent pairs, most frequent first, whose occurrences can't overlap: no symbol is the left of one and the right of
+    another, and a doubled symbol is in no other pair."""
     order = np.lexsort((keys, -counts))
-    left, right = (keys >> 32).astype(np.int64)[order].tolist(), (keys & 0xFFFFFFFF).astype(np.int64)[order].tolist()
-    side: dict[int, str] = {}
-    chosen = []
-    for at, a, b in zip(order.tolist(), left, right, strict=True):
-        if a == b:
-            fits = side.setdefault(a, "double") == "double"
-        elif fits := side.get(a, "left") == "left" and side.get(b, "right") == "right":
-            side[a], side[b] = "left", "right"
-        if fits:
+    side: dict[int, int] = {}  # 1: left, 2: right, 3: doubled
+    get, chosen = side.get, []
+    for at, a, b in zip(order.tolist(), (keys >> np.uint64(32))[order].tolist(), (keys & np.uint64(0xFFFFFFFF))[order].tolist(), strict=True):
+        if a != b:
+            if get(a, 1) == 1 and get(b, 2) == 2:
+                side[a], side[b] = 1, 2
+                chosen.append(at)
+        elif get(a, 3) == 3:
+            side[a] = 3
             chosen.append(at)
-    rule = np.full(len(keys), -1)
-    rule[np.sort(chosen)] = np.arange(len(chosen))
-    return rule
+    return np.sort(keys[chosen])
 
 
 def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple:
     """(symbols, document of each symbol, rule lefts, rule rights): pairs within a document that occur at least
     ``min_pairs`` times are replaced until none is left. ``base``: the first nonterminal."""
-    seq, doc = ids.astype(np.uint64), doc_of
+    seq, doc = ids.astype(np.uint64), doc_of.astype(np.int32)
     lefts, rights, n = [], [], base
     # places whose pair may be frequent: a rare pair stays rare, only places beside a replaced one have new pairs
     live = np.r_[doc[:-1] == doc[1:], False] if len(doc) else np.zeros(0, bool)
     while len(where := np.flatnonzero(live)):
         pair = (seq[where] << np.uint64(32)) | seq[where + 1]
         # a hashed count leaves few pairs to sort
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        often = np.bincount(slot, minlength=1 << 18)[slot] >= min_pairs
-        live[where[~often]] = False
-        where = where[often]
-        keys, which, counts = np.unique(pair[often], return_inverse=True, return_counts=True)
-        frequent = counts >= min_pairs
-        live[where[~frequent[which]]] = False
-        if not frequent.any():
+        slot = _slot(pair)
+        often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= min_pairs
+        keys = np.sort(pair[often])
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        counts = np.diff(np.r_[first, len(keys)])
+        keys, counts = keys[first[counts >= min_pairs]], counts[counts >= min_pairs]
+        if not len(keys):
             break
-        rule = np.full(len(keys), -1)
-        rule[frequent] = _pick(keys[frequent], counts[frequent])
-        at = rule[which]
-        where, at = where[at >= 0], at[at >= 0]
+        frequent = np.zeros(1 << _SLOTS, bool)
+        frequent[_slot(keys)] = True
+        stays = frequent[slot]
+        live[where[~stays]] = False
+        where, pair, slot = where[stays], pair[stays], slot[stays]
+        rules = _pick(keys, counts)
+        rule_of = np.full(1 << _SLOTS, -1)
+        rule_of[_slot(rules)] = np.arange(len(rules))
+        rules = rules[rule_of[_slot(rules)] == np.arange(len(rules))]  # of rules with one slot, the others wait for the next round
+        rule_of[_slot(rules)] = np.arange(len(rules))
+        at = rule_of[slot]
+        hit = at >= 0
+        hit &= rules[at] == pair
+        where, at = where[hit], at[hit]
         # only a pair of equal symbols overlaps itself: keep every second place of such a run
         place = np.arange(len(where))
         place -= np.maximum.accumulate(np.where(np.diff(where, prepend=-2) != 1, place, 0))
@@ -101,7 +115,6 @@ def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MI
         for left in (where, where[where > 0] - 1):
             live[left] = doc[left] == doc[np.minimum(left + 1, len(doc) - 1)]
         live[-1] = False
-        rules = keys[rule >= 0]
         lefts.append((rules >> np.uint64(32)).astype(np.uint32))
         rights.append((rules & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         n += len(rules)
@@ -205,7 +218,7 @@ _ASCII_LETTER = ((_byte | 32) >= 0x61) & ((_byte | 32) <= 0x7A)
 #: Second bytes of the letters U+00C0 to U+00FF, whose first byte is 0xC3 (0x97 and 0xB7 are the signs of arithmetic).
 _LATIN_TAIL = (_byte >= 0x80) & (_byte <= 0xBF) & (_byte != 0x97) & (_byte != 0xB7)
 _LATIN_CAPITAL = _LATIN_TAIL & (_byte <= 0x9E)
-_CLOSING = np.isin(_byte, np.frombuffer(b".,:;!?", np.uint8))
+_SYMBOL = (_byte > 0x20) & (_byte < 0x7F) & ~_ASCII_LETTER & ~((_byte >= 0x30) & (_byte <= 0x39))
 _LOWER = np.where(_ASCII_LETTER, _byte | 32, _byte).astype(np.uint8)
 
 
@@ -214,25 +227,32 @@ class _Encoder:
 
     This file's tokenizer replaces white space by one space, drops it, and joins nothing across it, so such a stretch has the
     same ids anywhere. Stretches of letters of ASCII and Latin-1, which no normalisation changes but lower-casing, are one
-    piece each and are asked many in a call, in lower case and without a closing mark, which is a piece of its own.
-    Everything else is asked as it stands."""
+    piece each and are asked many in a call, in lower case and without the symbols that close them, which are a piece of
+    their own. Everything else is asked as it stands."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a piece
         self.ends[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-        self.closing = np.zeros(256, np.uint32)
-        for b in np.flatnonzero(_CLOSING).tolist():
-            (self.closing[b],) = self._ids([chr(b)])[0].ids
         self._forget()
 
     def _ids(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _forget(self) -> None:
-        self.row: dict[bytes, int] = {}
-        self.start, self.length, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.row: dict[bytes, int] = {b"": 0}
+        self.start, self.length, self.ids = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _rows(self, found: pa.DictionaryArray, plain: np.ndarray) -> np.ndarray:
+        """Row of each stretch; those not known yet are learnt. ``plain``: whether it is letters only."""
+        distinct, which = found.dictionary.to_pylist(), found.indices.to_numpy()
+        kind = np.zeros(len(distinct), bool)
+        kind[which] = plain
+        new = [(w, k) for w, k in zip(distinct, kind.tolist(), strict=True) if w not in self.row]
+        if new:
+            self._learn([w for w, k in new if k], [w for w, k in new if not k])
+        return np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[which]
 
     def _learn(self, pieces: list[bytes], others: list[bytes]) -> None:
         words, ids, lengths = [], [], []
@@ -272,34 +292,41 @@ class _Encoder:
         lower[tail & _LATIN_CAPITAL[data]] += 32
         odd = np.zeros(len(data) + 1, np.int32)
         np.cumsum(~letter, out=odd[1:])
+        symbols = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(_SYMBOL[data], out=symbols[1:])
         n_odd = odd[ends] - odd[starts]
-        closed = (n_odd == 1) & _CLOSING[data[ends - 1]] & (ends - starts > 1)
-        plain = n_odd == closed
-        # stretches without their closing marks, as an Arrow array
-        word[ends[closed] - 1] = False
-        size = ends - starts - closed
-        raw = np.where(np.repeat(plain, size), lower[word], data[word])
-        found = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())]).dictionary_encode()
-        distinct, which = found.dictionary.to_pylist(), found.indices.to_numpy()
-        kind = np.zeros(len(distinct), bool)
-        kind[which] = plain
+        # letters, then only symbols
+        plain = (n_odd < ends - starts) & (symbols[ends] - symbols[ends - n_odd] == n_odd)
+        closing = np.where(plain, n_odd, 0)
+        del before, after, tail, letter, odd, symbols  # long texts make these large
         if len(self.row) > _KNOWN:
             self._forget()
-        new = [(w, k) for w, k in zip(distinct, kind.tolist(), strict=True) if w not in self.row]
-        if new:
-            self._learn([w for w, k in new if k], [w for w, k in new if not k])
-        row = np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[which]
-        # gather: each stretch's ids, then its closing mark
+        # a stretch is two runs of ids: without its closing symbols, and these
+        middle = ends - closing
+        inside = _inside(len(data), starts, middle)
+        head = np.where(np.repeat(plain, middle - starts), lower[inside], data[inside])
+        close = data[_inside(len(data), middle, ends)]
+        del lower, word, inside
+        row = np.stack([self._rows(_texts(head, middle - starts), plain), self._rows(_texts(close, closing), closing < 0)], 1).ravel()
         n = self.length[row]
-        inner = np.repeat(self.start[row] - (np.cumsum(n) - n), n)
+        total = np.cumsum(n)
+        inner = np.repeat(self.start[row] - (total - n), n)
         inner += np.arange(len(inner))
-        total = np.cumsum(n + closed)
-        out = np.empty(int(total[-1]) if len(total) else 0, np.uint32)
-        mark = np.zeros(len(out), bool)
-        mark[total[closed] - 1] = True
-        out[mark] = self.closing[data[ends[closed] - 1]]
-        out[~mark] = self.ids[inner]
-        return out, np.diff(np.r_[0, total][np.searchsorted(starts, offsets)])
+        return self.ids[inner], np.diff(np.r_[0, total[1::2]][np.searchsorted(starts, offsets)])
+
+
+def _inside(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n places lie inside of ascending stretches."""
+    turns = np.zeros(n + 1, np.int8)
+    turns[starts] += 1
+    turns[ends] -= 1
+    return np.cumsum(turns[:-1], dtype=np.int8).view(bool)
+
+
+def _texts(data: np.ndarray, lengths: np.ndarray) -> pa.DictionaryArray:
+    offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+    raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    return raw.dictionary_encode()
 
 
 @lru_cache(maxsize=2)
@@ -360,14 +387,14 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 doc = pa.array(s.doc_ids.astype(np.int64), pa.int64(), mask=s.known == 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), part, np.int32)), doc, pa.array(starts + s.before), pa.array(s.lengths.astype(np.int64)), raw], ["partition", "doc_id", "local_start", "n_tokens", "ids"])
 
-    # ids before each write task's part: a running sum over as many rows as there were tasks
+    # ids before each write task's part: a running sum over as many rows as there were tasks, so the side is small
     sums = shards.groupBy("partition").agg(F.sum("n_tokens").alias("_n"))
     earlier = sums.select("partition", (F.sum("_n").over(Window.orderBy("partition")) - F.col("_n")).alias("_base"))
-    return shards.mapInArrow(run, _DOCS).join(earlier, "partition").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return shards.mapInArrow(run, _DOCS).join(F.broadcast(earlier), "partition").select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), path, word_bpe_path())
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
