@@ -10,11 +10,14 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
-#: Rows in one Arrow batch: small, because one document may be very long.
-BATCH_ROWS = 256
+#: Bytes of one Arrow batch sent to a Python worker; a longer row is a batch of its own.
+BATCH_BYTES = "4m"
+#: A key is hot if it has more than one in so many of all rows, so that there are fewer hot keys than this.
+HOT = 1000
 
 
 def prepare(spark: SparkSession) -> None:
@@ -24,28 +27,70 @@ def prepare(spark: SparkSession) -> None:
     if _ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, _ROOT])
     env.setdefault("TOKENIZERS_PARALLELISM", "false")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of our own only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where that is unset, a local master gets a folder of its own; on a
+    cluster it is an error, because a machine's own folder is not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = checkpoint.get() if checkpoint.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
-    return found
+    return found.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, sort: list[str] | None = None) -> DataFrame:
+#: Folders of the tables that ``stored`` has written and nobody has discarded, oldest first.
+_stored: list[str] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    out = df.sortWithinPartitions(*sort) if sort else df
-    out.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    _stored.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def stored_paths() -> list[str]:
+    return list(_stored)
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
+    """Delete tables written by ``stored`` (or their paths) once everything made from them is itself stored."""
+    for t in tables:
+        path = getattr(t, "_stored_at", None) if isinstance(t, DataFrame) else t
+        if path in _stored:
+            _stored.remove(path)
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], n: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``right``, which has one row a key and in ``n`` the number of its rows in ``rows`` (left out of
+    the result); ``total`` is the number of rows in all.
+
+    A hot key would send its rows to one task. There are fewer than ``HOT`` of them, so their rows of ``right`` are broadcast,
+    and the rows that meet them are dealt evenly by a hash of themselves instead of the key."""
+    columns = [c for c in right.columns if c not in keys and c != n]
+    packed = right.select(*keys, F.struct(*columns, F.lit(True).alias("_met")).alias("_r"), n)
+    hot = packed.where(F.col(n) * HOT > total).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.col("_r").alias("_hot"))
+    met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left").drop(*(f"_hot_{k}" for k in keys))
+    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))))).otherwise(F.lit(0))
+    cold = packed.where(F.col(n) * HOT <= total).select(*keys, "_r", F.lit(0).cast("long").alias("_spread"))
+    out = met.withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left")
+    out = out.withColumn("_r", F.coalesce("_hot", "_r"))
+    if how == "inner":
+        out = out.where("_r is not null")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(F.col(f"_r.{c}").alias(c) for c in columns))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,7 +121,7 @@ def byte_column(column) -> tuple:
 
 
 def regrouped(batches, most_bytes: int, column: str = "text"):
-    """Arrow batches joined or cut so that each holds about ``most_bytes`` of text (one row at least)."""
+    """Arrow batches joined so that each holds about ``most_bytes`` of text (one batch at least)."""
     held: list[pa.RecordBatch] = []
     size = 0
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, mark = stored(edges, "components"), None
     while True:
-        edges = stored(_small_star(_large_star(edges)), "components")
+        earlier, edges = edges, stored(_small_star(_large_star(edges)), "components")
+        discard(edges.sparkSession, earlier)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
