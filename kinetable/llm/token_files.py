@@ -71,13 +71,13 @@ def _pick(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.sort(keys[chosen])
 
 
-def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple:
-    """(symbols, document of each symbol, rule lefts, rule rights): pairs within a document that occur at least
-    ``min_pairs`` times are replaced until none is left. ``base``: the first nonterminal."""
-    seq, doc = ids.astype(np.uint64), doc_of.astype(np.int32)
+def compress(ids: np.ndarray, last: np.ndarray, base: int, min_pairs: int = MIN_PAIRS) -> tuple:
+    """(symbols, which of them end a document, rule lefts, rule rights): pairs within a document that occur at least
+    ``min_pairs`` times are replaced until none is left. ``last``: ids that end a document; ``base``: the first nonterminal."""
+    seq = ids.astype(np.uint64)
     lefts, rights, n = [], [], base
     # places whose pair may be frequent: a rare pair stays rare, only places beside a replaced one have new pairs
-    live = np.r_[doc[:-1] == doc[1:], False] if len(doc) else np.zeros(0, bool)
+    live = ~last
     while len(where := np.flatnonzero(live)):
         pair = (seq[where] << np.uint64(32)) | seq[where + 1]
         # a hashed count leaves few pairs to sort
@@ -110,16 +110,17 @@ def compress(ids: np.ndarray, doc_of: np.ndarray, base: int, min_pairs: int = MI
         seq[where] = at.astype(np.uint64) + np.uint64(n)
         stays = np.ones(len(seq), bool)
         stays[where + 1] = False
-        seq, doc, live = seq[stays], doc[stays], live[stays]
+        ends = last[where + 1]
+        seq, last, live = seq[stays], last[stays], live[stays]
         where = where - np.arange(len(where))
+        last[where] = ends
         for left in (where, where[where > 0] - 1):
-            live[left] = doc[left] == doc[np.minimum(left + 1, len(doc) - 1)]
-        live[-1] = False
+            live[left] = ~last[left]
         lefts.append((rules >> np.uint64(32)).astype(np.uint32))
         rights.append((rules & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         n += len(rules)
     none = np.zeros(0, np.uint32)
-    return seq.astype(np.uint32), doc, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+    return seq.astype(np.uint32), last, np.concatenate([none, *lefts]), np.concatenate([none, *rights])
 
 
 def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, base: int) -> np.ndarray:
@@ -129,7 +130,7 @@ def expansion_lengths(lefts: np.ndarray, rights: np.ndarray, base: int) -> np.nd
     return np.array(out, np.uint32)
 
 
-def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, base: int) -> np.ndarray:
+def _open(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, base: int) -> np.ndarray:
     """Token ids of ``symbols``; each pass opens every nonterminal by one level."""
     seq = symbols.astype(np.uint32)
     while len(open_at := np.flatnonzero(seq >= base)):
@@ -142,6 +143,19 @@ def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, base: int
     return seq
 
 
+def expand(symbols: np.ndarray, lefts: np.ndarray, rights: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """Token ids of ``symbols``, from every rule's expansion once; ``lengths``: those of the expansions."""
+    used = np.unique(symbols[symbols >= base])
+    table = np.r_[np.arange(base, dtype=np.uint32), _open(used, lefts, rights, base)]
+    n = lengths[used - base].astype(np.int64)
+    start, wide = np.arange(base + len(lengths)), np.ones(base + len(lengths), np.int64)
+    start[used], wide[used] = base + np.cumsum(n) - n, n
+    n = wide[symbols]
+    at = np.repeat(start[symbols] - (np.cumsum(n) - n), n)
+    at += np.arange(len(at))
+    return table[at]
+
+
 def _planes(x: np.ndarray) -> bytes:
     """Byte planes of unsigned values under 2^32: their number, then the lowest bytes of all values, the next ones, ..."""
     n = max((int(x.max()).bit_length() + 7) // 8, 1) if len(x) else 1
@@ -151,10 +165,14 @@ def _planes(x: np.ndarray) -> bytes:
 def pack(doc_ids: list, lengths: np.ndarray, ids: np.ndarray, before: int, min_pairs: int = MIN_PAIRS) -> bytes:
     """One shard's bytes."""
     base = int(ids.max()) + 1 if len(ids) else 0
-    symbols, doc, lefts, rights = compress(ids, np.repeat(np.arange(len(lengths)), lengths), base, min_pairs)
+    last = np.zeros(len(ids), bool)
+    last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    symbols, last, lefts, rights = compress(ids, last, base, min_pairs)
+    count = np.zeros(len(lengths), np.int64)
+    count[lengths > 0] = np.diff(np.flatnonzero(last) + 1, prepend=0)
     head = np.array([len(doc_ids), len(lefts), len(symbols), base], "<u4").tobytes() + np.array([before, len(ids)], "<u8").tobytes()
     known = np.array([d is not None for d in doc_ids], np.uint32)
-    parts = [known, np.bincount(doc, minlength=len(lengths)), lengths, lefts, rights, expansion_lengths(lefts, rights, base), symbols]
+    parts = [known, count, lengths, lefts, rights, expansion_lengths(lefts, rights, base), symbols]
     return _MAGIC + head + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + b"".join(map(_planes, parts))
 
 
@@ -182,11 +200,11 @@ class Shard:
         self.lengths, self.lefts, self.rights, self.expansions, self.symbols = (take(n) for n in (docs, rules, rules, rules, symbols))
 
     def all(self) -> np.ndarray:
-        return expand(self.symbols, self.lefts, self.rights, self.base)
+        return expand(self.symbols, self.lefts, self.rights, self.expansions, self.base)
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document; no other document is decoded."""
-        return expand(self.symbols[self.index[k] : self.index[k + 1]], self.lefts, self.rights, self.base)
+        return _open(self.symbols[self.index[k] : self.index[k + 1]], self.lefts, self.rights, self.base)
 
     def span(self, start: int, n: int) -> np.ndarray:
         """Ids ``start`` to ``start + n`` of the shard: only the symbols that cover them are opened."""
@@ -196,7 +214,7 @@ class Shard:
         ends = np.cumsum(wide)
         i, j = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + n)
         cut = start - int(ends[i - 1] if i else 0)
-        return expand(self.symbols[i : j + 1], self.lefts, self.rights, self.base)[cut : cut + n]
+        return _open(self.symbols[i : j + 1], self.lefts, self.rights, self.base)[cut : cut + n]
 
 
 # --- tokens ---------------------------------------------------------------------------------------------------------
@@ -247,12 +265,15 @@ class _Encoder:
     def _rows(self, found: pa.DictionaryArray, plain: np.ndarray) -> np.ndarray:
         """Row of each stretch; those not known yet are learnt. ``plain``: whether it is letters only."""
         distinct, which = found.dictionary.to_pylist(), found.indices.to_numpy()
-        kind = np.zeros(len(distinct), bool)
-        kind[which] = plain
-        new = [(w, k) for w, k in zip(distinct, kind.tolist(), strict=True) if w not in self.row]
-        if new:
-            self._learn([w for w, k in new if k], [w for w, k in new if not k])
-        return np.fromiter(map(self.row.__getitem__, distinct), np.int64, len(distinct))[which]
+        row = np.array([self.row.get(w, -1) for w in distinct], np.int64)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            kind = np.zeros(len(distinct), bool)
+            kind[which] = plain
+            kind = kind[new]
+            row[np.r_[new[kind], new[~kind]]] = len(self.row) + np.arange(len(new))
+            self._learn([distinct[i] for i in new[kind].tolist()], [distinct[i] for i in new[~kind].tolist()])
+        return row[which]
 
     def _learn(self, pieces: list[bytes], others: list[bytes]) -> None:
         words, ids, lengths = [], [], []
