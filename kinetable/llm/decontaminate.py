@@ -1,13 +1,16 @@
 """Operator 6: benchmark decontamination by winnowing.
 
-Texts are word sequences (A-Z lower-cased). Of every 9 consecutive 5-gram hashes the smallest is kept as a fingerprint, so
-any shared span of 13 words shares a fingerprint at the same place (5 + 9 - 1 = 13). Fingerprints of documents are
-joined with those of the benchmark; each hit gives a document, an item and an alignment, and is extended in both
-directions while the words agree. Runs of 13 equal words (all words, for an item of fewer) are the occurrences of the
-item's windows. An item of fewer than 13 words has one fingerprint, the hash of all its words, looked up at every place.
+Texts are word sequences (A-Z lower-cased). In every window of 13 words (9 consecutive 5-gram hashes) the smallest 5-gram hash
+is the fingerprint, so equal windows have equal fingerprints wherever they stand (5 + 9 - 1 = 13). Fingerprints of documents
+are joined with those of the benchmark; each hit is extended to the windows that have it, which are compared whole (by a
+hash of all of their words). The words of equal windows are hit. An item of fewer than 13 words is one window, with the
+hash of all its words as fingerprint, and is looked up at every place.
+
+Work and memory grow with the words, also in periodic texts: places are marked in flat arrays, and no pairs of places are made.
 
 The benchmark is a query set: its distinct word sequences are sent to the tasks in blocks of at most ``BLOCK_BYTES`` of
-text, one pass over the same rows each, so documents are never shuffled and no task holds more than one block.
+text, so documents are never shuffled. Blocks come one after the other: a pass over the rows is stored before the next block is
+read, so that no task and not the driver holds more than one.
 
 Defined cases: a null text has no words and is never contaminated; null or empty benchmark texts have no window; repeated
 items count by distinct item_id, null item_ids don't count; repeated documents are judged one by one; empty tables
@@ -22,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, prepare, regrouped, table
+from .common import byte_column, discard, prepare, regrouped, stored, table
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
@@ -85,95 +88,98 @@ def grams(words: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def winnow(words: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, place) of the fingerprints: k-grams that are smallest in some window inside their text."""
+def _places(h: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each hash in the ascending ``wanted``, -1 if it isn't there."""
+    if not len(wanted):
+        return np.full(len(h), -1)
+    at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+    return np.where(wanted[at] == h, at, -1)
+
+
+def fingerprints(words: np.ndarray, bounds: np.ndarray, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(first places of the windows inside their text, smallest k-gram hash of each)."""
     h = grams(words, bounds, k)
     n = len(h) - window + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     least = h[:n].copy()
     for i in range(1, window):
         np.minimum(least, h[i : i + n], out=least)
-    ends = np.repeat(bounds[1:], np.diff(bounds))[:n]
-    inside = np.arange(n) + window + k - 1 <= ends
-    picked = np.zeros(len(h), bool)
-    for i in range(window):
-        picked[i : i + n] |= inside & (h[i : i + n] == least)
-    at = np.flatnonzero(picked)
-    return h[at], at
+    at = np.flatnonzero(np.arange(n) + window + k - 1 <= np.repeat(bounds[1:], np.diff(bounds))[:n])
+    return at, least[at]
+
+
+def _hash_at(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each place."""
+    total = np.zeros(len(at), np.uint64)
+    for k, p in enumerate(_powers(n)):
+        total += words[at + k] * p
+    return mix(total)
 
 
 class Block:
-    """Distinct word sequences of benchmark items, with their fingerprints sorted by hash."""
+    """Windows of distinct benchmark texts by their hash, with the item_ids of each text."""
 
     def __init__(self, texts: list[bytes], ids: list[list[int]]):
         self.ids = ids
-        lengths = np.array([len(t) for t in texts], np.int64)
-        words, bounds = word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum(lengths)])
-        self.words, self.bounds = words, bounds
+        words, bounds = word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
         n = np.diff(bounds)
         owner = np.repeat(np.arange(len(n)), n)
-        long = n >= SPAN
-        h, at = winnow(words, bounds)
-        self.tables = {0: self._sorted(h, at, owner)}
-        for m in sorted(set(n[(n > 0) & ~long].tolist())):
+        at, least = fingerprints(words, bounds)
+        self.fingerprints = np.unique(least)
+        #: By window length: ascending hashes, where the owners of each begin, and the owners (numbers of texts).
+        self.windows = {SPAN: self._sorted(_hash_at(words, at, SPAN), owner[at])} if len(at) else {}
+        for m in np.unique(n[(n > 0) & (n < SPAN)]).tolist():
             at = bounds[:-1][n == m]
-            self.tables[m] = self._sorted(grams(words, bounds, m)[at], at, owner)
-
-    def _sorted(self, h, at, owner):
-        order = np.argsort(h, kind="stable")
-        return h[order], owner[at[order]], (at - self.bounds[owner[at]])[order]
-
-    def alignments(self, words: np.ndarray, bounds: np.ndarray, doc_of: np.ndarray) -> np.ndarray:
-        """Distinct (document, item, place of the item's first word) of all fingerprint hits."""
-        found = []
-        for m, (h, item, place) in self.tables.items():
-            if not len(h):
-                continue
-            if m:
-                dh = grams(words, bounds, m)
-                at = np.arange(len(dh))
+            self.windows[m] = self._sorted(_hash_at(words, at, m), owner[at])
+
+    @staticmethod
+    def _sorted(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        return h[first], np.r_[first, len(h)], owner
+
+    def occurrences(self, words: np.ndarray, bounds: np.ndarray):
+        """(window length, places, numbers of the equal windows) of concatenated documents."""
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        for m, (h, _, _) in self.windows.items():
+            if m == SPAN:
+                at, least = fingerprints(words, bounds)
+                # neighbouring windows share their fingerprint mostly
+                turn = np.flatnonzero(np.r_[True, least[1:] != least[:-1]]) if len(least) else np.zeros(0, np.int64)
+                met = _places(least[turn], self.fingerprints) >= 0
+                at = at[np.repeat(met, np.diff(np.r_[turn, len(least)]))]
             else:
-                dh, at = winnow(words, bounds)
-            low, high = np.searchsorted(h, dh, "left"), np.searchsorted(h, dh, "right")
-            n = np.where(dh == _NONE, 0, high - low)
-            some = np.flatnonzero(n)
-            n = n[some]
-            e = np.repeat(low[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            p = np.repeat(at[some], n)
-            found.append(np.stack([doc_of[p], item[e], p - place[e]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def extend(self, words: np.ndarray, lo: int, hi: int, item: int, start: int) -> list[tuple[int, int]]:
-        """Word places [a, b) of the document words[lo:hi] inside occurrences of the item's windows at this alignment."""
-        i0, i1 = int(self.bounds[item]), int(self.bounds[item + 1])
-        a, b = max(start, lo), min(start + i1 - i0, hi)
-        same = np.r_[False, words[a:b] == self.words[i0 + a - start : i0 + b - start], False]
-        edge = np.flatnonzero(same[1:] != same[:-1])
-        least = min(SPAN, i1 - i0)
-        return [(a + int(x), a + int(y)) for x, y in zip(edge[::2], edge[1::2], strict=True) if y - x >= least]
-
-
-def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+                at = np.flatnonzero(np.arange(len(words)) + m <= ends)
+            number = _places(_hash_at(words, at, m), h)
+            yield m, at[number >= 0], number[number >= 0]
+
+    def owners(self, m: int, doc: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (document, text) of equal windows."""
+        _, first, owner = self.windows[m]
+        pairs = np.unique(doc.astype(np.int64) * len(first) + number)
+        doc, number = pairs // len(first), pairs % len(first)
+        n = first[number + 1] - first[number]
+        text = owner[np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.unique(np.repeat(doc, n) * len(self.ids) + text)
+        return both // len(self.ids), both % len(self.ids)
 
 
 def _blocks(benchmark: DataFrame, block_bytes: int):
-    """Blocks of the benchmark's distinct texts; their number is set by the measured size of the table."""
+    """(block of the benchmark's distinct texts, whether it is the last); their number is set by the measured size of the table."""
     items = benchmark.select(F.col("item_id"), F.col("text").alias("t")).where("item_id is not null and t is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
     n = -(-size // block_bytes)
     texts = items.groupBy("t").agg(F.collect_set("item_id").alias("ids"))
     for k in range(n):
         rows = texts.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k).collect()
-        if rows:
-            yield Block([r.t.encode("utf-8", "surrogatepass") for r in rows], [sorted(r.ids) for r in rows])
+        yield Block([r.t.encode("utf-8", "surrogatepass") for r in rows], [sorted(r.ids) for r in rows]), k == n - 1
+    if not n:
+        yield Block([], []), True  # the words are counted at least
 
 
 _HITS = "array<struct<start:int,end:int>>"
@@ -189,17 +195,29 @@ def _scan(packed: DataFrame, text_col: str, block: Block) -> DataFrame:
         block = sent.value
         for part in regrouped(batches, _BATCH_BYTES, "_row"):
             row = part.column("_row").combine_chunks()
-            texts = pc.fill_null(pc.struct_field(row, text_col), "")
-            words, bounds = word_hashes(*byte_column(texts))
-            n = np.diff(bounds)
-            hits, items = part.column("hits").to_pylist(), part.column("item_ids").to_pylist()
-            for doc, item, start in block.alignments(words, bounds, np.repeat(np.arange(len(n)), n)).tolist():
-                lo = int(bounds[doc])
-                if spans := block.extend(words, lo, int(bounds[doc + 1]), item, start):
-                    old = [(h["start"], h["end"]) for h in hits[doc]]
-                    hits[doc] = [{"start": a, "end": b} for a, b in _union([*old, *((a - lo, b - lo) for a, b in spans)])]
-                    items[doc] = list({*items[doc], *block.ids[item]})
-            out = pa.table([part.column("_row"), pa.array(n.astype(np.int64)), pa.array(hits, hit_type), pa.array([sorted(x) for x in items], pa.list_(pa.int64()))], ["_row", "n_words", "hits", "item_ids"])
+            words, bounds = word_hashes(*byte_column(pc.fill_null(pc.struct_field(row, text_col), "")))
+            # +1 where a hit begins and -1 where it ends: first those of earlier blocks
+            old, olds = part.column("hits").combine_chunks(), bounds[:-1]
+            base = np.repeat(olds, pc.list_value_length(old).to_numpy())
+            spans = [(base + old.flatten().field(0).to_numpy(), base + old.flatten().field(1).to_numpy())]
+            doc_of = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+            items = dict(enumerate(part.column("item_ids").to_pylist()))
+            for m, at, number in block.occurrences(words, bounds):
+                spans.append((at, at + m))
+                for d, t in zip(*(x.tolist() for x in block.owners(m, doc_of[at], number)), strict=True):
+                    items[d] = items[d] + block.ids[t]
+            turns = np.zeros(len(words) + 1, np.int64)
+            for a, z in spans:
+                turns += np.bincount(a, minlength=len(turns)) - np.bincount(z, minlength=len(turns))
+            hit = np.cumsum(turns[:-1]) > 0
+            # runs of hit words, cut at the texts' ends
+            edge = np.zeros(len(words) + 1, bool)
+            edge[bounds] = True
+            starts = np.flatnonzero(hit & (edge[:-1] | ~np.r_[False, hit[:-1]])) if len(hit) else np.zeros(0, np.int64)
+            ends = np.flatnonzero(hit & (edge[1:] | ~np.r_[hit[1:], False])) + 1 if len(hit) else starts
+            runs = pa.StructArray.from_arrays([pa.array((x - bounds[doc_of[starts]]).astype(np.int32)) for x in (starts, ends)], ["start", "end"])
+            hits = pa.ListArray.from_arrays(pa.array(np.searchsorted(starts, bounds).astype(np.int32)), runs)
+            out = pa.table([part.column("_row"), pa.array(np.diff(bounds).astype(np.int64)), hits.cast(hit_type), pa.array([sorted(set(x)) for x in items.values()], pa.list_(pa.int64()))], ["_row", "n_words", "hits", "item_ids"])
             yield from out.to_batches()
 
     return packed.mapInArrow(run, schema)
@@ -207,13 +225,17 @@ def _scan(packed: DataFrame, text_col: str, block: Block) -> DataFrame:
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> DataFrame:
     """_row, n_words, hits (word places) and item_ids of every row of ``docs``."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     empty = [F.lit(0).cast("long").alias("n_words"), F.array().cast(_HITS).alias("hits"), F.array().cast("array<long>").alias("item_ids")]
-    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *empty)
-    none = True
-    for block in _blocks(benchmark, block_bytes):
-        out, none = _scan(out, "text", block), False
-    return _scan(out, "text", Block([], [])) if none else out  # the words are counted at least
+    out, earlier = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *empty), None
+    for block, last in _blocks(benchmark, block_bytes):
+        out = _scan(out, "text", block)
+        if not last:
+            out = stored(out, "decontaminate-block")
+            discard(spark, earlier)
+            earlier = out
+    return out
 
 
 def _judged(scanned: DataFrame) -> DataFrame:
