@@ -6,8 +6,8 @@ task merges its sorted urls with the sorted rule intervals in one sweep and keep
 active. Of the rules on the stack whose path the url's path starts with, the longest (host + path) wins.
 
 A hot host is spread over tasks, because path and row id follow the host in the sort order. The rules are a Python
-list on the driver; they are sent in blocks of at most ``RULES_PER_BLOCK``, and more blocks are more sweeps over the same
-sorted rows, so that no task holds more than one block.
+list on the driver; they are sent in blocks of at most ``RULES_PER_BLOCK``. More blocks are more sweeps, each of which is
+stored before the next one sorts the rows again, so that no task holds more than one block.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and matches no rule; equal urls are judged
 alike; two rules of equal length that both fit: the greater rule string wins, a repeated rule counts once and its first
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, table
+from .common import discard, prepare, stored, table
 
 RULES_PER_BLOCK = 100_000
 #: Verdict of a url that no rule fits.
@@ -86,11 +86,12 @@ def url_filter(df: DataFrame, rules=RULES, url_col: str = "url", default: str =
     keyed = parted.withColumn("_key", F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(labels, "\x01"), F.lit("\x01"))))
     keyed = keyed.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in kept if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed.repartitionByRange(n, "_key", "path", "_tie").sortWithinPartitions("_key", "path", "_tie")
-    out = ordered.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
+    out = keyed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(None).cast("string")})
     names = out.columns
     intervals = _intervals(rules)
-    for block in [intervals[i : i + rules_per_block] for i in range(0, len(intervals), rules_per_block)]:
+    earlier = None
+    for i in range(0, len(intervals), rules_per_block):
+        block = intervals[i : i + rules_per_block]
 
         def run(batches, block=block):
             at, stack = 0, []
@@ -103,7 +104,11 @@ def url_filter(df: DataFrame, rules=RULES, url_col: str = "url", default: str =
                 cols = {**{c: batch.column(k) for k, c in enumerate(names)}, "rule": pa.array(new_rules, pa.string()), "verdict": pa.array(verdicts, pa.string())}
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names)
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.repartitionByRange(n, "_key", "path", "_tie").sortWithinPartitions("_key", "path", "_tie").mapInArrow(run, out.schema)
+        if i + rules_per_block < len(intervals):
+            out = stored(out, "url-rules")
+            discard(spark, earlier)
+            earlier = out
     return out.select(*(F.col(f"`{c}`") for c in kept), "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
