@@ -4,18 +4,20 @@ A text is the multiset of its 5-word shingles (words as in ``decontaminate``). I
 shingle a Poisson process runs over (time, weight) and drops its events into registers at random; only events below the
 shingle's count belong to it, and a register keeps the first. The weight axis is discretised in dyadic blocks [0,1), [1,2),
 [2,4), ..., each with a process of its own, so a count adds blocks and a partial block is thinned by the event's place in
-it: two registers agree with probability Σmin/Σmax exactly. Events after the time at which all registers are expected to be
-filled are never made; a text whose registers aren't full by then runs on for twice the time.
+it: two registers agree with probability Σmin/Σmax exactly. (So the hierarchy is one of blocks, not of one process split down a
+tree.) Events after the time at which all registers are expected to be filled are never made; a text whose registers aren't
+full by then is run again with twice the time.
 
-Signatures are cut into bands. Texts with equal multisets are one node. In each bucket all nodes are linked to one leader
-(another choice in each band), and the links are verified on the multisets (Σmin/Σmax >= 0.8) and joined to components.
-That needs no pairs inside a bucket; links it may have missed can only be between nodes of one bucket that are still in
-different components. Those nodes are compared block by block inside small tasks, which return only links, so no
-candidate link is lost. (One leader is the bucket's most popular node, the other is chosen at random.)
+Signatures are cut into bands. Texts with equal multisets are one node. In each bucket all nodes are linked to two leaders
+(the most popular node and one by chance, other ones in each band), and the links are verified on the multisets
+(Σmin/Σmax >= 0.8) and joined to components. Links it may have missed can only be between nodes of one bucket in different
+components. So the nodes outside of a bucket's largest component are compared with all of its nodes, block by block
+inside small tasks, which return only links, and no candidate link is lost. That work is linear in the copies of one text;
+it grows with the square only of nodes of one bucket that are unlike each other.
 
 Defined cases: texts without words (null, empty) are one class; a text of 1 to 4 words has one shingle of all of them; rows that
-share an id are told apart by their text, and the least id of a class is its class_id; a null id is the id -1; an empty
-table gives an empty result. ``near_dedup`` keeps all columns, whatever their names (those inside start with _nd_).
+share an id are told apart by their text, and the least id of a class is its class_id (null only if no row of it has an id);
+an empty table gives an empty result. ``near_dedup`` keeps all columns, whatever their names (those inside start with _nd_).
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, prepare, regrouped, stored, table
+from .common import byte_column, discard, prepare, regrouped, spread_join, stored, table
 from .components import components
 from .decontaminate import grams, mix, word_hashes
 
@@ -37,7 +39,8 @@ _SLACK = 4.0
 #: Nodes of a block when the nodes of a bucket are compared with each other.
 BLOCK = 128
 _BATCH_BYTES = 2 << 20
-_KEY = ["d", "h"]
+#: A row: its id is null, id (or -1), hash of the text.
+_KEY = ["z", "d", "h"]
 _U = np.uint64
 
 
@@ -119,12 +122,16 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
+def _key_columns() -> list[Column]:
+    return [F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(-1)), F.xxhash64("text")]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("d"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(*(c.alias(k) for c, k in zip(_key_columns(), _KEY, strict=True)), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _signed(keyed: DataFrame) -> DataFrame:
-    """(d, h, node binary(16) naming the multiset, size, bands) of every text."""
+    """(z, d, h, node binary(16) naming the multiset, size, bands) of every text."""
 
     def run(batches):
         for part in regrouped(batches, _BATCH_BYTES):
@@ -140,9 +147,9 @@ def _signed(keyed: DataFrame) -> DataFrame:
             raw = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1, dtype=np.int32) * 16).tobytes()), pa.py_buffer(node.tobytes())])
             some = np.where(size > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some)].astype(np.int32)), pa.array(keys[size > 0].ravel()))
-            yield from pa.table([part.column("d"), part.column("h"), raw, pa.array(size.astype(np.int64)), lists], ["d", "h", "node", "size", "bands"]).to_batches()
+            yield from pa.table([*(part.column(k) for k in _KEY), raw, pa.array(size.astype(np.int64)), lists], [*_KEY, "node", "size", "bands"]).to_batches()
 
-    return keyed.mapInArrow(run, "d long, h long, node binary, size long, bands array<long>")
+    return keyed.mapInArrow(run, "z boolean, d long, h long, node binary, size long, bands array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -171,14 +178,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 
 def _compared(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between nodes of one group (b, node, root, n) with different roots.
+    """Links (a, b) between nodes of one group (b, node, root) with different roots, of which one at least is outside of the
+    group's largest component ``top``, which has all of its ``n`` nodes but ``others``.
 
-    A group is cut into blocks of about ``BLOCK`` nodes; each pair of blocks is one small task of its own, and only links
+    Both sides are cut into blocks of about ``BLOCK`` nodes; each pair of blocks is one small task of its own, and only links
     leave it. Multisets become sets of (shingle, occurrence), so all overlaps of two blocks are one matrix product."""
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node", F.lit("block")), blocks).cast("int")
-    rows = placed.select("b", "node", "root", mine.alias("k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("m"))
-    rows = rows.select("b", "node", "root", "k", F.least("k", "m").alias("i"), F.greatest("k", "m").alias("j")).join(texts, "node")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), blocks(n)).cast("int")
+    all_of = lambda n: F.sequence(F.lit(0), blocks(n) - 1)
+    rows = placed.join(texts, "node")
+    left = rows.where("root <> top").select("b", "node", "root", "text", F.lit(True).alias("outside"), block("others").alias("i"), F.explode(all_of("n")).alias("j"))
+    right = rows.select("b", "node", "root", "text", F.lit(False).alias("outside"), F.explode(all_of("others")).alias("i"), block("n").alias("j"))
+    rows = left.unionByName(right)
 
     def compare(part: pa.Table) -> pa.Table:
         n = part.num_rows
@@ -201,9 +212,8 @@ def _compared(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFra
             overlap += m @ m.T
         alike = overlap >= similarity * (size[:, None] + size[None, :] - overlap) - 1e-6
         root = np.unique(np.array(part.column("root").to_pylist(), object), return_inverse=True)[1] if n else np.zeros(0, int)
-        k = part.column("k").to_numpy()
-        i, j = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        alike &= (root[:, None] != root[None, :]) & ((k[:, None] == i) & (k[None, :] == j))
+        outside = part.column("outside").to_numpy()
+        alike &= (root[:, None] != root[None, :]) & (outside[:, None] & ~outside[None, :])
         x, y = np.nonzero(alike)
         node = part.column("node")
         return pa.table([node.take(pa.array(x)), node.take(pa.array(y))], ["a", "b"])
@@ -212,44 +222,55 @@ def _compared(placed: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """((d, h, node, class_id, class_h) of every text, verified links (a, b) between nodes)."""
-    prepare(docs.sparkSession)
+    """((z, d, h, node, class_id, class_h) of every text, verified links (a, b) between nodes)."""
+    spark = docs.sparkSession
+    prepare(spark)
     keyed = _keyed(docs)
     signed = stored(_signed(keyed), "near-signatures")
-    nodes = signed.groupBy("node").agg(F.min(F.struct(*_KEY)).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = signed.groupBy("node").agg(F.min(F.struct(*_KEY)).alias("at"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = stored(nodes, "near-nodes")
     members = nodes.select("node", "size", F.explode("bands").alias("key"))
+    total = BANDS * nodes.count()
 
     # two leaders a bucket: the node that shares most buckets (the centre of a group of copies), and one by chance
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    in_bucket = stored(members.join(sizes, "key"), "near-buckets")
-    popular = in_bucket.groupBy("node").agg(F.sum("n").alias("p"))
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("w", F.col("n")), "near-sizes")
+    in_bucket = stored(spread_join(members, sizes, ["key"], "n", total), "near-buckets")
+    popular = in_bucket.groupBy("node").agg(F.sum("w").alias("p"))
     rank = lambda *first: F.max(F.struct(*first, F.xxhash64("node", "key").alias("r"), F.col("node").alias("b"), F.col("size").alias("s")))
-    leaders = in_bucket.join(popular, "node").groupBy("key").agg(F.array(rank("p").dropFields("p"), rank()).alias("leaders"))
-    led = stored(in_bucket.join(leaders, "key").select("node", "size", F.posexplode("leaders").alias("which", "l")).select("node", "size", "which", "l.b", "l.s").distinct(), "near-led")
+    leaders = in_bucket.join(popular, "node").groupBy("key").agg(F.first("w").alias("n"), F.array(rank("p").dropFields("p"), rank()).alias("leaders"))
+    leaders = stored(leaders, "near-leaders")
+    led = spread_join(in_bucket, leaders, ["key"], "n", total).select("node", "size", F.posexplode("leaders").alias("which", "l"))
+    led = stored(led.select("node", "size", "which", "l.b", "l.s").distinct(), "near-led")
     groups = led.where("which = 0").select("b", "node")  # nodes that share a bucket share its popular leader
-    led = led.where((F.col("node") != F.col("b")) & _fits("size", "s", similarity)).select(F.col("node").alias("a"), "b")
-    pairs = stored(led.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    pairs = led.where((F.col("node") != F.col("b")) & _fits("size", "s", similarity)).select(F.col("node").alias("a"), "b")
+    pairs = stored(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
 
     # the text of each node that shares a bucket, from one of its documents
-    wanted = in_bucket.select("node").distinct().join(nodes.select("node", "at.d", "at.h"), "node")
+    wanted = in_bucket.select("node").distinct().join(nodes.select("node", *(f"at.{k}" for k in _KEY)), "node")
     one_each = keyed.join(wanted, _KEY).select("node", "text").dropDuplicates(["node"])
     texts = stored(one_each, "near-texts")
+    discard(spark, sizes, in_bucket, leaders)
     links = stored(_verified(pairs, texts, similarity), "near-links")
     roots = components(links)
 
     # nodes of one bucket that are in different components have not been compared with each other yet
-    placed = groups.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("root"))
-    split = placed.groupBy("b").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y").select("b", "n")
-    rest = _compared(placed.join(split, "b"), texts, similarity)
-    links = stored(links.unionByName(rest), "near-links")
-    roots = components(links)
-
-    rooted = nodes.select("node", "at").join(roots, "node", "left").select("node", "at", F.coalesce("root", "node").alias("root"))
+    placed = stored(groups.join(roots, "node", "left").select("b", "node", F.coalesce("root", "node").alias("root")), "near-placed")
+    parts = placed.groupBy("b", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("b").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top"))
+    parts = parts.where("n > top.c").select("b", "n", F.col("n").alias("_n"), (F.col("n") - F.col("top.c")).alias("others"), F.col("top.root").alias("top"))
+    parts = stored(parts, "near-parts")
+    rest = spread_join(placed, parts, ["b"], "_n", placed.count())
+    both = stored(links.unionByName(_compared(rest, texts, similarity)), "near-links")
+    discard(spark, led, pairs, texts, placed, parts, links, roots)
+    roots = components(both)
+
+    rooted = nodes.select("node", "at", "copies").join(roots, "node", "left").select("node", "at", "copies", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "near-roots")
-    heads = rooted.groupBy("root").agg(F.min("at").alias("head"))
-    classes = rooted.join(heads, "root").select("node", F.col("head.d").alias("class_id"), F.col("head.h").alias("class_h"))
-    return signed.select(*_KEY, "node").join(classes, "node").select(*_KEY, "node", "class_id", "class_h"), links
+    heads = rooted.groupBy("root").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n"))
+    classes = spread_join(rooted, heads, ["root"], "n", rooted.count()).select("node", "copies", *(F.col(f"head.{k}").alias(f"class_{k}") for k in _KEY))
+    classes = stored(classes, "near-classes")
+    discard(spark, nodes, roots, rooted)
+    out = spread_join(signed.select(*_KEY, "node"), classes, ["node"], "copies", signed.count())
+    return out.withColumn("class_id", F.when(~F.col("class_z"), F.col("class_d"))), both
 
 
 def _fits(a: str, b: str, similarity: float) -> Column:
@@ -258,17 +279,18 @@ def _fits(a: str, b: str, similarity: float) -> Column:
 
 
 def near_dedup(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """One row of ``docs`` for each class: that with the least id (null as -1), then the least hash of the text."""
+    """One row of ``docs`` for each class: that with the least id (a null last), then the least hash of the text."""
     classes, _ = near_duplicates(docs.select("doc_id", "text"), similarity)
-    heads = classes.where("d = class_id and h = class_h").select(F.col("d").alias("_nd_d"), F.col("h").alias("_nd_h")).distinct()
-    rows = docs.withColumns({"_nd_d": F.coalesce("doc_id", F.lit(-1)), "_nd_h": F.xxhash64("text")})
-    kept = rows.join(heads, ["_nd_d", "_nd_h"], "left_semi").dropDuplicates(["_nd_d", "_nd_h"])
+    own = [f"_nd_{k}" for k in _KEY]
+    heads = classes.where(" and ".join(f"{k} = class_{k}" for k in _KEY)).select(*(F.col(k).alias(o) for k, o in zip(_KEY, own, strict=True))).distinct()
+    rows = docs.withColumns(dict(zip(own, _key_columns(), strict=True)))
+    kept = rows.join(heads, own, "left_semi").dropDuplicates(own)
     return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     classes, _ = near_duplicates(table(spark, sf_dir, "documents"))
-    return classes.select(F.col("d").alias("doc_id"), "class_id", (F.col("d") == F.col("class_id")).alias("kept"))
+    return classes.select(F.when(~F.col("z"), F.col("d")).alias("doc_id"), "class_id", F.col("d").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 QUERIES = {"op1_near_dedup": op1_near_dedup}
