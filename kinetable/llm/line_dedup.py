@@ -1,20 +1,21 @@
 """Operator 3: line dedup by a log-template tree, with DataFrame functions only.
 
-Lines are parsed to a fixed depth: count of the tokens between spaces (or tabs, carriage returns, form feeds), then the leading ``DEPTH`` tokens, tokens with a digit
-standing for a field (``<*>``). In a leaf that occurs in at least ``MIN_DOCS`` documents, a later position whose most frequent token covers more
-than half of the leaf's lines is constant and any other position a variable field; a line follows the leaf's template if
-at least ``SIMILAR`` tenths of its later tokens are the constants. A line that doesn't, but recurs itself, is a template of
-its own. A template that recurs in ``MIN_DOCS`` documents is dropped from all of them but the first (lowest id).
+Lines are parsed to a fixed depth: count of the tokens between spaces (or tabs, carriage returns, form feeds), then the leading
+``DEPTH`` tokens, tokens with a digit standing for a field (``<*>``). In a leaf that occurs in at least ``MIN_DOCS`` documents, a
+later position whose most frequent token covers more than half of the leaf's lines is constant and any other position a
+variable field; a line follows the leaf's template if at least ``SIMILAR`` tenths of its later tokens are the constants. A line
+that doesn't, but recurs itself, is a template of its own. A template
+that recurs in ``MIN_DOCS`` documents is dropped from all of them but the first (lowest id).
 Besides, a line whose tokens are exactly the same, digits too, in ``EXACT_DOCS`` documents is dropped from all but the first:
 only what is generalised needs a third document. A template's first line is also the first of its exact copies, so one stays.
 
-Lines under ``MIN_TOKENS`` tokens take no part in the tree, where they would be all prefix, but in the exact rule, if they
-have ``SHORT`` tokens or ``SHORT`` letters of scripts written without spaces (``UNSPACED``), whose lines are one token.
+Lines under ``MIN_TOKENS`` tokens, which would be all prefix in the tree, and lines of scripts without spaces, which are one
+token, recur by the exact rule only.
 
-Copies are merged to one row per distinct line before its tokens are counted, and every grouping has a partial step, so a
-line in a third of all documents costs one row a task.
+Copies are merged to one row per distinct line before its tokens are counted, every grouping has a partial step, and the
+rows of a hot line or leaf are spread over the tasks when they meet what was counted.
 
-Defined cases: a null text stays null; blank lines and lines of one or two words are kept; a repeated line of one
+Defined cases: a null text stays null; blank lines are kept, all others count, however short; a repeated line of one
 document counts as one document; rows that share an id are one document for counting and are cut each by its own text;
 a null id counts as the id -1; an empty table gives an empty result. All columns are kept; extra columns may have
 any name (those used inside start with ``_ld_``).
@@ -25,13 +26,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, stored, table
+from .common import discard, prepare, spread_join, stored, table
 
 DEPTH = 3
+#: Tokens of a line from which on it is generalised.
 MIN_TOKENS = 4
-SHORT = 3
-#: Thai, Lao, Tibetan, Burmese, Khmer, Kana and Han, as ranges of a character class.
-UNSPACED = r"\x{0E00}-\x{0FFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{31F0}-\x{31FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{3FFFF}"
 MIN_DOCS = 3
 EXACT_DOCS = 2
 SIMILAR = 6
@@ -47,8 +46,7 @@ def _lines(docs: DataFrame) -> DataFrame:
     lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
     tokens = F.filter(F.split("raw", " "), lambda t: t != "")
     masked = F.when(F.col("raw").rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))).otherwise(tokens)
-    parsed = lines.select("d", "h", "line_no", "raw", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens"))
-    parsed = parsed.where((F.size("tokens") >= SHORT) | (F.length(F.regexp_replace("raw", f"[^{UNSPACED}]", "")) >= SHORT))
+    parsed = lines.select("d", "h", "line_no", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens")).where(F.size("tokens") > 0)
     line = F.array_join("tokens", " ")
     tree = {"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "lid": F.xxhash64(line), "line": line}
     leaf, lid, line = (F.when(F.size("tokens") >= MIN_TOKENS, c).alias(name) for name, c in tree.items())
@@ -56,42 +54,54 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _classes(lines: DataFrame) -> DataFrame:
-    """(leaf, lid, template): the template of every line that has one: its leaf's, or the line's own."""
+    """(leaf, lid, template, n): the template of every line that has one, its leaf's or the line's own, and the line's copies."""
     distinct = stored(lines.groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("c"), F.first("line").alias("line")), "line-distinct")
     tokens = distinct.select("leaf", "lid", "c", F.posexplode(F.split("line", " ")).alias("pos", "tok")).where(F.col("pos") >= DEPTH)
-    totals = distinct.groupBy("leaf").agg(F.sum("c").alias("total"))
-    counted = tokens.groupBy("leaf", "pos", "tok").agg(F.sum("c").alias("k"))
-    constants = counted.join(totals, "leaf").where("2 * k > total").select("leaf", "pos", "tok")
-    hits = tokens.join(constants, ["leaf", "pos", "tok"]).groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("hits"))
+    leaves = distinct.groupBy("leaf").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("n"))
+    # at most one token of a place covers more than half, so a leaf has one row with the constants of its places
+    often = tokens.groupBy("leaf", "pos", "tok").agg(F.sum("c").alias("k")).groupBy("leaf", "pos").agg(F.max(F.struct("k", "tok")).alias("most"))
+    constants = often.join(leaves.select("leaf", "total"), "leaf").where("2 * most.k > total").groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "most.tok"))).alias("constant"))
+    constants = stored(leaves.join(constants, "leaf", "left"), "line-constants")
+    split = F.split("line", " ")
+    hits = F.size(F.filter(F.transform(split, lambda t, i: F.when(F.col("constant")[i] == t, 1)), lambda x: x.isNotNull()))
     docs = lines.select("leaf", "lid", "d").distinct().groupBy("leaf", "lid").agg(F.count(F.lit(1)).alias("docs"))
-    found = distinct.select("leaf", "lid", F.size(F.split("line", " ")).alias("n")).join(hits, ["leaf", "lid"], "left").join(docs, ["leaf", "lid"], "left")
-    follows = 10 * F.coalesce("hits", F.lit(0)) >= SIMILAR * (F.col("n") - DEPTH)
-    return found.where(follows | (F.col("docs") >= MIN_DOCS)).select("leaf", "lid", F.when(follows, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "lid")).alias("template"))
+    found = spread_join(distinct, constants, ["leaf"], "n", distinct.count()).select("leaf", "lid", "c", F.size(split).alias("size"), F.coalesce(hits, F.lit(0)).alias("hits"))
+    follows = 10 * F.col("hits") >= SIMILAR * (F.col("size") - DEPTH)
+    found = found.join(docs, ["leaf", "lid"]).where(follows | (F.col("docs") >= MIN_DOCS))
+    found = stored(found.select("leaf", "lid", F.when(follows, F.xxhash64("leaf")).otherwise(F.xxhash64("leaf", "lid")).alias("template"), F.col("c").alias("n")), "line-classes")
+    discard(lines.sparkSession, distinct, constants)
+    return found
 
 
 def _repeats(lines: DataFrame) -> DataFrame:
     """(d, h, line_no): lines that stand in ``EXACT_DOCS`` documents, without the first of each."""
     assert EXACT_DOCS == 2  # two documents have two ids, so that the least and the greatest tell
     at = F.struct("d", "h", "line_no")
-    often = lines.groupBy("exact").agg(F.min(at).alias("first"), F.max("d").alias("last")).where("first.d < last").select("exact", "first")
-    often = stored(often, "line-exact")
-    return lines.select("exact", "d", "h", "line_no").join(often, "exact").where(at != F.col("first")).select("d", "h", "line_no")
+    often = lines.groupBy("exact").agg(F.min(at).alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).where("first.d < last")
+    often = stored(often.select("exact", "first", "n"), "line-exact")
+    return spread_join(lines.select("exact", "d", "h", "line_no"), often, ["exact"], "n", lines.count()).where(at != F.col("first")).select("d", "h", "line_no")
 
 
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, drop array<int>): line numbers to drop from the text of hash h of the document d."""
-    lines = stored(_lines(docs), "line-parsed")
-    repeats = _repeats(lines)
-    lines = lines.where("leaf is not null").drop("exact")
-    often = lines.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
-    often = stored(often, "line-often")  # a table of its own, so that Spark can split a hot leaf of the join
-    lines = stored(lines.join(often, "leaf", "left_semi"), "line-leaves")
-    found = lines.select("d", "h", "line_no", "leaf", "lid").join(_classes(lines), ["leaf", "lid"]).select("template", "d", "h", "line_no")
+    spark = docs.sparkSession
+    parsed = stored(_lines(docs), "line-parsed")
+    repeats = _repeats(parsed)
+    parsed = parsed.where("leaf is not null").drop("exact")
+    total = parsed.count()
+    often = parsed.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
+    sizes = parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    often = stored(often.join(sizes, "leaf"), "line-often")
+    lines = stored(spread_join(parsed, often, ["leaf"], "n", total), "line-leaves")
+    classes = _classes(lines)
+    found = spread_join(lines.select("d", "h", "line_no", "leaf", "lid"), classes, ["leaf", "lid"], "n", lines.count()).select("template", "d", "h", "line_no")
     found = stored(found, "line-templates")
-    by_doc = found.groupBy("template", "d").agg(F.min(F.struct("h", "line_no")).alias("at"))
-    often = by_doc.groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "at")).alias("first")).where(F.col("docs") >= MIN_DOCS)
-    often = often.select("template", F.col("first.d").alias("_d"), F.col("first.at.h").alias("_h"), F.col("first.at.line_no").alias("_line"))
-    drop = found.join(often, "template").where("not (d = _d and h = _h and line_no = _line)").select("d", "h", "line_no").unionAll(repeats)
+    discard(spark, often, lines, classes)
+    by_doc = found.groupBy("template", "d").agg(F.min(F.struct("h", "line_no")).alias("at"), F.count(F.lit(1)).alias("n"))
+    often = by_doc.groupBy("template").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"), F.min(F.struct("d", "at")).alias("first")).where(F.col("docs") >= MIN_DOCS)
+    often = often.select("template", "n", F.col("first.d").alias("_d"), F.col("first.at.h").alias("_h"), F.col("first.at.line_no").alias("_line"))
+    often = stored(often, "line-first")
+    drop = spread_join(found, often, ["template"], "n", found.count()).where("not (d = _d and h = _h and line_no = _line)").select("d", "h", "line_no").unionAll(repeats)
     return drop.groupBy("d", "h").agg(F.collect_set("line_no").alias("drop"))
 
 
@@ -116,7 +126,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Lines of a relation docs(doc_id, text) to drop: (d, line_no).
-ORACLE_DROP = rf"""
+ORACLE_DROP = r"""
 lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM docs WHERE text IS NOT NULL)
 ), parsed AS (
   SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w, array_to_string(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), ' ') AS exact FROM lines
@@ -135,7 +145,7 @@ lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw
   FROM dl LEFT JOIN hits USING (leaf, line) WHERE 10 * coalesce(hits, 0) >= 6 * (n - 3) OR docs >= 3
 ), found AS (SELECT leaf, own, d, line_no FROM lv JOIN classes USING (leaf, line)
 ), often AS (SELECT leaf, own, min((d, line_no)) AS first FROM found GROUP BY leaf, own HAVING count(DISTINCT d) >= 3
-), copies AS (SELECT exact, d, line_no FROM parsed WHERE len(w) >= 3 OR length(regexp_replace(exact, '[^{UNSPACED}]', '', 'g')) >= 3
+), copies AS (SELECT exact, d, line_no FROM parsed WHERE len(w) > 0
 ), twice AS (SELECT exact, min((d, line_no)) AS first FROM copies GROUP BY exact HAVING count(DISTINCT d) >= 2
 ), dropped AS (
   SELECT d, line_no FROM found JOIN often USING (leaf, own) WHERE (d, line_no) <> first
