@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_column, id_text, prepare, regrouped, stored, table
+from .common import HOT, byte_column, discard, id_text, prepare, regrouped, spread_join, stored, table
 
 LENGTH = 200
 _INNER = 64
@@ -127,17 +127,32 @@ def _anchored(keyed: DataFrame) -> DataFrame:
 
 
 def _decided(rows: DataFrame) -> DataFrame:
-    """Rows with: total (weight of the inner rank's rows), go (undecided, or stands for a repeated outer rank that an
-    undecided row may equal), n (1, or 2 for a repeated outer rank), members (how many rows of the inner rank go on)."""
+    """Rows (of a stored table) with: total (weight of the inner rank's rows), go (undecided, or
+    stands for a repeated outer rank that an undecided row may equal), n (1, or 2 for a repeated outer rank), members (how
+    many rows of the inner rank go on).
+
+    Rows are dealt by inner rank. Those of a hot one take another way, over counts; a sample of the rows finds the hot ones, as
+    only the way of a row hangs on it."""
+    some = rows.where(F.pmod(F.xxhash64(*_KEY, "first"), F.lit(16)) == 0)
+    hot = stored(some.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * HOT > some.count() + HOT).select("g"), "repeat-hot")
     by_g, by_e = Window.partitionBy("g"), Window.partitionBy("g", "e")
     # dealt by g once: that also brings the rows of each (g, e) together
-    out = rows.repartition("g").withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
+    out = rows.join(F.broadcast(hot), "g", "left_anti").repartition("g").withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
     out = out.withColumns({
         "total": F.sum("n").over(by_g),
         "_open": F.max(F.col("same") == 1).over(by_g),
         "members": F.sum((F.col("_rn") == 1).cast("int")).over(by_g),
     })
-    return out.withColumn("go", F.col("_open") & (F.col("_rn") == 1)).withColumn("n", F.least("same", F.lit(2)).cast("int")).drop("same", "_rn", "_open")
+    out = out.withColumn("go", F.col("_open") & (F.col("_rn") == 1))
+
+    warm = rows.join(F.broadcast(hot), "g", "left_semi")
+    here = F.struct("doc_id", "doc_hash", "first")
+    each = warm.groupBy("g", "e").agg(F.sum("n").alias("same"), F.min(here).alias("head"), F.count(F.lit(1)).alias("c"))
+    each = stored(each, "repeat-hot-outer")
+    whole = each.groupBy("g").agg(F.sum("same").alias("total"), F.max(F.col("same") == 1).alias("_open"), F.count(F.lit(1)).alias("members"))
+    more = spread_join(warm, each, ["g", "e"], "c", warm.count()).join(F.broadcast(whole), "g").withColumn("go", F.col("_open") & (here == F.col("head")))
+    columns = [*(c for c in rows.columns if c != "n"), "total", "go", F.least("same", F.lit(2)).cast("int").alias("n"), "members"]
+    return out.select(*columns).unionByName(more.select(*columns))
 
 
 def _with_context(open_rows: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -234,7 +249,7 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
 
 def _unique_in_large(rows: DataFrame) -> DataFrame:
     """Unique strings of the other groups: 16 strings a row, then one."""
-    blocks = stored(_decided(_split(rows, _BLOCK)), "repeat-blocks")
+    blocks = stored(_decided(stored(_split(rows, _BLOCK), "repeat-split")), "repeat-blocks")
     done = blocks.where("total = 1").select(*_KEY, "first", "last")
     single = _split(blocks.where("go and total > 1").drop("e", "total", "members", "go"), 1).select(*_KEY, "g", "first", "last", "n")
     # a group is one string now: its weight is all that is asked
@@ -269,8 +284,10 @@ def remove_repeats(docs: DataFrame, small: int = SMALL) -> DataFrame:
     prepare(docs.sparkSession)
     keyed = id_text(docs).withColumn("doc_hash", F.xxhash64("doc_id", "text")).withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
     keyed = keyed.select(*_KEY, "text")
-    rows = _decided(_anchored(keyed)).where("total > 1").select(*_KEY, "first", "last", "reach", "anchor", "g", "n", "go", "members")
+    anchored = stored(_anchored(keyed), "repeat-anchored")
+    rows = _decided(anchored).where("total > 1").select(*_KEY, "first", "last", "reach", "anchor", "g", "n", "go", "members")
     rows = stored(rows, "repeat-rows")
+    discard(docs.sparkSession, anchored)
     opened = stored(_with_context(rows.where("go"), keyed), "repeat-context")
     unique = _unique_in_small(opened.where(F.col("members") <= small)).unionByName(_unique_in_large(opened.where(F.col("members") > small)))
     # per text: places where repeated strings may start, less those of unique ones
