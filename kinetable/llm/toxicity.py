@@ -6,8 +6,9 @@ word and affix features and a transition matrix is fitted to these labelled toke
 token of every whole text give the offending offsets (marginal of 0.5 or more) and, through a logistic link fitted to the
 document labels, the document's score.
 
-The model is fitted in one task on at most ``max_toxic`` + ``max_clean`` training documents, chosen by a hash of their
-id; everything else covers all documents. Only the text enters a score.
+The model is fitted in one task on at most ``max_toxic`` + ``max_clean`` training documents and at most ``max_bytes`` of their
+text, chosen by a hash of their id (whole texts: one that would pass the bound is left out with those after it); everything
+else covers all documents. Only the text enters a score.
 
 Defined cases: a null or empty text has no token and the score of such a text (low); a row without a label or with a null
 label isn't used for fitting; of repeated labels of a document the largest counts; rows with a null id are never in the
@@ -28,11 +29,12 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import id_text, prepare, regrouped, table
 
-#: Bounds of the training sample.
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+#: Bounds of the training sample: documents and bytes of text.
+MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 3000, 5000, 32 << 20
 FOLDS = 5
 #: Tokens of a training sequence.
 PIECE = 256
@@ -170,11 +172,16 @@ def fit(texts: list[str], toxic: list[int], steps: int = 40) -> dict:
         counts.append(len(fs))
     n_words = len(number)
     del number
-    names, first, feat_of = np.unique(np.frombuffer(keys, np.uint64), return_index=True, return_inverse=True)
+    raw = np.frombuffer(keys, np.uint64)
+    names = np.unique(raw)
+    feat_of = np.searchsorted(names, raw).astype(np.int32)
+    feat_length = np.zeros(len(names), np.int64)
+    feat_length[feat_of] = np.frombuffer(widths, np.uint16)
+    del raw, keys, widths
     counts = np.frombuffer(counts, np.uint16).astype(np.int64)
     bounds = np.r_[0, np.cumsum(counts)]
     word_of = np.repeat(np.arange(n_words, dtype=np.int32), counts)
-    often = _telling(feat_of, bounds, [np.unique(t) for t in tokens], toxic, np.frombuffer(widths, np.uint16)[first].astype(np.int64))
+    often = _telling(feat_of, bounds, [np.unique(t) for t in tokens], toxic, feat_length)
     bad_word = np.bincount(word_of, often[feat_of], n_words) > 0
 
     lengths = np.array([len(t) for t in tokens], np.int64)
@@ -259,7 +266,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> dict:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_bytes: int = MAX_BYTES) -> dict:
     """Model fitted to labelled documents (doc_id, text) x (doc_id, toxic) outside of the held-out fold."""
     spark = docs.sparkSession
     prepare(spark)
@@ -269,6 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = known.where("toxic = 1").orderBy(order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(order).limit(max_clean))
     # each document once, in case ids repeat: the sample's bound holds for texts too
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes)
 
     def run(batches):
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
@@ -276,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         model = fit([t or "" for _, t, _ in got], [int(y) for _, _, y in got])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.select("doc_id", "text", "toxic").repartition(1).mapInArrow(run, "model binary").collect()
+    found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").collect()
     return pickle.loads(found[0].model) if found else {"share": 0.0}
 
 
