@@ -234,10 +234,23 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids") -> DataFrame:
     return df.mapInArrow(run, _with(df.schema, [T.StructField("decoded", T.StringType())]))
 
 
+def transcode(df: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: adds ``ids``, ``n_tokens`` and ``decoded``."""
+    prepare(df.sparkSession)
+
+    def run(batches):
+        bpe = _bpe(tokenizer)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            ids = [bpe.encode(t or "") for t in texts]
+            yield _append(batch, {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "decoded": pa.array(map(bpe.decode, ids), pa.string())})
+
+    return df.mapInArrow(run, _with(df.schema, [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.StringType())]))
+
+
 def bpe_digests(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text, of every whole text."""
-    coded = encode(id_text(docs), tokenizer).select("doc_id", "n_tokens", "ids")
-    return decode(coded, tokenizer).select(
+    return transcode(id_text(docs), tokenizer).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
