@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetable.llm import bpe
-from kinetable.llm.common import id_text, stored, table
+from kinetable.llm.common import discard, id_text, stored, stored_paths, table
 from kinetable.llm.decontaminate import decontaminate
 from kinetable.llm.line_dedup import line_dedup
 from kinetable.llm.near_dedup import near_dedup
@@ -38,7 +38,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32 bit) and the digests of ids and decoded text."""
     path = bpe.word_bpe_path()
-    coded = bpe.decode(bpe.encode(id_text(docs), path).select("doc_id", "n_tokens", "ids"), path)
+    coded = bpe.transcode(id_text(docs), path)
     return coded.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -55,9 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn. Once a stage's rows are stored, the tables it was made from are deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = stored_paths()
+        source, docs = docs, stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, source, *(p for p in stored_paths()[:-1] if p not in before))
     return docs
 
 
