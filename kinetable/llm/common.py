@@ -85,7 +85,8 @@ def spread_join(rows: DataFrame, right: DataFrame, keys: list[str], n: str, tota
     hot = packed.where(F.col(n) * HOT > total).select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.col("_r").alias("_hot"))
     met = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot_{k}") for k in keys], "left").drop(*(f"_hot_{k}" for k in keys))
     spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns if not isinstance(rows.schema[c].dataType, (T.MapType, T.VariantType))))).otherwise(F.lit(0))
-    cold = packed.where(F.col(n) * HOT <= total).select(*keys, "_r", F.lit(0).cast("long").alias("_spread"))
+    # 0 for every row, but not as a constant, which would be no key to deal the rows by
+    cold = packed.where(F.col(n) * HOT <= total).select(*keys, "_r", F.least(F.lit(0).cast("long"), F.col(n).cast("long")).alias("_spread"))
     out = met.withColumn("_spread", spread).join(cold, [*keys, "_spread"], "left")
     out = out.withColumn("_r", F.coalesce("_hot", "_r"))
     if how == "inner":
