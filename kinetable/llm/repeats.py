@@ -134,10 +134,11 @@ def _decided(rows: DataFrame) -> DataFrame:
     Rows are dealt by inner rank. Those of a hot one take another way, over counts; a sample of the rows finds the hot ones, as
     only the way of a row hangs on it."""
     some = rows.where(F.pmod(F.xxhash64(*_KEY, "first"), F.lit(16)) == 0)
-    hot = stored(some.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * HOT > some.count() + HOT).select("g"), "repeat-hot")
+    hot = some.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") * HOT > some.count() + HOT).select("g")
+    is_hot = F.col("g").isin([r.g for r in hot.collect()])  # fewer than HOT numbers
     by_g, by_e = Window.partitionBy("g"), Window.partitionBy("g", "e")
     # dealt by g once: that also brings the rows of each (g, e) together
-    out = rows.join(F.broadcast(hot), "g", "left_anti").repartition("g").withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
+    out = rows.where(~is_hot).repartition("g").withColumn("same", F.sum("n").over(by_e)).withColumn("_rn", F.row_number().over(by_e.orderBy("doc_id", "doc_hash", "first")))
     out = out.withColumns({
         "total": F.sum("n").over(by_g),
         "_open": F.max(F.col("same") == 1).over(by_g),
@@ -145,7 +146,7 @@ def _decided(rows: DataFrame) -> DataFrame:
     })
     out = out.withColumn("go", F.col("_open") & (F.col("_rn") == 1))
 
-    warm = rows.join(F.broadcast(hot), "g", "left_semi")
+    warm = rows.where(is_hot)
     here = F.struct("doc_id", "doc_hash", "first")
     each = warm.groupBy("g", "e").agg(F.sum("n").alias("same"), F.min(here).alias("head"), F.count(F.lit(1)).alias("c"))
     each = stored(each, "repeat-hot-outer")
