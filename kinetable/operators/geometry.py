@@ -1,7 +1,7 @@
 """Trajectory geometry: roles, smoothing, windows and path metrics, all keyed by clip, track and window.
 
-Frames meet windows by arithmetic, never by a range join: a window's sample frames are exploded and joined on the frame,
-and a frame's windows are computed from its number.
+Frames meet windows by arithmetic on the frame's number, never by a join. A track's rows are dealt by (clip, track) once; its
+windows, their halves and all medians and paths are made from the rows of one window, which are as many as its frames.
 """
 
 from __future__ import annotations
@@ -31,116 +31,179 @@ def foot_points(detections: DataFrame) -> DataFrame:
 
 
 def ball_center(detections: DataFrame, roles: DataFrame) -> DataFrame:
-    balls = F.broadcast(roles.where("role = 'ball'").select("seq", "track"))
+    """(seq, frame, bx, by): centres of the ball's boxes."""
+    balls = roles.where("role = 'ball'").select("seq", "track")
     return detections.join(balls, ["seq", "track"]).select("seq", "frame", (F.col("x") + F.col("w") / 2).alias("bx"), (F.col("y") + F.col("h") / 2).alias("by"))
 
 
+def _spine(detections: DataFrame, half: int) -> DataFrame:
+    """Every frame from ``half`` before a track's first box to ``half`` after its last: seq, track, frame, h, fx, fy (null where
+    the box is missing) and the other columns of ``detections``, which has the clip's ``length``."""
+    order = Window.partitionBy("seq", "track").orderBy("frame")
+    before, after = F.lag("frame").over(order), F.lead("frame").over(order)
+    rows = detections.withColumns({"_a": F.when(before.isNull(), F.greatest(F.lit(1), F.col("frame") - half)).otherwise(F.col("frame")), "_b": F.coalesce(after - 1, F.least("length", F.col("frame") + half), "frame")})
+    rows = rows.withColumn("_f", F.explode(F.sequence("_a", F.greatest("_a", "_b"))))
+    here = lambda c: F.when(F.col("_f") == F.col("frame"), c)
+    rest = [c for c in detections.columns if c not in ("seq", "track", "frame", "x", "y", "w", "h")]
+    return rows.select("seq", "track", F.col("_f").alias("frame"), here(F.col("h")).alias("h"), here(F.col("x") + F.col("w") / 2).alias("fx"), here(F.col("y") + F.col("h")).alias("fy"), *rest)
+
+
+def _smoothed(detections: DataFrame, half: int) -> DataFrame:
+    near = Window.partitionBy("seq", "track").orderBy("frame").rangeBetween(-half, half)
+    return _spine(detections, half).withColumns({"sx": F.avg("fx").over(near), "sy": F.avg("fy").over(near)})
+
+
 def smooth_feet(detections: DataFrame, clips: DataFrame, half: int = HALF) -> DataFrame:
     """(seq, track, frame, sx, sy): centred mean over the frames present within ``half``, also where the box is missing."""
-    feet = foot_points(detections)
-    spine = feet.groupBy("seq", "track").agg(F.min("frame").alias("a"), F.max("frame").alias("b")).join(F.broadcast(clips.select("seq", "length")), "seq")
-    spine = spine.select("seq", "track", F.explode(F.sequence(F.greatest(F.lit(1), F.col("a") - half), F.least("length", F.col("b") + half))).alias("frame"))
-    near = Window.partitionBy("seq", "track").orderBy("frame").rangeBetween(-half, half)
-    dense = spine.join(feet, ["seq", "track", "frame"], "left")
-    return dense.select("seq", "track", "frame", F.avg("fx").over(near).alias("sx"), F.avg("fy").over(near).alias("sy")).where("sx is not null")
+    own = detections.select("seq", "track", "frame", "x", "y", "w", "h").join(clips.select("seq", "length"), "seq").repartition("seq", "track")
+    return _smoothed(own, half).select("seq", "track", "frame", "sx", "sy").where("sx is not null")
+
+
+def window_grid(clips: DataFrame, win_s: float = 2.0, hop_s: float = 1.0) -> DataFrame:
+    """(seq, fps, length, win, hop, n): frames of a clip's windows and hops, and how many windows it has; a window ends 5 frames
+    before the clip does."""
+    win, hop = F.bround(F.lit(win_s) * F.col("fps")).cast("int"), F.bround(F.lit(hop_s) * F.col("fps")).cast("int")
+    g = clips.select("seq", "fps", "length", win.alias("win"), hop.alias("hop"))
+    return g.withColumn("n", F.greatest(F.lit(0), F.floor((F.col("length") - EDGE_END - F.col("win") - EDGE_START) / F.col("hop")) + 1).cast("int"))
 
 
 def make_windows(clips: DataFrame, win_s: float = 2.0, hop_s: float = 1.0, n_frames: int = 4) -> DataFrame:
     """(seq, window_index, f0, f1, mid, frames, dur, fps): windows from frame 6 while they end 5 frames before the clip does."""
-    win, hop = F.bround(F.lit(win_s) * F.col("fps")).cast("int"), F.bround(F.lit(hop_s) * F.col("fps")).cast("int")
-    starts = clips.select("seq", "fps", win.alias("win"), hop.alias("hop"), (F.col("length") - EDGE_END).alias("hi"))
-    starts = starts.where(F.col("hi") - F.col("win") >= EDGE_START)
-    w = starts.select("seq", "fps", "win", F.posexplode(F.sequence(F.lit(EDGE_START), F.col("hi") - F.col("win"), F.col("hop"))).alias("window_index", "f0"))
+    w = window_grid(clips, win_s, hop_s).where("n > 0").withColumn("window_index", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    w = w.withColumn("f0", EDGE_START + F.col("window_index") * F.col("hop"))
     frames = F.transform(F.sequence(F.lit(0), F.lit(n_frames - 1)), lambda i: F.bround(F.col("f0") + i * F.col("win") / (n_frames - 1)).cast("int"))
     f1 = F.col("f0") + F.col("win")
     return w.select("seq", "window_index", "f0", f1.alias("f1"), F.expr("(f0 + f0 + win) div 2").alias("mid"), frames.alias("frames"), (F.col("win") / F.col("fps")).alias("dur"), "fps")
 
 
-def window_parts(windows: DataFrame) -> DataFrame:
-    """Each window as a whole and in its two halves: (seq, window_index, part, a, b, fps)."""
+def assign_frames(rows: DataFrame) -> DataFrame:
+    """Rows (frame, and win, hop, n of their clip's grid) with each ``window_index`` whose frames contain theirs, and its ``f0``."""
+    f = F.col("frame") - EDGE_START
+    first = F.greatest(F.lit(0), F.ceil((f - F.col("win")) / F.col("hop"))).cast("int")
+    last = F.least(F.col("n") - 1, F.floor(f / F.col("hop")).cast("int"))
+    out = rows.withColumns({"_first": first, "_last": last}).where("_first <= _last").withColumn("window_index", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
+    return out.withColumn("f0", EDGE_START + F.col("window_index") * F.col("hop"))
+
+
+def _player_windows(detections: DataFrame, grid: DataFrame, fields: list[str], points=None, half: int = HALF) -> DataFrame:
+    """(seq, track, window_index, fps, f0, f1, at): ``at`` holds the smoothed rows of a player's window in order of frames:
+    structs of frame, h, fx, fy and ``fields``. ``points`` adds columns to the smoothed rows. Dealt once, by (seq, track)."""
+    cols = ["seq", "track", "frame", "x", "y", "w", "h"]
+    own = detections.select(*cols).join(grid.where("n > 0"), "seq").repartition("seq", "track")
+    own = own.withColumn("_m", F.median("h").over(Window.partitionBy("seq", "track"))).where(F.col("_m") >= PLAYER_PX).drop("_m")
+    rows = _smoothed(own, half)
+    rows = assign_frames(points(rows) if points else rows)
+    g = rows.groupBy("seq", "track", "window_index", "f0", "win", "fps").agg(F.sort_array(F.collect_list(F.struct("frame", "h", "fx", "fy", *fields))).alias("at"))
+    return g.select("seq", "track", "window_index", "fps", "f0", (F.col("f0") + F.col("win")).alias("f1"), "at")
+
+
+def _parts(windows: DataFrame) -> DataFrame:
+    """Each window as a whole and in its two halves: part, a, b."""
     part = lambda n, a, b: F.struct(F.lit(n).alias("part"), F.col(a).alias("a"), F.col(b).alias("b"))
-    return windows.select("seq", "window_index", "fps", F.explode(F.array(part("full", "f0", "f1"), part("first", "f0", "mid"), part("second", "mid", "f1"))).alias("p")).select(
-        "seq", "window_index", "p.part", "p.a", "p.b", "fps"
-    )
-
-
-def assign_frames(detections: DataFrame, parts: DataFrame) -> DataFrame:
-    """Detections with each window part whose frames [a, b] contain theirs. The parts are exploded to their frames, so
-    this is an equi-join on (seq, frame)."""
-    frames = parts.select("seq", "window_index", "part", "a", "b", "fps", F.explode(F.sequence("a", "b")).alias("frame"))
-    return detections.join(frames, ["seq", "frame"])
-
-
-def box_heights(detections: DataFrame, parts: DataFrame) -> DataFrame:
-    """(seq, track, window_index, part, a, b, fps, median_h, stable): exact median height and the depth gate, the
-    medians of the first and the last 11 frames differing by 15 % at most."""
-    inside = assign_frames(detections, parts)
-    start = F.median(F.when(F.col("frame") <= F.col("a") + 10, F.col("h")))
-    end = F.median(F.when(F.col("frame") >= F.col("b") - 10, F.col("h")))
-    g = inside.groupBy("seq", "track", "window_index", "part", "a", "b", "fps").agg(F.median("h").alias("median_h"), start.alias("h0"), end.alias("h1"))
-    stable = F.when((F.col("h0") > 0) & (F.col("h1") > 0), F.abs(F.col("h1") / F.col("h0") - 1) <= STABLE).otherwise(False)
-    return g.select("seq", "track", "window_index", "part", "a", "b", "fps", "median_h", stable.alias("stable"))
-
-
-def path_lengths(points: DataFrame, tracks: DataFrame, stride: int = STRIDE, x: str = "sx", y: str = "sy") -> DataFrame:
-    """(seq, track, window_index, part, path): sum of the steps between the points at a, a+stride, ..., b; null if any is
-    missing. ``tracks``: (seq, track, window_index, part, a, b)."""
-    sample = F.array_distinct(F.concat(F.sequence(F.col("a"), F.col("b"), F.lit(stride)), F.array("b")))
-    at = tracks.select("seq", "track", "window_index", "part", F.size(sample).alias("n"), F.explode(sample).alias("frame"))
-    hit = at.join(points.select("seq", "track", "frame", F.col(x).alias("px"), F.col(y).alias("py")), ["seq", "track", "frame"])
-    order = Window.partitionBy("seq", "track", "window_index", "part").orderBy("frame")
-    step = F.sqrt(F.pow(F.col("px") - F.lag("px").over(order), 2) + F.pow(F.col("py") - F.lag("py").over(order), 2))
-    steps = hit.withColumn("step", step)
-    total = steps.groupBy("seq", "track", "window_index", "part").agg(F.sum("step").alias("s"), F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
-    return total.select("seq", "track", "window_index", "part", F.when((F.col("k") == F.col("n")) & (F.col("n") >= 2), F.col("s")).alias("path"))
-
-
-def body_metrics(detections: DataFrame, clips: DataFrame, windows: DataFrame, height_m: float = HEIGHT_M) -> DataFrame:
-    """Path and mean speed of every player, window and half in the body-height ruler; null without a stable depth.
-
-    (seq, track, window_index, part, a, b, fps, median_h, stable, path_px, path_m, speed)."""
-    players = F.broadcast(split_roles(detections).where("role = 'player'").select("seq", "track"))
-    own = detections.join(players, ["seq", "track"]).repartition("seq", "track")
-    heights = box_heights(own, window_parts(windows))
-    paths = path_lengths(smooth_feet(own, clips), heights.select("seq", "track", "window_index", "part", "a", "b"))
-    both = heights.join(paths, ["seq", "track", "window_index", "part"], "left").withColumnRenamed("path", "path_px")
-    meters = F.when(F.col("stable"), F.col("path_px") * height_m / F.col("median_h"))
-    return both.withColumn("path_m", meters).withColumn("speed", F.col("path_m") / ((F.col("b") - F.col("a")) / F.col("fps")))
+    w = windows.withColumn("mid", F.expr("(f0 + f1) div 2"))
+    w = w.withColumn("p", F.explode(F.array(part("full", "f0", "f1"), part("first", "f0", "mid"), part("second", "mid", "f1"))))
+    return w.select("seq", "track", "window_index", "fps", "at", "p.part", "p.a", "p.b")
+
+
+def _at(frame: Column) -> Column:
+    """The struct of a frame in ``at``, whose frames have no holes; null beyond its ends."""
+    return F.get("at", frame - F.element_at("at", 1)["frame"])
+
+
+def _median_h(low: Column, high: Column) -> Column:
+    """Median of the heights of the boxes in frames low to high."""
+    rows = F.filter("at", lambda r: (r["frame"] >= low) & (r["frame"] <= high) & r["h"].isNotNull())
+    h = F.array_sort(F.transform(rows, lambda r: r["h"]))
+    n = F.size(h)
+    return F.when(n > 0, (F.get(h, F.floor((n - 1) / 2).cast("int")) + F.get(h, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _path(x: str, y: str, stride: int = STRIDE) -> Column:
+    """Sum of the steps between the points at a, a+stride, ..., b; null if any is missing."""
+    frames = F.array_distinct(F.concat(F.sequence("a", "b", F.lit(stride)), F.array("b")))
+    points = F.transform(frames, _at)
+    steps = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points)), lambda p, q: F.sqrt(F.pow(q[x] - p[x], 2) + F.pow(q[y] - p[y], 2)))
+    whole = F.forall(points, lambda p: p.isNotNull() & p[x].isNotNull())
+    return F.when((F.size(frames) >= 2) & whole, F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
+
+
+def body_metrics(detections: DataFrame, clips: DataFrame, win_s: float = 2.0, hop_s: float = 1.0, height_m: float = HEIGHT_M) -> DataFrame:
+    """Path and mean speed of every player, window and half in the body-height ruler; null without a stable depth: the median
+    heights of the first and the last 11 frames differ by 15 % at most.
+
+    (seq, track, window_index, part, a, b, fps, median_h, stable, path_px, path_m, speed, foot_x, foot_y); the foot is that of
+    the box in frame b itself."""
+    w = _parts(_player_windows(detections, window_grid(clips, win_s, hop_s), ["sx", "sy"]))
+    a, b = F.col("a"), F.col("b")
+    w = w.select("*", _median_h(a, b).alias("median_h"), _median_h(a, F.least(a + 10, b)).alias("_h0"), _median_h(F.greatest(b - 10, a), b).alias("_h1"), _path("sx", "sy").alias("path_px"), _at(b).alias("_foot"))
+    w = w.where("median_h is not null")
+    stable = F.when((F.col("_h0") > 0) & (F.col("_h1") > 0), F.abs(F.col("_h1") / F.col("_h0") - 1) <= STABLE).otherwise(False)
+    w = w.withColumn("stable", stable).withColumn("path_m", F.when(F.col("stable"), F.col("path_px") * height_m / F.col("median_h")))
+    return w.select("seq", "track", "window_index", "part", "a", "b", "fps", "median_h", "stable", "path_px", "path_m", (F.col("path_m") / ((b - a) / F.col("fps"))).alias("speed"), F.col("_foot.fx").alias("foot_x"), F.col("_foot.fy").alias("foot_y"))
+
+
+_H = [f"h{i}{j}" for i in range(3) for j in range(3)]
+
+
+def court_point(x: Column, y: Column) -> tuple[Column, Column]:
+    """The projective image of a point in court metres, by the columns h00 to h22."""
+    v = [F.col(f"h{r}0") * x + F.col(f"h{r}1") * y + F.col(f"h{r}2") for r in range(3)]
+    return F.try_divide(v[0], v[2]), F.try_divide(v[1], v[2])
 
 
 def to_court(points: DataFrame, homographies: DataFrame, x: str = "sx", y: str = "sy") -> DataFrame:
     """``points`` with (cx, cy): the projective image in court metres."""
-    v = lambda r: F.col(f"h{r}0") * F.col(x) + F.col(f"h{r}1") * F.col(y) + F.col(f"h{r}2")
-    joined = points.join(F.broadcast(homographies), "seq")
-    return joined.select(*points.columns, F.try_divide(v(0), v(2)).alias("cx"), F.try_divide(v(1), v(2)).alias("cy"))
+    cx, cy = court_point(F.col(x), F.col(y))
+    return points.join(homographies, "seq").select(*points.columns, cx.alias("cx"), cy.alias("cy"))
 
 
-def court_metrics(detections: DataFrame, clips: DataFrame, windows: DataFrame, homographies: DataFrame) -> DataFrame:
-    """(seq, track, window_index, path_m, speed) on the court, smoothed in the image first; no depth gate."""
-    players = F.broadcast(split_roles(detections).where("role = 'player'").select("seq", "track"))
-    points = to_court(smooth_feet(detections.join(players, ["seq", "track"]), clips), homographies)
-    tracks = points.select("seq", "track").distinct().join(F.broadcast(windows), "seq").select("seq", "track", "window_index", F.lit("full").alias("part"), F.col("f0").alias("a"), F.col("f1").alias("b"), "dur")
-    paths = path_lengths(points, tracks, x="cx", y="cy").where("path is not null")
-    return paths.join(tracks, ["seq", "track", "window_index", "part"]).select("seq", "track", "window_index", F.col("path").alias("path_m"), (F.col("path") / F.col("dur")).alias("speed"))
+def court_parts(detections: DataFrame, clips: DataFrame, homographies: DataFrame, win_s: float = 2.0, hop_s: float = 1.0) -> DataFrame:
+    """(seq, track, window_index, part, a, b, fps, path_m, speed, foot_x, foot_y) on the court, smoothed in the image first; no
+    depth gate. The foot is that of the box in frame b itself, in metres."""
+    grid = window_grid(clips, win_s, hop_s).join(homographies.select("seq", *_H), "seq")
 
+    def points(rows: DataFrame) -> DataFrame:
+        (cx, cy), (gx, gy) = court_point(F.col("sx"), F.col("sy")), court_point(F.col("fx"), F.col("fy"))
+        return rows.withColumns({"cx": cx, "cy": cy, "gx": gx, "gy": gy})
 
-def time_to_intercept(detections: DataFrame, windows: DataFrame, metrics: DataFrame, height_m: float = HEIGHT_M) -> DataFrame:
-    """(seq, track, window_index, seconds): distance to the ball at the window's last frame over the mean speed; both
+    w = _parts(_player_windows(detections, grid, ["cx", "cy", "gx", "gy"], points))
+    w = w.select("*", _path("cx", "cy").alias("path_m"), _at(F.col("b")).alias("_foot"))
+    speed = F.col("path_m") / ((F.col("b") - F.col("a")) / F.col("fps"))
+    return w.select("seq", "track", "window_index", "part", "a", "b", "fps", "path_m", speed.alias("speed"), F.col("_foot.gx").alias("foot_x"), F.col("_foot.gy").alias("foot_y"))
+
+
+def court_metrics(detections: DataFrame, clips: DataFrame, homographies: DataFrame, win_s: float = 2.0, hop_s: float = 1.0) -> DataFrame:
+    """(seq, track, window_index, path_m, speed) of whole windows on the court."""
+    return court_parts(detections, clips, homographies, win_s, hop_s).where("part = 'full' and path_m is not null").select("seq", "track", "window_index", "path_m", "speed")
+
+
+def time_to_intercept(detections: DataFrame, metrics: DataFrame, height_m: float = HEIGHT_M) -> DataFrame:
+    """(seq, track, window_index, seconds, dist_m): distance to the ball at the window's last frame over the mean speed; both
     boxes must be present in that very frame."""
-    full = metrics.where("part = 'full' and speed > 0").select("seq", "track", "window_index", F.col("b").alias("frame"), "median_h", "speed")
-    at = full.join(foot_points(detections), ["seq", "track", "frame"]).join(ball_center(detections, split_roles(detections)), ["seq", "frame"])
-    px = F.sqrt(F.pow(F.col("fx") - F.col("bx"), 2) + F.pow(F.col("fy") - F.col("by"), 2))
-    return at.select("seq", "track", "window_index", (px * height_m / F.col("median_h") / F.col("speed")).alias("seconds"))
+    full = metrics.where("part = 'full' and speed > 0 and foot_x is not null").select("seq", "track", "window_index", F.col("b").alias("frame"), "median_h", "speed", "foot_x", "foot_y")
+    at = full.join(ball_center(detections, split_roles(detections)), ["seq", "frame"])
+    px = F.sqrt(F.pow(F.col("foot_x") - F.col("bx"), 2) + F.pow(F.col("foot_y") - F.col("by"), 2))
+    at = at.withColumn("dist_m", px * height_m / F.col("median_h"))
+    return at.select("seq", "track", "window_index", (F.col("dist_m") / F.col("speed")).alias("seconds"), "dist_m")
 
 
-def box_overlap(detections: DataFrame, presented: DataFrame) -> DataFrame:
-    """(seq, track, frame, max_iou) of presented boxes: the largest overlap with another box of the same frame.
+def time_to_ball_court(detections: DataFrame, parts: DataFrame, homographies: DataFrame) -> DataFrame:
+    """(seq, track, window_index, seconds, dist_m) on the court, the ball taken to lie on the floor. ``parts``: of ``court_parts``."""
+    balls = to_court(ball_center(detections, split_roles(detections)), homographies, "bx", "by").select("seq", "frame", "cx", "cy")
+    full = parts.where("part = 'full' and speed > 0 and foot_x is not null").select("seq", "track", "window_index", F.col("b").alias("frame"), "speed", "foot_x", "foot_y")
+    at = full.join(balls, ["seq", "frame"]).withColumn("dist_m", F.sqrt(F.pow(F.col("foot_x") - F.col("cx"), 2) + F.pow(F.col("foot_y") - F.col("cy"), 2)))
+    return at.select("seq", "track", "window_index", (F.col("dist_m") / F.col("speed")).alias("seconds"), "dist_m")
+
+
+def box_overlap(detections: DataFrame, presented: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """(seq, track, frame, max_iou) of presented boxes: the largest overlap with another player's box of the same frame.
 
     ``presented``: (seq, track, frame). Boxes meet only in x cells of their own width, so a crowded frame isn't squared."""
     cell = lambda v: F.floor(v / 64).cast("int")
     boxes = detections.withColumn("cell", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x") + F.col("w")))))
     left = boxes.join(presented, ["seq", "track", "frame"], "left_semi")
-    right = boxes.select("seq", "frame", "cell", F.col("track").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xywh"))
+    players = (split_roles(detections) if roles is None else roles).where("role = 'player'").select("seq", "track")
+    right = boxes.join(players, ["seq", "track"]).select("seq", "frame", "cell", F.col("track").alias("other"), *(F.col(c).alias(f"o{c}") for c in "xywh"))
     pairs = left.join(right, ["seq", "frame", "cell"]).where("track <> other")
     wide = F.greatest(F.lit(0.0), F.least(F.col("x") + F.col("w"), F.col("ox") + F.col("ow")) - F.greatest("x", "ox"))
     high = F.greatest(F.lit(0.0), F.least(F.col("y") + F.col("h"), F.col("oy") + F.col("oh")) - F.greatest("y", "oy"))
@@ -148,8 +211,3 @@ def box_overlap(detections: DataFrame, presented: DataFrame) -> DataFrame:
     iou = both / (F.col("w") * F.col("h") + F.col("ow") * F.col("oh") - both)
     found = pairs.select("seq", "track", "frame", iou.alias("iou")).groupBy("seq", "track", "frame").agg(F.max("iou").alias("max_iou"))
     return presented.join(found, ["seq", "track", "frame"], "left").select("seq", "track", "frame", F.coalesce("max_iou", F.lit(0.0)).alias("max_iou"))
-
-
-def one_decimal(v: Column) -> Column:
-    """Text with one decimal, rounded half-even on the exact binary value, without thousands separators."""
-    return F.call_function("format_number", v, F.lit("0.0"))

@@ -21,7 +21,7 @@ def clip_scale(paths_px: DataFrame, paths_m: DataFrame, rendered: float, least_m
 
 def px_answers(paths_px: DataFrame, clips: DataFrame, dur: float, width: float = 960.0) -> DataFrame:
     """(seq, track, window_index, path_px, speed_px) in pixels of the rendered width."""
-    j = paths_px.where("path is not null").join(F.broadcast(clips.select("seq", "width")), "seq").withColumn("path_px", F.col("path") * width / F.col("width"))
+    j = paths_px.where("path is not null").join(clips.select("seq", "width"), "seq").withColumn("path_px", F.col("path") * width / F.col("width"))
     return j.select("seq", "track", "window_index", "path_px", (F.col("path_px") / dur).alias("speed_px"))
 
 
@@ -40,33 +40,47 @@ def dense_windows(detections: DataFrame, frames: int = 51, hop: int = 25, least_
     return p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"), F.sum("step").alias("path")).where((F.col("n") == frames) & F.col("ok")).select(*key, "path")
 
 
-def crop_rect(boxes: DataFrame, item: list[str], width: int, height: int, pad: float = 20.0) -> DataFrame:
-    """(item, left, top, right, bottom): one crop around all boxes of an item, clamped to the image; null if over 90 % of half
-    of the image in either direction."""
+def crop_rect(boxes: DataFrame, item: list[str], width: int, height: int, crop_w: int, crop_h: int, fill: float = 1.0) -> DataFrame:
+    """(item, left, top, w, h): one crop of fixed size around the middle of all boxes of an item, pushed inside the image; null if the
+    boxes reach over more than ``fill`` of it (0.9 for the half-size zoom)."""
     g = boxes.groupBy(*item).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
-    edges = {"left": F.greatest(F.lit(0.0), F.col("x0") - pad), "top": F.greatest(F.lit(0.0), F.col("y0") - pad), "right": F.least(F.lit(float(width)), F.col("x1") + pad), "bottom": F.least(F.lit(float(height)), F.col("y1") + pad)}
-    g = g.select(*item, *(F.bround(v).alias(k) for k, v in edges.items()))
-    fits = (F.col("right") - F.col("left") <= 0.9 * width / 2) & (F.col("bottom") - F.col("top") <= 0.9 * height / 2)
-    return g.select(*item, *(F.when(fits, F.col(k)).alias(k) for k in edges))
+    fits = (F.col("x1") - F.col("x0") <= crop_w * fill) & (F.col("y1") - F.col("y0") <= crop_h * fill)
+    at = lambda a, b, size, most: F.bround(F.least(F.greatest((F.col(a) + F.col(b)) / 2 - size / 2, F.lit(0.0)), F.lit(float(most - size)))).cast("int")
+    sides = {"left": at("x0", "x1", crop_w, width), "top": at("y0", "y1", crop_h, height), "w": F.lit(crop_w), "h": F.lit(crop_h)}
+    return g.select(*item, *(F.when(fits, v).alias(k) for k, v in sides.items()))
 
 
-def accel_visual(metrics: DataFrame, windows: DataFrame, ratio: float = 1.35) -> DataFrame:
-    """(seq, track, up, down, gap): disjoint windows of one track, one speeding up and one slowing down, nearest first, each used
-    once. A track's windows are few and bounded by its clip, so the greedy choice is one small group."""
+def accel_events(metrics: DataFrame, ratio: float = 1.35) -> DataFrame:
+    """(seq, track, window_index, a, b, v1, v2, up): windows in which a player clearly speeds up or slows down."""
     key = ["seq", "track", "window_index"]
-    wide = metrics.groupBy(*key).agg(F.max(F.when(F.col("part") == "first", F.col("speed"))).alias("v1"), F.max(F.when(F.col("part") == "second", F.col("speed"))).alias("v2"))
-    clear = wide.where((F.col("v1") > 0) & (F.col("v2") > 0) & (F.greatest("v1", "v2") / F.least("v1", "v2") >= ratio)).join(F.broadcast(windows.select("seq", "window_index", "f0", "f1")), ["seq", "window_index"])
-    rows = clear.select("seq", "track", "window_index", "f0", "f1", (F.col("v2") > F.col("v1")).alias("up"))
+    half = lambda p, v, f=F.max: f(F.when(F.col("part") == p, F.col(v)))
+    wide = metrics.groupBy(*key).agg(half("first", "a").alias("a"), half("second", "b").alias("b"), half("first", "speed").alias("v1"), half("second", "speed").alias("v2"))
+    return wide.where((F.col("v1") > 0) & (F.col("v2") > 0)).where(F.greatest("v1", "v2") / F.least("v1", "v2") >= ratio).withColumn("up", F.col("v2") > F.col("v1"))
+
+
+def accel_visual(events: DataFrame) -> DataFrame:
+    """(seq, track, k, up, down): disjoint windows of one track, one speeding up and one slowing down, nearest first (then the first
+    up, the first down), each used once; k counts a track's pairs in that order.
+
+    The choice is one small group a track; distances are taken one by one, so no list of all pairs is made."""
 
     def greedy(part: pd.DataFrame) -> pd.DataFrame:
-        ups, downs = part[part.up].to_dict("records"), part[~part.up].to_dict("records")
-        pairs = sorted((max(u["f0"], d["f0"]) - min(u["f1"], d["f1"]), u["window_index"], d["window_index"]) for u in ups for d in downs if u["f1"] < d["f0"] or d["f1"] < u["f0"])
-        used: set = set()
+        part = part.sort_values("window_index")
+        a, b = dict(zip(part.window_index, part.a, strict=True)), dict(zip(part.window_index, part.b, strict=True))
+        ups, downs = part.window_index[part.up].tolist(), set(part.window_index[~part.up])
         out = []
-        for gap, u, d in pairs:
-            if ("u", u) not in used and ("d", d) not in used:
-                used |= {("u", u), ("d", d)}
-                out.append((part.seq.iloc[0], int(part.track.iloc[0]), int(u), int(d), int(gap)))
-        return pd.DataFrame(out, columns=["seq", "track", "up", "down", "gap"])
+        for gap in range(1, int(part.window_index.max() - part.window_index.min()) + 1):
+            if not ups or not downs:
+                break
+            left = []
+            for u in ups:
+                d = next((d for d in (u - gap, u + gap) if d in downs and (b[u] < a[d] or b[d] < a[u])), None)
+                if d is None:
+                    left.append(u)
+                else:
+                    downs.discard(d)
+                    out.append((part.seq.iloc[0], int(part.track.iloc[0]), len(out), int(u), int(d)))
+            ups = left
+        return pd.DataFrame(out, columns=["seq", "track", "k", "up", "down"])
 
-    return rows.groupBy("seq", "track").applyInPandas(greedy, "seq string, track int, up int, down int, gap int")
+    return events.select("seq", "track", "window_index", "a", "b", "up").groupBy("seq", "track").applyInPandas(greedy, "seq string, track int, k int, up int, down int")

@@ -1,28 +1,232 @@
-"""Bootstrap intervals over clusters. A cell is reduced to one row a cluster first; draws come from a hash, so any engine
-repeats them."""
+"""Bootstrap intervals over clusters. Draws come from integer arithmetic, so that any engine repeats them.
+
+A cell is first reduced to counts of distinct (cluster, values). Answers have one decimal, so this is as large as the grid of
+answers times the clusters, whatever the number of items. Replicates are dealt in blocks, each a small task of its own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-#: Replicates; the index picks of the interval are those of 2.5 % and 97.5 %.
+from ..functions.answers import STEPS
+
+#: Replicates; the index picks of the interval are those of 2.5 % and 97.5 % of the defined ones, of which 90 % are needed.
 B = 2000
+BLOCK = 250
+_MOD = 1 << 32
+
+
+def draw_sql(rep: str, draw: str) -> str:
+    """A number in [0, 2^32) of replicate and draw, as SQL; ``uniform`` is the same in numpy."""
+    h = f"(({rep} * 2654435761 + {draw} * 40503 + 12345) % {_MOD})"
+    h = f"(({h} * 1664525 + 1013904223) % {_MOD})"
+    h = f"(CAST(floor({h} / 65536) AS BIGINT) + ({h} % 65536) * 65536)"
+    return f"(({h} * 22695477 + 1) % {_MOD})"
+
+
+def uniform(rep: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    h = (rep.astype(np.uint64) * np.uint64(2654435761) + draw.astype(np.uint64) * np.uint64(40503) + np.uint64(12345)) % np.uint64(_MOD)
+    h = (h * np.uint64(1664525) + np.uint64(1013904223)) % np.uint64(_MOD)
+    h = h // np.uint64(65536) + (h % np.uint64(65536)) * np.uint64(65536)
+    return (h * np.uint64(22695477) + np.uint64(1)) % np.uint64(_MOD)
+
+
+# --- statistics of weighted rows: (columns as arrays, weights) -> number or None ------------------------------------------
+
+
+def _ranks(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Average ranks of values that occur ``w`` times each."""
+    _, which = np.unique(x, return_inverse=True)
+    total = np.bincount(which, w)
+    return (np.cumsum(total) - total + (total + 1) / 2)[which]
+
+
+def weighted_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float | None:
+    ok = (w > 0) & ~np.isnan(x) & ~np.isnan(y)
+    x, y, w = x[ok], y[ok], w[ok]
+    if w.sum() < 3:
+        return None
+    a, b, n = _ranks(x, w), _ranks(y, w), w.sum()
+    a, b = a - (w * a).sum() / n, b - (w * b).sum() / n
+    below = (w * a * a).sum() * (w * b * b).sum()
+    return float((w * a * b).sum() / np.sqrt(below)) if below > 1e-9 else None
+
+
+def weighted_median(x: np.ndarray, w: np.ndarray) -> float | None:
+    ok = (w > 0) & ~np.isnan(x)
+    x, w = x[ok], w[ok]
+    if not len(x):
+        return None
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(w[order])
+    at = np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], "right")
+    return float(x[order][at].mean())
+
+
+def _score(p: np.ndarray, y: np.ndarray, t: np.ndarray, e: np.ndarray) -> np.ndarray:
+    relative = (np.abs(p - y) - t) / np.maximum(np.abs(y), e)
+    return np.where(np.isnan(p), 0.0, 10.0 * sum((relative < s).astype(float) for s in STEPS))
+
+
+def mean(v: dict, w: np.ndarray) -> float | None:
+    """Mean of ``value``, a missing one counting as 0."""
+    return float((w * np.nan_to_num(v["value"])).sum() / w.sum()) if w.sum() else None
+
+
+def rho(v: dict, w: np.ndarray) -> float | None:
+    """Rank correlation of ``prediction`` and ``reference_value``."""
+    return weighted_rho(v["prediction"], v["reference_value"], w)
+
+
+def median(v: dict, w: np.ndarray) -> float | None:
+    """Median of ``value``."""
+    return weighted_median(v["value"], w)
+
+
+def ratio(v: dict, w: np.ndarray) -> float | None:
+    """Median of numerator over denominator where both are parsed and the denominator is positive."""
+    ok = ~np.isnan(v["numerator"]) & (np.nan_to_num(v["denominator"]) > 0)
+    return weighted_median(np.where(ok, v["numerator"], np.nan) / np.where(ok, v["denominator"], 1.0), w)
+
+
+def delta_rho(v: dict, w: np.ndarray) -> float | None:
+    """Difference of the rank correlations of two arms, each on its own parsed items."""
+    a, b = weighted_rho(v["prediction"], v["reference_value"], w), weighted_rho(v["other"], v["other_reference"], w)
+    return None if a is None or b is None else a - b
+
+
+def margin(v: dict, w: np.ndarray) -> float | None:
+    """Mean score less that of always answering the median truth, over parsed items."""
+    ok = ~np.isnan(v["prediction"]) & (w > 0)
+    if not ok.any():
+        return None
+    y, t, e, u = v["reference_value"][ok], v["score_tolerance"][ok], v["score_floor"][ok], w[ok]
+    best = weighted_median(y, u)
+    own, constant = (float((u * _score(p, y, t, e)).sum() / u.sum()) for p in (v["prediction"][ok], np.full(len(y), best)))
+    return own - constant
+
+
+def partial_rho(v: dict, w: np.ndarray) -> float | None:
+    """Rank correlation of prediction and truth given ``covariate``."""
+    ok = ~np.isnan(v["prediction"]) & ~np.isnan(v["reference_value"]) & ~np.isnan(v["covariate"]) & (w > 0)
+    if w[ok].sum() < 4:
+        return None
+    x, y, z = (v[c][ok] for c in ("prediction", "reference_value", "covariate"))
+    xy, xz, yz = weighted_rho(x, y, w[ok]), weighted_rho(x, z, w[ok]) or 0.0, weighted_rho(y, z, w[ok]) or 0.0
+    rest = (1 - xz * xz) * (1 - yz * yz)
+    return None if xy is None or rest <= 1e-12 else float((xy - xz * yz) / np.sqrt(rest))
+
+
+# --- resampling -------------------------------------------------------------------------------------------------------------
+
+
+def _intervals(reps: DataFrame, cell: list[str], b: int) -> DataFrame:
+    """(cell, point, lo, hi, defined) from (cell, rep, v), rep 0 being the point."""
+    g = reps.groupBy(*cell).agg(F.max(F.when(F.col("rep") == 0, F.col("v"))).alias("point"), F.max("clusters").alias("clusters"), F.sort_array(F.collect_list(F.when(F.col("rep") > 0, F.col("v")))).alias("_vs"))
+    n = F.size("_vs")
+    pick = lambda k: F.when(n >= 0.9 * b, F.get("_vs", k.cast("int")))
+    return g.select(*cell, "clusters", "point", pick(F.floor(0.025 * n)).alias("lo"), pick(F.floor(0.975 * n) - 1).alias("hi"), n.alias("defined"))
+
+
+def bootstrap(rows: DataFrame, cell: list[str], cluster: str, values: list[str], stat: Callable, b: int = B) -> DataFrame:
+    """(cell, clusters, point, lo, hi, defined): whole clusters are drawn with replacement ``b`` times; ``stat`` takes the columns ``values``
+    and weights. The interval is null if under 90 % of the replicates are defined."""
+    counts = rows.groupBy(*cell, F.col(cluster).alias("_cluster"), *(F.col(v).cast("double").alias(v) for v in values)).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-b // BLOCK) - 1))))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        v = {c: part[c].to_numpy(float) for c in values}
+        times, (_, which) = part["_n"].to_numpy(), np.unique(part["_cluster"].to_numpy(), return_inverse=True)
+        block, clusters = int(part["_block"].iloc[0]), int(which.max()) + 1
+        out = [(0, stat(v, times))] if block == 0 else []
+        for rep in range(block * BLOCK + 1, min((block + 1) * BLOCK, b) + 1):
+            drawn = uniform(np.full(clusters, rep), np.arange(1, clusters + 1)) * np.uint64(clusters) >> np.uint64(32)
+            out.append((rep, stat(v, times * np.bincount(drawn.astype(np.int64), minlength=clusters)[which])))
+        first = {c: part[c].iloc[0] for c in cell}
+        return pd.DataFrame({**{c: [x] * len(out) for c, x in first.items()}, "rep": [r for r, _ in out], "clusters": clusters, "v": [x for _, x in out]}).astype({"v": float})
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*cell).schema)
+    reps = blocks.groupBy(*cell, "_block").applyInPandas(run, f"{schema}, rep int, clusters long, v double")
+    return _intervals(reps.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), cell, b)
+
+
+def bootstrap_items(rows: DataFrame, cell: list[str], item: str, values: list[str], stat: Callable, b: int = B) -> DataFrame:
+    """Every item is its own cluster."""
+    return bootstrap(rows, cell, item, values, stat, b)
+
+
+def time_block(f0: Column, fps: Column, seconds: int) -> Column:
+    """Cluster of windows by the seconds in which they start."""
+    return F.floor(f0 / fps / seconds)
+
+
+def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = B) -> DataFrame:
+    """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates."""
+    share = F.try_divide(k, n)
+    reps = rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
+    h = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda d: _draw(F.col("rep"), d))
+    won = F.size(F.filter(h, lambda x: x < F.col("share") * _MOD))
+    g = reps.withColumn("v", won / F.col("n")).groupBy(*cell, "n", "share").agg(F.sort_array(F.collect_list("v")).alias("_vs"))
+    return g.select(*cell, "n", "share", F.get("_vs", F.lit(int(0.025 * b))).alias("lo"), F.get("_vs", F.lit(int(0.975 * b) - 1)).alias("hi"))
+
+
+def _draw(rep: Column, draw: Column) -> Column:
+    h = (rep.cast("long") * 2654435761 + draw.cast("long") * 40503 + 12345) % _MOD
+    h = (h * 1664525 + 1013904223) % _MOD
+    h = F.floor(h / 65536).cast("long") + (h % 65536) * 65536
+    return (h * 22695477 + 1) % _MOD
+
+
+# --- probes -----------------------------------------------------------------------------------------------------------------
+
+
+def ridge_oof(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alphas: list[float], inner: int = 3) -> np.ndarray:
+    """Out-of-fold predictions of a standardised ridge in dual form; the penalty is chosen by folds inside each training part."""
+
+    def fit(a, b, alpha):
+        mu, sd = a.mean(0), a.std(0) + 1e-6
+        z, m = (a - mu) / sd, b.mean()
+        w = z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(len(b)), b - m)
+        return lambda q: ((q - mu) / sd) @ w + m
+
+    out = np.full(len(y), np.nan)
+    for f in np.unique(fold):
+        te = fold == f
+        tr = np.flatnonzero(~te)
+        if len(tr) < 4:
+            continue
+        parts = np.unique(fold[tr], return_inverse=True)[1] % inner
+
+        def loss(alpha, tr=tr, parts=parts):
+            return sum(((fit(x[tr[parts != p]], y[tr[parts != p]], alpha)(x[tr[parts == p]]) - y[tr[parts == p]]) ** 2).sum() for p in np.unique(parts) if (parts != p).any())
+
+        out[te] = fit(x[tr], y[tr], min(alphas, key=loss))(x[te])
+    return out
+
+
+def grouped_ridge(features: DataFrame, cell: list[str], group: str, vec: str, y: str, folds: int = 5, alphas: tuple = (0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0), permutations: int = 0) -> DataFrame:
+    """(cell, feature, n, rho, r2, p99): how well each feature of a cell predicts a target out of fold, groups kept together, and
+    the 99th percentile of the rank correlation with targets permuted. ``features``: (cell, feature, group, vec, y); one task a
+    (cell, feature), which holds the vectors of one probe's items: probes are fitted on a benchmark's items, hundreds to thousands."""
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_key"])
+        x, t = np.stack(part[vec].to_numpy()).astype(float), part[y].to_numpy(float)
+        fold = np.unique(part[group].to_numpy(), return_inverse=True)[1] % folds
+        one = np.ones(len(t))
+        found = ridge_oof(x, t, fold, list(alphas))
+        null = []
+        for p in range(permutations):
+            order = np.argsort(uniform(np.full(len(t), p + 1), np.arange(1, len(t) + 1)), kind="stable")
+            null.append(weighted_rho(ridge_oof(x, t[order], fold, [alphas[len(alphas) // 2]]), t[order], one) or 0.0)
+        r2 = 1 - ((found - t) ** 2).sum() / max(((t - t.mean()) ** 2).sum(), 1e-300)
+        row = {**{c: part[c].iloc[0] for c in (*cell, "feature")}, "n": len(t), "rho": weighted_rho(found, t, one), "r2": float(r2), "p99": float(np.percentile(null, 99)) if null else None}
+        return pd.DataFrame([row]).astype({"rho": float, "p99": float})
 
-def bootstrap_mean(rows: DataFrame, cell: list[str], cluster: str, value: str, b: int = B, seed: str = "boot") -> DataFrame:
-    """(cell, clusters, point, lo, hi): whole clusters are drawn with replacement ``b`` times.
-
-    A mean needs only each cluster's sum and count, so a replicate is a join of its draws with these."""
-    sums = rows.groupBy(*cell, cluster).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("s"), F.count(F.lit(1)).alias("n"))
-    number = F.row_number().over(Window.partitionBy(*cell).orderBy(cluster)) - 1
-    sums = sums.withColumn("j", number)
-    size = sums.groupBy(*cell).agg(F.count(F.lit(1)).alias("clusters"), (F.sum("s") / F.sum("n")).alias("point"))
-    draws = size.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("clusters").cast("int"))))
-    key = F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in cell), F.col("rep").cast("string"), F.col("draw").cast("string"))
-    hashed = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long")
-    drawn = draws.withColumn("j", (hashed % F.col("clusters")).cast("int")).groupBy(*cell, "rep", "j").agg(F.count(F.lit(1)).alias("times"))
-    reps = drawn.join(sums, [*cell, "j"]).groupBy(*cell, "rep").agg((F.sum(F.col("times") * F.col("s")) / F.sum(F.col("times") * F.col("n"))).alias("v"))
-    g = reps.groupBy(*cell).agg(F.sort_array(F.collect_list("v")).alias("vs"))
-    return g.join(size, cell).select(*cell, "clusters", "point", F.get("vs", F.lit(int(0.025 * b))).alias("lo"), F.get("vs", F.lit(int(0.975 * b) - 1)).alias("hi"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*cell, "feature").schema)
+    keyed = features.withColumn("_key", F.xxhash64(group, y, vec))
+    return keyed.groupBy(*cell, "feature").applyInPandas(run, f"{schema}, n long, rho double, r2 double, p99 double")

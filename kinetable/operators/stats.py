@@ -75,7 +75,7 @@ def best_constant(items: DataFrame, cell: list[str]) -> DataFrame:
 def constant_median(scored_rows: DataFrame, cell: list[str]) -> DataFrame:
     """(cell, median, constant_tmra, margin): score of always answering the median truth, and the margin over it."""
     med = scored_rows.groupBy(*cell).agg(F.median("reference_value").alias("median"))
-    j = scored_rows.join(F.broadcast(med), cell)
+    j = scored_rows.join(med, cell)
     c = fn.tmra_scaled(F.col("median"), F.col("reference_value"), F.col("score_tolerance"), F.col("score_floor"))
     return j.groupBy(*cell, "median").agg(F.avg(c).alias("constant_tmra"), (F.avg(F.coalesce("score", F.lit(0.0))) - F.avg(c)).alias("margin"))
 
@@ -100,19 +100,60 @@ def coverage_stats(items: DataFrame, predictions: DataFrame, keys: list[str], ce
     )
 
 
-def evaluate_summary(rows: DataFrame) -> DataFrame:
-    """Legacy rows (category, answer, vlm_answer, has_prediction) by metric group and overall: n, coverage, exact, tmra."""
-    group = fn.map_group(F.col("category"))
-    spec = lambda k: sum((F.when(F.col("grp") == g, v[k]).otherwise(0.0) for g, v in fn.GROUPS.items()), F.lit(0.0))
-    r = rows.withColumn("grp", group)
-    exact = F.col("has_prediction") & fn.exact_match(F.col("vlm_answer"), F.col("answer"))
-    scalar = F.col("grp").isin(list(fn.GROUPS))
-    t = F.when(scalar, F.when(exact, 1.0).when(F.col("has_prediction"), fn.tmra_legacy(F.col("vlm_answer"), F.col("answer"), spec(0), spec(1))).otherwise(0.0))
-    r = r.select("grp", F.col("has_prediction").cast("double").alias("seen"), exact.cast("double").alias("exact"), t.alias("t"))
-    return r.groupingSets([["grp"], []], "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("seen").alias("coverage"), F.avg("exact").alias("exact_accuracy"), F.avg("t").alias("tmra")).select(
-        F.coalesce("grp", F.lit("overall")).alias("grp"), "n", "coverage", "exact_accuracy", "tmra"
-    )
+def evaluate_summary(rows: DataFrame, metric_version: str = "legacy_v1") -> DataFrame:
+    """Legacy rows (category, answer, vlm_answer, has_prediction) by metric group and overall: n, coverage, parse failures of
+    numeric groups, exact accuracy, T-MRA (numeric groups only) and the share of locations within 30 cm. A missing prediction
+    counts as a wrong one."""
+    r = rows.select(fn.map_group(F.col("category")).alias("grp"), "answer", "has_prediction", F.when(F.col("has_prediction"), F.col("vlm_answer")).otherwise("").alias("said"))
+    numeric = F.col("grp").isin(*fn.GROUPS, "localization")
+    r = r.withColumn("s", fn.score_pair(F.col("grp"), F.col("said"), F.col("answer"), metric_version))
+    seen = F.col("has_prediction")
+    r = r.select(
+        "grp", seen.cast("double").alias("seen"), fn.parse_failure(F.col("grp"), F.col("said")).cast("int").alias("failed"), (seen & F.col("s.exact")).cast("double").alias("exact"),
+        F.when(numeric, F.when(seen, F.col("s.tmra")).otherwise(0.0)).alias("t"), F.when(F.col("grp") == "localization", fn.within_30cm(F.col("said"), F.col("answer")).cast("double")).alias("near"),
+    )
+    g = r.groupingSets([["grp"], []], "grp").agg(F.count(F.lit(1)).alias("n"), F.avg("seen").alias("coverage"), F.sum("failed").alias("parse_failures"), F.avg("exact").alias("exact_accuracy"), F.avg("t").alias("tmra"), F.avg("near").alias("within_30cm"))
+    return g.withColumn("grp", F.coalesce("grp", F.lit("overall")))
 
 
 def seed_spread(df: DataFrame, cell: list[str], v: str) -> DataFrame:
     return df.groupBy(*cell).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"))
+
+
+def weighted_quantiles(counts: DataFrame, cell: list[str], v: str, n: str, places: dict[str, list[tuple]]) -> DataFrame:
+    """(cell, names): for each name the mean of the values at given places (from 0) of the cell's ordered values, each repeated
+    ``n`` times; a place is a column of the cell's total ``_t``. No cell is ever gathered: values meet a running sum."""
+    order = Window.partitionBy(*cell).orderBy(v)
+    upto = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    c = counts.groupBy(*cell, v).agg(F.sum(n).alias(n)).withColumn("_hi", upto).withColumn("_t", F.sum(n).over(Window.partitionBy(*cell)))
+    at = lambda k: F.max(F.when((k >= F.col("_hi") - F.col(n)) & (k < F.col("_hi")), F.col(v)))
+    aggs = [(sum((at(k) for k in ks[1:]), at(ks[0])) / len(ks)).alias(name) for name, ks in places.items()]
+    return c.groupBy(*cell).agg(*aggs)
+
+
+def proportions(rows: DataFrame, factors: list[str], ok: str, classes: str) -> DataFrame:
+    """(factor, level, class counts, n, k, lo, hi): accuracy with Wilson intervals by each level of each factor, and over all
+    rows (factor ``all``), with the count of every class as an array of (class, n)."""
+    sets = [[f] for f in factors] + [[]]
+    g = rows.withColumn("_ok", F.col(ok).cast("int")).groupingSets([[*s, classes] for s in sets], *factors, classes).agg(F.count(F.lit(1)).alias("c"), F.sum("_ok").alias("k"), F.grouping_id().alias("_g"))
+    factor = F.coalesce(*(F.when(F.col(f).isNotNull(), f) for f in factors), F.lit("all"))
+    level = F.coalesce(*(F.col(f).cast("string") for f in factors), F.lit("all"))
+    h = g.select(factor.alias("factor"), level.alias("level"), F.col(classes).alias("class"), "c", "k").groupBy("factor", "level")
+    h = h.agg(F.sum("c").alias("n"), F.sum("k").alias("k"), F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "class", F.col("c").cast("string")))), ",").alias("classes"))
+    lo, hi = fn.wilson(F.col("k"), F.col("n"))
+    return h.withColumns({"lo": lo, "hi": hi})
+
+
+def decimal_summary(rows: DataFrame, cell: list[str]) -> DataFrame:
+    """Of answers as exact decimals (raw_answer, answer: text): n, parsed, exact (equal decimals), zero and negative answers, distinct
+    values, the largest repeat, whether all answers are one constant, and the mean absolute error of parsed answers."""
+    ok = F.trim("raw_answer").rlike(fn.STRICT)
+    d = rows.select(*cell, F.when(ok, F.trim("raw_answer").try_cast("double")).alias("_f"), F.when(ok, F.trim("raw_answer").try_cast("decimal(38,10)")).alias("p"), F.col("answer").cast("decimal(38,10)").alias("y"))
+    d = d.withColumn("p", F.when(F.abs("_f") < float("inf"), F.col("p")))
+    each = d.groupBy(*cell, "p").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("p") == F.col("y")).alias("e"), F.sum(F.abs(F.col("p") - F.col("y"))).alias("err"))
+    g = each.groupBy(*cell).agg(
+        F.sum("c").alias("n"), F.sum(F.when(F.col("p").isNotNull(), F.col("c")).otherwise(0)).alias("parsed"), F.sum("e").alias("exact"), F.sum(F.when(F.col("p") == 0, F.col("c")).otherwise(0)).alias("zero"),
+        F.sum(F.when(F.col("p") < 0, F.col("c")).otherwise(0)).alias("negative"), F.count("p").alias("n_distinct"), F.coalesce(F.max(F.when(F.col("p").isNotNull(), F.col("c"))), F.lit(0)).alias("largest_repeat"), F.sum("err").cast("double").alias("_err"),
+    )
+    constant = (F.col("n") >= 2) & (F.col("parsed") == F.col("n")) & (F.col("n_distinct") == 1)
+    return g.withColumn("constant", constant).withColumn("mae", F.try_divide("_err", "parsed")).drop("_err")

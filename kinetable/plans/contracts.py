@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers as fn
+from ..functions import texts
 from ..operators import audit, rules, stats, variants
 from ..sources import adapters as A
 from . import scoring, trajectory
@@ -58,15 +59,9 @@ def cell_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.cell_count_rule(cells, ["model", "arm"], "tmra", 70.0, 40.0, 3, 3)
 
 
-def seed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.scored(A.predictions(spark, sf_dir)).withColumn("seed", F.col("item") % 3)
-    cells = stats.family_stats(rows, ["model", "category", "arm", "seed"]).withColumn("v", F.when(F.col("tmra") >= 66.3, "S").otherwise("N"))
-    return rules.seed_label(cells, ["model", "category", "arm"], "v", "S")
-
-
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = trajectory._items(spark, sf_dir)[1].where("answer is not null").select("category", "seq", "track", "window_index", "answer")
-    return variants.with_question(items)
+    return variants.with_question(items, trajectory._base(spark, sf_dir)[2])
 
 
 def rescale_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,9 +91,18 @@ def quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 _C = "model, arm, category"
 QUERIES = {
     "duplicate_detections": duplicate_detections, "split_isolation": split_isolation, "coordinate_overlap": coordinate_overlap, "letter_balance": letter_balance, "audit_pairs": audit_pairs, "reconcile": reconcile,
-    "prediction_log": prediction_log, "cell_rule": cell_rule, "seed_labels": seed_labels, "rescale_prior": rescale_prior, "strip_prior": strip_prior, "frame_modes": frame_modes, "cross_images": cross_images, "quota_sample": quota_sample,
+    "prediction_log": prediction_log, "cell_rule": cell_rule, "rescale_prior": rescale_prior, "strip_prior": strip_prior, "frame_modes": frame_modes, "cross_images": cross_images, "quota_sample": quota_sample,
 }
-_ASK = "'Assume every player is 1.93 meters tall. ' || CASE category WHEN 'speed' THEN 'What is the average speed of player ' ELSE 'How far does player ' END || track || CASE category WHEN 'speed' THEN ' in meters per second?' ELSE ' move in meters?' END"
+_LEAD = f"'{texts.FRAMES[0]}4{texts.FRAMES[1]}2.0{texts.FRAMES[2]}'"
+
+
+def _ask(family: str, prior: str | None) -> str:
+    """SQL text of a numeric question of 2-second windows."""
+    said = f"'{prior}'" if prior else "''"
+    return f"{_LEAD} || {said} || CASE {family} WHEN 'speed' THEN '{texts.ASK['speed']}' WHEN 'path' THEN '{texts.ASK['path']}' ELSE '{texts.ASK['time']}' END || '{texts.NUMBER_ONLY}'"
+
+
+_ASK = _ask("category", texts.PRIOR.format(1.93))
 ORACLES = {
     "duplicate_detections": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "split_isolation": "SELECT lang, doc_id // 20 AS scene, string_agg(DISTINCT CAST(doc_id // 9 % 3 AS VARCHAR), ',' ORDER BY CAST(doc_id // 9 % 3 AS VARCHAR)) AS splits FROM documents GROUP BY ALL HAVING count(DISTINCT doc_id // 9 % 3) > 1",
@@ -115,12 +119,10 @@ SELECT {_C}, round(computed, 6) AS computed, round(published, 6) AS published, c
 SELECT 'extra' AS problem, count(*) AS n FROM log WHERE idx NOT IN (SELECT idx FROM log WHERE item % 17 <> 0) UNION ALL SELECT 'parse', count(*) FROM log WHERE p IS DISTINCT FROM q UNION ALL SELECT 'holes', max(idx) + 1 - count(DISTINCT idx) FROM log""",
     "cell_rule": f"""WITH {scoring.SCORED}, c AS (SELECT model, arm, item % 4 AS seed, coalesce(sum(score), 0) / count(*) AS tmra, count(DISTINCT prediction) <= 2 AS d FROM scored GROUP BY ALL
 ), g AS (SELECT model, arm, count(*) FILTER (NOT d) AS live, count(*) FILTER (NOT d AND tmra >= 70) AS highs, count(*) FILTER (NOT d AND tmra <= 40) AS lows FROM c GROUP BY ALL)
-SELECT *, CASE WHEN live < 3 THEN 'limited' WHEN highs >= 3 THEN 'S' WHEN lows >= 3 THEN 'N' ELSE 'I' END AS verdict FROM g""",
-    "seed_labels": f"""WITH {scoring.SCORED}, c AS (SELECT model, category, arm, item % 3 AS seed, coalesce(sum(score), 0) / count(*) >= 66.3 AS s FROM scored GROUP BY ALL)
-SELECT model, category, arm, CASE WHEN count(*) < 3 THEN 'pending' WHEN count(*) FILTER (s) = 3 THEN 'all' WHEN count(*) FILTER (s) = 0 THEN 'fails' WHEN count(*) FILTER (s) >= 2 THEN 'most' ELSE 'seed-dependent' END AS label FROM c GROUP BY ALL""",
-    "rescale_prior": f"""WITH {trajectory.ITEMS}, q AS (SELECT category, seq, track, window_index, answer, {_ASK} AS question FROM items WHERE answer IS NOT NULL)
-SELECT category, seq, track, window_index, CASE WHEN category = 'time' THEN answer ELSE printf('%.1f', CAST(answer AS DOUBLE) * 1.45::DOUBLE / 1.93::DOUBLE) END AS answer, replace(question, '1.93', '1.45') AS question, answer AS original FROM q""",
-    "strip_prior": f"WITH {trajectory.ITEMS} SELECT category, seq, track, window_index, answer, replace({_ASK}, 'Assume every player is 1.93 meters tall. ', '') AS question, 1 AS removed FROM items WHERE answer IS NOT NULL AND category <> 'time'",
+SELECT *, CASE WHEN highs >= 3 THEN 'S' WHEN lows >= 3 THEN 'N' WHEN live < 3 THEN 'limited' ELSE 'I' END AS verdict FROM g""",
+    "rescale_prior": f"""WITH {trajectory.ITEMS} SELECT category, seq, track, window_index, CASE WHEN category = 'time' THEN answer ELSE printf('%.1f', CAST(answer AS DOUBLE) * 1.45::DOUBLE / 1.93::DOUBLE) END AS answer, {_ask("category", texts.PRIOR.format(1.45))} AS question, answer AS original,
+  CASE WHEN category = 'time' THEN 'invariant' ELSE 'rescaled' END AS effect FROM items WHERE answer IS NOT NULL""",
+    "strip_prior": f"WITH {trajectory.ITEMS} SELECT category, seq, track, window_index, answer, {_ask('category', None)} AS question, 1 AS removed FROM items WHERE answer IS NOT NULL AND category <> 'time'",
     "frame_modes": f"""WITH {A.DETECTIONS}, {trajectory.WINDOWS}, w AS (SELECT seq, window_index, [f0, f0 + 20, f0 + 40, f0 + 60] AS fr FROM windows
 ), e AS (SELECT seq, window_index, fr, unnest(fr) AS x, unnest([0, 1, 2, 3]) AS i FROM w
 ), s AS (SELECT seq, window_index, fr, list(x ORDER BY sha256(seq || '/' || window_index || '|' || i), x) AS m FROM e GROUP BY ALL)

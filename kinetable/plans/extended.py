@@ -17,9 +17,9 @@ def _r(df: DataFrame, n: int = 6) -> DataFrame:
 
 
 def _paths(spark: SparkSession, sf_dir: str):
-    det, clips, w = trajectory._base(spark, sf_dir)
-    m = geo.body_metrics(det, clips, w).where("part = 'full'").select("seq", "track", "window_index", F.col("path_px").alias("path"))
-    court = geo.court_metrics(det, clips, w, A.homographies(clips)).select("seq", "track", "window_index", F.round("path_m", 6).alias("path"))
+    det, clips, _ = trajectory._base(spark, sf_dir)
+    m = geo.body_metrics(det, clips).where("part = 'full'").select("seq", "track", "window_index", F.col("path_px").alias("path"))
+    court = geo.court_metrics(det, clips, A.homographies(clips)).select("seq", "track", "window_index", F.round("path_m", 6).alias("path"))
     return clips, m, court
 
 
@@ -41,12 +41,17 @@ def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     det, _, w = trajectory._base(spark, sf_dir)
     frames = w.select("seq", "window_index", F.explode("frames").alias("frame"))
-    return more.crop_rect(det.join(frames, ["seq", "frame"]), ["seq", "track", "window_index"], 1920, 400)
+    return more.crop_rect(det.join(frames, ["seq", "frame"]), ["seq", "track", "window_index"], 1920, 1080, 320, 130, 0.9)
+
+
+def accel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    det, clips, _ = trajectory._base(spark, sf_dir)
+    return _r(more.accel_events(geo.body_metrics(det, clips)))
 
 
 def accel_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det, clips, w = trajectory._base(spark, sf_dir)
-    return more.accel_visual(geo.body_metrics(det, clips, w), w)
+    det, clips, _ = trajectory._base(spark, sf_dir)
+    return more.accel_visual(more.accel_events(geo.body_metrics(det, clips)))
 
 
 def item_ratio_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +74,7 @@ def paired_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "clip_scale": clip_scale, "px_answers": px_answers, "dense_windows": dense_windows, "crop_rects": crop_rects, "accel_visual": accel_visual, "item_ratio_shares": item_ratio_shares,
+    "clip_scale": clip_scale, "px_answers": px_answers, "dense_windows": dense_windows, "crop_rects": crop_rects, "accel_events": accel_events, "accel_visual": accel_visual, "item_ratio_shares": item_ratio_shares,
     "align_predictions": align_predictions, "arm_vs_base": arm_vs_base, "paired_statistics": paired_statistics,
 }
 _COURT = trajectory.ORACLES["court_metrics"].removeprefix("WITH ")
@@ -83,18 +88,22 @@ SELECT seq, n, round(k, 5) AS k, round(spread, 5) AS spread, n >= 20 AND spread
 ), s AS (SELECT *, sqrt(pow(sx - lag(sx) OVER o, 2) + pow(sy - lag(sy) OVER o, 2)) AS step FROM p WINDOW o AS (PARTITION BY seq, track, window_index ORDER BY frame))
 SELECT seq, track, CAST(window_index AS INT) AS window_index, round(sum(step), 6) AS path FROM s GROUP BY ALL HAVING count(*) = 16 AND bool_and(ok)""",
     "crop_rects": f"""WITH {A.DETECTIONS}, {trajectory.WINDOWS}, f AS (SELECT seq, window_index, unnest([f0, f0 + 20, f0 + 40, f0 + 60]) AS frame FROM windows
-), g AS (SELECT seq, track, window_index, round_even(greatest(0, min(x) - 20), 0) AS l, round_even(greatest(0, min(y) - 20), 0) AS t, round_even(least(1920, max(x + w) + 20), 0) AS r, round_even(least(400, max(y + h) + 20), 0) AS b FROM detections JOIN f USING (seq, frame) GROUP BY ALL
-), k AS (SELECT *, r - l <= 0.9 * 1920 / 2 AND b - t <= 0.9 * 400 / 2 AS ok FROM g)
-SELECT seq, track, window_index, CASE WHEN ok THEN l END AS "left", CASE WHEN ok THEN t END AS top, CASE WHEN ok THEN r END AS "right", CASE WHEN ok THEN b END AS bottom FROM k""",
-    "item_ratio_shares": f"""WITH {scoring._PAIRS}, r AS (SELECT model, category, pc / (100 * pm) AS r, pc FROM wide WHERE pc IS NOT NULL AND pm > 0)
-SELECT model, category, count(*) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.75), 6) AS q3, round(avg((r BETWEEN 0.5 AND 2)::INT), 6) AS share_2, round(avg((r BETWEEN 0.8 AND 1.25)::INT), 6) AS share_125,
+), g AS (SELECT seq, track, window_index, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM detections JOIN f USING (seq, frame) GROUP BY ALL
+), k AS (SELECT *, x1 - x0 <= 320 * 0.9 AND y1 - y0 <= 130 * 0.9 AS ok FROM g)
+SELECT seq, track, window_index, CASE WHEN ok THEN CAST(round_even(least(greatest((x0 + x1) / 2 - 160, 0), 1600), 0) AS INT) END AS "left", CASE WHEN ok THEN CAST(round_even(least(greatest((y0 + y1) / 2 - 65, 0), 950), 0) AS INT) END AS top, CASE WHEN ok THEN 320 END AS w, CASE WHEN ok THEN 130 END AS h FROM k""",
+    "accel_events": f"""WITH {trajectory.METRICS}, e AS (SELECT seq, track, window_index, max(a) FILTER (part = 'first') AS a, max(b) FILTER (part = 'second') AS b, max(speed) FILTER (part = 'first') AS v1, max(speed) FILTER (part = 'second') AS v2 FROM metrics GROUP BY ALL)
+SELECT seq, track, window_index, a, b, round(v1, 6) AS v1, round(v2, 6) AS v2, v2 > v1 AS up FROM e WHERE v1 > 0 AND v2 > 0 AND greatest(v1, v2) / least(v1, v2) >= 1.35""",
+    "item_ratio_shares": f"""WITH {scoring._PAIRS}, r AS (SELECT model, category, pc, CASE WHEN pm > 0 THEN pc / (100 * pm) END AS r FROM wide WHERE rm IS NOT NULL AND rc IS NOT NULL)
+SELECT model, category, count(*) AS n_items, count(r) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.75), 6) AS q3, round(avg((r BETWEEN 0.5 AND 2)::INT), 6) AS share_2, round(avg((r BETWEEN 0.8 AND 1.25)::INT), 6) AS share_125,
   count(DISTINCT pc) AS distinct_cm FROM r GROUP BY model, category""",
     "align_predictions": f"WITH {A.PREDICTIONS} SELECT item, category, CASE WHEN item % 5 <> 0 THEN raw_answer END AS raw_answer, item % 5 <> 0 AS observed FROM predictions WHERE arm = 'm'",
     "arm_vs_base": f"""WITH {scoring.SCORED}, o AS (SELECT model, item, arm, coalesce(score >= 70, false) AND NOT (arm = 'cm' AND item % 300 = 1) AS ok FROM scored
 ), g AS (SELECT a.model, count(*) FILTER (a.ok AND NOT b.ok) AS only_arm, count(*) FILTER (NOT a.ok AND b.ok) AS only_base FROM o a JOIN o b ON a.item = b.item AND a.arm = 'cm' AND b.arm = 'm' GROUP BY 1)
 SELECT *, round(CASE WHEN only_arm + only_base = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_arm, only_base) + 1), lambda i: exp(lgamma(only_arm + only_base + 1) - lgamma(i + 1) - lgamma(only_arm + only_base - i + 1) - (only_arm + only_base) * ln(2))))) END, 5) AS p FROM g""",
     "paired_statistics": f"""WITH {scoring.SCORED}, w AS (
-  SELECT a.model, a.category, a.prediction AS pa, b.prediction AS pb, a.reference_value / nullif(b.reference_value, 0) AS ex, coalesce(a.score, 0) - coalesce(b.score, 0) AS d FROM scored a JOIN scored b ON a.item = b.item AND a.model = b.model AND a.arm = 'cm' AND b.arm = 'm' WHERE a.item % 19 <> 0
-) SELECT model, category, count(*) AS common, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS parsed, round(median(pa / pb) FILTER (pb > 0), 6) AS ratio, round(median(ex) FILTER (pa IS NOT NULL AND pb > 0), 6) AS expected,
-  round(median(pa / pb / ex) FILTER (pb > 0), 6) AS normalised, round(avg(d), 6) AS delta_tmra, count(*) FILTER (pa IS NOT NULL AND pb <= 0) AS non_positive FROM w GROUP BY model, category""",
+  SELECT a.model, a.category, a.prediction AS pa, b.prediction AS pb, a.reference_value AS ra, b.reference_value AS rb, a.reference_value / nullif(b.reference_value, 0) AS ex, coalesce(a.score, 0) - coalesce(b.score, 0) AS d FROM scored a JOIN scored b ON a.item = b.item AND a.model = b.model AND a.arm = 'cm' AND b.arm = 'm' WHERE a.item % 19 <> 0
+), p AS (SELECT * FROM w WHERE pa IS NOT NULL AND pb IS NOT NULL), {scoring._sql_rho("p", "model, category", "pa", "ra", "xa")}, {scoring._sql_rho("p", "model, category", "pb", "rb", "xb")},
+g AS (SELECT model, category, count(*) AS common, count(*) FILTER (pa IS NOT NULL AND pb IS NOT NULL) AS parsed, round(median(pa / pb) FILTER (pb > 0), 6) AS ratio, round(median(ex) FILTER (pa IS NOT NULL AND pb > 0), 6) AS expected,
+  round(median(pa / pb / ex) FILTER (pb > 0), 6) AS normalised, round(avg(d), 6) + 0 AS delta_tmra, round(avg(d) FILTER (pa IS NOT NULL AND pb IS NOT NULL), 6) + 0 AS delta_tmra_parsed, count(*) FILTER (pa IS NOT NULL AND pb <= 0) AS non_positive, count(*) FILTER (pa < 0 AND pb > 0) AS negative FROM w GROUP BY model, category)
+SELECT g.*, round(xa.rho - xb.rho, 6) + 0 AS delta_rho FROM g LEFT JOIN xa USING (model, category) LEFT JOIN xb USING (model, category)""",
 }

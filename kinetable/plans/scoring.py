@@ -88,15 +88,15 @@ def paired_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paired_relational(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = A.table(spark, sf_dir, "conversations").where("turn < 2")
+    c = A.table(spark, sf_dir, "conversations")
     letter = F.when(F.length("text") % 11 == 0, None).when(F.length("text") % 3 == 0, " b ").when(F.length("text") % 7 == 0, "other").otherwise("A")
-    rows = c.select((F.col("conv_id") % 4).alias("fold"), F.col("conv_id").alias("pair_id"), F.when(F.col("turn") == 0, "orig").otherwise("twin").alias("pair_role"), letter.alias("letter"), F.when(F.col("turn") == 0, "A").otherwise("B").alias("truth"))
+    rows = c.select((F.col("conv_id") % 4).alias("fold"), (F.col("conv_id") * 1000 + F.floor(F.col("turn") / 2)).alias("pair_id"), F.when(F.col("turn") % 2 == 0, "orig").otherwise("twin").alias("pair_role"), letter.alias("letter"), F.when(F.col("turn") % 2 == 0, "A").otherwise("B").alias("truth"))
     return _rounded(paired.paired_relational_score(rows, ["fold"]))
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _scored(spark, sf_dir).withColumn("cluster", F.col("item") % 40)
-    return _rounded(resample.bootstrap_mean(rows, ["model", "arm"], "cluster", "score"))
+    rows = _scored(spark, sf_dir).withColumn("cluster", F.col("item") % 40).withColumn("value", F.coalesce("score", F.lit(0.0)))
+    return _rounded(resample.bootstrap(rows, ["model", "arm"], "cluster", ["value"], resample.mean))
 
 
 def seed_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ _PROBE = """probe AS (
     SELECT p_partkey % 9 AS h, pair, factor, (p_partkey % 400 + 5) / 8.0::DOUBLE AS value, (p_partkey % 400 + 5) / 8.0::DOUBLE * factor AS target
     FROM part, (VALUES ('m_cm', 100.0::DOUBLE), ('cm_m', 0.01::DOUBLE), ('m_km', 0.001::DOUBLE), ('km_m', 1000.0::DOUBLE)) u(pair, factor))
 ), classed AS (
-  SELECT *, abs(target) >= 0.05 AND abs(round(value, 1) - round(target, 1)) >= 0.1 AND abs(value - target) >= 0.05 AS diagnostic,
+  SELECT *, abs(target) >= 0.05 AND abs(CAST(printf('%.1f', value) AS DOUBLE) - CAST(printf('%.1f', target) AS DOUBLE)) >= 0.1 AND abs(value - target) >= 0.05 AS diagnostic,
     CASE WHEN prediction IS NULL THEN 'unparsed' WHEN abs(prediction - target) < 0.05 THEN 'correct' WHEN prediction <= 0 OR target <= 0 THEN 'other' WHEN abs(log10(prediction / value)) < 0.02 THEN 'identity'
       WHEN abs(log10(prediction * factor / value)) < 0.02 THEN 'wrong_direction' WHEN round(log10(prediction / target)) <> 0 AND abs(log10(prediction / target) - round(log10(prediction / target))) < 0.02 THEN 'decade_error' ELSE 'other' END AS class
   FROM probe
@@ -197,35 +197,35 @@ SELECT {_C}, expected, observed, parsed, observed - parsed AS invalid, expected
     "evaluate_summary": f"""WITH {A.PREDICTIONS}, r AS (
   SELECT CASE WHEN category LIKE 'dynamics_speed%' THEN 'speed' ELSE 'path' END AS grp, item % 13 <> 0 AS seen, raw_answer, CAST(CAST(reference_value AS DECIMAL(12,1)) AS VARCHAR) AS answer,
     try_cast(nullif(regexp_extract(raw_answer, '{fn.FIRST}'), '') AS DOUBLE) AS p, CAST(CAST(reference_value AS DECIMAL(12,1)) AS DOUBLE) AS g FROM predictions WHERE arm = 'm'
-), e AS (SELECT *, seen AND (lower(trim(raw_answer)) = answer OR coalesce(abs(p - g) < 1e-6, false)) AS ok, CASE grp WHEN 'speed' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS t, CASE grp WHEN 'speed' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS f FROM r
-), s AS (SELECT *, CASE WHEN ok THEN 1.0::DOUBLE WHEN seen AND p IS NOT NULL THEN list_sum(list_transform([{", ".join(repr(1.0 - x) + "::DOUBLE" for x in fn.THETAS)}], lambda q: CASE WHEN (abs(p - g) - t) / greatest(abs(g), f) < q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 10 ELSE 0.0::DOUBLE END AS tm FROM e)
-SELECT coalesce(grp, 'overall') AS grp, count(*) AS n, round(avg(seen::INT), 6) AS coverage, round(avg(ok::INT), 6) AS exact_accuracy, round(avg(tm), 6) AS tmra FROM s GROUP BY GROUPING SETS ((grp), ())""",
+), e AS (SELECT *, seen AND (lower(trim(raw_answer)) = answer OR coalesce(abs(p - g) < 1e-6, false)) AS ok, CASE grp WHEN 'speed' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS t, (NOT seen OR p IS NULL)::INT AS failed FROM r
+), s AS (SELECT *, CASE WHEN ok THEN 1.0::DOUBLE WHEN seen AND p IS NOT NULL THEN list_sum(list_transform([{", ".join(repr(1.0 - x) + "::DOUBLE" for x in fn.THETAS)}], lambda q: CASE WHEN (abs(p - g) - t) / abs(g) < q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 10 ELSE 0.0::DOUBLE END AS tm FROM e)
+SELECT coalesce(grp, 'overall') AS grp, count(*) AS n, round(avg(seen::INT), 6) AS coverage, CAST(sum(failed) AS BIGINT) AS parse_failures, CAST(NULL AS DOUBLE) AS within_30cm, round(avg(ok::INT), 6) AS exact_accuracy, round(avg(tm), 6) AS tmra FROM s GROUP BY GROUPING SETS ((grp), ())""",
     "paired_ratio": f"""WITH {_PAIRS}, r AS (SELECT model, category, pc / pm AS r, rc / nullif(rm, 0) AS ref FROM wide WHERE pc IS NOT NULL AND pm > 0
 ), k AS (SELECT *, row_number() OVER (PARTITION BY model, category ORDER BY r) AS i, count(*) OVER (PARTITION BY model, category) AS n FROM r)
 SELECT model, category, count(*) AS n, round(median(r), 6) AS median, round(median(r) FILTER (i <= n // 2), 6) AS q1, round(median(r) FILTER (i > (n + 1) // 2), 6) AS q3, round(median(ref), 6) AS reference_median FROM k GROUP BY model, category""",
     "correlation_drop": f"""WITH {_PAIRS}, both_parsed AS (SELECT * FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL), {_sql_rho("both_parsed", "model, category", "pm", "rm", "fa")}, {_sql_rho("both_parsed", "model, category", "pc", "rc", "fb")}
-SELECT model, category, fa.n, round(fa.rho, 6) AS rho_full, round(fb.rho, 6) AS rho_other, round(fa.rho - fb.rho, 6) AS "drop" FROM fa JOIN fb USING (model, category)""",
+SELECT model, category, fa.n, round(fa.rho, 6) AS rho_full, round(fb.rho, 6) AS rho_other, round(fa.rho - fb.rho, 6) + 0 AS "drop" FROM fa JOIN fb USING (model, category)""",
     "common_cohort": f"WITH {SCORED} SELECT {_C}, count(*) AS n FROM scored WHERE item IN (SELECT item FROM scored WHERE prediction IS NOT NULL GROUP BY item HAVING count(DISTINCT arm) = 2) GROUP BY {_C}",
     "paired_contrast": f"""WITH {SCORED}, w AS (
   SELECT model, item, max((coalesce(score >= 60, false))::INT) FILTER (arm = 'm') AS a, max((coalesce(score >= 60, false) AND item % 5 <> 0)::INT) FILTER (arm = 'cm') AS b FROM scored GROUP BY ALL
 ), g AS (SELECT model, count(*) FILTER (a = 1 AND b = 1) AS "both", count(*) FILTER (a = 1 AND b = 0) AS only_a, count(*) FILTER (a = 0 AND b = 1) AS only_b, count(*) FILTER (a = 0 AND b = 0) AS neither FROM w GROUP BY model)
 SELECT *, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 5) AS p FROM g""",
     "paired_relational": """WITH rows_ AS (
-  SELECT conv_id % 4 AS fold, conv_id AS pair_id, turn = 0 AS o, CASE WHEN length(text) % 11 = 0 THEN NULL WHEN length(text) % 3 = 0 THEN 'b' WHEN length(text) % 7 = 0 THEN 'other' ELSE 'a' END AS l FROM conversations WHERE turn < 2
+  SELECT conv_id % 4 AS fold, conv_id * 1000 + turn // 2 AS pair_id, turn % 2 = 0 AS o, CASE WHEN length(text) % 11 = 0 THEN NULL WHEN length(text) % 3 = 0 THEN 'b' WHEN length(text) % 7 = 0 THEN 'other' ELSE 'a' END AS l FROM conversations
 ), pairs AS (
   SELECT fold, pair_id, max(CASE WHEN o THEN l END) AS lo, max(CASE WHEN NOT o THEN l END) AS lt, count(l) AS items, count(*) - count(l) AS missing, count(*) FILTER ((o AND l = 'a') OR (NOT o AND l = 'b')) AS ok,
     count(*) FILTER (l = 'a') AS a, count(*) FILTER (l = 'b') AS b FROM rows_ GROUP BY ALL
 ) SELECT fold, count(*) FILTER (lo IS NOT NULL AND lt IS NOT NULL) AS n_pairs, CAST(sum(items) AS BIGINT) AS n_items, CAST(sum(missing) AS BIGINT) AS n_missing, round(sum(ok) / sum(items), 6) AS item_accuracy,
   round(count(*) FILTER (lo = 'a' AND lt = 'b') / count(*) FILTER (lo IS NOT NULL AND lt IS NOT NULL), 6) AS paired_accuracy, round(count(*) FILTER (lo = lt) / count(*) FILTER (lo IS NOT NULL AND lt IS NOT NULL), 6) AS same_letter_rate,
-  round(sum(a) / sum(items), 6) AS rate_a, round(sum(b) / sum(items), 6) AS rate_b FROM pairs GROUP BY fold""",
+  round(sum(a) / sum(items), 6) AS rate_a, round(sum(b) / sum(items), 6) AS rate_b, round((sum(items) - sum(a) - sum(b)) / sum(items), 6) AS rate_other FROM pairs GROUP BY fold""",
     "bootstrap": f"""WITH {SCORED}, sums AS (
   SELECT *, row_number() OVER (PARTITION BY model, arm ORDER BY cl) - 1 AS j FROM (SELECT model, arm, item % 40 AS cl, sum(coalesce(score, 0)) AS s, count(*) AS n FROM scored GROUP BY ALL)
 ), size AS (SELECT model, arm, count(*) AS clusters, sum(s) / sum(n) AS point FROM sums GROUP BY ALL
 ), draws AS (SELECT *, unnest(range(1, clusters + 1)) AS draw FROM (SELECT *, unnest(range(1, {resample.B} + 1)) AS rep FROM size)
-), drawn AS (SELECT model, arm, rep, CAST('0x' || substr(sha256(concat_ws('|', 'boot', model, arm, rep, draw)), 1, 8) AS BIGINT) % clusters AS j FROM draws
+), drawn AS (SELECT model, arm, rep, CAST(floor({resample.draw_sql("rep", "draw")} * clusters / 4294967296) AS BIGINT) AS j FROM draws
 ), reps AS (SELECT model, arm, rep, sum(s) / sum(n) AS v FROM drawn JOIN sums USING (model, arm, j) GROUP BY ALL
 ), g AS (SELECT model, arm, list_sort(list(v)) AS vs FROM reps GROUP BY ALL)
-SELECT model, arm, clusters, round(point, 6) AS point, round(vs[{int(0.025 * resample.B) + 1}], 6) AS lo, round(vs[{int(0.975 * resample.B)}], 6) AS hi FROM g JOIN size USING (model, arm)""",
+SELECT model, arm, clusters, round(point, 6) AS point, round(vs[{int(0.025 * resample.B) + 1}], 6) AS lo, round(vs[{int(0.975 * resample.B)}], 6) AS hi, {resample.B} AS defined FROM g JOIN size USING (model, arm)""",
     "seed_spread": f"""WITH {SCORED}, c AS (SELECT {_C}, item % 3 AS seed, avg(score) AS v FROM scored GROUP BY ALL)
 SELECT {_C}, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS "range" FROM c GROUP BY {_C}""",
     "conversion_classes": f"WITH {_PROBE} SELECT pair, diagnostic, class, count(*) AS n FROM classed GROUP BY ALL",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import texts
 from ..operators import generate as G
 from ..operators import geometry as geo
 from ..sources import adapters as A
@@ -34,19 +35,20 @@ def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = geo.body_metrics(*_base(spark, sf_dir))
+    det, clips, _ = _base(spark, sf_dir)
+    m = geo.body_metrics(det, clips)
     return m.select("seq", "track", "window_index", "part", "a", "b", _r("median_h"), "stable", _r("path_px"), _r("path_m"), _r("speed"))
 
 
 def court_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det, clips, w = _base(spark, sf_dir)
-    return geo.court_metrics(det, clips, w, A.homographies(clips)).select("seq", "track", "window_index", _r("path_m"), _r("speed"))
+    det, clips, _ = _base(spark, sf_dir)
+    return geo.court_metrics(det, clips, A.homographies(clips)).select("seq", "track", "window_index", _r("path_m"), _r("speed"))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    det, clips, w = _base(spark, sf_dir)
-    m = geo.body_metrics(det, clips, w)
-    return m, G.numeric_items(m, geo.time_to_intercept(det, w, m))
+    det, clips, _ = _base(spark, sf_dir)
+    m = geo.body_metrics(det, clips)
+    return m, G.numeric_items(m, geo.time_to_intercept(det, m))
 
 
 def numeric_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,15 +60,15 @@ def drop_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accel_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.accel_swap(geo.body_metrics(*_base(spark, sf_dir)))
+    return G.accel_swap(geo.body_metrics(*_base(spark, sf_dir)[:2]))
 
 
 def faster_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.faster_pairs(geo.body_metrics(*_base(spark, sf_dir)))
+    return G.faster_pairs(geo.body_metrics(*_base(spark, sf_dir)[:2]))
 
 
 def control_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.control_arms(_items(spark, sf_dir)[1]).select("category", "seq", "track", "window_index", "arm", "unit", _r("score_tolerance"), _r("score_floor"), "answer")
+    return G.control_arms(_items(spark, sf_dir)[1]).select("category", "seq", "track", "window_index", "arm", "unit", _r("score_tolerance"), _r("score_floor"), "answer", "question")
 
 
 def mixed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,18 +171,19 @@ SELECT seq, track, window_index, role AS pair_role, CASE WHEN (v2 > v1) = (role
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY seq, a, b, win ORDER BY window_index) AS k FROM clear)
 SELECT w.seq, w.a, w.b, w.k, w.window_index AS win_window, l.window_index AS loss_window FROM ranked w JOIN ranked l ON w.seq = l.seq AND w.a = l.a AND w.b = l.b AND w.k = l.k AND w.win AND NOT l.win""",
     "control_arms": f"""WITH {ITEMS} SELECT category, seq, track, window_index, unit || '_' || prior AS arm, unit, round(CASE WHEN category = 'speed' THEN 0.3 ELSE 0.5 END::DOUBLE * factor, 6) AS score_tolerance,
-  round(CASE WHEN category = 'speed' THEN 1.0 ELSE 2.0 END::DOUBLE * factor, 6) AS score_floor, printf('%.1f', value * factor) AS answer
-  FROM items, (VALUES ('m', 1.0::DOUBLE), ('cm', 100.0::DOUBLE), ('px', 27.0::DOUBLE)) u(unit, factor), (VALUES ('height'), ('noheight')) p(prior) WHERE category IN ('speed', 'path') AND answer IS NOT NULL""",
+  round(CASE WHEN category = 'speed' THEN 1.0 ELSE 2.0 END::DOUBLE * factor, 6) AS score_floor, printf('%.1f', value * factor) AS answer,
+  '{texts.FRAMES[0]}4{texts.FRAMES[1]}2.0{texts.FRAMES[2]}' || CASE WHEN prior = 'height' THEN '{texts.PRIOR.format(1.93)}' ELSE '' END || CASE WHEN category = 'speed' THEN '{texts.ARM_ASK["speed"][0]}' || word || '{texts.ARM_ASK["speed"][1]}' ELSE '{texts.ARM_ASK["path"][0]}' || word || '{texts.ARM_ASK["path"][1]}' END || '{texts.NUMBER_ONLY}' AS question
+  FROM items, (VALUES ('m', 1.0::DOUBLE, 'meters'), ('cm', 100.0::DOUBLE, 'centimeters'), ('px', 27.0::DOUBLE, 'pixels')) u(unit, factor, word), (VALUES ('height'), ('noheight')) p(prior) WHERE category IN ('speed', 'path') AND answer IS NOT NULL""",
     "mixed_units": f"""WITH {ITEMS}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY seq, category ORDER BY sha256(concat_ws('|', 'mixed', category, seq, track, window_index))) AS r, count(*) OVER (PARTITION BY seq, category) AS n FROM items WHERE answer IS NOT NULL AND category <> 'time'
 ) SELECT category, seq, track, window_index, CASE WHEN r <= n // 2 THEN CAST(CAST(CAST(answer AS DECIMAL(20,4)) * 100 AS DECIMAL(20,1)) AS VARCHAR) ELSE answer END AS answer, CASE WHEN r <= n // 2 THEN 'cm' ELSE 'm' END AS unit FROM ranked""",
     "capped_items": f"""WITH {ITEMS}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY seq, category ORDER BY sha256(concat_ws('|', 'cap', category, seq, track, window_index))) AS r FROM items WHERE answer IS NOT NULL
 ) SELECT category, seq, track, window_index, answer FROM ranked WHERE r <= 10""",
-    "box_overlap": f"""WITH {A.DETECTIONS}, {WINDOWS}, shown AS (
+    "box_overlap": f"""WITH {A.DETECTIONS}, {ROLES}, {WINDOWS}, shown AS (
   SELECT d.* FROM detections d WHERE track <> 0 AND (seq, frame) IN (SELECT seq, unnest([f0, f0 + 20, f0 + 40, f0 + 60]) FROM windows)
 ), iou AS (
   SELECT a.seq, a.track, a.frame, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS shared, a.w * a.h + b.w * b.h AS area
-  FROM shown a JOIN detections b ON a.seq = b.seq AND a.frame = b.frame AND a.track <> b.track
+  FROM shown a JOIN (SELECT d.* FROM detections d JOIN roles r ON d.seq = r.seq AND d.track = r.track AND role = 'player') b ON a.seq = b.seq AND a.frame = b.frame AND a.track <> b.track
 ) SELECT s.seq, s.track, s.frame, round(coalesce(max(shared / (area - shared)), 0.0), 6) AS max_iou FROM shown s LEFT JOIN iou USING (seq, track, frame) GROUP BY ALL""",
 }

@@ -94,3 +94,40 @@ pred0 AS (
          CASE WHEN s = 0 THEN 'Answer: ' || number WHEN s = 1 THEN number || ' meters' WHEN c % 29 = 0 THEN 'nan' WHEN c % 31 = 0 THEN '1e400' WHEN c % 37 = 0 THEN '' ELSE number END AS raw_answer
   FROM pred1
 )"""
+
+
+def portable(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame:
+    """Rows of a SELECT that Spark and other engines read alike; tables stand in braces."""
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables})
+
+
+#: Legacy rows of every metric group: category, answer, vlm_answer, has_prediction.
+LEGACY = """
+SELECT k, category, has_prediction,
+  CASE WHEN g < 4 THEN x WHEN g = 4 THEN '(' || x || ', ' || y || ', 0.9)' WHEN g = 5 THEN CAST(k % 9 AS STRING) WHEN g = 6 THEN CASE WHEN k % 3 = 0 THEN 'A' ELSE 'B' END ELSE 'left  of it' END AS answer,
+  CASE WHEN c % 13 = 0 THEN 'none' WHEN g < 4 THEN CASE WHEN c % 3 = 0 THEN 'about ' || z || ' m' ELSE z END WHEN g = 4 THEN CASE WHEN c % 5 = 0 THEN x || ' ' || y ELSE '(' || z || ', ' || y || ', 0.9)' END
+       WHEN g = 5 THEN CAST(c % 9 AS STRING) WHEN g = 6 THEN CASE WHEN c % 2 = 0 THEN ' a ' ELSE 'B' END ELSE 'Left of IT' END AS vlm_answer
+FROM (SELECT *, CAST(CAST(t / 1e1 AS DECIMAL(12,1)) AS STRING) AS x, CAST(CAST((t % 7) / 1e1 AS DECIMAL(12,1)) AS STRING) AS y, CAST(CAST(u / 1e1 AS DECIMAL(12,1)) AS STRING) AS z,
+        CASE g WHEN 0 THEN 'distance_measurement_players' WHEN 1 THEN 'dynamics_speed_player' WHEN 2 THEN 'dynamics_path_player' WHEN 3 THEN 'dynamics_time_intercept' WHEN 4 THEN 'Localization' WHEN 5 THEN 'spatial_counting_left' WHEN 6 THEN 'relational_reasoning_dyn_faster' ELSE 'free text' END AS category
+      FROM (SELECT o_orderkey AS k, o_custkey AS c, CAST(o_custkey % 8 AS INT) AS g, o_orderkey % 31 AS t, o_orderkey % 31 + o_custkey % 7 - 3 AS u, o_orderkey % 11 <> 0 AS has_prediction FROM {orders}))"""
+
+#: Items under an old and a new truth with predictions: v1, v3, box height.
+TRUTHS = """
+SELECT model, category, item, prediction, score_tolerance, score_floor, reference_value AS v1, reference_value * (17 + item % 7) / 2e1 AS v3, 5e1 + (item * 7919) % 97 AS box_h FROM {scored} WHERE arm = 'm'"""
+
+#: Paired letters under old and new labels.
+LABELS = """
+SELECT CAST(o_custkey % 5 AS INT) AS cell, CAST(floor((o_orderkey - 1) / 2) AS BIGINT) AS pair_id, CASE WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS v1,
+  CASE WHEN o_custkey % 7 = 0 THEN NULL WHEN o_custkey % 3 = 0 THEN 'A' WHEN o_orderkey % 2 = 0 THEN 'A' ELSE 'B' END AS v3,
+  CASE WHEN o_custkey % 10 = 0 THEN NULL WHEN (o_orderkey + o_custkey % 4) % 2 = 0 THEN ' a. it is A' ELSE 'b' END AS said FROM {orders}"""
+
+#: Predictions in four frame modes of one family each, scored.
+MODES = """
+SELECT model, category, item, arm AS unit, CASE CAST(floor(item / 2) AS BIGINT) % 4 WHEN 0 THEN 'full' WHEN 1 THEN 'static4' WHEN 2 THEN 'shuffle' ELSE 'single_v2' END AS mode, prediction, reference_value, score FROM {scored}"""
+
+#: Read-then-convert answers.
+READINGS = """
+SELECT item, model, category, reference_value, CASE WHEN category LIKE 'dynamics_speed%' THEN 'cm/s' ELSE 'cm' END AS expected,
+  CASE WHEN c % 17 = 0 THEN 'no reading' ELSE r || CASE WHEN category LIKE 'dynamics_speed%' THEN ' m/s' ELSE ' m' END || ' -> ' || v || CASE WHEN c % 9 = 0 THEN ' m' WHEN category LIKE 'dynamics_speed%' THEN ' cm/s' ELSE ' cm' END || CASE WHEN c % 4 = 0 THEN '.' ELSE '' END END AS raw_answer
+FROM (SELECT o_orderkey AS item, o_custkey AS c, 'model_' || CAST(o_custkey % 3 AS STRING) AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'dynamics_speed_player' ELSE 'dynamics_path_player' END AS category, (o_orderkey % 83 + 4) / 1e1 AS reference_value,
+        CAST(CAST((o_orderkey % 83 + o_custkey % 5) / 1e1 AS DECIMAL(12,1)) AS STRING) AS r, CAST(CAST((o_orderkey % 83 + o_custkey % 5) * (9 + o_custkey % 3) AS DECIMAL(12,1)) AS STRING) AS v FROM {orders})"""

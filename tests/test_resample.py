@@ -1,5 +1,73 @@
+"""Bootstrap statistics against their plain forms on expanded rows."""
+
+import math
+import statistics as st
+
+import numpy as np
+import pytest
+
 from kinetable.operators import resample
 
 
+def plain_ranks(v):
+    return np.array([sum(x < y for x in v) + (sum(x == y for x in v) + 1) / 2 for y in v])
+
+
+def plain_rho(x, y):
+    return float(np.corrcoef(plain_ranks(x), plain_ranks(y))[0, 1])
+
+
+def expanded(v, w):
+    return {k: np.repeat(a, w) for k, a in v.items()}
+
+
 def test_replicates_of_the_reference():
     assert resample.B == 2000
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_weighted_statistics_equal_expanded_ones(seed):
+    r = np.random.default_rng(seed)
+    n = 12
+    v = {"prediction": r.integers(0, 6, n) / 2, "reference_value": r.integers(1, 7, n) / 2, "covariate": r.integers(0, 5, n) * 1.0, "score_tolerance": np.full(n, 0.3), "score_floor": np.full(n, 1.0)}
+    v |= {"numerator": r.integers(0, 9, n) * 1.0, "denominator": r.integers(-1, 4, n) * 1.0, "value": v["prediction"], "other": r.integers(0, 6, n) / 2, "other_reference": v["reference_value"]}
+    w = r.integers(0, 4, n)
+    e = expanded(v, w)
+    assert math.isclose(resample.rho(v, w), plain_rho(e["prediction"], e["reference_value"]))
+    assert math.isclose(resample.delta_rho(v, w), plain_rho(e["prediction"], e["reference_value"]) - plain_rho(e["other"], e["other_reference"]), abs_tol=1e-12)
+    assert math.isclose(resample.median(v, w), st.median(e["value"])) and math.isclose(resample.mean(v, w), e["value"].mean())
+    ratios = [a / b for a, b in zip(e["numerator"], e["denominator"], strict=True) if b > 0]
+    assert math.isclose(resample.ratio(v, w), st.median(ratios))
+
+    def score(p, y):
+        return 10.0 * sum((abs(p - y) - 0.3) / max(abs(y), 1.0) < s for s in resample.STEPS)
+
+    med = st.median(e["reference_value"])
+    want = np.mean([score(p, y) - score(med, y) for p, y in zip(e["prediction"], e["reference_value"], strict=True)])
+    assert math.isclose(resample.margin(v, w), want, abs_tol=1e-9)
+    xy, xz, yz = plain_rho(e["prediction"], e["reference_value"]), plain_rho(e["prediction"], e["covariate"]), plain_rho(e["reference_value"], e["covariate"])
+    assert math.isclose(resample.partial_rho(v, w), (xy - xz * yz) / math.sqrt((1 - xz**2) * (1 - yz**2)))
+
+
+def test_undefined_statistics():
+    one = np.ones(3)
+    assert resample.rho({"prediction": one, "reference_value": np.arange(3.0)}, one) is None
+    assert resample.ratio({"numerator": one, "denominator": -one}, one) is None
+    assert resample.margin({"prediction": one * np.nan, "reference_value": one, "score_tolerance": one, "score_floor": one}, one) is None
+
+
+def test_interval_needs_nine_tenths(spark):
+    rows = [("c", k, float(k == 0), float(k)) for k in range(5)]
+    df = spark.createDataFrame(rows, "cell string, cl int, prediction double, reference_value double")
+    got = resample.bootstrap(df, ["cell"], "cl", ["prediction", "reference_value"], resample.rho, b=400).first()
+    assert got.defined < 360 and got.lo is None and got.hi is None and got.point is not None and got.clusters == 5
+
+
+def test_ridge_finds_a_linear_target():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(120, 8))
+    y = x @ r.normal(size=8) + 0.01 * r.normal(size=120)
+    fold = np.arange(120) % 5
+    found = resample.ridge_oof(x, y, fold, [0.1, 1.0, 10.0])
+    assert np.corrcoef(found, y)[0, 1] > 0.99
+    assert abs(np.corrcoef(resample.ridge_oof(x, r.permutation(y), fold, [0.1, 1.0, 10.0]), y)[0, 1]) < 0.9
