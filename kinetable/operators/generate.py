@@ -196,6 +196,19 @@ def control_arms(items: DataFrame, dur: float = 2.0) -> DataFrame:
     )
 
 
+def soccer_arms(windows: DataFrame, scale: DataFrame, dur: float = 2.0, span: int = 50) -> DataFrame:
+    """Speed and path items of dense windows (seq, track, t, path_m, path_px) in metres, centimetres and rendered pixels; tolerances and
+    floors go with the unit, for pixels with the clip's pixels per metre ``k`` of ``scale``."""
+    arms = F.array(*(F.struct(F.lit(f"{u}_height").alias("arm"), F.lit(u).alias("unit"), F.lit(f).alias("family")) for u in ("m", "cm", "px") for f in TOLERANCE))
+    j = windows.join(scale.select("seq", "k"), "seq").withColumn("a", F.explode(arms)).select("*", "a.*")
+    speed = F.col("family") == "speed"
+    whole = F.when(F.col("unit") == "m", F.col("path_m")).when(F.col("unit") == "cm", F.col("path_m") * 100).otherwise(F.col("path_px"))
+    value, factor = whole / F.when(speed, dur).otherwise(1.0), F.when(F.col("unit") == "m", 1.0).when(F.col("unit") == "cm", 100.0).otherwise(F.col("k"))
+    t, e = (F.when(speed, TOLERANCE["speed"][i]).otherwise(TOLERANCE["path"][i]) for i in (0, 1))
+    name = F.when(speed, texts.CATEGORIES["speed"]).otherwise(texts.CATEGORIES["path"])
+    return j.select(name.alias("category"), "seq", "track", "t", F.array("t", F.col("t") + span).alias("window"), "arm", "unit", one_decimal(value).alias("answer"), value.alias("reference_value"), F.round(t * factor, 6).alias("score_tolerance"), F.round(e * factor, 6).alias("score_floor"))
+
+
 def arm_invariants(arms: DataFrame, height_m: float = 1.93) -> DataFrame:
     """(rule, violations) of controlled arms: a rounded reference scores 100, texts differ only in the unit's word, or only in
     the prior sentence, and a score doesn't change with the unit of everything in it (metres against centimetres)."""

@@ -54,9 +54,9 @@ def read_predictions(spark: SparkSession, root: str, cell_pattern: str = r"([^/]
 
 
 def read_homography(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(seq, h00..h22) from JSON files with a 3 x 3 matrix; the clip's name is the file's."""
-    raw = spark.read.schema("H_img2court_m array<array<double>>").option("multiLine", True).json(paths)
-    return raw.select(_path_part(r"([^/]+)\.json$").alias("seq"), *(F.col("H_img2court_m")[i][j].alias(f"h{i}{j}") for i in range(3) for j in range(3)))
+    """(seq, h00..h22, meta as JSON text) from JSON files with a 3 x 3 matrix; the clip's name is the file's."""
+    raw = spark.read.schema("H_img2court_m array<array<double>>, meta string").option("multiLine", True).json(paths)
+    return raw.select(_path_part(r"([^/]+)\.json$").alias("seq"), *(F.col("H_img2court_m")[i][j].alias(f"h{i}{j}") for i in range(3) for j in range(3)), "meta")
 
 
 def read_gamestate(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -71,6 +71,18 @@ def read_gamestate(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return boxes.join(images, ["clip", "image_id"])
 
 
+def read_poses(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(clip, frame, person, joints) from JSON files of a frame each, which map a person to a list of joints; the clip is the folder above."""
+    raw = spark.read.text(paths, wholetext=True).select(_path_part(r"([^/]+)/[^/]+/[^/]*$").alias("clip"), _path_part(r"([0-9]+)\.json$").cast("int").alias("frame"), F.from_json("value", "map<string,array<array<double>>>").alias("m"))
+    return raw.select("clip", "frame", F.explode("m").alias("person", "joints"))
+
+
+def read_camera(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(clip, cam, intrinsic, extrinsic) from JSON files; the camera is the file's name and the clip the folder above."""
+    raw = spark.read.schema("intrinsic array<array<double>>, extrinsic array<array<double>>").option("multiLine", True).json(paths)
+    return raw.select(_path_part(r"([^/]+)/[^/]+/[^/]*$").alias("clip"), _path_part(r"([^/]+)\.json$").alias("cam"), "intrinsic", "extrinsic")
+
+
 def file_digests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, bytes, sha256) of whole files."""
     return spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))

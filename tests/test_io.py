@@ -37,7 +37,7 @@ def test_predictions_of_complete_cells(spark, tmp_path):
 
 def test_homography_and_digests(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"H_img2court_m": [[1, 2, 3], [4, 5, 6], [7, 8, 9.5]]}))
-    assert tuple(io.read_homography(spark, f"{tmp_path}/c.json").first()) == ("c", 1, 2, 3, 4, 5, 6, 7, 8, 9.5)
+    assert tuple(io.read_homography(spark, f"{tmp_path}/c.json").first())[:10] == ("c", 1, 2, 3, 4, 5, 6, 7, 8, 9.5)
     found = io.file_digests(spark, str(tmp_path))
     assert {r.status for r in io.compare_digests(found, found).collect()} == {"same"}
     assert {r.status for r in io.compare_digests(found, found.limit(0)).collect()} == {"unrecorded"}
@@ -57,3 +57,18 @@ def test_write_items(spark, tmp_path):
     df = spark.createDataFrame([("speed", "1.0"), ("path", "2.0")], "category string, answer string")
     io.write_items(df, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").where("category = 'path'").first().answer == "2.0"
+
+
+def test_poses_and_cameras(spark, tmp_path):
+    import json
+
+    (tmp_path / "clip" / "pose_calib").mkdir(parents=True)
+    (tmp_path / "clip" / "camera_calibration").mkdir()
+    (tmp_path / "clip" / "pose_calib" / "00012.json").write_text(json.dumps({"3": [[1, 2, 3], [4, 5, 6]], "7": [[0, 0, 1]]}))
+    (tmp_path / "clip" / "camera_calibration" / "side.json").write_text(json.dumps({"intrinsic": [[2, 0, 1, 0], [0, 2, 1, 0], [0, 0, 1, 0]], "extrinsic": [[1, 0, 0, 5], [0, 1, 0, 6], [0, 0, 1, 7], [0, 0, 0, 1]]}))
+    got = {r.person: (r.clip, r.frame, r.joints) for r in io.read_poses(spark, f"{tmp_path}/clip/pose_calib/*.json").collect()}
+    assert got == {"3": ("clip", 12, [[1, 2, 3], [4, 5, 6]]), "7": ("clip", 12, [[0, 0, 1]])}
+    from kinetable.operators import poses
+
+    p = poses.projection(io.read_camera(spark, f"{tmp_path}/clip/camera_calibration/*.json")).first()
+    assert (p.clip, p.cam, p.p00, p.p02, p.p03, p.p13, p.p23) == ("clip", "side", 2, 1, 17, 19, 7)
