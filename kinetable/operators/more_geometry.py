@@ -45,8 +45,8 @@ def crop_rect(boxes: DataFrame, item: list[str], width: int, height: int, crop_w
     boxes reach over more than ``fill`` of it (0.9 for the half-size zoom)."""
     g = boxes.groupBy(*item).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max(F.col("y") + F.col("h")).alias("y1"))
     fits = (F.col("x1") - F.col("x0") <= crop_w * fill) & (F.col("y1") - F.col("y0") <= crop_h * fill)
-    at = lambda a, b, size, most: F.bround(F.least(F.greatest((F.col(a) + F.col(b)) / 2 - size / 2, F.lit(0.0)), F.lit(float(most - size)))).cast("int")
-    sides = {"left": at("x0", "x1", crop_w, width), "top": at("y0", "y1", crop_h, height), "w": F.lit(crop_w), "h": F.lit(crop_h)}
+    at = lambda a, b, size, most: F.bround(F.least(F.greatest((F.col(a) + F.col(b)) / 2 - size / 2, F.lit(0.0)), F.lit(float(most - size))))
+    sides = {"left": at("x0", "x1", crop_w, width), "top": at("y0", "y1", crop_h, height), "w": F.lit(float(crop_w)), "h": F.lit(float(crop_h))}
     return g.select(*item, *(F.when(fits, v).alias(k) for k, v in sides.items()))
 
 

@@ -286,3 +286,23 @@ def mode_match(rows: DataFrame, targets: DataFrame, cell: list[str], item: list[
     return j.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), hit(F.coalesce("mode", "global_mode")).alias("conditional_mode"), hit(F.col("global_mode")).alias("global_mode"), hit(F.col("nearest")).alias("nearest_target"), hit(fn.one_decimal(100 * F.col("reading")).cast("double")).alias("exact_x100")
     )
+
+
+def reader_partials(rows: DataFrame, cell: list[str], prediction: str, world: str, px: str, height: str) -> DataFrame:
+    """(cell, n, world_given_px, px_given_world, world_given_height): whether a reader's answers follow the world's motion or the pixels', by rank
+    partial correlations; intervals come from ``resample.bootstrap_items`` with ``partial_rho``."""
+    out = None
+    for name, y, given in (("world_given_px", world, px), ("px_given_world", px, world), ("world_given_height", world, height)):
+        one = partial_spearman(rows.where(F.col(height).isNotNull() & F.col(px).isNotNull() & F.col(world).isNotNull()), cell, prediction, y, given).select(*cell, "n", F.col("partial").alias(name))
+        out = one if out is None else out.join(one.drop("n"), cell)
+    return out
+
+
+def dissociation(text: DataFrame, visual: DataFrame, keys: list[str], value: str, ratio: str) -> DataFrame:
+    """(keys, text_n, text_median, text_q1, text_q3, visual_n, visual_median): a checkpoint's ratios on text items beside those on visual ones, also where it
+    has only one kind."""
+    q = lambda p: F.percentile(value, F.lit(p))
+    t = text.groupBy(*keys).agg(F.count(value).alias("text_n"), q(0.5).alias("text_median"), q(0.25).alias("text_q1"), q(0.75).alias("text_q3"))
+    v = visual.groupBy(*keys).agg(F.count(ratio).alias("visual_n"), F.median(ratio).alias("visual_median"))
+    n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return t.join(v, keys, "full").select(*keys, n("text_n"), "text_median", "text_q1", "text_q3", n("visual_n"), "visual_median")

@@ -78,3 +78,17 @@ def label_verdict(spread: DataFrame, cell: list[str], pool: str, new: str, old:
     g = spread.groupBy(*cell).agg(at(old, "mean").alias("old_mean"), at(new, "mean").alias("new_mean"), at(old, "range").alias("_o"), at(new, "range").alias("_n")).where("_o is not null and _n is not null")
     g = g.withColumn("difference", F.col("new_mean") - F.col("old_mean")).withColumn("widest_range", F.greatest("_o", "_n")).drop("_o", "_n")
     return g.withColumn("exceeds", F.abs("difference") > F.col("widest_range"))
+
+
+def motion_rule(cells: DataFrame, group: list[str], delta: str, distinct: str, expected: int, need: int = 3) -> DataFrame:
+    """(group, cells, defined, positive, verdict): whether answers depend on motion. Pending with fewer cells than expected; only cells with more
+    than two answers and a difference count; LIMITED under ``need`` of them, holds if as many are positive, else fails."""
+    ok = F.col(delta).isNotNull() & (F.col(distinct) > 2)
+    g = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("cells"), F.count_if(ok).alias("defined"), F.count_if(ok & (F.col(delta) > 0)).alias("positive"))
+    return g.withColumn("verdict", F.when(F.col("cells") < expected, "pending").when(F.col("defined") < need, "LIMITED").when(F.col("positive") >= need, "holds").otherwise("fails"))
+
+
+def graded_rule(cells: DataFrame, group: list[str], expected: int = 2) -> DataFrame:
+    """(group, k, verdict) of cells (converts): fixed if all convert, partial if some do, else not fixed; pending if one is absent."""
+    g = cells.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.count_if("converts").alias("k"))
+    return g.select(*group, "k", F.when(F.col("_n") < expected, "pending").when(F.col("k") == expected, "fixed").when(F.col("k") > 0, "partial").otherwise("not fixed").alias("verdict"))

@@ -157,3 +157,13 @@ def decimal_summary(rows: DataFrame, cell: list[str]) -> DataFrame:
     )
     constant = (F.col("n") >= 2) & (F.col("parsed") == F.col("n")) & (F.col("n_distinct") == 1)
     return g.withColumn("constant", constant).withColumn("mae", F.try_divide("_err", "parsed")).drop("_err")
+
+
+def reading_stats(rows: DataFrame, cell: list[str], raw: str, expected: str, reference: str) -> DataFrame:
+    """Of read-then-convert answers: n, parsed, share with the right unit's token, median of value over reading, and the rank correlation of the reading
+    with the truth."""
+    r = rows.withColumn("_p", fn.parse_read_then_convert(F.col(raw))).withColumns({"_reading": F.col("_p.reading"), "_value": F.col("_p.value")})
+    rho = spearman(r, cell, "_reading", reference).select(*cell, F.col("rho").alias("reading_rho"))
+    unit = F.when(F.col("_reading").isNotNull(), (F.col("_p.unit") == F.col(expected)).cast("double"))
+    g = r.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count("_value").alias("parsed"), F.avg(unit).alias("unit_ok"), F.median(F.when(F.col("_reading") > 0, F.try_divide("_value", "_reading"))).alias("value_over_reading"))
+    return g.join(rho, cell, "left")

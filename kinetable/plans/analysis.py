@@ -100,11 +100,7 @@ def proportions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = A.portable(spark, sf_dir, A.READINGS, "orders").withColumn("p", fn.parse_read_then_convert(F.col("raw_answer"))).select("*", "p.*")
-    rho = stats.spearman(r, CELL, "reading", "reference_value").select(*CELL, F.col("rho").alias("reading_rho"))
-    unit = F.when(F.col("reading").isNotNull(), (F.col("unit") == F.col("expected")).cast("double"))
-    g = r.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("parsed"), F.avg(unit).alias("unit_ok"), F.median(F.when(F.col("reading") > 0, F.try_divide("value", "reading"))).alias("value_over_reading"))
-    return _rounded(g.join(rho, CELL, "left"))
+    return _rounded(stats.reading_stats(A.portable(spark, sf_dir, A.READINGS, "orders"), CELL, "raw_answer", "expected", "reference_value"))
 
 
 def _unit_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,6 +145,17 @@ def label_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rules.label_verdict(spread, CELL, "arm", "cm", "m"))
 
 
+def motion_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir).withColumn("seed", (F.col("item") % 3).cast("int")).where("not (model = 'model_2' and seed = 1)")
+    cells = paired.correlation_drop(rows, ["item"], ["model", "seed", "category"], "m", "cm").withColumn("d", F.when((F.col("model") == "model_1") & (F.col("seed") > 0), None).otherwise(F.col("drop") + 1e-6))
+    return rules.motion_rule(cells.withColumn("distinct", F.lit(9)), ["model"], "d", "distinct", 6)
+
+
+def graded_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = rules.converts(_unit_cells(spark, sf_dir)).withColumn("converts", F.col("converts") & ~((F.col("model") == "model_0") & (F.col("category") == "dynamics_path_player")))
+    return rules.graded_rule(cells.where("not (model = 'model_1' and category = 'dynamics_speed_player' and seed = 0)"), ["model", "seed"])
+
+
 def arithmetic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).withColumn("ok", F.coalesce(F.col("score") >= 70, F.lit(False)) & ~((F.col("arm") == "cm") & (F.col("item") % F.when(F.col("model") == "model_0", 300).otherwise(9) == 1)))
     c = paired.arm_vs_base(rows.where("arm = 'cm'"), rows.where("arm = 'm'"), ["item"], ["model"], "ok")
@@ -156,9 +163,21 @@ def arithmetic_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.arithmetic_rule(both, ["model"], "arm", "tuned", "mixed")
 
 
+def reader_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _from_scored(spark, sf_dir, A.TRUTHS).withColumn("px", (F.col("item") * 37 % 101 + 20 * F.col("v3")).cast("double"))
+    return _rounded(paired.reader_partials(rows, CELL, "prediction", "v3", "px", "box_h"))
+
+
+def dissociation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = paired.side_by_side(_scored(spark, sf_dir), [*CELL, "item"], "arm", ["m", "cm"], ["prediction"]).where("prediction_cm is not null and prediction_m > 0")
+    r = w.withColumn("r", F.col("prediction_cm") / F.col("prediction_m"))
+    return _rounded(paired.dissociation(r.where("category = 'dynamics_speed_player'"), r.where("category <> 'dynamics_speed_player' and model <> 'model_2'"), ["model"], "r", "r"))
+
+
 QUERIES = {f.__name__: f for f in (
+    reader_partials, dissociation,
     legacy_scores, legacy_evaluation, rescore, truth_ratios, reference_delta, valid_pairs, frame_contrasts, prior_diagnostics, conversion_diagnostic, exact_conversion, arm_decomposition, ratio_shares, ratio_ranges,
-    mode_match, decimal_summary, proportions, readings, converts, hypotheses, replication, seed_labels, noninferiority, label_verdict, arithmetic_rule,
+    mode_match, decimal_summary, proportions, readings, converts, hypotheses, replication, seed_labels, noninferiority, label_verdict, arithmetic_rule, motion_rule, graded_rule,
 )}
 
 _LEGACY = A.LEGACY.format(orders="orders")
@@ -208,6 +227,11 @@ parsed_truths AS (SELECT * FROM truths WHERE prediction IS NOT NULL), {_sql_rho(
 g AS (SELECT {_CELL}, count(*) AS n, avg(coalesce({_sql_score("prediction", "v1", "score_tolerance", "score_floor")}, 0)) AS t1, avg(coalesce({_sql_score("prediction", "v3", "score_tolerance", "score_floor")}, 0)) AS t3 FROM truths GROUP BY ALL)
 SELECT model, category, g.n, round(t1, 6) AS tmra_old, round(t3, 6) AS tmra_new, round(a.rho, 6) AS rho_truths, round(b.rho, 6) AS rho_old_covariate, round(c.rho, 6) AS rho_new_covariate, round(d.rho, 6) AS rho_old, round(e.rho, 6) AS rho_new, round((e.rho - pz.rho * yz.rho) / sqrt((1 - pz.rho * pz.rho) * (1 - yz.rho * yz.rho)), 6) AS partial_new
 FROM g JOIN a USING ({_CELL}) JOIN b USING ({_CELL}) JOIN c USING ({_CELL}) JOIN d USING ({_CELL}) JOIN e USING ({_CELL}) JOIN pz USING ({_CELL}) JOIN yz USING ({_CELL})""",
+    "reader_partials": f"""WITH {_TRUTHS}, t AS (SELECT *, CAST(item * 37 % 101 + 20 * v3 AS DOUBLE) AS px FROM truths WHERE prediction IS NOT NULL), {", ".join(_sql_rho("t", _CELL, x, y, n) for n, x, y in (("pw", "prediction", "v3"), ("pp", "prediction", "px"), ("wp", "v3", "px"), ("ph", "prediction", "box_h"), ("wh", "v3", "box_h")))}
+SELECT {_CELL}, pw.n, round((pw.rho - pp.rho * wp.rho) / sqrt((1 - pp.rho * pp.rho) * (1 - wp.rho * wp.rho)), 6) AS world_given_px, round((pp.rho - pw.rho * wp.rho) / sqrt((1 - pw.rho * pw.rho) * (1 - wp.rho * wp.rho)), 6) AS px_given_world,
+  round((pw.rho - ph.rho * wh.rho) / sqrt((1 - ph.rho * ph.rho) * (1 - wh.rho * wh.rho)), 6) AS world_given_height FROM pw JOIN pp USING ({_CELL}) JOIN wp USING ({_CELL}) JOIN ph USING ({_CELL}) JOIN wh USING ({_CELL})""",
+    "dissociation": f"""WITH {_WIDE}, r AS (SELECT model, category, pc / pm AS r FROM wide WHERE pc IS NOT NULL AND pm > 0), t AS (SELECT model, count(*) AS n, median(r) AS m, quantile_cont(r, 0.25) AS a, quantile_cont(r, 0.75) AS b FROM r WHERE category = 'dynamics_speed_player' GROUP BY 1), v AS (SELECT model, count(*) AS n, median(r) AS m FROM r WHERE category <> 'dynamics_speed_player' AND model <> 'model_2' GROUP BY 1)
+SELECT model, coalesce(t.n, 0) AS text_n, round(t.m, 6) AS text_median, round(a, 6) AS text_q1, round(b, 6) AS text_q3, coalesce(v.n, 0) AS visual_n, round(v.m, 6) AS visual_median FROM t FULL JOIN v USING (model)""",
     "truth_ratios": f"""WITH {_TRUTHS}, r AS (SELECT {_CELL}, v3 / v1 AS r, row_number() OVER (PARTITION BY {_CELL} ORDER BY v3 / v1) - 1 AS i, count(*) OVER (PARTITION BY {_CELL}) AS t FROM truths WHERE v1 > 0)
 SELECT {_CELL}, count(*) AS n, round(max(r) FILTER (i = floor(0.1::DOUBLE * t)), 6) AS p10, round(median(r), 6) AS median, round(max(r) FILTER (i = floor(0.9::DOUBLE * t) - 1), 6) AS p90 FROM r GROUP BY {_CELL}""",
     "reference_delta": f"""WITH {_TRUTHS}, {_sql_rho("truths", _CELL, "prediction", "v3", "a")}, {_sql_rho("truths", _CELL, "prediction", "v1", "b")},
@@ -263,6 +287,11 @@ SELECT model, category, CASE WHEN n < 3 THEN 'pending' WHEN r = 3 THEN 'holds at
     "noninferiority": f"WITH {_UNIT} SELECT a.model, a.category, round(a.rho, 6) AS rho, round(b.rho, 6) AS reference_rho, coalesce(a.rho >= b.rho - 0.001, false) AS ok FROM cells a JOIN cells b ON a.model = b.model AND a.category = b.category AND a.seed = 0 AND b.seed = 1",
     "label_verdict": f"""WITH {SCORED}, s AS (SELECT {_CELL}, arm, item % 3 AS seed, avg(score) AS v FROM scored GROUP BY ALL), p AS (SELECT {_CELL}, arm, avg(v) AS m, max(v) - min(v) AS r FROM s GROUP BY ALL)
 SELECT a.model, a.category, round(a.m, 6) AS old_mean, round(b.m, 6) AS new_mean, round(b.m - a.m, 6) + 0 AS difference, round(greatest(a.r, b.r), 6) AS widest_range, abs(b.m - a.m) > greatest(a.r, b.r) AS exceeds FROM p a JOIN p b ON a.model = b.model AND a.category = b.category AND a.arm = 'm' AND b.arm = 'cm'""",
+    "motion_rule": f"""WITH {_WIDE}, w AS (SELECT *, item % 3 AS seed FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL AND NOT (model = 'model_2' AND item % 3 = 1)), {_sql_rho("w", "model, seed, category", "pm", "rm", "a")}, {_sql_rho("w", "model, seed, category", "pc", "rc", "b")},
+d AS (SELECT model, CASE WHEN model = 'model_1' AND seed > 0 THEN NULL ELSE a.rho - b.rho + 1e-6 END AS d FROM a JOIN b USING (model, seed, category)), g AS (SELECT model, count(*) AS cells, count(d) AS defined, count(*) FILTER (d > 0) AS positive FROM d GROUP BY model)
+SELECT *, CASE WHEN cells < 6 THEN 'pending' WHEN defined < 3 THEN 'LIMITED' WHEN positive >= 3 THEN 'holds' ELSE 'fails' END AS verdict FROM g""",
+    "graded_rule": f"""WITH {_UNIT}, g AS (SELECT model, seed, count(*) AS n, count(*) FILTER (converts AND NOT (model = 'model_0' AND category = 'dynamics_path_player')) AS k FROM judged WHERE NOT (model = 'model_1' AND category = 'dynamics_speed_player' AND seed = 0) GROUP BY ALL)
+SELECT model, seed, k, CASE WHEN n < 2 THEN 'pending' WHEN k = 2 THEN 'fixed' WHEN k > 0 THEN 'partial' ELSE 'not fixed' END AS verdict FROM g""",
     "arithmetic_rule": f"""WITH {SCORED}, o AS (SELECT model, item, arm, coalesce(score >= 70, false) AND NOT (arm = 'cm' AND item % CASE WHEN model = 'model_0' THEN 300 ELSE 9 END = 1) AS ok FROM scored
 ), g AS (SELECT a.model, count(*) FILTER (a.ok AND NOT b.ok) AS x, count(*) FILTER (NOT a.ok AND b.ok) AS y FROM o a JOIN o b ON a.item = b.item AND a.model = b.model AND a.arm = 'cm' AND b.arm = 'm' GROUP BY 1
 ), p AS (SELECT *, CASE WHEN x + y = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(x, y) + 1), lambda i: exp(lgamma(x + y + 1) - lgamma(i + 1) - lgamma(x + y - i + 1) - (x + y) * ln(2))))) END AS p FROM g

@@ -90,7 +90,7 @@ SELECT seq, track, CAST(window_index AS INT) AS window_index, round(sum(step), 6
     "crop_rects": f"""WITH {A.DETECTIONS}, {trajectory.WINDOWS}, f AS (SELECT seq, window_index, unnest([f0, f0 + 20, f0 + 40, f0 + 60]) AS frame FROM windows
 ), g AS (SELECT seq, track, window_index, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM detections JOIN f USING (seq, frame) GROUP BY ALL
 ), k AS (SELECT *, x1 - x0 <= 320 * 0.9 AND y1 - y0 <= 130 * 0.9 AS ok FROM g)
-SELECT seq, track, window_index, CASE WHEN ok THEN CAST(round_even(least(greatest((x0 + x1) / 2 - 160, 0), 1600), 0) AS INT) END AS "left", CASE WHEN ok THEN CAST(round_even(least(greatest((y0 + y1) / 2 - 65, 0), 950), 0) AS INT) END AS top, CASE WHEN ok THEN 320 END AS w, CASE WHEN ok THEN 130 END AS h FROM k""",
+SELECT seq, track, window_index, CASE WHEN ok THEN round_even(least(greatest((x0 + x1) / 2 - 160, 0), 1600), 0) END AS "left", CASE WHEN ok THEN round_even(least(greatest((y0 + y1) / 2 - 65, 0), 950), 0) END AS top, CASE WHEN ok THEN 320.0::DOUBLE END AS w, CASE WHEN ok THEN 130.0::DOUBLE END AS h FROM k""",
     "accel_events": f"""WITH {trajectory.METRICS}, e AS (SELECT seq, track, window_index, max(a) FILTER (part = 'first') AS a, max(b) FILTER (part = 'second') AS b, max(speed) FILTER (part = 'first') AS v1, max(speed) FILTER (part = 'second') AS v2 FROM metrics GROUP BY ALL)
 SELECT seq, track, window_index, a, b, round(v1, 6) AS v1, round(v2, 6) AS v2, v2 > v1 AS up FROM e WHERE v1 > 0 AND v2 > 0 AND greatest(v1, v2) / least(v1, v2) >= 1.35""",
     "item_ratio_shares": f"""WITH {scoring._PAIRS}, r AS (SELECT model, category, pc, CASE WHEN pm > 0 THEN pc / (100 * pm) END AS r FROM wide WHERE rm IS NOT NULL AND rc IS NOT NULL)
