@@ -245,6 +245,23 @@ def test_quality(docs):
     assert quality.quality_rules(empty(docs)).count() == 0
 
 
+def test_quality_verdict(docs):
+    """``kept`` from the stated bands, whole text and chunks, by a plain restatement."""
+    import zstandard
+
+    limits = [(65536, 1.70, 8.0), (16384, 1.60, 6.0), (4096, 1.50, 4.5), (1024, 1.40, 3.5), (256, 1.15, 2.8), (0, 0.70, 2.2)]
+    ok = lambda n, r: next(a <= r <= b for start, a, b in limits if n >= start)
+    pack = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
+    for r in quality.quality_rules(docs).where("doc_id is not null").collect():
+        data = (TEXTS[r.doc_id] or "").encode()
+        parts = [data[i : i + 4096] for i in range(0, len(data), 4096)]
+        if len(parts) > 1 and len(parts[-1]) < 2048:
+            parts[-2:] = [parts[-2] + parts[-1]]
+        odd = sum(not ok(len(p), pack(p)) for p in parts)
+        band = bool(data) and ok(len(data), pack(data)) and odd <= 0.34 * len(parts)
+        assert (r.n_odd_chunks if data else 0, r.band_ok, r.kept) == (odd, band, band and not r.base_failed), r
+
+
 def test_quality_bands():
     import zstandard
 
@@ -413,6 +430,71 @@ def test_near_dedup(spark, docs, clashing):
     assert near_dedup.near_dedup(empty(docs)).count() == 0
 
 
+def test_stray_nodes_meet_a_large_group(spark):
+    """A group of many near copies (over BLOCK nodes), two strays in its buckets that are close to some of its members only, and a
+    row without an id beside one with the id -1."""
+    r = random.Random(9)
+    base = prose(200, 900).split()
+    texts = []
+    for _ in range(3 * near_dedup.BLOCK):
+        w = list(base)
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(len(w))] = r.choice(VOCAB)
+        texts.append(" ".join(w))
+    for start in (0, 120):
+        texts.append(" ".join(base[:start] + prose(70, 950 + start).split() + base[start + 70 :]))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(-1, prose(90, 960)), (None, prose(90, 960)), (None, prose(91, 961))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bags = [bag(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(bags):
+        for j in range(i):
+            low, high = sum((a & bags[j]).values()), sum((a | bags[j]).values())
+            if low >= 0.8 * high:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    found, _ = near_dedup.near_duplicates(df)
+    rows = found.collect()
+    assert {x.d: x.class_id for x in rows if not x.z and x.d >= 0} == {i: find(i) for i in range(len(texts))}
+    assert {(x.z, x.class_id) for x in rows if x.z or x.d < 0} == {(False, -1), (True, -1), (True, None)}
+    # forced apart: without any link of leaders, the comparison of blocks finds the same classes
+    texts_df = spark.createDataFrame([(bytes([i // 256, i % 256]), t) for i, t in enumerate(texts[:300])], "node binary, text string")
+    placed = texts_df.select(F.lit(b"g").alias("b"), "node", F.col("node").alias("root"), F.lit(300).cast("long").alias("n"), F.lit(299).cast("long").alias("others"), F.lit(bytes([0, 0])).alias("top"))
+    links = {frozenset((bytes(x.a), bytes(x.b))) for x in near_dedup._compared(placed, texts_df, 0.8).collect()}
+    want = {frozenset((bytes([i // 256, i % 256]), bytes([j // 256, j % 256]))) for i in range(300) for j in range(i) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    assert links == want
+
+
+def test_recall_on_given_documents(spark):
+    """All pairs of similarity 0.8 or more of the 1000 documents of the middle scale, by counting shared shingles: their classes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    bags = [bag(x.text) for x in rows]
+    size = np.array([sum(b.values()) for b in bags])
+    holders = {}
+    for i, b in enumerate(bags):
+        for k, c in b.items():
+            for n in range(c):
+                holders.setdefault((k, n), []).append(i)
+    overlap = np.zeros((len(rows), len(rows)), np.int32)
+    for who in holders.values():
+        if len(who) > 1:
+            overlap[np.ix_(who, who)] += 1
+    alike = (overlap >= 0.8 * (size[:, None] + size[None, :] - overlap)) & (size[:, None] > 0)
+    near_pairs = [(i, j) for i, j in zip(*np.nonzero(np.triu(alike, 1)), strict=True)]
+    classes = {x.d: x.class_id for x in near_dedup.near_duplicates(docs)[0].collect()}
+    caught = sum(classes[rows[i].doc_id] == classes[rows[j].doc_id] for i, j in near_pairs)
+    different = sum(rows[i].text != rows[j].text for i, j in near_pairs)
+    print(f"pairs {len(near_pairs)}, of different texts {different}, caught {caught}")
+    assert near_pairs and caught == len(near_pairs)
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(3)
     h = r.integers(0, 2**63, 60).astype(np.uint64)
@@ -452,6 +534,26 @@ def test_toxicity(spark, docs, clashing):
     assert toxicity.toxicity(empty(docs), labels).count() == 0
 
 
+def test_toxicity_on_held_out_documents(spark):
+    """Area under the curve and false alarms on the held-out fifth of the labelled documents of the largest scale."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    known = {x.doc_id: x.toxic for x in labels.where("toxic is not null").collect()}
+    got = [(x.score, known[x.doc_id]) for x in toxicity.toxicity(docs, labels).where(toxicity.held_out(F.col("doc_id"))).collect() if x.doc_id in known]
+    bad, good = [s for s, y in got if y], [s for s, y in got if not y]
+    auc = sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / (len(bad) * len(good))
+    print(f"held out: {len(bad)} toxic, {len(good)} clean, area {auc:.4f}, clean over a half {sum(s >= 0.5 for s in good)}")
+    assert auc > 0.95 and sum(s >= 0.5 for s in good) <= 0.02 * len(good)
+
+
+def test_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = [(i, ("grobian " if i % 3 == 0 else "") + prose(40, 5000 + i), int(i % 3 == 0)) for i in range(120)] + [(500, "x" * 3_000_000, 1), (501, prose(20_000, 8), 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df, df.select("doc_id", "toxic"), max_bytes=20_000)
+    assert "theta" in model or 0 <= model["share"] <= 1
+    scores = {x.doc_id: x.score for x in toxicity.score(df, toxicity.train(df, df.select("doc_id", "toxic"))).collect()}
+    assert len(scores) == 122 and all(0 <= s <= 1 for s in scores.values())
+
+
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     logit, trans = r.normal(size=7), r.normal(size=(2, 2))
