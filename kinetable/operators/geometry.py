@@ -112,8 +112,10 @@ def _at(frame: Column) -> Column:
 
 def _median_h(low: Column, high: Column) -> Column:
     """Median of the heights of the boxes in frames low to high."""
-    rows = F.filter("at", lambda r: (r["frame"] >= low) & (r["frame"] <= high) & r["h"].isNotNull())
-    h = F.array_sort(F.transform(rows, lambda r: r["h"]))
+    first = F.element_at("at", 1)["frame"]
+    start = F.greatest(low, first)
+    rows = F.slice("at", start - first + 1, F.greatest(high - start + 1, F.lit(0)))
+    h = F.array_sort(F.array_compact(rows["h"]))
     n = F.size(h)
     return F.when(n > 0, (F.get(h, F.floor((n - 1) / 2).cast("int")) + F.get(h, F.floor(n / 2).cast("int"))) / 2)
 
