@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import middle, quantiles
+
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n): keys that occur more than once."""
@@ -52,7 +54,8 @@ def audit_pool(items: DataFrame) -> DataFrame:
 
 def confound_check(items: DataFrame, answer: str, value: str) -> DataFrame:
     """(answer, n, mean, median): whether a value that shouldn't matter differs between the answers."""
-    return items.groupBy(answer).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    g = items.groupBy(answer).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return g.join(quantiles(items, [answer], {"median": (value, middle())}), answer, "left")
 
 
 def audit_pool_pair(left: DataFrame, right: DataFrame, keys: list[str], fixed: list[str], answer: str, groups: DataFrame, held_out: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as fn
+from .ranks import middle, quantiles
 from .stats import spearman
 
 #: Overlap that counts, presented frames that must have it, and the movement in rendered pixels that is little.
@@ -179,4 +180,5 @@ def alignment(instants: DataFrame) -> DataFrame:
     and the median of the matched distances; a correlation is null if a side is constant."""
     pearson = lambda a, b: F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.covar_pop(a, b) / F.when((F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.stddev_pop(a) * F.stddev_pop(b)))
     apart = F.sqrt(F.pow(F.col("ax") - F.col("bx"), 2) + F.pow(F.col("ay") - F.col("by"), 2))
-    return instants.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), pearson("ax", "bx").alias("pearson_x"), pearson("ay", "by").alias("pearson_y"), F.median(apart).alias("centroid_distance"), F.median("matched").alias("matched"))
+    g = instants.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), pearson("ax", "bx").alias("pearson_x"), pearson("ay", "by").alias("pearson_y"))
+    return g.join(quantiles(instants, ["pair"], {"centroid_distance": (apart, middle()), "matched": ("matched", middle())}), "pair", "left")

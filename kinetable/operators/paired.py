@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import answers as fn
-from .stats import partial_spearman, spearman, weighted_quantiles
+from .ranks import index, linear, middle, quantiles
+from .stats import given, partial_spearman, rank_correlations, spearman
 
 
 def side_by_side(df: DataFrame, keys: list[str], arm: str, arms: list[str], values: list[str]) -> DataFrame:
@@ -22,13 +23,11 @@ def side_by_side(df: DataFrame, keys: list[str], arm: str, arms: list[str], valu
 
 def ratio_quartiles(ratios: DataFrame, cell: list[str], r: str) -> DataFrame:
     """(cell, n, median, q1, q3): quartiles are medians of the lower and the upper half, which exclude the middle item of an odd
-    number. Ratios are counted first, so that no cell is gathered."""
-    counts = ratios.groupBy(*cell, r).agg(F.count(F.lit(1)).alias("_n"))
+    number."""
     t = F.col("_t")
     half = F.expr("_t div 2")
-    middle = lambda first, n: [first + F.floor((n - 1) / 2), first + F.floor(n / 2)]
-    q = weighted_quantiles(counts, cell, r, "_n", {"median": middle(F.lit(0), t), "q1": middle(F.lit(0), half), "q3": middle(t - half, half)})
-    n = counts.groupBy(*cell).agg(F.sum("_n").alias("n"))
+    q = quantiles(ratios, cell, {"median": (r, middle()), "q1": (r, middle(0, half)), "q3": (r, middle(t - half, half))})
+    n = ratios.groupBy(*cell).agg(F.count(r).alias("n"))
     one = F.col("n") > 1
     return n.join(q, cell).select(*cell, "n", "median", F.when(one, F.col("q1")).alias("q1"), F.when(one, F.col("q3")).alias("q3"))
 
@@ -106,12 +105,10 @@ def item_ratio_shares(scored_rows: DataFrame, item: list[str], cell: list[str])
     rows = scored_rows.withColumn("seen", F.lit(1))
     wide = side_by_side(rows, [*cell, *item], "arm", ["m", "cm"], ["prediction", "seen"]).where("seen_m = 1 and seen_cm = 1")
     r = wide.withColumn("r", F.when(F.col("prediction_m") > 0, F.col("prediction_cm") / F.when(F.col("prediction_m") > 0, 100 * F.col("prediction_m"))))
-    q = lambda p: F.percentile("r", F.lit(p))
     inside = lambda a, b: F.avg(F.col("r").between(a, b).cast("double"))
-    return r.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n_items"), F.count("r").alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), inside(0.5, 2).alias("share_2"), inside(0.8, 1.25).alias("share_125"),
-        F.count_distinct("prediction_cm").alias("distinct_cm"),
-    )
+    g = r.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_items"), F.count("r").alias("n"), inside(0.5, 2).alias("share_2"), inside(0.8, 1.25).alias("share_125"), F.count_distinct("prediction_cm").alias("distinct_cm"))
+    q = quantiles(r, cell, {"median": ("r", linear(0.5)), "q1": ("r", linear(0.25)), "q3": ("r", linear(0.75))})
+    return g.join(q, cell, "left").select(*cell, "n_items", "n", "median", "q1", "q3", "share_2", "share_125", "distinct_cm")
 
 
 def cell_ranges(cells: DataFrame, group: list[str], values: list[str]) -> DataFrame:
@@ -145,12 +142,13 @@ def paired_statistics(rows: DataFrame, item: list[str], cell: list[str], a: str,
     expected = F.try_divide(f"reference_value_{a}", f"reference_value_{b}")
     d = F.col(f"score_{a}") - F.col(f"score_{b}")
     g = w.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("common"), F.count_if(both).alias("parsed"), F.median(ratio).alias("ratio"), F.median(F.when(ok, expected)).alias("expected"), F.median(ratio / expected).alias("normalised"),
+        F.count(F.lit(1)).alias("common"), F.count_if(both).alias("parsed"),
         F.avg(d).alias("delta_tmra"), F.avg(F.when(both, d)).alias("delta_tmra_parsed"), F.count_if(both & ~ok).alias("non_positive"), F.count_if(ok & (F.col(f"prediction_{a}") < 0)).alias("negative"),
     )
+    medians = quantiles(w, cell, {"ratio": (ratio, middle()), "expected": (F.when(ok, expected), middle()), "normalised": (ratio / expected, middle())})
     p = w.where(both)
     rho = [spearman(p, cell, f"prediction_{x}", f"reference_value_{x}").select(*cell, F.col("rho").alias(f"_{i}")) for i, x in enumerate((a, b))]
-    return g.join(rho[0].join(rho[1], cell), cell, "left").withColumn("delta_rho", F.col("_0") - F.col("_1")).drop("_0", "_1")
+    return g.join(medians, cell, "left").join(rho[0].join(rho[1], cell), cell, "left").withColumn("delta_rho", F.col("_0") - F.col("_1")).drop("_0", "_1")
 
 
 def reference_delta(rows: DataFrame, cell: list[str], new: str, old: str) -> DataFrame:
@@ -176,10 +174,9 @@ def rescore(rows: DataFrame, cell: list[str], new: str, old: str, covariate: str
 def truth_ratios(rows: DataFrame, cell: list[str], new: str, old: str) -> DataFrame:
     """(cell, n, p10, median, p90) of new over old truths: index-picked tenths, the usual median."""
     r = rows.where(F.col(old) > 0).select(*cell, (F.col(new) / F.col(old)).alias("r"))
-    counts = r.groupBy(*cell, "r").agg(F.count(F.lit(1)).alias("_n"))
     t = F.col("_t")
-    q = weighted_quantiles(counts, cell, "r", "_n", {"p10": [F.floor(0.1 * t)], "median": [F.floor((t - 1) / 2), F.floor(t / 2)], "p90": [F.floor(0.9 * t) - 1]})
-    return counts.groupBy(*cell).agg(F.sum("_n").alias("n")).join(q, cell)
+    q = quantiles(r, cell, {"p10": ("r", index(F.floor(0.1 * t))), "median": ("r", middle()), "p90": ("r", index(F.floor(0.9 * t) - 1))})
+    return r.groupBy(*cell).agg(F.count("r").alias("n")).join(q, cell)
 
 
 def valid_pairs(items: DataFrame, cell: list[str], new: str, old: str, said: str) -> DataFrame:
@@ -210,8 +207,9 @@ def prior_diagnostics(rows: DataFrame, item: list[str], cell: list[str], full: s
     """Another prior against the full arm on common parsed items: n, medians of both, their ratio, the difference of mean scores and
     the rank correlations with the full arm's truth."""
     w = side_by_side(rows, [*cell, *item], "arm", [full, other], ["prediction", "reference_value", "score"]).where(F.col(f"prediction_{full}").isNotNull() & F.col(f"prediction_{other}").isNotNull())
-    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.median(f"prediction_{full}").alias("median_full"), F.median(f"prediction_{other}").alias("median_other"), (F.avg(f"score_{other}") - F.avg(f"score_{full}")).alias("delta_tmra"))
-    g = g.withColumn("ratio", F.try_divide("median_other", "median_full"))
+    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), (F.avg(f"score_{other}") - F.avg(f"score_{full}")).alias("delta_tmra"))
+    medians = quantiles(w, cell, {"median_full": (f"prediction_{full}", middle()), "median_other": (f"prediction_{other}", middle())})
+    g = g.join(medians, cell, "left").withColumn("ratio", F.try_divide("median_other", "median_full"))
     for name, arm in (("rho_full", full), ("rho_other", other)):
         g = g.join(spearman(w, cell, f"prediction_{arm}", f"reference_value_{full}").select(*cell, F.col("rho").alias(name)), cell, "left")
     return g
@@ -221,7 +219,9 @@ def conversion_diagnostic(rows: DataFrame, item: list[str], cell: list[str], low
     """Centimetre answers against metre answers (both parsed, metres positive): n, share of ratios in [low, high], rank correlation of
     cm with metres and with its truth, the cm median and a hundred times the metre median."""
     w = side_by_side(rows, [*cell, *item], "arm", ["m", "cm"], ["prediction", "reference_value"]).where("prediction_cm is not null and prediction_m > 0")
-    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction_cm") / F.col("prediction_m")).between(low, high).cast("double")).alias("share_converted"), F.median("prediction_cm").alias("cm_median"), (100 * F.median("prediction_m")).alias("m_median_x100"))
+    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction_cm") / F.col("prediction_m")).between(low, high).cast("double")).alias("share_converted"))
+    medians = quantiles(w, cell, {"cm_median": ("prediction_cm", middle()), "m_median_x100": ("prediction_m", middle())})
+    g = g.join(medians.withColumn("m_median_x100", 100 * F.col("m_median_x100")), cell, "left")
     for name, x in (("rho_cm_m", "prediction_m"), ("rho_cm_reference", "reference_value_cm")):
         g = g.join(spearman(w, cell, "prediction_cm", x).select(*cell, F.col("rho").alias(name)), cell, "left")
     return g
@@ -251,8 +251,9 @@ def arm_decomposition(rows: DataFrame, item: list[str], cell: list[str], full: s
 
 def over_ratio_share(ratios: DataFrame, cell: list[str], r: str, over: float = 1.5) -> DataFrame:
     """(cell, n, median, q1, q3, share_over): linear quartiles of ratios and the share over a bound."""
-    q = lambda p: F.percentile(r, F.lit(p))
-    return ratios.groupBy(*cell).agg(F.count(r).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.avg((F.col(r) > over).cast("double")).alias("share_over"))
+    g = ratios.groupBy(*cell).agg(F.count(r).alias("n"), F.avg((F.col(r) > over).cast("double")).alias("share_over"))
+    q = quantiles(ratios, cell, {"median": (r, linear(0.5)), "q1": (r, linear(0.25)), "q3": (r, linear(0.75))})
+    return g.join(q, cell, "left").select(*cell, "n", "median", "q1", "q3", "share_over")
 
 
 def mode_match(rows: DataFrame, targets: DataFrame, cell: list[str], item: list[str]) -> DataFrame:
@@ -291,18 +292,15 @@ def mode_match(rows: DataFrame, targets: DataFrame, cell: list[str], item: list[
 def reader_partials(rows: DataFrame, cell: list[str], prediction: str, world: str, px: str, height: str) -> DataFrame:
     """(cell, n, world_given_px, px_given_world, world_given_height): whether a reader's answers follow the world's motion or the pixels', by rank
     partial correlations; intervals come from ``resample.bootstrap_items`` with ``partial_rho``."""
-    out = None
-    for name, y, given in (("world_given_px", world, px), ("px_given_world", px, world), ("world_given_height", world, height)):
-        one = partial_spearman(rows.where(F.col(height).isNotNull() & F.col(px).isNotNull() & F.col(world).isNotNull()), cell, prediction, y, given).select(*cell, "n", F.col("partial").alias(name))
-        out = one if out is None else out.join(one.drop("n"), cell)
-    return out
+    r = rank_correlations(rows, cell, {"pw": (prediction, world), "pp": (prediction, px), "ph": (prediction, height), "wp": (world, px), "wh": (world, height)})
+    n = F.col("n")
+    return r.select(*cell, "n", given("pw", "pp", "wp", n).alias("world_given_px"), given("pp", "pw", "wp", n).alias("px_given_world"), given("pw", "ph", "wh", n).alias("world_given_height"))
 
 
 def dissociation(text: DataFrame, visual: DataFrame, keys: list[str], value: str, ratio: str) -> DataFrame:
     """(keys, text_n, text_median, text_q1, text_q3, visual_n, visual_median): a checkpoint's ratios on text items beside those on visual ones, also where it
     has only one kind."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    t = text.groupBy(*keys).agg(F.count(value).alias("text_n"), q(0.5).alias("text_median"), q(0.25).alias("text_q1"), q(0.75).alias("text_q3"))
-    v = visual.groupBy(*keys).agg(F.count(ratio).alias("visual_n"), F.median(ratio).alias("visual_median"))
+    t = text.groupBy(*keys).agg(F.count(value).alias("text_n")).join(quantiles(text, keys, {"text_median": (value, linear(0.5)), "text_q1": (value, linear(0.25)), "text_q3": (value, linear(0.75))}), keys, "left")
+    v = visual.groupBy(*keys).agg(F.count(ratio).alias("visual_n")).join(quantiles(visual, keys, {"visual_median": (ratio, middle())}), keys, "left")
     n = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return t.join(v, keys, "full").select(*keys, n("text_n"), "text_median", "text_q1", "text_q3", n("visual_n"), "visual_median")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .generate import hash_order
+from .ranks import middle, quantiles
 
 
 def lowest(items: DataFrame, group: list[str], order: list[Column], wanted: DataFrame, n: str) -> DataFrame:
@@ -80,7 +81,7 @@ def pool_stats(items: DataFrame, cell: list[str], answer: str) -> DataFrame:
     """(cell, n, median, digit, digit_share): size, median answer and the most frequent first digit (ties: the lowest)."""
     v = items.withColumn("_v", F.col(answer).cast("double")).withColumn("_d", F.substring(answer, 1, 1))
     digits = v.groupBy(*cell, "_d").agg(F.count(F.lit(1)).alias("c")).groupBy(*cell).agg(F.min_by("_d", F.struct((-F.col("c")).alias("c"), "_d")).alias("digit"), F.max("c").alias("_c"))
-    g = v.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.median("_v").alias("median"))
+    g = v.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).join(quantiles(v, cell, {"median": ("_v", middle())}), cell, "left")
     return g.join(digits, cell).select(*cell, "n", "median", "digit", (F.col("_c") / F.col("n")).alias("digit_share"))
 
 
@@ -112,4 +113,5 @@ def speed_path_consistency(items: DataFrame, keys: list[str], cell: list[str], d
     ok = F.abs(F.col("p") - F.col(dur) * F.col("s")) <= 0.05 * (1 + F.col(dur)) + 1e-9
     nominal = F.abs(F.col("p") - 2.0 * F.col("s")) <= 0.15 + 1e-9
     error = F.max(F.abs(F.col("rp") - F.col(dur) * F.col("rs"))) if reference else F.lit(None).cast("double")
-    return w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count(s).alias("positive"), F.median(s).alias("median_s"), F.avg(ok.cast("double")).alias("share_consistent"), F.avg(nominal.cast("double")).alias("share_nominal"), F.count_if(ok != nominal).alias("changed"), error.alias("identity_error"))
+    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count(s).alias("positive"), F.avg(ok.cast("double")).alias("share_consistent"), F.avg(nominal.cast("double")).alias("share_nominal"), F.count_if(ok != nominal).alias("changed"), error.alias("identity_error"))
+    return g.join(quantiles(w, cell, {"median_s": (s, middle())}), cell, "left")

@@ -1,7 +1,9 @@
 """Bootstrap intervals over clusters. Draws come from integer arithmetic, so that any engine repeats them.
 
-A cell is first reduced to counts of distinct (cluster, values). Answers have one decimal, so this is as large as the grid of
-answers times the clusters, whatever the number of items. Replicates are dealt in blocks, each a small task of its own."""
+A cell is first reduced to counts of distinct (cluster, values). Cells with up to ``LIMIT`` of them are resampled in numpy, replicates being
+dealt in blocks, each a task of its own. Of larger cells nothing is gathered: each replicate is a cell of its own, its rows weighted by
+how often their cluster was drawn, and the distributed statistics of ``stats`` and ``ranks`` take (cell, replicate) as their cell. Both
+ways use the same draws and give the same results."""
 
 from __future__ import annotations
 
@@ -12,11 +14,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import answers as fn
 from ..functions.answers import STEPS
+from ..sources.shared import settled
+from .ranks import middle, quantiles, running
+from .stats import partial_spearman, spearman
 
 #: Replicates; the index picks of the interval are those of 2.5 % and 97.5 % of the defined ones, of which 90 % are needed.
 B = 2000
 BLOCK = 250
+#: Replicates of a binomial share.
+BINOMIAL = 1000
+#: Distinct (cluster, values) of a cell up to which its replicates are made in one task each block.
+LIMIT = 1 << 20
+#: Draws that are listed at a time.
+_RUN = 1 << 16
 _MOD = 1 << 32
 
 
@@ -121,6 +133,48 @@ def partial_rho(v: dict, w: np.ndarray) -> float | None:
     return None if xy is None or rest <= 1e-12 else float((xy - xz * yz) / np.sqrt(rest))
 
 
+# --- the same of rows weighted by _n, as (cell, v), for cells of any size ---------------------------------------------------
+
+
+def _spread_mean(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return rows.groupBy(*cell).agg((F.sum(F.col("_n") * F.coalesce("value", F.lit(0.0))) / F.sum("_n")).alias("v"))
+
+
+def _spread_rho(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return _weighted_rho(rows, cell, "prediction", "reference_value", "v")
+
+
+def _weighted_rho(rows: DataFrame, cell: list[str], x: str, y: str, name: str) -> DataFrame:
+    return spearman(rows, cell, x, y, "_n").select(*cell, F.col("rho").alias(name))
+
+
+def _spread_median(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return quantiles(rows, cell, {"v": ("value", middle())}, "_n")
+
+
+def _spread_ratio(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return quantiles(rows, cell, {"v": (F.when(F.col("denominator") > 0, F.try_divide("numerator", "denominator")), middle())}, "_n")
+
+
+def _spread_delta_rho(rows: DataFrame, cell: list[str]) -> DataFrame:
+    a, b = _weighted_rho(rows, cell, "prediction", "reference_value", "a"), _weighted_rho(rows, cell, "other", "other_reference", "b")
+    return a.join(b, cell).select(*cell, (F.col("a") - F.col("b")).alias("v"))
+
+
+def _spread_margin(rows: DataFrame, cell: list[str]) -> DataFrame:
+    parsed = rows.where("prediction is not null")
+    best = quantiles(parsed, cell, {"best": ("reference_value", middle())}, "_n")
+    score = lambda p: F.sum(F.col("_n") * F.coalesce(fn.tmra_scaled(F.col(p), F.col("reference_value"), F.col("score_tolerance"), F.col("score_floor")), F.lit(0.0)))
+    return parsed.join(best, cell).groupBy(*cell).agg(((score("prediction") - score("best")) / F.sum("_n")).alias("v"))
+
+
+def _spread_partial(rows: DataFrame, cell: list[str]) -> DataFrame:
+    return partial_spearman(rows, cell, "prediction", "reference_value", "covariate", "_n").select(*cell, F.col("partial").alias("v"))
+
+
+_SPREAD = {mean: _spread_mean, rho: _spread_rho, median: _spread_median, ratio: _spread_ratio, delta_rho: _spread_delta_rho, margin: _spread_margin, partial_rho: _spread_partial}
+
+
 # --- resampling -------------------------------------------------------------------------------------------------------------
 
 
@@ -132,10 +186,8 @@ def _intervals(reps: DataFrame, cell: list[str], b: int) -> DataFrame:
     return g.select(*cell, "clusters", "point", pick(F.floor(0.025 * n)).alias("lo"), pick(F.floor(0.975 * n) - 1).alias("hi"), n.alias("defined"))
 
 
-def bootstrap(rows: DataFrame, cell: list[str], cluster: str, values: list[str], stat: Callable, b: int = B) -> DataFrame:
-    """(cell, clusters, point, lo, hi, defined): whole clusters are drawn with replacement ``b`` times; ``stat`` takes the columns ``values``
-    and weights. The interval is null if under 90 % of the replicates are defined."""
-    counts = rows.groupBy(*cell, F.col(cluster).alias("_cluster"), *(F.col(v).cast("double").alias(v) for v in values)).agg(F.count(F.lit(1)).alias("_n"))
+def _replicates(counts: DataFrame, cell: list[str], values: list[str], stat: Callable, b: int) -> DataFrame:
+    """(cell, rep, clusters, v) of cells that a task can hold."""
     blocks = counts.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-b // BLOCK) - 1))))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -150,7 +202,36 @@ def bootstrap(rows: DataFrame, cell: list[str], cluster: str, values: list[str],
         return pd.DataFrame({**{c: [x] * len(out) for c, x in first.items()}, "rep": [r for r, _ in out], "clusters": clusters, "v": [x for _, x in out]}).astype({"v": float})
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in counts.select(*cell).schema)
-    reps = blocks.groupBy(*cell, "_block").applyInPandas(run, f"{schema}, rep int, clusters long, v double")
+    return blocks.groupBy(*cell, "_block").applyInPandas(run, f"{schema}, rep int, clusters long, v double")
+
+
+def _spread_replicates(counts: DataFrame, cell: list[str], stat: Callable, b: int) -> DataFrame:
+    """The same of cells that nobody holds: clusters are numbered in their order, each draw is a row, and the rows of a drawn cluster enter
+    the replicate as often as it was drawn."""
+    ids = running(counts.select(*cell, "_cluster").distinct().withColumn("_one", F.lit(1)), cell, "_cluster", "_one")
+    ids = settled(ids.select(*cell, "_cluster", F.col("_before").alias("_j"), F.col("_t").alias("clusters")))
+    size = ids.groupBy(*cell).agg(F.max("clusters").alias("clusters")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
+    runs = size.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("clusters") - 1) / _RUN))))
+    last = F.least(F.col("clusters"), (F.col("_run") + 1) * _RUN)
+    draws = runs.repartition(*cell, "rep", "_run").select(*cell, "clusters", "rep", F.explode(F.sequence(F.col("_run") * _RUN + 1, last)).alias("_d"))
+    drawn = draws.select(*cell, "rep", F.shiftrightunsigned(_draw(F.col("rep"), F.col("_d")) * F.col("clusters"), 32).alias("_j"))
+    used = drawn.groupBy(*cell, "rep", "_j").agg(F.count(F.lit(1)).alias("_times")).unionByName(ids.select(*cell, F.lit(0).alias("rep"), "_j", F.lit(1).cast("long").alias("_times")))
+    rows = counts.join(ids, [*cell, "_cluster"]).join(used, [*cell, "_j"]).withColumn("_n", F.col("_n") * F.col("_times")).drop("_times")
+    found = _SPREAD[stat](rows, [*cell, "rep"])
+    every = size.select(*cell, "clusters", "rep").unionByName(ids.groupBy(*cell).agg(F.max("clusters").alias("clusters")).withColumn("rep", F.lit(0)))
+    return every.join(found, [*cell, "rep"], "left").select(*cell, "rep", "clusters", "v")
+
+
+def bootstrap(rows: DataFrame, cell: list[str], cluster: str, values: list[str], stat: Callable, b: int = B, limit: int = LIMIT) -> DataFrame:
+    """(cell, clusters, point, lo, hi, defined): whole clusters are drawn with replacement ``b`` times; ``stat`` is one of the statistics above
+    and takes the columns ``values``. The interval is null if under 90 % of the replicates are defined."""
+    counts = rows.groupBy(*cell, F.col(cluster).alias("_cluster"), *(F.col(v).cast("double").alias(v) for v in values)).agg(F.count(F.lit(1)).alias("_n"))
+    counts = settled(counts)
+    large = counts.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > limit).select(*cell)
+    if large.isEmpty():
+        reps = _replicates(counts, cell, values, stat, b)
+    else:
+        reps = _replicates(counts.join(large, cell, "left_anti"), cell, values, stat, b).unionByName(_spread_replicates(counts.join(large, cell, "left_semi"), cell, stat, b))
     return _intervals(reps.withColumn("v", F.when(~F.isnan("v"), F.col("v"))), cell, b)
 
 
@@ -164,69 +245,40 @@ def time_block(f0: Column, fps: Column, seconds: int) -> Column:
     return F.floor(f0 / fps / seconds)
 
 
-def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = B) -> DataFrame:
-    """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates."""
-    share = F.try_divide(k, n)
-    reps = rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), share.alias("share"), F.explode(F.sequence(F.lit(1), F.lit(b))).alias("rep"))
-    h = F.transform(F.sequence(F.lit(1), F.col("n").cast("int")), lambda d: _draw(F.col("rep"), d))
-    won = F.size(F.filter(h, lambda x: x < F.col("share") * _MOD))
-    g = reps.withColumn("v", won / F.col("n")).groupBy(*cell, "n", "share").agg(F.sort_array(F.collect_list("v")).alias("_vs"))
-    return g.select(*cell, "n", "share", F.get("_vs", F.lit(int(0.025 * b))).alias("lo"), F.get("_vs", F.lit(int(0.975 * b) - 1)).alias("hi"))
-
-
-def _draw(rep: Column, draw: Column) -> Column:
-    h = (rep.cast("long") * 2654435761 + draw.cast("long") * 40503 + 12345) % _MOD
-    h = (h * 1664525 + 1013904223) % _MOD
-    h = F.floor(h / 65536).cast("long") + (h % 65536) * 65536
-    return (h * 22695477 + 1) % _MOD
-
+def binomial_quantile(u: float, n: int, k: int) -> int:
+    """The smallest number of successes whose cumulative probability of ``n`` trials with share k / n is at least ``u``. Probabilities are
+    built from the mode outwards; beyond 40 standard deviations none is left, so this costs the square root of n."""
+    if k <= 0 or k >= n:
+        return max(0, min(k, n))
+    p = k / n
+    reach = int(40 * np.sqrt(n * p * (1 - p))) + 10
+    low, high = max(0, k - reach), min(n, k + reach)
+    x = np.arange(low, high)
+    steps = np.log((n - x) / (x + 1)) + np.log(p / (1 - p))  # of the logarithm from x to x + 1
+    mass = np.r_[0.0, np.cumsum(steps)]
+    mass = np.exp(mass - mass.max())
+    upto = np.cumsum(mass) / mass.sum()
+    return low + int(np.searchsorted(upto, u, "left"))
 
-# --- probes -----------------------------------------------------------------------------------------------------------------
 
+def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = BINOMIAL) -> DataFrame:
+    """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates. A replicate is the binomial's quantile at
+    one hashed uniform; quantiles keep the order of the uniforms, so only the two picked ones are inverted."""
+    u = np.sort((uniform(np.arange(1, b + 1), np.ones(b)) + 0.5) / _MOD)
+    ends = {"lo": float(u[int(0.025 * b)]), "hi": float(u[int(0.975 * b) - 1])}
 
-def ridge_oof(x: np.ndarray, y: np.ndarray, fold: np.ndarray, alphas: list[float], inner: int = 3) -> np.ndarray:
-    """Out-of-fold predictions of a standardised ridge in dual form; the penalty is chosen by folds inside each training part."""
+    def inverted(at: float):
+        @F.pandas_udf("double")
+        def share(n: pd.Series, k: pd.Series) -> pd.Series:
+            return pd.Series([binomial_quantile(at, int(x), int(y)) / x for x, y in zip(n, k, strict=True)], dtype=float)
 
-    def fit(a, b, alpha):
-        mu, sd = a.mean(0), a.std(0) + 1e-6
-        z, m = (a - mu) / sd, b.mean()
-        w = z.T @ np.linalg.solve(z @ z.T + alpha * np.eye(len(b)), b - m)
-        return lambda q: ((q - mu) / sd) @ w + m
+        return share(F.col(n), F.col(k))
 
-    out = np.full(len(y), np.nan)
-    for f in np.unique(fold):
-        te = fold == f
-        tr = np.flatnonzero(~te)
-        if len(tr) < 4:
-            continue
-        parts = np.unique(fold[tr], return_inverse=True)[1] % inner
+    return rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), F.try_divide(k, n).alias("share"), *(inverted(at).alias(name) for name, at in ends.items()))
 
-        def loss(alpha, tr=tr, parts=parts):
-            return sum(((fit(x[tr[parts != p]], y[tr[parts != p]], alpha)(x[tr[parts == p]]) - y[tr[parts == p]]) ** 2).sum() for p in np.unique(parts) if (parts != p).any())
 
-        out[te] = fit(x[tr], y[tr], min(alphas, key=loss))(x[te])
-    return out
-
-
-def grouped_ridge(features: DataFrame, cell: list[str], group: str, vec: str, y: str, folds: int = 5, alphas: tuple = (0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0), permutations: int = 0) -> DataFrame:
-    """(cell, feature, n, rho, r2, p99): how well each feature of a cell predicts a target out of fold, groups kept together, and
-    the 99th percentile of the rank correlation with targets permuted. ``features``: (cell, feature, group, vec, y); one task a
-    (cell, feature), which holds the vectors of one probe's items: probes are fitted on a benchmark's items, hundreds to thousands."""
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["_key"])
-        x, t = np.stack(part[vec].to_numpy()).astype(float), part[y].to_numpy(float)
-        fold = np.unique(part[group].to_numpy(), return_inverse=True)[1] % folds
-        one = np.ones(len(t))
-        found = ridge_oof(x, t, fold, list(alphas))
-        null = []
-        for p in range(permutations):
-            order = np.argsort(uniform(np.full(len(t), p + 1), np.arange(1, len(t) + 1)), kind="stable")
-            null.append(weighted_rho(ridge_oof(x, t[order], fold, [alphas[len(alphas) // 2]]), t[order], one) or 0.0)
-        r2 = 1 - ((found - t) ** 2).sum() / max(((t - t.mean()) ** 2).sum(), 1e-300)
-        row = {**{c: part[c].iloc[0] for c in (*cell, "feature")}, "n": len(t), "rho": weighted_rho(found, t, one), "r2": float(r2), "p99": float(np.percentile(null, 99)) if null else None}
-        return pd.DataFrame([row]).astype({"rho": float, "p99": float})
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in features.select(*cell, "feature").schema)
-    keyed = features.withColumn("_key", F.xxhash64(group, y, vec))
-    return keyed.groupBy(*cell, "feature").applyInPandas(run, f"{schema}, n long, rho double, r2 double, p99 double")
+def _draw(rep: Column, draw: Column) -> Column:
+    h = (rep.cast("long") * 2654435761 + draw.cast("long") * 40503 + 12345) % _MOD
+    h = (h * 1664525 + 1013904223) % _MOD
+    h = F.floor(h / 65536).cast("long") + (h % 65536) * 65536
+    return (h * 22695477 + 1) % _MOD

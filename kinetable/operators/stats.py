@@ -1,44 +1,56 @@
-"""Statistics keyed by cell columns. All of them first reduce a cell to distinct values with counts, so a cell with a
-large share of the rows costs one row a task and distinct value."""
+"""Statistics keyed by cell columns. Sums and counts are partial aggregations; whatever depends on the order of a cell's values (ranks,
+quantiles, the best constant) comes from ``ranks``, which spreads a cell over all partitions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import answers as fn
+from .ranks import average_ranks, linear, middle, quantiles, running
+
+
+def rank_correlations(df: DataFrame, cell: list[str], pairs: dict[str, tuple[str, str]], weight: str | None = None) -> DataFrame:
+    """(cell, n, names): Pearson of average ranks for each named pair of columns, over the rows in which none of the columns is null; null when
+    n < 3 or a side is constant. ``weight``: how often a row counts. All columns are ranked in one exchange by (cell, column, value); no cell is in one task."""
+    columns = list(dict.fromkeys(c for p in pairs.values() for c in p))
+    named = [F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(columns)]
+    xs = [f"_x{i}" for i in range(len(columns))]
+    times = F.lit(1) if weight is None else F.col(weight)
+    counts = df.select(*cell, *named, times.alias("_c")).dropna(subset=xs).groupBy(*cell, *xs).agg(F.sum("_c").alias("_c"))
+    ranks, ranked = average_ranks(counts, cell, xs, "_c"), counts
+    for x in xs:
+        ranked = ranked.join(ranks.where(F.col("_side") == x).select(*cell, F.col("_v").alias(x), F.col("_rank").alias(f"_r{x}")), [*cell, x])
+    s = lambda a: F.sum(F.col("_c") * a)
+    r = {c: F.col(f"_r_x{i}") for i, c in enumerate(columns)}
+    sums = [s(a).alias(f"_s{i}") for i, a in enumerate(r.values())] + [s(a * a).alias(f"_q{i}") for i, a in enumerate(r.values())] + [s(r[x] * r[y]).alias(f"_p_{k}") for k, (x, y) in pairs.items()]
+    g = ranked.groupBy(*cell).agg(F.sum("_c").alias("n"), *sums)
+    n = F.col("n")
 
+    def rho(k: str, x: str, y: str):
+        a, b = columns.index(x), columns.index(y)
+        sxx, syy = (F.col(f"_q{i}") - F.col(f"_s{i}") * F.col(f"_s{i}") / n for i in (a, b))
+        return F.when((n >= 3) & (sxx > 0) & (syy > 0), (F.col(f"_p_{k}") - F.col(f"_s{a}") * F.col(f"_s{b}") / n) / F.sqrt(sxx * syy)).alias(k)
 
-def _average_ranks(counts: DataFrame, cell: list[str], v: str) -> DataFrame:
-    """(cell, v, rank) from (cell, v, c): average rank of ties."""
-    each = counts.groupBy(*cell, v).agg(F.sum("c").alias("n"))
-    before = F.sum("n").over(Window.partitionBy(*cell).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
-    return each.select(*cell, v, (before + (F.col("n") + 1) / 2).alias(f"rank_{v}"))
+    return g.select(*cell, "n", *(rho(k, x, y) for k, (x, y) in pairs.items()))
 
 
-def spearman(df: DataFrame, cell: list[str], x: str, y: str) -> DataFrame:
-    """(cell, n, rho): Pearson of average ranks, null when n < 3 or a side is constant."""
-    counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*cell, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
-    ranked = counts.join(_average_ranks(counts, cell, "x"), [*cell, "x"]).join(_average_ranks(counts, cell, "y"), [*cell, "y"])
-    s = lambda a: F.sum(F.col("c") * a)
-    a, b = F.col("rank_x"), F.col("rank_y")
-    g = ranked.groupBy(*cell).agg(F.sum("c").alias("n"), s(a).alias("sa"), s(b).alias("sb"), s(a * a).alias("saa"), s(b * b).alias("sbb"), s(a * b).alias("sab"))
-    n = F.col("n")
-    sxx, syy, sxy = F.col("saa") - F.col("sa") * F.col("sa") / n, F.col("sbb") - F.col("sb") * F.col("sb") / n, F.col("sab") - F.col("sa") * F.col("sb") / n
-    return g.select(*cell, "n", F.when((n >= 3) & (sxx > 0) & (syy > 0), sxy / F.sqrt(sxx * syy)).alias("rho"))
+def spearman(df: DataFrame, cell: list[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    """(cell, n, rho) over the rows with both values."""
+    return rank_correlations(df, cell, {"rho": (x, y)}, weight)
+
 
+def given(xy: str, xz: str, yz: str, n: Column) -> Column:
+    """Partial correlation of x and y given z from the three correlations; a constant z takes nothing away; null when n < 4 or z explains one fully."""
+    a, b = (F.coalesce(c, F.lit(0.0)) for c in (xz, yz))
+    rest = (1 - a * a) * (1 - b * b)
+    return F.when((n >= 4) & (rest > 1e-12), (F.col(xy) - a * b) / F.sqrt(F.when(rest > 0, rest)))
 
-def partial_spearman(df: DataFrame, cell: list[str], x: str, y: str, given: str) -> DataFrame:
-    """(cell, n, partial): rank correlation of x and y given a third variable; null when n < 4 or it explains one fully."""
-    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull())
-    one = spearman(full, cell, x, y).select(*cell, "n", F.col("rho").alias("xy"))
-    # a constant third variable takes nothing away
-    two = spearman(full, cell, x, given).select(*cell, F.coalesce("rho", F.lit(0.0)).alias("xz"))
-    three = spearman(full, cell, y, given).select(*cell, F.coalesce("rho", F.lit(0.0)).alias("yz"))
-    j = one.join(two, cell).join(three, cell)
-    rest = (1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz"))
-    return j.select(*cell, "n", F.when((F.col("n") >= 4) & (rest > 1e-12), (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(F.when(rest > 0, rest))).alias("partial"))
+
+def partial_spearman(df: DataFrame, cell: list[str], x: str, y: str, z: str, weight: str | None = None) -> DataFrame:
+    """(cell, n, partial): rank correlation of x and y given a third variable."""
+    j = rank_correlations(df, cell, {"xy": (x, y), "xz": (x, z), "yz": (y, z)}, weight)
+    return j.select(*cell, "n", given("xy", "xz", "yz", F.col("n")).alias("partial"))
 
 
 def scored(predictions: DataFrame) -> DataFrame:
@@ -51,10 +63,11 @@ def family_stats(scored_rows: DataFrame, cell: list[str]) -> DataFrame:
     """n, parsed, n_distinct, degenerate (two answers at most), T-MRA over all items, medians and rho of each cell."""
     g = scored_rows.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.count("prediction").alias("parsed"), F.count_distinct("prediction").alias("n_distinct"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("_s"),
-        F.median("prediction").alias("prediction_median"), F.median(F.when(F.col("prediction").isNotNull(), F.col("reference_value"))).alias("reference_median"),
     )
+    truth = F.when(F.col("prediction").isNotNull(), F.col("reference_value"))
+    medians = quantiles(scored_rows, cell, {"prediction_median": ("prediction", middle()), "reference_median": (truth, middle())})
     rho = spearman(scored_rows, cell, "prediction", "reference_value").select(*cell, "rho")
-    out = g.join(rho, cell, "left")
+    out = g.join(rho, cell, "left").join(medians, cell, "left")
     return out.select(*cell, "n", "parsed", "n_distinct", (F.col("n_distinct") <= 2).alias("degenerate"), (F.col("_s") / F.col("n")).alias("tmra"), "rho", "prediction_median", "reference_median")
 
 
@@ -64,17 +77,16 @@ def best_constant(items: DataFrame, cell: list[str]) -> DataFrame:
     radius = lambda s: F.col("score_tolerance") + F.lit(s) * F.greatest(F.abs("reference_value"), F.col("score_floor"))
     ends = F.array(*(F.struct((F.col("reference_value") + sign * radius(s)).alias("p"), F.lit(-sign).alias("d")) for s in fn.STEPS for sign in (-1, 1)))
     points = items.select(*cell, F.explode(ends).alias("e")).groupBy(*cell, F.col("e.p").alias("p")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(*cell).orderBy("p")
-    active = points.withColumn("active", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("right", F.lead("p").over(order))
-    middle = active.withColumn("mid", F.col("p") + (F.col("right") - F.col("p")) / 2).where("p < mid and mid < right")
-    best = middle.groupBy(*cell).agg(F.max(F.struct("active", (-F.col("p")).alias("_p"), "mid")).alias("b"))
+    active = running(points, cell, "p", "d", next_value=True).withColumn("active", F.col("_before") + F.col("d")).withColumnRenamed("_next", "right")
+    open_ = active.withColumn("mid", F.col("p") + (F.col("right") - F.col("p")) / 2).where("p < mid and mid < right")
+    best = open_.groupBy(*cell).agg(F.max(F.struct("active", (-F.col("p")).alias("_p"), "mid")).alias("b"))
     n = items.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
     return best.join(n, cell).select(*cell, F.col("b.mid").alias("constant"), (10.0 * F.col("b.active") / F.col("n")).alias("tmra"))
 
 
 def constant_median(scored_rows: DataFrame, cell: list[str]) -> DataFrame:
     """(cell, median, constant_tmra, margin): score of always answering the median truth, and the margin over it."""
-    med = scored_rows.groupBy(*cell).agg(F.median("reference_value").alias("median"))
+    med = quantiles(scored_rows, cell, {"median": ("reference_value", middle())})
     j = scored_rows.join(med, cell)
     c = fn.tmra_scaled(F.col("median"), F.col("reference_value"), F.col("score_tolerance"), F.col("score_floor"))
     return j.groupBy(*cell, "median").agg(F.avg(c).alias("constant_tmra"), (F.avg(F.coalesce("score", F.lit(0.0))) - F.avg(c)).alias("margin"))
@@ -82,8 +94,9 @@ def constant_median(scored_rows: DataFrame, cell: list[str]) -> DataFrame:
 
 def distribution(df: DataFrame, cell: list[str], v: str) -> DataFrame:
     """(cell, n, median, q1, q3, min, max), quartiles by linear interpolation."""
-    q = lambda p: F.percentile(v, F.lit(p))
-    return df.groupBy(*cell).agg(F.count(v).alias("n"), q(0.5).alias("median"), q(0.25).alias("q1"), q(0.75).alias("q3"), F.min(v).alias("min"), F.max(v).alias("max"))
+    g = df.groupBy(*cell).agg(F.count(v).alias("n"), F.min(v).alias("min"), F.max(v).alias("max"))
+    q = quantiles(df, cell, {"median": (v, linear(0.5)), "q1": (v, linear(0.25)), "q3": (v, linear(0.75))})
+    return g.join(q, cell, "left").select(*cell, "n", "median", "q1", "q3", "min", "max")
 
 
 def coverage_stats(items: DataFrame, predictions: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
@@ -120,17 +133,6 @@ def seed_spread(df: DataFrame, cell: list[str], v: str) -> DataFrame:
     return df.groupBy(*cell).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"))
 
 
-def weighted_quantiles(counts: DataFrame, cell: list[str], v: str, n: str, places: dict[str, list[tuple]]) -> DataFrame:
-    """(cell, names): for each name the mean of the values at given places (from 0) of the cell's ordered values, each repeated
-    ``n`` times; a place is a column of the cell's total ``_t``. No cell is ever gathered: values meet a running sum."""
-    order = Window.partitionBy(*cell).orderBy(v)
-    upto = F.sum(n).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    c = counts.groupBy(*cell, v).agg(F.sum(n).alias(n)).withColumn("_hi", upto).withColumn("_t", F.sum(n).over(Window.partitionBy(*cell)))
-    at = lambda k: F.max(F.when((k >= F.col("_hi") - F.col(n)) & (k < F.col("_hi")), F.col(v)))
-    aggs = [(sum((at(k) for k in ks[1:]), at(ks[0])) / len(ks)).alias(name) for name, ks in places.items()]
-    return c.groupBy(*cell).agg(*aggs)
-
-
 def proportions(rows: DataFrame, factors: list[str], ok: str, classes: str) -> DataFrame:
     """(factor, level, class counts, n, k, lo, hi): accuracy with Wilson intervals by each level of each factor, and over all
     rows (factor ``all``), with the count of every class as an array of (class, n)."""
@@ -165,5 +167,6 @@ def reading_stats(rows: DataFrame, cell: list[str], raw: str, expected: str, ref
     r = rows.withColumn("_p", fn.parse_read_then_convert(F.col(raw))).withColumns({"_reading": F.col("_p.reading"), "_value": F.col("_p.value")})
     rho = spearman(r, cell, "_reading", reference).select(*cell, F.col("rho").alias("reading_rho"))
     unit = F.when(F.col("_reading").isNotNull(), (F.col("_p.unit") == F.col(expected)).cast("double"))
-    g = r.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count("_value").alias("parsed"), F.avg(unit).alias("unit_ok"), F.median(F.when(F.col("_reading") > 0, F.try_divide("_value", "_reading"))).alias("value_over_reading"))
-    return g.join(rho, cell, "left")
+    g = r.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.count("_value").alias("parsed"), F.avg(unit).alias("unit_ok"))
+    over = quantiles(r, cell, {"value_over_reading": (F.when(F.col("_reading") > 0, F.try_divide("_value", "_reading")), middle())})
+    return g.join(over, cell, "left").join(rho, cell, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import paired, resample
+from ..operators import paired, probes, resample
 from ..operators import geometry as geo
 from ..sources import adapters as A
 from . import trajectory
@@ -68,16 +68,26 @@ def bootstrap_time_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 40).cast("int").alias("cell")).agg(F.count_if(F.col("o_orderkey") % 3 == 0).alias("k"), F.count(F.lit(1)).alias("n"))
-    return _rounded(resample.binomial_bootstrap(rows, ["cell"], "k", "n", 400))
+    return _rounded(resample.binomial_bootstrap(rows, ["cell"], "k", "n"))
+
+
+def _probe_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16 features (windows of an embedding) of about 500 items a cell in two clips; each third item of the first clip has a still
+    mirror, which sees half of the embedding only."""
+    e = A.table(spark, sf_dir, "embeddings").where("embedding is not null")
+    cell = F.concat(F.lit("cell_"), F.pmod(F.floor(F.col("vec_id") / 25), F.lit(max(1, e.count() // 500))).cast("string"))
+    y = F.log(F.abs(F.element_at("embedding", 1).cast("double") + F.element_at("embedding", 20)) + 0.05)
+    items = e.select(cell.alias("cell"), F.col("vec_id").alias("item"), (F.col("vec_id") % 2).alias("clip"), (F.col("vec_id") % 25).alias("grp"), y.alias("y"), F.col("embedding").alias("v"))
+    still = items.where("clip = 0 and item % 3 = 0").withColumns({"still": F.lit(True), "v": F.transform("v", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0)))})
+    both = items.withColumn("still", F.lit(False)).unionByName(still)
+    windows = F.array(*(F.struct(F.format_string("w%02d", F.lit(k)).alias("feature"), F.slice("v", 3 * k + 1, 16).alias("vec")) for k in range(16)))
+    return both.withColumn("f", F.explode(windows)).select("cell", "f.feature", "item", "clip", "grp", "still", "f.vec", "y")
 
 
 def ridge_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = A.table(spark, sf_dir, "embeddings")
-    # a probe has some thousand items: cells of about 500 rows
-    cells = F.concat(F.lit("cell_"), F.pmod(F.floor(F.col("vec_id") / 25), F.lit(max(1, e.count() // 500))).cast("string"))
-    first = e.select(cells.alias("cell"), F.lit("whole").alias("feature"), (F.col("vec_id") % 25).alias("grp"), F.col("embedding").alias("vec"), F.element_at("embedding", 1).cast("double").alias("y"))
-    parts = first.unionByName(first.withColumns({"feature": F.lit("last"), "vec": F.slice("vec", 33, 32)}))
-    return _rounded(resample.grouped_ridge(parts, ["cell"], "grp", "vec", "y", permutations=20), 4)
+    _, summary = probes.nested_ridge(_probe_features(spark, sf_dir), ["cell"])
+    return _rounded(summary, 6)
+
 
 
 QUERIES = {f.__name__: f for f in (bootstrap_rho, bootstrap_ratio, bootstrap_delta_rho, bootstrap_margin, bootstrap_median, bootstrap_items, bootstrap_partial, bootstrap_time_blocks, binomial, ridge_probe)}
@@ -133,6 +143,9 @@ ORACLES = {
     "bootstrap_items": f"WITH {_SPEEDS}, vals AS (SELECT seq, 1000 * track + window_index AS item, y AS x FROM speeds), {_reps('vals', 'seq', 'item')}, {_mean_reps('seq')}, {_picks('seq')}",
     "bootstrap_time_blocks": f"""WITH both_blocks AS (SELECT 1), {_SPEEDS}, vals AS (SELECT seq || '/' || s AS cell, CAST(floor(f0 / 30.0::DOUBLE / s) AS BIGINT) AS cl, p AS x FROM speeds, (VALUES (5), (10)) b(s)), {_reps('vals', 'cell', 'cl')}, {_mean_reps('cell')}, out_ AS (WITH {_picks('cell')})
 SELECT split_part(cell, '/', 1) AS seq, CAST(split_part(cell, '/', 2) AS INT) AS seconds, * EXCLUDE (cell) FROM out_""",
-    "binomial": f"""WITH c AS (SELECT CAST(o_custkey % 40 AS INT) AS cell, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1), d AS (SELECT *, unnest(range(1, n + 1)) AS draw FROM (SELECT *, unnest(range(1, 401)) AS rep FROM c)
-), v AS (SELECT cell, n, k / n AS share, rep, count(*) FILTER ({resample.draw_sql("rep", "draw")} < k / n * 4294967296) / n AS v FROM d GROUP BY cell, n, k, rep), g AS (SELECT cell, n, share, list_sort(list(v)) AS vs FROM v GROUP BY ALL) SELECT cell, n, round(share, 6) AS share, round(vs[11], 6) AS lo, round(vs[390], 6) AS hi FROM g""",
+    "binomial": f"""WITH c AS (SELECT CAST(o_custkey % 40 AS INT) AS cell, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1
+), u AS (SELECT list_sort(list(({resample.draw_sql("rep", "1")} + 0.5::DOUBLE) / 4294967296)) AS us FROM (SELECT unnest(range(1, {resample.BINOMIAL + 1})) AS rep)
+), p AS (SELECT *, CASE WHEN k = 0 THEN CAST(i = 0 AS INT) WHEN k = n THEN CAST(i = n AS INT) ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln(1 - k / n)) END AS mass FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM c)
+), f AS (SELECT *, sum(mass) OVER (PARTITION BY cell ORDER BY i) AS upto FROM p)
+SELECT cell, n, round(any_value(k / n), 6) AS share, round(min(i) FILTER (upto >= us[{int(0.025 * resample.BINOMIAL) + 1}]) / n, 6) AS lo, round(min(i) FILTER (upto >= us[{int(0.975 * resample.BINOMIAL)}]) / n, 6) AS hi FROM f, u GROUP BY cell, n""",
 }

@@ -2,9 +2,11 @@
 
 import math
 import statistics as st
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetable.operators import resample
 
@@ -63,11 +65,40 @@ def test_interval_needs_nine_tenths(spark):
     assert got.defined < 360 and got.lo is None and got.hi is None and got.point is not None and got.clusters == 5
 
 
-def test_ridge_finds_a_linear_target():
-    r = np.random.default_rng(1)
-    x = r.normal(size=(120, 8))
-    y = x @ r.normal(size=8) + 0.01 * r.normal(size=120)
-    fold = np.arange(120) % 5
-    found = resample.ridge_oof(x, y, fold, [0.1, 1.0, 10.0])
-    assert np.corrcoef(found, y)[0, 1] > 0.99
-    assert abs(np.corrcoef(resample.ridge_oof(x, r.permutation(y), fold, [0.1, 1.0, 10.0]), y)[0, 1]) < 0.9
+STATS = {
+    "mean": (resample.mean, ["value"]), "median": (resample.median, ["value"]), "rho": (resample.rho, ["prediction", "reference_value"]), "ratio": (resample.ratio, ["numerator", "denominator"]),
+    "delta_rho": (resample.delta_rho, ["prediction", "reference_value", "other", "other_reference"]), "margin": (resample.margin, ["prediction", "reference_value", "score_tolerance", "score_floor"]),
+    "partial": (resample.partial_rho, ["prediction", "reference_value", "covariate"]),
+}
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Cells with continuous and tied values, missing answers, one cluster only, and fewer rows than a statistic needs."""
+    r = np.random.default_rng(12)
+    rows = []
+    for cell, n, clusters in (("many", 120, 9), ("own", 40, 40), ("one", 25, 1), ("few", 2, 2)):
+        for i in range(n):
+            v = [round(float(x), 1) if i % 2 else float(x) for x in r.normal(3, 2, 7)]
+            rows.append((cell, i % clusters, None if i % 11 == 3 else v[0], v[1], v[2], v[3], v[4], None if i % 7 == 2 else v[5], 0.3, 1.0, v[6]))
+    return spark.createDataFrame(rows, "cell string, cl int, prediction double, reference_value double, other double, other_reference double, numerator double, denominator double, score_tolerance double, score_floor double, covariate double").withColumn("value", F.col("prediction"))
+
+
+@pytest.mark.parametrize("name", STATS)
+def test_cells_that_nobody_holds_give_the_same(odd_rows, name):
+    stat, values = STATS[name]
+    one, two = (sorted(tuple(r) for r in resample.bootstrap(odd_rows, ["cell"], "cl", values, stat, b=30, limit=limit).collect()) for limit in (resample.LIMIT, 30))
+    assert len(one) == 4 and len(one) == len(two)
+    for a, b in zip(one, two, strict=True):
+        assert a[:2] == b[:2] and a[-1] == b[-1]
+        assert a[2:5] == pytest.approx(b[2:5], abs=1e-9)
+
+
+def test_binomial_quantiles_are_exact():
+    for n, k in ((1, 0), (7, 3), (60, 1), (200, 199), (500, 250), (9, 9)):
+        mass = [math.comb(n, i) * k**i * (n - k) ** (n - i) for i in range(n + 1)]
+        for u in (1e-9, 0.0249, 0.5, 0.975, 1 - 1e-9):
+            want = next(i for i in range(n + 1) if sum(mass[: i + 1]) >= Fraction(u) * n**n)
+            assert resample.binomial_quantile(u, n, k) == want
+    big = 10**12
+    assert abs(resample.binomial_quantile(0.975, big, big // 4) - (big / 4 + 1.959964 * math.sqrt(big * 3 / 16))) < 5
