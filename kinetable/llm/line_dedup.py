@@ -9,8 +9,9 @@ that recurs in ``MIN_DOCS`` documents is dropped from all of them but the first
 Besides, a line whose tokens are exactly the same, digits too, in ``EXACT_DOCS`` documents is dropped from all but the first:
 only what is generalised needs a third document. A template's first line is also the first of its exact copies, so one stays.
 
-Lines under ``MIN_TOKENS`` tokens, which would be all prefix in the tree, and lines of scripts without spaces, which are one
-token, recur by the exact rule only.
+A line of at most ``DEPTH`` tokens is all prefix, so its leaf is its template: "Page 7" recurs as "Page <*>". That needs a field to
+generalise and a token that stays; a short line of fields only ("12"), one without a field, and a line of a script without
+spaces, which is one token, recur by the exact rule only.
 
 Copies are merged to one row per distinct line before its tokens are counted, every grouping has a partial step, and the
 rows of a hot line or leaf are spread over the tasks when they meet what was counted.
@@ -29,8 +30,6 @@ from pyspark.sql import functions as F
 from .common import discard, prepare, spread_join, stored, table
 
 DEPTH = 3
-#: Tokens of a line from which on it is generalised.
-MIN_TOKENS = 4
 MIN_DOCS = 3
 EXACT_DOCS = 2
 SIMILAR = 6
@@ -38,7 +37,7 @@ SIMILAR = 6
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(d, h, line_no, leaf, lid, exact, line): parsed lines, with fields masked; leaf, lid and exact are hashes, exact without a mask.
-    Lines under ``MIN_TOKENS`` tokens have only exact."""
+    Short lines without a field or without any other token have only exact."""
     spaced = F.col("text")
     for blank in "\t\r\f":
         spaced = F.replace(spaced, F.lit(blank), F.lit(" "))  # a split at one character takes no regular expression
@@ -49,7 +48,9 @@ def _lines(docs: DataFrame) -> DataFrame:
     parsed = lines.select("d", "h", "line_no", F.xxhash64(F.array_join(tokens, " ")).alias("exact"), masked.alias("tokens")).where(F.size("tokens") > 0)
     line = F.array_join("tokens", " ")
     tree = {"leaf": F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)), "lid": F.xxhash64(line), "line": line}
-    leaf, lid, line = (F.when(F.size("tokens") >= MIN_TOKENS, c).alias(name) for name, c in tree.items())
+    field = F.array_contains("tokens", "<*>")
+    general = (F.size("tokens") > DEPTH) | (field & F.exists("tokens", lambda t: t != "<*>"))
+    leaf, lid, line = (F.when(general, c).alias(name) for name, c in tree.items())
     return parsed.select("d", "h", "line_no", leaf, lid, "exact", line)
 
 
@@ -112,7 +113,11 @@ def line_dedup(docs: DataFrame, counted: bool = False) -> DataFrame:
     rows = docs.withColumns({"_ld_id": F.coalesce("doc_id", F.lit(-1)), "_ld_hash": F.xxhash64("text")})
     rows = rows.join(drop, (F.col("_ld_id") == F.col("_ld_d")) & (F.col("_ld_hash") == F.col("_ld_h")), "left")
     lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_ld_drop", i)), "\n")
+    # kept and dropped numbers in order beside the lines: no line looks through all dropped ones
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_drop"))
+    mark = lambda numbers, kept: F.transform(numbers, lambda i: F.struct(i.alias("i"), F.lit(kept).alias("kept")))
+    beside = F.arrays_zip(lines.alias("line"), F.array_sort(F.concat(mark(stay, True), mark(F.col("_ld_drop"), False))).alias("at"))
+    kept = F.array_join(F.transform(F.filter(beside, lambda z: z["at"]["kept"]), lambda z: z["line"]), "\n")
     text = F.when(F.col("_ld_drop").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counted:
@@ -131,7 +136,7 @@ lines AS (SELECT doc_id AS d, unnest(range(len(s))) AS line_no, unnest(s) AS raw
 ), parsed AS (
   SELECT d, line_no, list_transform(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS w, array_to_string(list_filter(string_split_regex(raw, '[ \t\r\f]+'), lambda x: x <> ''), ' ') AS exact FROM lines
 ), keyed AS (
-  SELECT d, line_no, len(w) AS n, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM parsed WHERE len(w) >= 4
+  SELECT d, line_no, len(w) AS n, concat_ws(' ', CAST(len(w) AS VARCHAR), array_to_string(w[1:3], ' ')) AS leaf, array_to_string(w, ' ') AS line FROM parsed WHERE len(w) > 3 OR (list_contains(w, '<*>') AND len(list_filter(w, lambda x: x <> '<*>')) > 0)
 ), hot AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT d) >= 3
 ), lv AS (SELECT * FROM keyed WHERE leaf IN (SELECT leaf FROM hot)
 ), dl AS (SELECT leaf, line, n, count(*) AS c, count(DISTINCT d) AS docs FROM lv GROUP BY ALL

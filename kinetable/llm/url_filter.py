@@ -31,10 +31,14 @@ DEFAULT = "allow"
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUT = ("host", "path", "rule", "verdict")
+_ESCAPES = (("\x02", "\x02\x03"), ("\x01", "\x02\x02"))
 
 
 def host_key(host: str) -> str:
-    """Canonical key: labels reversed, each closed by U+0001, so that a host's subtree is a range of keys."""
+    """Canonical key: labels reversed, each closed by U+0001, so that a host's subtree is a range of keys. A U+0001 or U+0002 of the
+    host's own is escaped by U+0002, so that no label can look closed."""
+    for mark, escaped in _ESCAPES:
+        host = host.replace(mark, escaped)
     return "".join(label + "\x01" for label in reversed(host.split("."))) if host else ""
 
 
@@ -82,7 +86,10 @@ def url_filter(df: DataFrame, rules=RULES, url_col: str = "url", default: str =
     prepare(spark)
     kept = [c for c in df.columns if c.lower() not in _OUT]
     parted = with_host_and_path(df.withColumn("_url", F.col(f"`{url_col}`")).select(*(F.col(f"`{c}`") for c in kept), "_url"), "_url").drop("_url")
-    labels = F.reverse(F.split("host", r"\."))
+    host = F.col("host")
+    for mark, escaped in _ESCAPES:
+        host = F.replace(host, F.lit(mark), F.lit(escaped))
+    labels = F.reverse(F.split(host, r"\."))
     keyed = parted.withColumn("_key", F.when(F.col("host") == "", "").otherwise(F.concat(F.array_join(labels, "\x01"), F.lit("\x01"))))
     keyed = keyed.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in kept if not isinstance(df.schema[c].dataType, (T.MapType, T.VariantType))]))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -56,8 +56,37 @@ def test_short_and_unspaced_lines(spark):
     texts = ["\n".join([own(i), *lines, "", " \t", f"Page {i}", f"Own{'abc'[i]} two"]) for i in range(3)]
     out = kept(spark, texts)
     assert all(x in out[0] for x in lines)
-    # short lines aren't generalised: the page numbers differ, and lines of one document stay
-    assert [out[i] for i in (1, 2)] == [f"{own(i)}\n\n \t\nPage {i}\nOwn{'abc'[i]} two" for i in (1, 2)]
+    # lines of one document stay, "Page 1" and "Page 2" are the template "Page <*>"
+    assert "Page 0" in out[0]
+    assert [out[i] for i in (1, 2)] == [f"{own(i)}\n\n \t\nOwn{'abc'[i]} two" for i in (1, 2)]
+
+
+def test_short_templates_need_a_field_and_a_constant(spark):
+    texts = [f"{own(i)}\nPage {i}\n{i}\n{i} {i + 1}\nSeite {i} von\n第{i}頁\n{'Chapter ' + str(i) if i < 2 else 'none here'}" for i in range(4)]
+    out = kept(spark, texts)
+    assert out[0] == texts[0]
+    for i in (1, 2, 3):
+        assert "Page" not in out[i] and "Seite" not in out[i]
+        assert f"\n{i}\n{i} {i + 1}\n第{i}頁" in out[i]
+    assert "Chapter 1" in out[1]  # two documents are too few for a template
+
+
+def test_leaf_with_two_layouts(spark):
+    """No token of the later places has a majority: lines of either layout go by their own template only."""
+    texts = [f"{own(i)}\nSent by the {'office of trade' if i % 2 else 'board for roads'} in year {i}" for i in range(8)]
+    out = kept(spark, texts)
+    assert ["Sent by" in out[i] for i in range(8)] == [True, True] + [False] * 6
+
+
+def test_document_of_very_many_lines(spark):
+    import time
+
+    many = "\n".join(f"only here {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)} x" if i % 2 else f"again {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(100_000))
+    df = spark.createDataFrame([(0, "\n".join(x for x in many.split("\n") if x.startswith("again"))), (1, many)], "doc_id long, text string")
+    start = time.time()
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(df).collect()}
+    assert out[1] == "\n".join(x for x in many.split("\n") if not x.startswith("again"))
+    assert time.time() - start < 60
 
 
 def test_hot_line_and_leaf_are_spread(spark):

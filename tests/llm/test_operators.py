@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -178,6 +179,8 @@ def test_url_filter(spark):
         assert sorted(out.columns) == ["host", "page_id", "path", "rule", "url", "verdict"]
         for r in out.collect():
             assert (r.host, r.path, r.rule, r.verdict) == judged(r.url, rules), r
+    odd = spark.createDataFrame([(i, u) for i, u in enumerate(("x://com\x01x/fr/a", "x://a.com\x01/fr/", "x://\x01com/fr/", "x://\x02.com/fr/b", "x://\x01.com/fr/b", "x://com\x00/fr/", "x://com/fr/"))], "page_id long, url string")
+    assert [r.rule for r in url_filter.url_filter(odd).orderBy("page_id").collect()] == [None, None, None, "com/fr/", "com/fr/", None, "com/fr/"]
     assert url_filter.url_filter(df, []).where("rule is not null or verdict <> 'allow'").count() == 0
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
@@ -249,8 +252,17 @@ def test_quality_verdict(docs):
     """``kept`` from the stated bands, whole text and chunks, by a plain restatement."""
     import zstandard
 
-    limits = [(65536, 1.70, 8.0), (16384, 1.60, 6.0), (4096, 1.50, 4.5), (1024, 1.40, 3.5), (256, 1.15, 2.8), (0, 0.70, 2.2)]
-    ok = lambda n, r: next(a <= r <= b for start, a, b in limits if n >= start)
+    knots = [(128, 0.70, 1.90), (512, 1.20, 1.91), (1024, 1.45, 2.06), (2048, 1.50, 2.20), (4096, 1.58, 2.31), (8192, 1.66, 2.45), (16384, 1.72, 2.65), (65536, 1.80, 3.00), (1 << 20, 1.90, 3.40)]
+
+    def ok(n, r):
+        if n <= 128 or n >= 1 << 20:
+            low, high = (knots[0] if n <= 128 else knots[-1])[1:]
+        else:
+            a, b = next((a, b) for a, b in zip(knots, knots[1:], strict=False) if n <= b[0])
+            part = math.log(n / a[0]) / math.log(b[0] / a[0])
+            low, high = (x + part * (y - x) for x, y in zip(a[1:], b[1:], strict=True))
+        return low <= r <= high
+
     pack = lambda b: len(b) / len(zstandard.ZstdCompressor(level=3).compress(b))
     for r in quality.quality_rules(docs).where("doc_id is not null").collect():
         data = (TEXTS[r.doc_id] or "").encode()
@@ -268,7 +280,18 @@ def test_quality_bands():
     squeeze = zstandard.ZstdCompressor(level=3).compress
     assert not quality.judge(b"spam and eggs " * 2000, squeeze)[3]
     assert not quality.judge(random.Random(2).randbytes(5000), squeeze)[3]
-    assert quality.judge(prose(2000, 8).encode(), squeeze)[3]
+    r = random.Random(3)
+    for low, high in ((97, 122), (0x4E00, 0x8FFF)):  # letters at random, with and without case for a script
+        assert not quality.judge(" ".join("".join(chr(r.randint(low, high)) for _ in range(6)) for _ in range(2000)).encode(), squeeze)[3]
+
+
+def test_quality_of_labelled_documents(spark):
+    """The bands do their part: they reject most of the low quality that the base rules let pass, and hardly any other document."""
+    at = "/root/testdata/sf0.1"
+    judged = quality.quality_rules(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed").join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id")
+    rate = {r.quality: (r.n, r.rejected) for r in judged.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.avg((~F.col("kept")).cast("double")).alias("rejected")).collect()}
+    assert rate[0][0] > 200 and rate[0][1] > 0.5
+    assert rate[1][0] > 2000 and rate[1][1] < 0.002
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
