@@ -33,6 +33,8 @@ DEPTH = 3
 MIN_DOCS = 3
 EXACT_DOCS = 2
 SIMILAR = 6
+#: Words of the bit table (a power of two): six MB in all.
+WORDS = 1 << 18
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -83,6 +85,16 @@ def _repeats(lines: DataFrame) -> DataFrame:
     return spread_join(lines.select("exact", "d", "h", "line_no"), often, ["exact"], "n", lines.count()).where(at != F.col("first")).select("d", "h", "line_no")
 
 
+def _perhaps(rows: DataFrame, often: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose leaf isn't in ``often``: these have no bit in a table of ``WORDS`` words of 64 bits, which is all that is
+    broadcast, however many leaves there are. It only saves lines that nothing will come of from the shuffle."""
+    word, bit = F.shiftrightunsigned("leaf", 64 - WORDS.bit_length() + 1).alias("_word"), F.col("leaf").bitwiseAND(63).cast("int")
+    # shifts by a column are SQL only
+    marks = often.select(word, bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    met = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(marks), "_word").where(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"))
+    return met.select(*rows.columns)
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(d, h, drop array<int>): line numbers to drop from the text of hash h of the document d."""
     spark = docs.sparkSession
@@ -93,7 +105,7 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     often = parsed.select("leaf", "d").distinct().groupBy("leaf").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= MIN_DOCS).select("leaf")
     sizes = parsed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
     often = stored(often.join(sizes, "leaf"), "line-often")
-    lines = stored(spread_join(parsed, often, ["leaf"], "n", total), "line-leaves")
+    lines = stored(spread_join(_perhaps(parsed, often), often, ["leaf"], "n", total), "line-leaves")
     classes = _classes(lines)
     found = spread_join(lines.select("d", "h", "line_no", "leaf", "lid"), classes, ["leaf", "lid"], "n", lines.count()).select("template", "d", "h", "line_no")
     found = stored(found, "line-templates")
