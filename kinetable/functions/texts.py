@@ -35,6 +35,8 @@ UNIT_WORDS = {"m": "meters", "cm": "centimeters", "px": "pixels"}
 #: Full names of the families.
 CATEGORIES = {"speed": "dynamics_speed_player", "path": "dynamics_path_player", "time": "dynamics_time_intercept", "accel": "relational_reasoning_dyn_accel", "accel_vis": "relational_reasoning_dyn_accel_vis", "faster": "relational_reasoning_dyn_faster"}
 #: A prior sentence, as a pattern.
+#: The height that a question names.
+NAMED_HEIGHT = r"is ([0-9.]+) m tall"
 ANY_PRIOR = r"\s*Assume a typical player on this court is [0-9.]+\s*m tall\.\s*"
 
 

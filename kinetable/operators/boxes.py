@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import answers as fn
+from ..functions import texts
+from .geometry import foot_points, to_court
 from .ranks import middle, quantiles
 from .stats import spearman
 
@@ -69,14 +71,16 @@ def presented_heights(items: DataFrame, boxes: DataFrame, scale: float = 1.0, na
     return j.select("item", F.when(reason.isNull(), F.transform("shown", lambda b: b["h"])).alias("heights"), reason.alias("reason"))
 
 
-def sparse_oracle(items: DataFrame, boxes: DataFrame, balls: DataFrame, height_m: float = 1.93) -> DataFrame:
+def sparse_oracle(items: DataFrame, boxes: DataFrame, balls: DataFrame) -> DataFrame:
     """(item, answer): what the presented boxes alone say; null if one is missing. ``items`` also has category, question, dur and, for pairs,
-    track_b; ``balls``: (seq, frame, bx, by). Accelerations compare the last step with the first one, pairs use their own rulers."""
+    track_b; ``balls``: (seq, frame, bx, by). The metre ruler is
+    the height that the question names; without one there is no number. Accelerations compare the last step with the first one, pairs use their own rulers."""
     j = items.join(presented(items, boxes), "item").withColumn("_last", F.element_at("frames", -1)).join(balls.select("seq", F.col("frame").alias("_last"), "bx", "by"), ["seq", "_last"], "left")
     j = j.join(presented(items.where("track_b is not null"), boxes, track="track_b").withColumnRenamed("shown", "_b"), "item", "left")
     whole = F.forall("shown", lambda b: b.isNotNull())
     steps = _steps(F.col("shown"))
-    path, ruler = _sum(steps), height_m / _median(F.transform("shown", lambda b: b["h"]))
+    height = F.regexp_extract("question", texts.NAMED_HEIGHT, 1).try_cast("double")
+    path, ruler = _sum(steps), F.when(height > 0, height) / _median(F.transform("shown", lambda b: b["h"]))
     last = F.element_at("shown", -1)
     gap = F.sqrt(F.pow(last["x"] + last["w"] / 2 - F.col("bx"), 2) + F.pow(last["y"] + last["h"] - F.col("by"), 2)) * ruler
     speed = path * ruler / F.col("dur")
@@ -156,6 +160,17 @@ def assigned_distance(cost: np.ndarray) -> np.ndarray:
     return np.array([cost[match[c] - 1, c - 1] for c in range(1, m + 1) if match[c]])
 
 
+def view_positions(players: DataFrame, clips: DataFrame, maps: DataFrame, views: DataFrame, step: float = 0.5) -> DataFrame:
+    """(pair, view, t, track, x, y): where the players of two clips of one event stand at the same instants, ``step`` seconds apart until a second
+    before a clip's end: the foot of the box in frame round(t fps) + 1 (half to even), in court metres. ``players``: boxes of players; ``views``:
+    (seq, pair, view). The instants of a clip are made from its length and meet the boxes by frame."""
+    last = F.floor((F.col("length") / F.col("fps") - 1) / step + 1e-9).cast("int")
+    at = clips.join(views, "seq").where(last >= 1).select("seq", "pair", "view", "fps", F.explode(F.sequence(F.lit(1), last)).alias("_i")).withColumn("t", F.col("_i") * F.lit(step))
+    at = at.select("seq", "pair", "view", "t", (F.rint(F.col("t") * F.col("fps")) + 1).cast("int").alias("frame"))
+    feet = foot_points(players).join(at, ["seq", "frame"])
+    return to_court(feet, maps, "fx", "fy").select("pair", "view", "t", "track", F.col("cx").alias("x"), F.col("cy").alias("y"))
+
+
 def cross_view(positions: DataFrame, view: str, views: tuple[str, str], rotate: tuple[float, float] | None = None) -> DataFrame:
     """(pair, t, n_a, n_b, ax, ay, bx, by, matched): the same instant in two views: how many players, their centroids and the median
     distance of the best one-to-one assignment. ``positions``: (pair, view, t, x, y) in court metres; ``rotate``: sides of a

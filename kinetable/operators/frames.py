@@ -34,6 +34,11 @@ def _shape(m: Column, rows: int, cols: int) -> Column:
     return m.isNull() | ((F.size(m) == rows) & F.forall(m, lambda r: F.size(r) == cols))
 
 
+def _rectangular(m: Column) -> Column:
+    """Rows of one length, one at least."""
+    return m.isNull() | ((F.size(m) > 0) & F.forall(m, lambda r: F.size(r) == F.size(F.get(m, F.lit(0)))))
+
+
 def forbidden_key(metadata: Column) -> Column:
     """Whether a JSON text has a forbidden key at any depth: a quoted name before a colon."""
     return F.coalesce(metadata, F.lit("")).rlike(r'(?i)"(' + "|".join(FORBIDDEN) + r')"\s*:')
@@ -49,7 +54,7 @@ def frame_violations(frames: DataFrame) -> DataFrame:
     pitch = number(p["length_m"], *LENGTHS) & number(p["width_m"], *WIDTHS) & F.coalesce((p["origin"] == "center") & (p["axes"] == AXES), F.lit(False))
     has = lambda f: c[f].isNotNull()
     parts = F.when(c["model"] == "opencv_pinhole", has("intrinsic") & has("rotation_world_to_camera") & has("translation_world_to_camera")).when(c["model"] == "synloc_sskit", has("native_camera_matrix")).otherwise(F.lit(False))
-    shapes = _shape(c["intrinsic"], 3, 3) & _shape(c["rotation_world_to_camera"], 3, 3) & _shape(c["native_camera_matrix"], 3, 4)
+    shapes = _shape(c["intrinsic"], 3, 3) & _shape(c["rotation_world_to_camera"], 3, 3) & _rectangular(c["native_camera_matrix"]) & (c["translation_world_to_camera"].isNull() | (F.size(c["translation_world_to_camera"]) == 3))
     none = F.array().cast("array<double>")
     finite = _all_finite(F.array(F.coalesce(c["distortion"], none), F.coalesce(c["translation_world_to_camera"], none)))
     for f in ("intrinsic", "rotation_world_to_camera", "native_camera_matrix"):
@@ -128,9 +133,14 @@ def manifest_overlaps(sources: DataFrame, markers: DataFrame, places: int = 8) -
 
 
 def sequence_digest(samples: DataFrame, position: str, parts: int = 4096) -> DataFrame:
-    """(n, digest): an order-sensitive hash of a list of samples: a hash of each row, hashed in order within pieces of ``parts`` places,
-    and the hash of these. The pieces are the only things gathered."""
+    """(n, digest): an order-sensitive hash of a list of samples: a hash of each row, hashed in order within pieces of ``parts`` places, these
+    hashed in order within pieces of ``parts`` pieces, and so on to one. No more than ``parts`` hashes are ever gathered; no rows give no digest."""
     columns = sorted(c for c in samples.columns if c != position)
-    row = samples.select(F.col(position).alias("_p"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).withColumn("_k", F.floor(F.col("_p") / parts))
-    piece = row.groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "h"))), lambda x: F.concat_ws(":", x["_p"].cast("string"), x["h"])), "|"), 256).alias("h"))
-    return piece.agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "h"))), lambda x: x["h"]), "|"), 256).alias("digest"))
+    row = samples.select(F.col(position).cast("long").alias("_p"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    last, level = row.agg(F.max("_p")).first()[0], 0
+    while last is not None and (level < 2 or last > 0):
+        text = F.col("h") if level else F.concat_ws(":", F.col("_p").cast("string"), "h")
+        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", text.alias("t")))), lambda x: x["t"]), "|"), 256)
+        row = row.groupBy(F.floor(F.col("_p") / parts).alias("_k")).agg(F.sum("n").alias("n"), whole.alias("h")).withColumnRenamed("_k", "_p")
+        last, level = last // parts, level + 1
+    return row.select("n", F.col("h").alias("digest"))

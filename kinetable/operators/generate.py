@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import answers as fn
 from ..functions import texts
 from ..functions.answers import one_decimal
+from ..sources.shared import settled
 
 #: Accepted ranges of the numeric families: category, metric, unit word, lowest, highest.
 RANGES = {"speed": (0.4, 9.0), "path": (0.8, 30.0), "time": (0.4, 8.0)}
@@ -158,17 +159,36 @@ def recompute_answers(rows: DataFrame, parts: DataFrame, balls: DataFrame) -> Da
     return j.select(*rows.columns, F.coalesce(F.when(number.isNotNull(), one_decimal(number)), F.when(accel, up), F.when(c("faster"), faster)).alias("new_answer"), detail.alias("detail"))
 
 
+def half_cuts(hashed: DataFrame, stratum: list[str], h: str, digits: int = 4) -> DataFrame:
+    """(stratum, _cut): the hash up to which the lower half of a stratum goes; none if it has one item. ``h``: hashes as hexadecimal text.
+
+    Items are counted by the first digits of their hash. Sums of these counts, which are 16**digits rows a stratum at most, say in which
+    bucket the middle lies, and only the items of that bucket are ranked: no stratum is sorted in one task."""
+    counts = hashed.groupBy(*stratum, F.substring(h, 1, digits).alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
+    by = Window.partitionBy(*stratum)
+    upto = F.sum("_c").over(by.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    edge = counts.withColumns({"_upto": upto, "_half": F.floor(F.sum("_c").over(by) / 2)})
+    edge = edge.where((F.col("_upto") - F.col("_c") < F.col("_half")) & (F.col("_half") <= F.col("_upto")))
+    edge = edge.select(*(F.col(c).alias(f"_{c}") for c in stratum), F.col("_b").alias("_edge"), (F.col("_half") - F.col("_upto") + F.col("_c")).alias("_place"))
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in stratum]
+    near = hashed.select(*stratum, F.col(h).alias("_cut")).join(edge, [*match, F.substring("_cut", 1, digits) == F.col("_edge")])
+    ranked = near.withColumn("_r", F.row_number().over(Window.partitionBy(*stratum).orderBy("_cut")))
+    return ranked.where("_r = _place").select(*stratum, "_cut")
+
+
 def mixed_units(items: DataFrame, stratum: list[str], keys: list[str], answer: str = "answer", fine: str | None = None) -> DataFrame:
     """``items`` with unit and answer: the half of each stratum with the lowest hash is asked in cm, its answer times 100
     in exact decimals. An odd item of a stratum stays in metres (see ``odd_strata``). ``fine`` names the unrounded value from
     which cm speeds are rounded instead."""
-    by = Window.partitionBy(*stratum)
-    ranked = items.withColumn("_r", F.row_number().over(by.orderBy(hash_order("mixed", *keys)))).withColumn("_n", F.count(F.lit(1)).over(by))
-    cm = F.col("_r") <= F.expr("_n div 2")
+    hashed = settled(items.withColumn("_h", hash_order("mixed", *keys)))
+    cut = half_cuts(hashed, stratum, "_h")
+    match = [hashed[c].eqNullSafe(cut[c]) for c in stratum]
+    ranked = hashed.join(cut, match, "left").drop(*(cut[c] for c in stratum))
+    cm = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
     value = (F.col(answer).cast("decimal(20,4)") * 100).cast("decimal(20,1)").cast("string")
     if fine:
         value = F.when(F.col("category") == "speed", one_decimal(F.bround(F.col(fine) * 100))).otherwise(value)
-    return ranked.withColumn("unit", F.when(cm, "cm").otherwise("m")).withColumn(answer, F.when(cm, value).otherwise(F.col(answer))).drop("_r", "_n")
+    return ranked.withColumn("_cm", cm).withColumn("unit", F.when(F.col("_cm"), "cm").otherwise("m")).withColumn(answer, F.when(F.col("_cm"), value).otherwise(F.col(answer))).drop("_h", "_cut", "_cm")
 
 
 def odd_strata(items: DataFrame, stratum: list[str]) -> DataFrame:

@@ -27,17 +27,23 @@ def px_answers(paths_px: DataFrame, clips: DataFrame, dur: float, width: float =
 
 def dense_windows(detections: DataFrame, frames: int = 51, hop: int = 25, least_h: float = 40.0, margin: float = 10.0, width: int = 1920, height: int = 1080) -> DataFrame:
     """(seq, track, window_index, path): windows in which the track has a large enough box, away from the edges, in every
-    frame; the path of feet smoothed over 5 frames inside the window."""
+    frame; the path of feet smoothed over 5 frames inside the window. If ``detections`` has places on the pitch (pitch_x, pitch_y), also their
+    path_m, smoothed in the same way."""
     f = F.col("frame")
     first = F.greatest(F.lit(0), F.ceil((f - frames) / hop)).cast("int")
     rows = detections.withColumn("window_index", F.explode(F.when(first <= F.floor((f - 1) / hop), F.sequence(first, F.floor((f - 1) / hop).cast("int")))))
     ok = (F.col("h") >= least_h) & (F.col("x") >= margin) & (F.col("y") >= margin) & (F.col("x") + F.col("w") <= width - margin) & (F.col("y") + F.col("h") <= height - margin)
     key = ["seq", "track", "window_index"]
     order = Window.partitionBy(*key).orderBy("frame")
-    near = order.rowsBetween(-2, 2)
-    p = rows.select(*key, "frame", ok.alias("ok"), F.avg(F.col("x") + F.col("w") / 2).over(near).alias("sx"), F.avg(F.col("y") + F.col("h")).over(near).alias("sy"))
-    p = p.withColumn("step", F.sqrt(F.pow(F.col("sx") - F.lag("sx").over(order), 2) + F.pow(F.col("sy") - F.lag("sy").over(order), 2)))
-    return p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"), F.sum("step").alias("path")).where((F.col("n") == frames) & F.col("ok")).select(*key, "path")
+    points = {"path": (F.col("x") + F.col("w") / 2, F.col("y") + F.col("h"))}
+    if "pitch_x" in detections.columns:
+        points["path_m"] = (F.col("pitch_x"), F.col("pitch_y"))
+    smooth = [F.avg(c).over(order.rowsBetween(-2, 2)).alias(f"_{name}{axis}") for name, p in points.items() for axis, c in enumerate(p)]
+    p = rows.select(*key, "frame", ok.alias("ok"), *smooth)
+    moved = lambda c: F.pow(F.col(c) - F.lag(c).over(order), 2)
+    p = p.withColumns({f"_{name}": F.sqrt(moved(f"_{name}0") + moved(f"_{name}1")) for name in points})
+    g = p.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.bool_and("ok").alias("ok"), *(F.sum(f"_{name}").alias(name) for name in points))
+    return g.where((F.col("n") == frames) & F.col("ok")).select(*key, *points)
 
 
 def crop_rect(boxes: DataFrame, item: list[str], width: int, height: int, crop_w: int, crop_h: int, fill: float = 1.0) -> DataFrame:

@@ -62,10 +62,16 @@ def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
 
     def p(b, c):
         n, k = int(b + c), int(min(b, c))
-        if n == 0:
+        if 2 * k >= n:
             return 1.0
-        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1))
-        return min(1.0, 2 * tail)
+        # terms from k downwards, each i / (n - i + 1) of the one before, until no more is added
+        term, tail, i = 1.0, 1.0, k
+        while i > 0 and term > 1e-18 * tail:
+            term *= i / (n - i + 1)
+            tail += term
+            i -= 1
+        log = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2) + math.log(2 * tail)
+        return min(1.0, math.exp(log))
 
     return pd.Series([p(x, y) for x, y in zip(b, c, strict=True)])
 
@@ -239,6 +245,22 @@ def exact_conversion(rows: DataFrame, item: list[str], cell: list[str], base: st
     return g
 
 
+def two_stage_block(rows: DataFrame, item: list[str], cell: list[str], base: str, target: str, second: str, factor: float) -> DataFrame:
+    """Of the items with the target arm's truth: its direct answers, the answers of a second turn (arm ``second``) that was given the own base answer and
+    the factor, and the exact conversion of that answer (the ceiling), all against the target's truth: parsed, T-MRA over all items and rank
+    correlation of each; and the median ratio of second-turn to base answers over the factor."""
+    values = ["prediction", "reference_value", "score_tolerance", "score_floor"]
+    w = side_by_side(rows, [*cell, *item], "arm", [base, target, second], values).where(F.col(f"reference_value_{target}").isNotNull())
+    told = F.col(f"prediction_{base}")
+    w = w.withColumns({"direct": F.col(f"prediction_{target}"), "two_stage": F.col(f"prediction_{second}"), "ceiling": told * factor, "_r": F.when(told > 0, F.col(f"prediction_{second}") / (told * factor))})
+    names = ("direct", "two_stage", "ceiling")
+    score = lambda p: F.avg(F.coalesce(fn.tmra_scaled(F.col(p), *(F.col(f"{c}_{target}") for c in values[1:])), F.lit(0.0)))
+    g = w.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), *(F.count(p).alias(f"parsed_{p}") for p in names), *(score(p).alias(f"tmra_{p}") for p in names))
+    for p in names:
+        g = g.join(spearman(w, cell, p, f"reference_value_{target}").select(*cell, F.col("rho").alias(f"rho_{p}")), cell, "left")
+    return g.join(quantiles(w, cell, {"ratio": ("_r", middle())}), cell, "left")
+
+
 def arm_decomposition(rows: DataFrame, item: list[str], cell: list[str], full: str, context: str, size: str) -> DataFrame:
     """Rank correlations of three arms on the items parsed in all of them, and what the steps between them change."""
     arms = [full, context, size]
@@ -256,12 +278,30 @@ def over_ratio_share(ratios: DataFrame, cell: list[str], r: str, over: float = 1
     return g.join(q, cell, "left").select(*cell, "n", "median", "q1", "q3", "share_over")
 
 
+def prefix_greedy(counts: DataFrame, group: list[str], text: str, n: str) -> DataFrame:
+    """(group, greedy): the number that one gets by writing digit after digit, each time the most frequent next character (the lowest of equals) among the
+    texts that begin like it so far, until more of them end there than go on in any one way. ``counts``: (group, text, n), one row a distinct text.
+
+    Every beginning of a text is a node with the count of texts below it; a node is chosen if it is the best of its parent's and the
+    parent doesn't end; the longest node all of whose beginnings are chosen is the answer."""
+    t = counts.select(*group, F.col(text).alias("_s"), F.col(n).alias("_c"))
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.length("_s")), lambda i: F.struct(i.alias("len"), F.col("_s").substr(F.lit(1), i).alias("p"), (i == F.length("_s")).alias("ends"))))
+    nodes = t.select(*group, "_c", each.alias("b")).groupBy(*group, F.col("b.p").alias("p"), F.col("b.len").alias("len")).agg(F.sum("_c").alias("w"), F.sum(F.when(F.col("b.ends"), F.col("_c")).otherwise(0)).alias("ends"))
+    nodes = nodes.withColumn("up", F.col("p").substr(F.lit(1), F.col("len") - 1))
+    best = nodes.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "up").orderBy(F.desc("w"), "p"))).where("_r = 1")
+    ended = nodes.select(*group, F.col("p").alias("up"), F.col("ends").alias("_ends"))
+    chosen = best.drop("ends").join(ended, [*group, "up"], "left").where(F.coalesce("_ends", F.lit(0)) <= F.col("w")).select(*group, "p", "len")
+    above = chosen.select(*group, F.col("p").alias("whole"), F.col("len").alias("_n"), F.explode(F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.col("p").substr(F.lit(1), i))).alias("p"))
+    path = above.join(chosen, [*group, "p"]).groupBy(*group, "whole", "_n").agg(F.count(F.lit(1)).alias("_k")).where("_k = _n")
+    return path.groupBy(*group).agg(F.max_by("whole", "_n").try_cast("double").alias("greedy"))
+
+
 def mode_match(rows: DataFrame, targets: DataFrame, cell: list[str], item: list[str]) -> DataFrame:
     """How often a cm answer is what a reading would give: ``rows`` (cell, item, reading, answer), ``targets`` (cell, target in cm).
 
     A target belongs to the nearest reading of its cell (the lower of two), and each reading predicts the most frequent of its
     targets (the lowest of equals; the cell's where it has none); further the cell's mode, the target nearest to a hundred
-    readings, and a hundred readings. Readings and targets are answers with one decimal, so their distinct values are few:
+    readings, a hundred readings, and the numbers that ``prefix_greedy`` writes from a reading's or the cell's targets. Readings and targets are answers with one decimal, so their distinct values are few:
     both sweeps are over distinct values."""
     grid = rows.select(*cell, F.col("reading").alias("v")).distinct()
     counts = targets.groupBy(*cell, "target").agg(F.count(F.lit(1)).alias("c"))
@@ -282,11 +322,16 @@ def mode_match(rows: DataFrame, targets: DataFrame, cell: list[str], item: list[
     by_reading = best(inside.groupBy(*cell, "reading")).select(*cell, "reading", (-F.col("m.t")).alias("mode"))
     hundred = grid.select(*cell, F.col("v").alias("reading"), (100 * F.col("v")).alias("cm"))
     near = nearest(hundred, "cm", counts, "target", "nearest").join(hundred, [*cell, "cm"]).select(*cell, "reading", "nearest")
-    j = rows.join(by_reading, [*cell, "reading"], "left").join(overall, cell, "left").join(near, [*cell, "reading"], "left")
+    spelt = inside.withColumn("_text", fn.one_decimal(F.col("target")))
+    greedy = prefix_greedy(spelt, [*cell, "reading"], "_text", "c").withColumnRenamed("greedy", "own_prefix")
+    whole = prefix_greedy(counts.withColumn("_text", fn.one_decimal(F.col("target"))), cell, "_text", "c").withColumnRenamed("greedy", "cell_prefix")
+    j = rows.join(by_reading, [*cell, "reading"], "left").join(overall, cell, "left").join(near, [*cell, "reading"], "left").join(greedy, [*cell, "reading"], "left").join(whole, cell, "left")
+    own = F.when(F.col("mode").isNotNull(), F.col("own_prefix")).otherwise(F.col("cell_prefix"))
     hit = lambda c: F.avg(F.coalesce(F.abs(c - F.col("answer")) < 0.05, F.lit(False)).cast("double"))
     return j.groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n"), hit(F.coalesce("mode", "global_mode")).alias("conditional_mode"), hit(F.col("global_mode")).alias("global_mode"), hit(F.col("nearest")).alias("nearest_target"), hit(fn.one_decimal(100 * F.col("reading")).cast("double")).alias("exact_x100")
-    )
+        F.count(F.lit(1)).alias("n"), hit(F.coalesce("mode", "global_mode")).alias("conditional_mode"), hit(F.col("global_mode")).alias("global_mode"), hit(F.col("nearest")).alias("nearest_target"), hit(fn.one_decimal(100 * F.col("reading")).cast("double")).alias("exact_x100"),
+        hit(own).alias("conditional_prefix"), hit(F.col("cell_prefix")).alias("global_prefix"),
+    )
 
 
 def reader_partials(rows: DataFrame, cell: list[str], prediction: str, world: str, px: str, height: str) -> DataFrame:

@@ -66,28 +66,25 @@ def fit(image: np.ndarray, pitch: np.ndarray, rounds: int = 64, most: float = 1.
     """(image-to-pitch map, inliers) of labelled points: the best of seeded samples of four by points within ``most`` metres, then all of these."""
 
     def solve(a, b):
-        one, zero = np.ones(len(a)), np.zeros((len(a), 3))
-        p = np.c_[a, one]
-        rows = np.r_[np.c_[p, zero, -b[:, :1] * p], np.c_[zero, p, -b[:, 1:] * p]]
-        return np.linalg.svd(rows)[2][-1].reshape(3, 3)
+        """Maps (k, 3, 3) of k sets of points (k, n, 2)."""
+        one, zero = np.ones((*a.shape[:2], 1)), np.zeros((*a.shape[:2], 3))
+        p = np.concatenate([a, one], 2)
+        rows = np.concatenate([np.concatenate([p, zero, -b[:, :, :1] * p], 2), np.concatenate([zero, p, -b[:, :, 1:] * p], 2)], 1)
+        return np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
 
-    def near(h):
-        q = np.c_[image, np.ones(len(image))] @ h.T
-        with np.errstate(all="ignore"):
-            return np.linalg.norm(q[:, :2] / q[:, 2:] - pitch, axis=1) <= most
-
-    r, best = np.random.default_rng(seed), np.zeros(len(image), bool)
+    r = np.random.default_rng(seed)
     centre, spread = image.mean(0), image.std(0) + 1e-9
-    raw, image = image, (image - centre) / spread
-    for _ in range(rounds):
-        some = r.choice(len(image), 4, replace=False)
-        inside = near(solve(image[some], pitch[some]))
-        if inside.sum() > best.sum():
-            best = inside
+    image = (image - centre) / spread
+    some = np.argsort(r.random((rounds, len(image))), 1)[:, :4]
+    q = np.concatenate([image, np.ones((len(image), 1))], 1) @ solve(image[some], pitch[some]).transpose(0, 2, 1)
+    with np.errstate(all="ignore"):
+        off = np.nan_to_num(np.linalg.norm(q[:, :, :2] / q[:, :, 2:] - pitch, axis=2), nan=np.inf) / most
+    near = off <= 1
+    # of maps with equally many points, the one that is nearest to them
+    best = near[(near.sum(1) - (np.minimum(off, 1) ** 2).sum(1) / (len(image) + 1)).argmax()]
     if best.sum() < 6:
         return None, int(best.sum())
-    h = solve(image[best], pitch[best]) @ np.array([[1 / spread[0], 0, -centre[0] / spread[0]], [0, 1 / spread[1], -centre[1] / spread[1]], [0, 0, 1]])
-    image = raw
+    h = solve(image[None, best], pitch[None, best])[0] @ np.array([[1 / spread[0], 0, -centre[0] / spread[0]], [0, 1 / spread[1], -centre[1] / spread[1]], [0, 0, 1]])
     return (h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h), int(best.sum())
 
 

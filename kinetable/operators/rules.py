@@ -71,6 +71,14 @@ def noninferiority(cells: DataFrame, reference: DataFrame, keys: list[str], marg
     return j.withColumn("ok", F.coalesce(F.col("rho") >= F.col("reference_rho") - margin, F.lit(False)))
 
 
+def noninferiority_verdict(plan: DataFrame, cells: DataFrame, reference: DataFrame, keys: list[str], margin: float = 0.10) -> DataFrame:
+    """(hypothesis, cells, k, verdict): whether a hypothesis holds in all of its cells, one row of ``plan`` (hypothesis, keys) each; fails if one is
+    inferior, pending while one is absent from either side."""
+    judged = noninferiority(cells, reference, keys, margin).select(*keys, "ok")
+    g = plan.join(judged, keys, "left").groupBy("hypothesis").agg(F.count(F.lit(1)).alias("cells"), F.count_if("ok").alias("k"), F.count_if(F.col("ok").isNull()).alias("_absent"))
+    return g.select("hypothesis", "cells", "k", F.when(F.col("_absent") > 0, "pending").when(F.col("k") == F.col("cells"), "holds").otherwise("fails").alias("verdict"))
+
+
 def label_verdict(spread: DataFrame, cell: list[str], pool: str, new: str, old: str) -> DataFrame:
     """(cell, old_mean, new_mean, difference, widest_range, exceeds) from seed spreads (cell, pool, mean, range): whether the two
     pools' means differ by more than the wider range of seeds."""

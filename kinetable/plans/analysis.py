@@ -66,6 +66,18 @@ def exact_conversion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(paired.exact_conversion(_scored(spark, sf_dir), ["item"], CELL, "m", "cm", 100.0))
 
 
+def _second(rows: DataFrame) -> DataFrame:
+    """Second-turn answers to the metre answers: every fifth isn't a number, others are a hundredfold, off by up to 4 %, or not converted."""
+    p, k = F.col("prediction"), F.col("item") % 5
+    said = F.when(k == 0, None).when(k == 1, p).when(k == 2, F.round(p * 104, 1)).otherwise(F.round(p * 100, 1))
+    return rows.where("arm = 'm'").withColumns({"arm": F.lit("two"), "prediction": said})
+
+
+def two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _scored(spark, sf_dir)
+    return _rounded(paired.two_stage_block(rows.unionByName(_second(rows)), ["item"], CELL, "m", "cm", "two", 100.0))
+
+
 def arm_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir)
     third = rows.where("arm = 'm'").withColumns({"arm": F.lit("zoom"), "prediction": F.when(F.col("item") % 6 != 0, F.round(F.col("prediction") * (1 + F.col("item") % 3), 3))})
@@ -84,7 +96,7 @@ def ratio_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mode_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = paired.side_by_side(_scored(spark, sf_dir), [*CELL, "item"], "arm", ["m", "cm"], ["prediction", "reference_value"])
-    rows = w.where("prediction_m is not null and prediction_cm is not null and item % 3 = 0").select(*CELL, "item", F.col("prediction_m").alias("reading"), F.col("prediction_cm").alias("answer"))
+    rows = w.where("prediction_m is not null and prediction_cm is not null").select(*CELL, "item", F.col("prediction_m").alias("reading"), F.col("prediction_cm").alias("answer"))
     return _rounded(paired.mode_match(rows, w.select(*CELL, F.col("reference_value_cm").alias("target")), CELL, ["item"]))
 
 
@@ -139,6 +151,14 @@ def noninferiority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rules.noninferiority(c.where("seed = 0"), c.where("seed = 1"), ["model", "category"], 0.001))
 
 
+def noninferiority_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each model and margin whether both families hold; model_2's path cell isn't there yet."""
+    c = _unit_cells(spark, sf_dir).where("not (model = 'model_2' and category = 'dynamics_path_player')")
+    plan = A.predictions(spark, sf_dir).select("model", "category").distinct().withColumn("hypothesis", F.col("model"))
+    out = [rules.noninferiority_verdict(plan.withColumn("hypothesis", F.concat_ws("/", "model", F.lit(str(m)))), c.where("seed = 0"), c.where("seed = 1"), ["model", "category"], m) for m in (0.1, -1.0)]
+    return out[0].unionByName(out[1])
+
+
 def label_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _scored(spark, sf_dir).withColumn("seed", (F.col("item") % 3).cast("int"))
     spread = stats.seed_spread(rows.groupBy("model", "category", "arm", "seed").agg(F.avg("score").alias("v")), ["model", "category", "arm"], "v")
@@ -176,8 +196,8 @@ def dissociation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     reader_partials, dissociation,
-    legacy_scores, legacy_evaluation, rescore, truth_ratios, reference_delta, valid_pairs, frame_contrasts, prior_diagnostics, conversion_diagnostic, exact_conversion, arm_decomposition, ratio_shares, ratio_ranges,
-    mode_match, decimal_summary, proportions, readings, converts, hypotheses, replication, seed_labels, noninferiority, label_verdict, arithmetic_rule, motion_rule, graded_rule,
+    legacy_scores, legacy_evaluation, rescore, truth_ratios, reference_delta, valid_pairs, frame_contrasts, prior_diagnostics, conversion_diagnostic, exact_conversion, two_stage, arm_decomposition, ratio_shares, ratio_ranges,
+    mode_match, decimal_summary, proportions, readings, converts, hypotheses, replication, seed_labels, noninferiority, noninferiority_verdict, label_verdict, arithmetic_rule, motion_rule, graded_rule,
 )}
 
 _LEGACY = A.LEGACY.format(orders="orders")
@@ -250,18 +270,28 @@ SELECT {_CELL}, g.n, round(m, 6) AS median_full, round(c, 6) AS median_other, ro
 SELECT {_CELL}, g.n, round(s, 6) AS share_converted, round(c, 6) AS cm_median, round(m, 6) AS m_median_x100, round(a.rho, 6) AS rho_cm_m, round(b.rho, 6) AS rho_cm_reference FROM g JOIN a USING ({_CELL}) JOIN b USING ({_CELL})""",
     "exact_conversion": f"""WITH {_WIDE}, w AS (SELECT *, pm * 100.0::DOUBLE AS x FROM wide WHERE rc IS NOT NULL), {_sql_rho("w", _CELL, "pc", "rc", "a")}, {_sql_rho("w", _CELL, "x", "rc", "b")}, g AS (SELECT {_CELL}, count(*) AS n, avg(coalesce({_sql_score("pc", "rc", "tc", "fc")}, 0)) AS d, avg(coalesce({_sql_score("x", "rc", "tc", "fc")}, 0)) AS c FROM w GROUP BY ALL)
 SELECT {_CELL}, g.n, round(d, 6) AS tmra_direct, round(c, 6) AS tmra_converted, round(a.rho, 6) AS rho_direct, round(b.rho, 6) AS rho_converted FROM g JOIN a USING ({_CELL}) JOIN b USING ({_CELL})""",
+    "two_stage": f"""WITH {_WIDE}, w AS (SELECT *, pm * 100.0::DOUBLE AS x, CASE item % 5 WHEN 0 THEN NULL WHEN 1 THEN pm WHEN 2 THEN round(pm * 104, 1) ELSE round(pm * 100, 1) END AS two FROM wide WHERE rc IS NOT NULL
+), {_sql_rho("w", _CELL, "pc", "rc", "a")}, {_sql_rho("w", _CELL, "two", "rc", "b")}, {_sql_rho("w", _CELL, "x", "rc", "c")}, g AS (SELECT {_CELL}, count(*) AS n, count(pc) AS pd, count(two) AS pt, count(x) AS px, avg(coalesce({_sql_score("pc", "rc", "tc", "fc")}, 0)) AS d, avg(coalesce({_sql_score("two", "rc", "tc", "fc")}, 0)) AS t, avg(coalesce({_sql_score("x", "rc", "tc", "fc")}, 0)) AS c, median(two / x) FILTER (pm > 0) AS ratio FROM w GROUP BY ALL)
+SELECT {_CELL}, g.n, pd AS parsed_direct, pt AS parsed_two_stage, px AS parsed_ceiling, round(d, 6) AS tmra_direct, round(t, 6) AS tmra_two_stage, round(g.c, 6) AS tmra_ceiling, round(a.rho, 6) AS rho_direct, round(b.rho, 6) AS rho_two_stage, round(c.rho, 6) AS rho_ceiling, round(ratio, 6) AS ratio FROM g JOIN a USING ({_CELL}) JOIN b USING ({_CELL}) JOIN c USING ({_CELL})""",
     "arm_decomposition": f"""WITH {_WIDE}, w AS (SELECT *, round(pm * (1 + item % 3), 3) AS pz FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL AND item % 6 <> 0), {", ".join(_sql_rho("w", _CELL, x, "rm", n) for n, x in (("a", "pm"), ("b", "pc"), ("c", "pz")))}
 SELECT {_CELL}, a.n, round(a.rho, 6) AS rho_full, round(b.rho, 6) AS rho_context, round(c.rho, 6) AS rho_size, round(b.rho - a.rho, 6) + 0 AS d_context, round(c.rho - b.rho, 6) + 0 AS d_size, round(c.rho - a.rho, 6) + 0 AS d_total FROM a JOIN b USING ({_CELL}) JOIN c USING ({_CELL})""",
     "ratio_shares": f"WITH {_WIDE} SELECT {_CELL}, count(*) AS n, round(median(pc / pm), 6) AS median, round(quantile_cont(pc / pm, 0.25), 6) AS q1, round(quantile_cont(pc / pm, 0.75), 6) AS q3, round(avg((pc / pm > 100)::INT), 6) AS share_over FROM wide WHERE pc IS NOT NULL AND pm > 0 GROUP BY {_CELL}",
     "ratio_ranges": f"""WITH {_WIDE}, r AS (SELECT {_CELL}, pc / (100 * pm) AS r FROM wide WHERE pc IS NOT NULL AND pm > 0), c AS (SELECT {_CELL}, median(r) AS m, avg((r BETWEEN 0.5 AND 2)::INT) AS a, avg((r BETWEEN 0.8 AND 1.25)::INT) AS b FROM r GROUP BY ALL)
 SELECT category, count(*) AS n_cells, round(min(m), 6) AS median_lo, round(max(m), 6) AS median_hi, round(min(a), 6) AS share_2_lo, round(max(a), 6) AS share_2_hi, round(min(b), 6) AS share_125_lo, round(max(b), 6) AS share_125_hi FROM c GROUP BY category""",
-    "mode_match": f"""WITH {_WIDE}, x AS (SELECT {_CELL}, item, pm AS reading, pc AS answer FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL AND item % 3 = 0
+    "mode_match": f"""WITH {_WIDE}, x AS (SELECT {_CELL}, item, pm AS reading, pc AS answer FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL
 ), grid AS (SELECT DISTINCT {_CELL}, reading FROM x), t AS (SELECT {_CELL}, rc AS target, count(*) AS c FROM wide GROUP BY ALL
 ), b AS (SELECT t.model, t.category, target, c, arg_min(reading, (abs(reading - target / 100), reading)) AS reading FROM t JOIN grid ON t.model = grid.model AND t.category = grid.category GROUP BY ALL
 ), m AS (SELECT {_CELL}, reading, arg_max(target, (c, -target)) AS mode FROM b GROUP BY ALL), gm AS (SELECT {_CELL}, arg_max(target, (c, -target)) AS gmode FROM t GROUP BY ALL
+), spelt AS (SELECT {_CELL}, CAST(reading AS VARCHAR) AS g, printf('%.1f', target) AS s, c FROM b UNION ALL SELECT {_CELL}, 'all', printf('%.1f', target), c FROM t
+), node AS (SELECT {_CELL}, g, s[1:n] AS p, n, sum(c) AS w, coalesce(sum(c) FILTER (n = len(s)), 0) AS ends FROM (SELECT *, unnest(range(1, len(s) + 1)) AS n FROM spelt) GROUP BY ALL
+), ch AS (SELECT *, row_number() OVER (PARTITION BY {_CELL}, g, p[1:n - 1] ORDER BY w DESC, p) AS rn FROM node
+), ok AS (SELECT ch.model, ch.category, ch.g, ch.p, ch.n FROM ch LEFT JOIN node d ON d.model = ch.model AND d.category = ch.category AND d.g = ch.g AND d.p = ch.p[1:ch.n - 1] WHERE rn = 1 AND coalesce(d.ends, 0) <= ch.w
+), way AS (SELECT a.model, a.category, a.g, a.p, a.n FROM ok a JOIN ok b ON a.model = b.model AND a.category = b.category AND a.g = b.g AND starts_with(a.p, b.p) GROUP BY ALL HAVING count(*) = a.n
+), pg AS (SELECT {_CELL}, g, TRY_CAST(arg_max(p, n) AS DOUBLE) AS v FROM way GROUP BY ALL
 ), nt AS (SELECT grid.model, grid.category, reading, arg_min(target, (abs(target - 100 * reading), target)) AS nearest FROM grid JOIN t ON t.model = grid.model AND t.category = grid.category GROUP BY ALL)
 SELECT {_CELL}, count(*) AS n, round(avg(coalesce(abs(coalesce(mode, gmode) - answer) < 0.05, false)::INT), 6) AS conditional_mode, round(avg(coalesce(abs(gmode - answer) < 0.05, false)::INT), 6) AS global_mode, round(avg(coalesce(abs(nearest - answer) < 0.05, false)::INT), 6) AS nearest_target,
-  round(avg((abs(CAST(printf('%.1f', 100 * reading) AS DOUBLE) - answer) < 0.05)::INT), 6) AS exact_x100 FROM x LEFT JOIN m USING ({_CELL}, reading) JOIN gm USING ({_CELL}) LEFT JOIN nt USING ({_CELL}, reading) GROUP BY {_CELL}""",
+  round(avg((abs(CAST(printf('%.1f', 100 * reading) AS DOUBLE) - answer) < 0.05)::INT), 6) AS exact_x100, round(avg(coalesce(abs(CASE WHEN mode IS NOT NULL THEN o.v ELSE w.v END - answer) < 0.05, false)::INT), 6) AS conditional_prefix, round(avg(coalesce(abs(w.v - answer) < 0.05, false)::INT), 6) AS global_prefix
+FROM x LEFT JOIN m USING ({_CELL}, reading) JOIN gm USING ({_CELL}) LEFT JOIN nt USING ({_CELL}, reading) LEFT JOIN pg o ON o.model = x.model AND o.category = x.category AND o.g = CAST(x.reading AS VARCHAR) LEFT JOIN pg w ON w.model = x.model AND w.category = x.category AND w.g = 'all' GROUP BY {_CELL}""",
     "decimal_summary": f"""WITH {SCORED}, d AS (SELECT model, arm, category, CASE WHEN prediction IS NOT NULL THEN CAST(trim(raw_answer) AS DECIMAL(28,10)) END AS p, CAST(CAST(reference_value AS DECIMAL(20,1)) AS DECIMAL(28,10)) AS y FROM scored
 ), v AS (SELECT model, arm, category, p, count(*) AS c FROM d WHERE p IS NOT NULL GROUP BY ALL), l AS (SELECT model, arm, category, max(c) AS largest FROM v GROUP BY ALL)
 SELECT model, arm, category, count(*) AS n, count(p) AS parsed, count(*) FILTER (p = y) AS exact, count(*) FILTER (p = 0) AS zero, count(*) FILTER (p < 0) AS negative, count(DISTINCT p) AS n_distinct, coalesce(max(largest), 0) AS largest_repeat, count(*) >= 2 AND count(p) = count(*) AND count(DISTINCT p) = 1 AS "constant",
@@ -285,6 +315,9 @@ SELECT *, CASE WHEN live < 3 THEN 'LIMITED' WHEN passed >= 3 THEN 'replicates' W
 ), g AS (SELECT model, category, count(*) AS n, count(*) FILTER (v = 'replicates') AS r, count(*) FILTER (v = 'fails') AS f FROM v GROUP BY ALL)
 SELECT model, category, CASE WHEN n < 3 THEN 'pending' WHEN r = 3 THEN 'holds at all three seeds' WHEN r = 2 AND f = 0 THEN 'holds at two of three seeds' WHEN f >= 2 AND r = 0 THEN 'fails across seeds' WHEN r >= 1 AND f >= 1 THEN 'seed-dependent' ELSE 'not established' END AS label FROM g""",
     "noninferiority": f"WITH {_UNIT} SELECT a.model, a.category, round(a.rho, 6) AS rho, round(b.rho, 6) AS reference_rho, coalesce(a.rho >= b.rho - 0.001, false) AS ok FROM cells a JOIN cells b ON a.model = b.model AND a.category = b.category AND a.seed = 0 AND b.seed = 1",
+    "noninferiority_verdict": f"""WITH {_UNIT}, there AS (SELECT * FROM cells WHERE NOT (model = 'model_2' AND category = 'dynamics_path_player')), p AS (SELECT DISTINCT model, category FROM wide), j AS (SELECT p.model, p.category, m, a.model IS NULL OR b.model IS NULL AS absent, coalesce(a.rho >= b.rho - m, false) AS ok
+  FROM p CROSS JOIN (VALUES (0.1::DOUBLE), (-1.0::DOUBLE)) v(m) LEFT JOIN there a ON a.model = p.model AND a.category = p.category AND a.seed = 0 LEFT JOIN there b ON b.model = p.model AND b.category = p.category AND b.seed = 1)
+SELECT model || '/' || CASE WHEN m > 0 THEN '0.1' ELSE '-1.0' END AS hypothesis, count(*) AS cells, count(*) FILTER (ok) AS k, CASE WHEN bool_or(absent) THEN 'pending' WHEN bool_and(ok) THEN 'holds' ELSE 'fails' END AS verdict FROM j GROUP BY model, m""",
     "label_verdict": f"""WITH {SCORED}, s AS (SELECT {_CELL}, arm, item % 3 AS seed, avg(score) AS v FROM scored GROUP BY ALL), p AS (SELECT {_CELL}, arm, avg(v) AS m, max(v) - min(v) AS r FROM s GROUP BY ALL)
 SELECT a.model, a.category, round(a.m, 6) AS old_mean, round(b.m, 6) AS new_mean, round(b.m - a.m, 6) + 0 AS difference, round(greatest(a.r, b.r), 6) AS widest_range, abs(b.m - a.m) > greatest(a.r, b.r) AS exceeds FROM p a JOIN p b ON a.model = b.model AND a.category = b.category AND a.arm = 'm' AND b.arm = 'cm'""",
     "motion_rule": f"""WITH {_WIDE}, w AS (SELECT *, item % 3 AS seed FROM wide WHERE pm IS NOT NULL AND pc IS NOT NULL AND NOT (model = 'model_2' AND item % 3 = 1)), {_sql_rho("w", "model, seed, category", "pm", "rm", "a")}, {_sql_rho("w", "model, seed, category", "pc", "rc", "b")},

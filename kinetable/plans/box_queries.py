@@ -25,7 +25,9 @@ def box_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sparse_oracle(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = A.detections(spark, sf_dir)
-    return boxes.sparse_oracle(_items(spark, sf_dir), det, geo.ball_center(det, geo.split_roles(det)))
+    items = _items(spark, sf_dir)  # of three tracks one has questions with another height, one with none
+    question = F.when(F.col("track") % 3 == 1, F.replace("question", F.lit("is 1.93 m tall"), F.lit("is 1.45 m tall"))).when(F.col("track") % 3 == 2, F.regexp_replace("question", texts.ANY_PRIOR, " ")).otherwise(F.col("question"))
+    return boxes.sparse_oracle(items.withColumn("question", question), det, geo.ball_center(det, geo.split_roles(det)))
 
 
 def presented_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +105,8 @@ ORACLES = {
     "sparse_oracle": f"""WITH {_SHOWN}, bshown AS (SELECT item, i, d.x, d.y, d.w, d.h FROM its, (VALUES (0, 6), (1, 26), (2, 46), (3, 66)) s(i, f) LEFT JOIN detections d ON d.seq = its.seq AND d.track = CAST(regexp_extract(highlight, ',(\\d+):blue', 1) AS INT) AND d.frame = f + 30 * window_index WHERE category LIKE '%_faster'
 ), bst AS (SELECT *, sqrt(pow((x + w / 2) - lag(x + w / 2) OVER o, 2) + pow((y + h) - lag(y + h) OVER o, 2)) AS step FROM bshown WINDOW o AS (PARTITION BY item ORDER BY i)
 ), bs AS (SELECT item, count(h) AS bp, sum(step) / median(h) AS bv FROM bst GROUP BY item
-), j AS (SELECT its.*, sums.*, bp, bv, sqrt(pow(lx - bx, 2) + pow(ly - "by", 2)) AS gap FROM its JOIN sums USING (item) LEFT JOIN bs USING (item) LEFT JOIN balls ON balls.seq = its.seq AND balls.frame = 66 + 30 * window_index)
-SELECT item, CASE WHEN present = 4 THEN CASE WHEN category LIKE 'dynamics_speed%' THEN printf('%.1f', px * (1.93::DOUBLE / mh) / 2.0::DOUBLE) WHEN category LIKE 'dynamics_path%' THEN printf('%.1f', px * (1.93::DOUBLE / mh)) WHEN category LIKE 'dynamics_time%' THEN CASE WHEN px > 0 THEN printf('%.1f', gap * (1.93::DOUBLE / mh) / (px * (1.93::DOUBLE / mh) / 2.0::DOUBLE)) END
+), j AS (SELECT its.*, sums.*, CASE its.track % 3 WHEN 0 THEN 1.93::DOUBLE WHEN 1 THEN 1.45::DOUBLE END AS tall, bp, bv, sqrt(pow(lx - bx, 2) + pow(ly - "by", 2)) AS gap FROM its JOIN sums USING (item) LEFT JOIN bs USING (item) LEFT JOIN balls ON balls.seq = its.seq AND balls.frame = 66 + 30 * window_index)
+SELECT item, CASE WHEN present = 4 THEN CASE WHEN category LIKE 'dynamics_speed%' THEN printf('%.1f', px * (tall / mh) / 2.0::DOUBLE) WHEN category LIKE 'dynamics_path%' THEN printf('%.1f', px * (tall / mh)) WHEN category LIKE 'dynamics_time%' THEN CASE WHEN px > 0 THEN printf('%.1f', gap * (tall / mh) / (px * (tall / mh) / 2.0::DOUBLE)) END
   WHEN category LIKE '%_faster' THEN CASE WHEN bp = 4 THEN CASE WHEN px / mh > bv THEN 'A' ELSE 'B' END END ELSE CASE WHEN (s3 > s1) = (question LIKE '%(A) speeding up%') THEN 'A' ELSE 'B' END END END AS answer FROM j""",
     "presented_heights": f"""WITH {_SHOWN}, hs AS (SELECT item, count(h) AS n, string_agg(CAST(CAST(h AS INT) AS VARCHAR), ',' ORDER BY i) AS hs FROM shown GROUP BY item), r AS (SELECT item, hs, CASE WHEN window_index = 3 THEN 'window' WHEN track = 5 THEN 'names' WHEN n < 4 THEN 'missing' END AS reason FROM its JOIN hs USING (item))
 SELECT item, CASE WHEN reason IS NULL THEN hs END AS heights, reason FROM r""",

@@ -35,7 +35,8 @@ def px_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dense_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     det = A.detections(spark, sf_dir)
-    return _r(more.dense_windows(det, frames=16, hop=8))
+    pitch = geo.to_court(geo.foot_points(det), A.homographies(A.clips(det)), "fx", "fy").select("seq", "track", "frame", F.col("cx").alias("pitch_x"), F.col("cy").alias("pitch_y"))
+    return _r(more.dense_windows(det.join(pitch, ["seq", "track", "frame"]), frames=16, hop=8))
 
 
 def crop_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,9 +85,9 @@ ORACLES = {
 SELECT seq, n, round(k, 5) AS k, round(spread, 5) AS spread, n >= 20 AND spread <= 0.05 AS ok FROM s""",
     "px_answers": f"WITH {trajectory.METRICS} SELECT seq, track, window_index, round(path_px * 960.0::DOUBLE / 1920, 6) AS path_px, round(path_px * 960.0::DOUBLE / 1920 / 2, 6) AS speed_px FROM metrics WHERE part = 'full' AND path_px IS NOT NULL",
     "dense_windows": f"""WITH {A.DETECTIONS}, e AS (SELECT *, unnest(range(greatest(0, CAST(ceil((frame - 16) / 8.0) AS INT)), (frame - 1) // 8 + 1)) AS window_index FROM detections
-), p AS (SELECT *, avg(x + w / 2) OVER n AS sx, avg(y + h) OVER n AS sy, h >= 40 AND x >= 10 AND y >= 10 AND x + w <= 1910 AND y + h <= 1070 AS ok FROM e WINDOW n AS (PARTITION BY seq, track, window_index ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
-), s AS (SELECT *, sqrt(pow(sx - lag(sx) OVER o, 2) + pow(sy - lag(sy) OVER o, 2)) AS step FROM p WINDOW o AS (PARTITION BY seq, track, window_index ORDER BY frame))
-SELECT seq, track, CAST(window_index AS INT) AS window_index, round(sum(step), 6) AS path FROM s GROUP BY ALL HAVING count(*) = 16 AND bool_and(ok)""",
+), p AS (SELECT *, avg(x + w / 2) OVER n AS sx, avg(y + h) OVER n AS sy, avg((0.01::DOUBLE * (x + w / 2) + 0.001::DOUBLE * (y + h) - 5) / (0.00001::DOUBLE * (x + w / 2) + 0.0004::DOUBLE * (y + h) + 1)) OVER n AS mx, avg((0.0005::DOUBLE * (x + w / 2) + 0.02::DOUBLE * (y + h) - 3) / (0.00001::DOUBLE * (x + w / 2) + 0.0004::DOUBLE * (y + h) + 1)) OVER n AS my, h >= 40 AND x >= 10 AND y >= 10 AND x + w <= 1910 AND y + h <= 1070 AS ok FROM e WINDOW n AS (PARTITION BY seq, track, window_index ORDER BY frame ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)
+), s AS (SELECT *, sqrt(pow(sx - lag(sx) OVER o, 2) + pow(sy - lag(sy) OVER o, 2)) AS step, sqrt(pow(mx - lag(mx) OVER o, 2) + pow(my - lag(my) OVER o, 2)) AS step_m FROM p WINDOW o AS (PARTITION BY seq, track, window_index ORDER BY frame))
+SELECT seq, track, CAST(window_index AS INT) AS window_index, round(sum(step), 6) AS path, round(sum(step_m), 6) AS path_m FROM s GROUP BY ALL HAVING count(*) = 16 AND bool_and(ok)""",
     "crop_rects": f"""WITH {A.DETECTIONS}, {trajectory.WINDOWS}, f AS (SELECT seq, window_index, unnest([f0, f0 + 20, f0 + 40, f0 + 60]) AS frame FROM windows
 ), g AS (SELECT seq, track, window_index, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM detections JOIN f USING (seq, frame) GROUP BY ALL
 ), k AS (SELECT *, x1 - x0 <= 320 * 0.9 AND y1 - y0 <= 130 * 0.9 AS ok FROM g)

@@ -36,6 +36,10 @@ def bootstrap_delta_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.bootstrap(_wide(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value", "other", "other_reference"], resample.delta_rho))
 
 
+def bootstrap_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(resample.bootstrap(_wide(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value", "other", "other_reference"], resample.common_delta_rho))
+
+
 def bootstrap_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(resample.bootstrap(_metres(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value", "score_tolerance", "score_floor"], resample.margin))
 
@@ -90,7 +94,7 @@ def ridge_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-QUERIES = {f.__name__: f for f in (bootstrap_rho, bootstrap_ratio, bootstrap_delta_rho, bootstrap_margin, bootstrap_median, bootstrap_items, bootstrap_partial, bootstrap_time_blocks, binomial, ridge_probe)}
+QUERIES = {f.__name__: f for f in (bootstrap_rho, bootstrap_ratio, bootstrap_delta_rho, bootstrap_common, bootstrap_margin, bootstrap_median, bootstrap_items, bootstrap_partial, bootstrap_time_blocks, binomial, ridge_probe)}
 
 
 def _reps(source: str, cell: str, cluster: str) -> str:
@@ -138,6 +142,7 @@ _MC = "model, category"
 ORACLES = {
     "bootstrap_rho": f"WITH {_M}, {_reps('src', _MC, 'cl')}, {_rho_reps('prediction', 'reference_value', 'rr')}, reps AS (SELECT model, category, rep, rho AS v FROM rr), {_picks(_MC)}",
     "bootstrap_delta_rho": f"WITH {_W}, {_reps('src', _MC, 'cl')}, {_rho_reps('pm', 'rm', 'ra')}, {_rho_reps('pc', 'rc', 'rb')}, reps AS (SELECT model, category, rep, ra.rho - rb.rho AS v FROM ra JOIN rb USING (model, category, rep)), {_picks(_MC).replace('round(', '0 + round(')}",
+    "bootstrap_common": f"WITH {_W}, {_reps('src', _MC, 'cl')}, {_rho_reps('CASE WHEN pc IS NOT NULL THEN pm END', 'rm', 'ra')}, {_rho_reps('CASE WHEN pm IS NOT NULL THEN pc END', 'rc', 'rb')}, reps AS (SELECT model, category, rep, ra.rho - rb.rho AS v FROM ra JOIN rb USING (model, category, rep)), {_picks(_MC).replace('round(', '0 + round(')}",
     "bootstrap_ratio": f"WITH {_W}, ratios AS (SELECT *, CASE WHEN pm > 0 THEN pc / pm END AS x FROM src), {_reps('ratios', _MC, 'cl')}, {_median_reps(_MC)}, {_picks(_MC)}",
     "bootstrap_median": f"WITH {_M}, vals AS (SELECT model, category, cl, prediction AS x FROM src), {_reps('vals', _MC, 'cl')}, {_median_reps(_MC)}, {_picks(_MC)}",
     "bootstrap_items": f"WITH {_SPEEDS}, vals AS (SELECT seq, 1000 * track + window_index AS item, y AS x FROM speeds), {_reps('vals', 'seq', 'item')}, {_mean_reps('seq')}, {_picks('seq')}",

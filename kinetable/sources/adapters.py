@@ -131,3 +131,43 @@ SELECT item, model, category, reference_value, CASE WHEN category LIKE 'dynamics
   CASE WHEN c % 17 = 0 THEN 'no reading' ELSE r || CASE WHEN category LIKE 'dynamics_speed%' THEN ' m/s' ELSE ' m' END || ' -> ' || v || CASE WHEN c % 9 = 0 THEN ' m' WHEN category LIKE 'dynamics_speed%' THEN ' cm/s' ELSE ' cm' END || CASE WHEN c % 4 = 0 THEN '.' ELSE '' END END AS raw_answer
 FROM (SELECT o_orderkey AS item, o_custkey AS c, 'model_' || CAST(o_custkey % 3 AS STRING) AS model, CASE WHEN o_orderkey % 2 = 0 THEN 'dynamics_speed_player' ELSE 'dynamics_path_player' END AS category, (o_orderkey % 83 + 4) / 1e1 AS reference_value,
         CAST(CAST((o_orderkey % 83 + o_custkey % 5) / 1e1 AS DECIMAL(12,1)) AS STRING) AS r, CAST(CAST((o_orderkey % 83 + o_custkey % 5) * (9 + o_custkey % 3) AS DECIMAL(12,1)) AS STRING) AS v FROM {orders})"""
+
+#: How far the camera of a clip has turned, in image pixels: it moves each 45 frames by up to four pixels.
+PAN = "CAST((frame DIV 45) * (k % 5) AS DOUBLE)"
+
+
+def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, frame, fx, fy, px, py): corners of all boxes in the image with their place on the pitch under the clip's map and camera, in
+    frames with at least four boxes; of each fifth box one corner is labelled wrongly."""
+    d = detections(spark, sf_dir)
+    d = d.join(d.groupBy("seq", "frame").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n"), ["seq", "frame"], "left_semi")
+    d = d.withColumn("k", F.expr("CAST(substr(seq, 6) AS INT)")).withColumn("pan", F.expr(PAN))
+    corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col("x") + dx * F.col("w")).alias("fx"), (F.col("y") + dy * F.col("h")).alias("fy")) for i, (dx, dy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1)))))).alias("c")
+    p = d.select("seq", "frame", "track", "pan", corners).select("seq", "frame", "track", "pan", "c.*").withColumn("u", F.col("fx") - F.col("pan"))
+    row = lambda a, b, c: a * F.col("u") + b * F.col("fy") + c
+    below = row(0.00001, 0.0004, 1.0)
+    wrong = F.when((F.col("i") == 3) & ((F.col("frame") + F.col("track")) % 5 == 0), 40.0).otherwise(0.0)
+    return p.select("seq", "frame", "fx", "fy", (row(0.01, 0.001, -5.0) / below + wrong).alias("px"), (row(0.0005, 0.02, -3.0) / below - wrong).alias("py"))
+
+
+#: Joints of five persons in each frame of a clip, made from embeddings: clip, frame, person, j, x, y, z.
+JOINTS = """
+SELECT clip, frame, person, j, person * 2 - 5 + frame * 5e-2 + e1 * 2e-1 AS x, 4 + e2 * 2e-1 - frame * 2e-2 AS y, 3e-1 * j AS z
+FROM (SELECT 'p' || CAST(vec_id % 4 AS STRING) AS clip, CAST(floor(vec_id / 20) AS INT) + 1 AS frame, CAST(floor(vec_id / 4) AS INT) % 5 AS person, j, CAST(CASE j WHEN 0 THEN a[0] WHEN 1 THEN a[1] WHEN 2 THEN a[2] WHEN 3 THEN a[3] WHEN 4 THEN a[4] ELSE a[5] END AS DOUBLE) AS e1, CAST(CASE j WHEN 0 THEN a[6] WHEN 1 THEN a[7] WHEN 2 THEN a[8] WHEN 3 THEN a[9] WHEN 4 THEN a[10] ELSE a[11] END AS DOUBLE) AS e2
+      FROM (SELECT vec_id, {array} AS a FROM {embeddings} WHERE embedding IS NOT NULL AND vec_id >= 0), (VALUES (0), (1), (2), (3), (4), (5)) AS js(j))"""
+
+
+def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(clip, frame, person, joints)."""
+    j = portable(spark, sf_dir, JOINTS.replace("{array}", "embedding"), "embeddings")
+    g = j.groupBy("clip", "frame", "person").agg(F.sort_array(F.collect_list(F.struct("j", F.array("x", "y", "z").alias("p")))).alias("a"))
+    return g.select("clip", "frame", F.col("person").cast("string").alias("person"), F.transform("a", lambda s: s["p"]).alias("joints"))
+
+
+def cameras(poses: DataFrame) -> DataFrame:
+    """(clip, cam, intrinsic, extrinsic): two cameras of each clip that look along the court."""
+    lit = lambda m: F.array(*(F.array(*map(F.lit, r)) for r in m))
+    inside = [[600.0, 0.0, 960.0, 0.0], [0.0, 600.0, 540.0, 0.0], [0.0, 0.0, 1.0, 0.0]]
+    turned = lambda shift: [[1.0, 0.0, 0.0, shift], [0.0, 0.0, -1.0, 1.5], [0.0, 1.0, 0.0, 4.0], [0.0, 0.0, 0.0, 1.0]]
+    cams = F.explode(F.array(*(F.struct(F.lit(c).alias("cam"), lit(inside).alias("intrinsic"), lit(turned(s)).alias("extrinsic")) for c, s in (("left", 1.0), ("right", -3.0))))).alias("c")
+    return poses.select("clip").distinct().select("clip", cams).select("clip", "c.*")

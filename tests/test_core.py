@@ -272,3 +272,32 @@ def test_audit_of_pairs(spark):
     assert {r.pair_id: r.reason for r in audit.audit_pairs(df).collect()} == {"same": "answers", "c": "answers", "text": "text", "near": "windows", "frames": "frames", "one": "rows"}
     pool = df.select(F.col("pair_id").alias("image_id"), "question", "answer")
     assert {r.problem: r.n for r in audit.audit_pool(pool).collect()} == {"balance": 3, "repeated": 5}
+
+
+def test_halves_of_a_hot_stratum_and_digests_of_several_levels(spark):
+    import hashlib
+
+    from kinetable.operators import frames, generate
+
+    rows = [("hot", i, "1.5") for i in range(3001)] + [("two", i, "2.0") for i in range(2)] + [("one", 0, "3.0")] + [(None, i, "4.0") for i in range(6)]
+    items = spark.createDataFrame(rows, "stratum string, k int, answer string")
+    got = generate.mixed_units(items, ["stratum"], ["stratum", "k"]).collect()
+    assert len(got) == len(rows)
+    for s, n in (("hot", 3001), ("two", 2), ("one", 1), (None, 6)):
+        own = sorted(((hashlib.sha256('|'.join(x for x in ('mixed', s, str(r.k)) if x is not None).encode()).hexdigest(), r) for r in got if r.stratum == s), key=lambda x: x[0])
+        assert [r.unit for _, r in own] == ["cm"] * (n // 2) + ["m"] * (n - n // 2)
+        assert all(r.answer == {"hot": "150.0", "two": "200.0", None: "400.0"}[s] for _, r in own if r.unit == "cm")
+
+    def plain(n, parts):
+        level = [f"{p}:" + hashlib.sha256(f'{{"a":"x{p}"}}'.encode()).hexdigest() for p in range(n)]
+        depth = 0
+        while depth < 2 or len(level) > 1:
+            level = [hashlib.sha256("|".join(level[i : i + parts]).encode()).hexdigest() for i in range(0, len(level), parts)]
+            depth += 1
+        return level[0]
+
+    for n in (1, 4, 5, 17, 70):
+        samples = spark.createDataFrame([(p, f"x{p}") for p in range(n)], "place int, a string")
+        r = frames.sequence_digest(samples, "place", 4).first()
+        assert (r.n, r.digest) == (n, plain(n, 4))
+    assert frames.sequence_digest(samples.limit(0), "place", 4).count() == 0

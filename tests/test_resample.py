@@ -67,7 +67,7 @@ def test_interval_needs_nine_tenths(spark):
 
 STATS = {
     "mean": (resample.mean, ["value"]), "median": (resample.median, ["value"]), "rho": (resample.rho, ["prediction", "reference_value"]), "ratio": (resample.ratio, ["numerator", "denominator"]),
-    "delta_rho": (resample.delta_rho, ["prediction", "reference_value", "other", "other_reference"]), "margin": (resample.margin, ["prediction", "reference_value", "score_tolerance", "score_floor"]),
+    "delta_rho": (resample.delta_rho, ["prediction", "reference_value", "other", "other_reference"]), "common": (resample.common_delta_rho, ["prediction", "reference_value", "other", "other_reference"]), "margin": (resample.margin, ["prediction", "reference_value", "score_tolerance", "score_floor"]),
     "partial": (resample.partial_rho, ["prediction", "reference_value", "covariate"]),
 }
 
