@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, prepare, regrouped, table
+from .common import discard, id_text, prepare, regrouped, stored, table
 
 #: Bounds of the training sample: documents and bytes of text.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 3000, 5000, 32 << 20
@@ -276,8 +276,10 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = known.where("toxic = 1").orderBy(order).limit(max_toxic).unionByName(known.where("toxic = 0").orderBy(order).limit(max_clean))
     # each document once, in case ids repeat: the sample's bound holds for texts too
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
-    so_far = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes)
+    # the bound on bytes is decided on lengths alone, before any texts meet
+    rows = stored(rows.withColumn("_size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")), "toxicity-sample")
+    so_far = F.sum("_size").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = rows.select("doc_id", "_size").withColumn("_bytes", so_far).where(F.col("_bytes") <= max_bytes).select("doc_id")
 
     def run(batches):
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
@@ -285,7 +287,9 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         model = fit([t or "" for _, t, _ in got], [int(y) for _, _, y in got])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = rows.select("doc_id", "text", "toxic").coalesce(1).mapInArrow(run, "model binary").collect()
+    some = rows.join(F.broadcast(within), "doc_id", "left_semi").select("doc_id", "text", "toxic")  # of 8,000 ids at most
+    found = some.coalesce(1).mapInArrow(run, "model binary").collect()
+    discard(spark, rows)
     return pickle.loads(found[0].model) if found else {"share": 0.0}
 
 
