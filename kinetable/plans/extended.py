@@ -60,8 +60,8 @@ def item_ratio_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def align_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.predictions(spark, sf_dir).where("arm = 'm'")
-    return paired.align_predictions(p.select("item", "category"), p.where("item % 5 <> 0").select("item", "raw_answer"), ["item"])
+    p = A.predictions(spark, sf_dir)
+    return paired.align_predictions(p.select("item", "arm", "category"), p.where("item % 5 <> 0").select("item", "arm", "raw_answer"), ["item", "arm"])
 
 
 def arm_vs_base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,13 @@ QUERIES = {
     "clip_scale": clip_scale, "px_answers": px_answers, "dense_windows": dense_windows, "crop_rects": crop_rects, "accel_events": accel_events, "accel_visual": accel_visual, "item_ratio_shares": item_ratio_shares,
     "align_predictions": align_predictions, "arm_vs_base": arm_vs_base, "paired_statistics": paired_statistics,
 }
+#: Pairs of windows by the greedy choice: the best pair that is left, one after the other. Needs WITH RECURSIVE.
+VISUAL = f"""{trajectory.METRICS}, e AS (SELECT seq, track, window_index, max(a) FILTER (part = 'first') AS a, max(b) FILTER (part = 'second') AS b, max(speed) FILTER (part = 'first') AS v1, max(speed) FILTER (part = 'second') AS v2 FROM metrics GROUP BY ALL
+), ev AS (SELECT *, v2 > v1 AS up FROM e WHERE v1 > 0 AND v2 > 0 AND greatest(v1, v2) / least(v1, v2) >= 1.35
+), cand AS (SELECT u.seq, u.track, abs(u.window_index - d.window_index) AS gap, CAST(u.window_index AS INT) AS u, CAST(d.window_index AS INT) AS d FROM ev u JOIN ev d ON u.seq = d.seq AND u.track = d.track AND u.up AND NOT d.up AND (u.b < d.a OR d.b < u.a)
+), chosen AS (SELECT DISTINCT seq, track, 0 AS n, []::INT[] AS ups, []::INT[] AS downs FROM cand
+  UNION ALL SELECT c.seq, c.track, n + 1, list_append(any_value(ups), arg_min(u, (gap, u, d))), list_append(any_value(downs), arg_min(d, (gap, u, d))) FROM chosen c JOIN cand ON cand.seq = c.seq AND cand.track = c.track WHERE NOT list_contains(ups, u) AND NOT list_contains(downs, d) GROUP BY c.seq, c.track, n
+), visual AS (SELECT seq, track, CAST(n - 1 AS INT) AS k, ups[n] AS up, downs[n] AS down FROM chosen WHERE n > 0)"""
 _COURT = trajectory.ORACLES["court_metrics"].removeprefix("WITH ")
 ORACLES = {
     "clip_scale": f"""WITH {trajectory.METRICS}, court AS (WITH {_COURT}), r AS (SELECT m.seq, path_px * 0.5 / c.path_m AS k FROM metrics m JOIN court c ON m.seq = c.seq AND m.track = c.track AND m.window_index = c.window_index WHERE part = 'full' AND path_px IS NOT NULL AND c.path_m >= 0.05
@@ -92,12 +99,13 @@ SELECT seq, track, CAST(window_index AS INT) AS window_index, round(sum(step), 6
 ), g AS (SELECT seq, track, window_index, min(x) AS x0, min(y) AS y0, max(x + w) AS x1, max(y + h) AS y1 FROM detections JOIN f USING (seq, frame) GROUP BY ALL
 ), k AS (SELECT *, x1 - x0 <= 320 * 0.9 AND y1 - y0 <= 130 * 0.9 AS ok FROM g)
 SELECT seq, track, window_index, CASE WHEN ok THEN round_even(least(greatest((x0 + x1) / 2 - 160, 0), 1600), 0) END AS "left", CASE WHEN ok THEN round_even(least(greatest((y0 + y1) / 2 - 65, 0), 950), 0) END AS top, CASE WHEN ok THEN 320.0::DOUBLE END AS w, CASE WHEN ok THEN 130.0::DOUBLE END AS h FROM k""",
+    "accel_visual": f"WITH RECURSIVE {VISUAL} SELECT seq, track, k, up, down FROM visual",
     "accel_events": f"""WITH {trajectory.METRICS}, e AS (SELECT seq, track, window_index, max(a) FILTER (part = 'first') AS a, max(b) FILTER (part = 'second') AS b, max(speed) FILTER (part = 'first') AS v1, max(speed) FILTER (part = 'second') AS v2 FROM metrics GROUP BY ALL)
 SELECT seq, track, window_index, a, b, round(v1, 6) AS v1, round(v2, 6) AS v2, v2 > v1 AS up FROM e WHERE v1 > 0 AND v2 > 0 AND greatest(v1, v2) / least(v1, v2) >= 1.35""",
     "item_ratio_shares": f"""WITH {scoring._PAIRS}, r AS (SELECT model, category, pc, CASE WHEN pm > 0 THEN pc / (100 * pm) END AS r FROM wide WHERE rm IS NOT NULL AND rc IS NOT NULL)
 SELECT model, category, count(*) AS n_items, count(r) AS n, round(quantile_cont(r, 0.5), 6) AS median, round(quantile_cont(r, 0.25), 6) AS q1, round(quantile_cont(r, 0.75), 6) AS q3, round(avg((r BETWEEN 0.5 AND 2)::INT), 6) AS share_2, round(avg((r BETWEEN 0.8 AND 1.25)::INT), 6) AS share_125,
   count(DISTINCT pc) AS distinct_cm FROM r GROUP BY model, category""",
-    "align_predictions": f"WITH {A.PREDICTIONS} SELECT item, category, CASE WHEN item % 5 <> 0 THEN raw_answer END AS raw_answer, item % 5 <> 0 AS observed FROM predictions WHERE arm = 'm'",
+    "align_predictions": f"WITH {A.PREDICTIONS} SELECT item, arm, category, CASE WHEN item % 5 <> 0 THEN raw_answer END AS raw_answer, item % 5 <> 0 AS observed FROM predictions",
     "arm_vs_base": f"""WITH {scoring.SCORED}, o AS (SELECT model, item, arm, coalesce(score >= 70, false) AND NOT (arm = 'cm' AND item % 300 = 1) AS ok FROM scored
 ), g AS (SELECT a.model, count(*) FILTER (a.ok AND NOT b.ok) AS only_arm, count(*) FILTER (NOT a.ok AND b.ok) AS only_base FROM o a JOIN o b ON a.item = b.item AND a.arm = 'cm' AND b.arm = 'm' GROUP BY 1)
 SELECT *, round(CASE WHEN only_arm + only_base = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_arm, only_base) + 1), lambda i: exp(lgamma(only_arm + only_base + 1) - lgamma(i + 1) - lgamma(only_arm + only_base - i + 1) - (only_arm + only_base) * ln(2))))) END, 5) AS p FROM g""",

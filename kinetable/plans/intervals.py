@@ -9,17 +9,18 @@ from ..operators import paired, probes, resample
 from ..operators import geometry as geo
 from ..sources import adapters as A
 from . import trajectory
-from .scoring import SCORED, _rounded, _scored
+from .scoring import SCORED, _rounded, _scored, _sql_score
 
 CELL = ["model", "category"]
 
 
-def _metres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).where("arm = 'm'").withColumn("cluster", F.col("item") % 40)
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model in every arm is a cell."""
+    return _scored(spark, sf_dir).withColumns({"model": F.concat_ws("/", "model", "arm"), "cluster": F.col("item") % 40})
 
 
 def bootstrap_rho(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(resample.bootstrap(_metres(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value"], resample.rho))
+    return _rounded(resample.bootstrap(_cells(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value"], resample.rho))
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,11 +42,11 @@ def bootstrap_common(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(resample.bootstrap(_metres(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value", "score_tolerance", "score_floor"], resample.margin))
+    return _rounded(resample.bootstrap(_cells(spark, sf_dir), CELL, "cluster", ["prediction", "reference_value", "score_tolerance", "score_floor"], resample.margin))
 
 
 def bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(resample.bootstrap(_metres(spark, sf_dir).withColumn("value", F.col("prediction")), CELL, "cluster", ["value"], resample.median))
+    return _rounded(resample.bootstrap(_cells(spark, sf_dir).withColumn("value", F.col("prediction")), CELL, "cluster", ["value"], resample.median))
 
 
 def _speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,7 +136,7 @@ def _mean_reps(cell: str) -> str:
     return f"""d AS (SELECT {cell}, j, sum(coalesce(x, 0)) AS s, count(*) AS c FROM numbered GROUP BY ALL), reps AS (SELECT {cell}, rep, sum(times * s) / sum(times * c) AS v FROM used JOIN d USING ({cell}, j) GROUP BY ALL)"""
 
 
-_M = f"{SCORED}, src AS (SELECT *, item % 40 AS cl FROM scored WHERE arm = 'm')"
+_M = f"{SCORED}, src AS (SELECT * REPLACE (model || '/' || arm AS model), item % 40 AS cl FROM scored)"
 _W = f"""{SCORED}, src AS (SELECT model, category, item, item % 40 AS cl, max(prediction) FILTER (arm = 'm') AS pm, max(prediction) FILTER (arm = 'cm') AS pc, max(reference_value) FILTER (arm = 'm') AS rm, max(reference_value) FILTER (arm = 'cm') AS rc FROM scored GROUP BY ALL)"""
 _SPEEDS = f"{trajectory.METRICS}, speeds AS (SELECT seq, track, window_index, a AS f0, round(speed, 1) AS p, round(path_m, 3) AS y FROM metrics WHERE part = 'full' AND path_m IS NOT NULL)"
 _MC = "model, category"
@@ -143,6 +144,18 @@ ORACLES = {
     "bootstrap_rho": f"WITH {_M}, {_reps('src', _MC, 'cl')}, {_rho_reps('prediction', 'reference_value', 'rr')}, reps AS (SELECT model, category, rep, rho AS v FROM rr), {_picks(_MC)}",
     "bootstrap_delta_rho": f"WITH {_W}, {_reps('src', _MC, 'cl')}, {_rho_reps('pm', 'rm', 'ra')}, {_rho_reps('pc', 'rc', 'rb')}, reps AS (SELECT model, category, rep, ra.rho - rb.rho AS v FROM ra JOIN rb USING (model, category, rep)), {_picks(_MC).replace('round(', '0 + round(')}",
     "bootstrap_common": f"WITH {_W}, {_reps('src', _MC, 'cl')}, {_rho_reps('CASE WHEN pc IS NOT NULL THEN pm END', 'rm', 'ra')}, {_rho_reps('CASE WHEN pm IS NOT NULL THEN pc END', 'rc', 'rb')}, reps AS (SELECT model, category, rep, ra.rho - rb.rho AS v FROM ra JOIN rb USING (model, category, rep)), {_picks(_MC).replace('round(', '0 + round(')}",
+    "bootstrap_margin": f"""WITH {_M}, {_reps('src', _MC, 'cl')}, own AS (SELECT {_MC}, j, sum(score) AS s, count(*) AS c FROM numbered WHERE prediction IS NOT NULL GROUP BY ALL), o AS (SELECT {_MC}, rep, sum(times * s) / sum(times * c) AS own FROM used JOIN own USING ({_MC}, j) GROUP BY ALL
+), ys AS (SELECT {_MC}, j, reference_value AS y, score_tolerance AS t, score_floor AS e, count(*) AS c FROM numbered WHERE prediction IS NOT NULL GROUP BY ALL), w AS (SELECT {_MC}, rep, y, t, e, sum(times * c) AS n FROM used JOIN ys USING ({_MC}, j) GROUP BY ALL
+), u AS (SELECT *, sum(n) OVER (PARTITION BY {_MC}, rep ORDER BY y ROWS UNBOUNDED PRECEDING) AS hi, sum(n) OVER (PARTITION BY {_MC}, rep) AS total FROM w
+), m AS (SELECT {_MC}, rep, (max(y) FILTER ((total - 1) // 2 >= hi - n AND (total - 1) // 2 < hi) + max(y) FILTER (total // 2 >= hi - n AND total // 2 < hi)) / 2 AS med FROM u GROUP BY ALL
+), k AS (SELECT {_MC}, rep, sum(n * {_sql_score("med", "y", "t", "e")}) / sum(n) AS best FROM w JOIN m USING ({_MC}, rep) GROUP BY ALL), reps AS (SELECT {_MC}, rep, own - best AS v FROM o JOIN k USING ({_MC}, rep)), {_picks(_MC)}""",
+    "bootstrap_partial": f"""WITH {_SPEEDS}, src AS (SELECT s.*, 1000 * s.track + s.window_index AS item, round(m.median_h, 3) AS z FROM speeds s JOIN metrics m ON m.seq = s.seq AND m.track = s.track AND m.window_index = s.window_index AND part = 'full'), {_reps('src', 'seq', 'item')}
+, w AS (SELECT seq, rep, p, y, z, times AS n FROM used JOIN numbered USING (seq, j) WHERE p IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL
+), ties AS (SELECT *, {", ".join(f"sum(n) OVER (PARTITION BY seq, rep ORDER BY {v} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up_{v}, sum(n) OVER (PARTITION BY seq, rep, {v}) AS tie_{v}" for v in "pyz")} FROM w
+), r AS (SELECT seq, rep, n, {", ".join(f"up_{v} - tie_{v} + (tie_{v} + 1) / 2.0::DOUBLE AS {v}" for v in "pyz")} FROM ties
+), s AS (SELECT seq, rep, sum(n) AS n, {", ".join(f"sum(n * {a} * {b}) - sum(n * {a}) * sum(n * {b}) / sum(n) AS {a}{b}" for a, b in ("pp", "yy", "zz", "py", "pz", "yz"))} FROM r GROUP BY ALL
+), c AS (SELECT seq, rep, n, CASE WHEN pp > 0 AND yy > 0 THEN py / sqrt(pp * yy) END AS a, coalesce(CASE WHEN pp > 0 AND zz > 0 THEN pz / sqrt(pp * zz) END, 0) AS b, coalesce(CASE WHEN yy > 0 AND zz > 0 THEN yz / sqrt(yy * zz) END, 0) AS d FROM s
+), reps AS (SELECT seq, rep, CASE WHEN n >= 4 AND (1 - b * b) * (1 - d * d) > 1e-12 THEN (a - b * d) / sqrt((1 - b * b) * (1 - d * d)) END AS v FROM c), {_picks('seq')}""",
     "bootstrap_ratio": f"WITH {_W}, ratios AS (SELECT *, CASE WHEN pm > 0 THEN pc / pm END AS x FROM src), {_reps('ratios', _MC, 'cl')}, {_median_reps(_MC)}, {_picks(_MC)}",
     "bootstrap_median": f"WITH {_M}, vals AS (SELECT model, category, cl, prediction AS x FROM src), {_reps('vals', _MC, 'cl')}, {_median_reps(_MC)}, {_picks(_MC)}",
     "bootstrap_items": f"WITH {_SPEEDS}, vals AS (SELECT seq, 1000 * track + window_index AS item, y AS x FROM speeds), {_reps('vals', 'seq', 'item')}, {_mean_reps('seq')}, {_picks('seq')}",

@@ -44,11 +44,17 @@ def accel_visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_accel_visual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs' audit must find nothing but counts."""
+    """The pairs' audit where every second pair of a track is spoilt, in each track in another way."""
     det, clips, w = trajectory._base(spark, sf_dir)
     pairs = more_geometry.accel_visual(more_geometry.accel_events(geo.body_metrics(det, clips)))
-    rows = generate.accel_visual_rows(pairs, w)
-    return audit.audit_pairs(rows.withColumn("pair_id", F.concat_ws("/", "seq", "pair_id")))
+    rows = generate.accel_visual_rows(pairs, w).withColumn("pair_id", F.concat_ws("/", "seq", "pair_id"))
+    bad = F.substring("pair_id", -2, 2).cast("int") % 2 == 0
+    twin, at = F.col("pair_role") == "twin", lambda t: bad & (F.col("track") == t)
+    spoilt = rows.where(~(at(3) & twin)).withColumns({
+        "answer": F.when(at(1) & twin, "A").otherwise(F.col("answer")), "question": F.when(at(2) & twin, F.concat("question", F.lit(" "))).otherwise(F.col("question")),
+        "f0": F.when(at(4), 0).otherwise(F.col("f0")), "f1": F.when(at(4), 1000).otherwise(F.col("f1")), "frames": F.when(at(5), F.array(F.lit(1))).otherwise(F.col("frames")),
+    })
+    return audit.audit_pairs(spoilt)
 
 
 def recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +98,14 @@ def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def arm_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.arm_invariants(generate.control_arms(trajectory._items(spark, sf_dir)[1]))
+    """Violations of arms that are spoilt on purpose: a wrong answer, a changed text and a wrong tolerance in some windows of some tracks."""
+    arms = generate.control_arms(trajectory._items(spark, sf_dir)[1])
+    at = lambda track, arm: (F.col("track") == track) & (F.col("window_index") % 3 == 0) & (F.col("arm") == arm)
+    spoilt = arms.withColumns({
+        "answer": F.when(at(1, "cm_height"), "0.0").otherwise(F.col("answer")), "question": F.when(at(2, "px_noheight"), F.concat("question", F.lit(" Now."))).otherwise(F.col("question")),
+        "score_tolerance": F.when(at(3, "cm_height"), F.col("score_tolerance") * 50).otherwise(F.col("score_tolerance")),
+    })
+    return generate.arm_invariants(spoilt)
 
 
 def odd_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,8 +179,11 @@ SELECT category, seq, track, window_index, printf('%.1f', CASE category WHEN 'sp
 FROM items, (VALUES ('m', 1.0::DOUBLE, 'meters'), ('cm', 100.0::DOUBLE, 'centimeters')) u(unit, f, w) WHERE answer IS NOT NULL AND category IN ('speed', 'path')""",
     "relabelled": f"""WITH {trajectory.ITEMS}, {_CPOINTS} SELECT category, seq, track, window_index, printf('%.1f', CASE category WHEN 'speed' THEN v ELSE d END) AS answer, {contracts._ASK} AS question, answer AS v1_answer, 'court' AS label_convention
 FROM items JOIN {_FULL} c USING (seq, track, window_index) WHERE answer IS NOT NULL AND category IN ('speed', 'path') AND CAST(regexp_extract(seq, '(\\d+)', 1) AS INT) % 3 <> 2""",
-    "arm_invariants": "SELECT unnest(['reference', 'unit_text', 'prior_text', 'scale']) AS rule, 0 AS violations",
-    "audit_accel_visual": "SELECT CAST(NULL AS VARCHAR) AS pair_id, CAST(NULL AS VARCHAR) AS reason WHERE false",
+    "arm_invariants": f"""WITH {trajectory.ITEMS}, i AS (SELECT * FROM items WHERE answer IS NOT NULL AND category IN ('speed', 'path') AND window_index % 3 = 0) SELECT rule, CASE rule WHEN 'reference' THEN (SELECT count(*) FROM i WHERE track = 1) WHEN 'unit_text' THEN (SELECT count(*) FROM i WHERE track = 2) WHEN 'prior_text' THEN (SELECT count(*) FROM i WHERE track = 2) ELSE (SELECT count(*) FROM i WHERE track = 3) END AS violations FROM (SELECT unnest(['reference', 'unit_text', 'prior_text', 'scale']) AS rule)""",
+    "audit_accel_visual": f"""WITH RECURSIVE {extended.VISUAL} SELECT seq || printf('/accvis_t%d_%02d', track, k) AS pair_id, CASE track WHEN 1 THEN 'answers' WHEN 2 THEN 'text' WHEN 3 THEN 'rows' WHEN 4 THEN 'windows' ELSE 'frames' END AS reason FROM visual WHERE k % 2 = 0""",
+    "accel_visual_rows": f"""WITH RECURSIVE {extended.VISUAL}, base AS (SELECT 'relational_reasoning_dyn_accel_vis' AS category, seq, track, CASE role WHEN 'orig' THEN up ELSE down END AS window_index, printf('accvis_t%d_%02d', track, k) AS pair_id, role AS pair_role, {_A} || '{texts.ASK["accel"]}{texts.LETTER_ONLY}' AS question, CASE role WHEN 'orig' THEN 'A' ELSE 'B' END AS answer, track || ':red:box' AS highlight FROM visual, (VALUES ('orig'), ('twin')) r(role))
+SELECT category, seq, track, window_index, pair_id, pair_role, question, answer, 6 + 30 * window_index AS f0, 66 + 30 * window_index AS f1, (6 + 30 * window_index) || ',' || (26 + 30 * window_index) || ',' || (46 + 30 * window_index) || ',' || (66 + 30 * window_index) AS frames,
+  array_to_string(list_transform([6, 26, 46, 66], lambda f: seq || '_w' || window_index || '_t' || track || '_f' || (f + 30 * window_index)), ',') AS image_ids, highlight FROM base""",
     "odd_strata": f"WITH {trajectory.ITEMS} SELECT seq, category, count(*) AS n FROM items WHERE answer IS NOT NULL GROUP BY ALL HAVING count(*) % 2 = 1",
     "fine_units": f"""WITH {trajectory.ITEMS}, ranked AS (
   SELECT *, row_number() OVER (PARTITION BY seq, category ORDER BY sha256(concat_ws('|', 'mixed', category, seq, track, window_index))) AS r, count(*) OVER (PARTITION BY seq, category) AS n FROM items WHERE answer IS NOT NULL AND category <> 'time'

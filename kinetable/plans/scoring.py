@@ -64,7 +64,7 @@ def coverage_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.predictions(spark, sf_dir).where("arm = 'm'")
+    p = A.predictions(spark, sf_dir)
     rows = p.select("category", F.format_string("%s", F.col("reference_value").cast("decimal(12,1)")).alias("answer"), F.col("raw_answer").alias("vlm_answer"), (F.col("item") % 13 != 0).alias("has_prediction"))
     return _rounded(stats.evaluate_summary(rows))
 
@@ -196,7 +196,7 @@ SELECT {_C}, expected, observed, parsed, observed - parsed AS invalid, expected
   CASE WHEN observed = expected THEN round(s / expected, 6) END AS tmra_all, round(s / expected, 6) AS tmra_lower_bound, round(mae, 6) AS mae FROM g""",
     "evaluate_summary": f"""WITH {A.PREDICTIONS}, r AS (
   SELECT CASE WHEN category LIKE 'dynamics_speed%' THEN 'speed' ELSE 'path' END AS grp, item % 13 <> 0 AS seen, raw_answer, CAST(CAST(reference_value AS DECIMAL(12,1)) AS VARCHAR) AS answer,
-    try_cast(nullif(regexp_extract(raw_answer, '{fn.FIRST}'), '') AS DOUBLE) AS p, CAST(CAST(reference_value AS DECIMAL(12,1)) AS DOUBLE) AS g FROM predictions WHERE arm = 'm'
+    try_cast(nullif(regexp_extract(raw_answer, '{fn.FIRST}'), '') AS DOUBLE) AS p, CAST(CAST(reference_value AS DECIMAL(12,1)) AS DOUBLE) AS g FROM predictions
 ), e AS (SELECT *, seen AND (lower(trim(raw_answer)) = answer OR coalesce(abs(p - g) < 1e-6, false)) AS ok, CASE grp WHEN 'speed' THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS t, (NOT seen OR p IS NULL)::INT AS failed FROM r
 ), s AS (SELECT *, CASE WHEN ok THEN 1.0::DOUBLE WHEN seen AND p IS NOT NULL THEN list_sum(list_transform([{", ".join(repr(1.0 - x) + "::DOUBLE" for x in fn.THETAS)}], lambda q: CASE WHEN (abs(p - g) - t) / abs(g) < q THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) / 10 ELSE 0.0::DOUBLE END AS tm FROM e)
 SELECT coalesce(grp, 'overall') AS grp, count(*) AS n, round(avg(seen::INT), 6) AS coverage, CAST(sum(failed) AS BIGINT) AS parse_failures, CAST(NULL AS DOUBLE) AS within_30cm, round(avg(ok::INT), 6) AS exact_accuracy, round(avg(tm), 6) AS tmra FROM s GROUP BY GROUPING SETS ((grp), ())""",

@@ -113,7 +113,7 @@ FROM (SELECT *, CAST(CAST(t / 1e1 AS DECIMAL(12,1)) AS STRING) AS x, CAST(CAST((
 
 #: Items under an old and a new truth with predictions: v1, v3, box height.
 TRUTHS = """
-SELECT model, category, item, prediction, score_tolerance, score_floor, reference_value AS v1, reference_value * (17 + item % 7) / 2e1 AS v3, 5e1 + (item * 7919) % 97 AS box_h FROM {scored} WHERE arm = 'm'"""
+SELECT model || '/' || arm AS model, category, item, prediction, score_tolerance, score_floor, reference_value AS v1, reference_value * (17 + item % 7) / 2e1 AS v3, 5e1 + (item * 7919) % 97 AS box_h FROM {scored}"""
 
 #: Paired letters under old and new labels.
 LABELS = """
