@@ -181,9 +181,8 @@ def mixed_units(items: DataFrame, stratum: list[str], keys: list[str], answer: s
     in exact decimals. An odd item of a stratum stays in metres (see ``odd_strata``). ``fine`` names the unrounded value from
     which cm speeds are rounded instead."""
     hashed = settled(items.withColumn("_h", hash_order("mixed", *keys)))
-    cut = half_cuts(hashed, stratum, "_h")
-    match = [hashed[c].eqNullSafe(cut[c]) for c in stratum]
-    ranked = hashed.join(cut, match, "left").drop(*(cut[c] for c in stratum))
+    cut = half_cuts(hashed, stratum, "_h").select(*(F.col(c).alias(f"_at_{c}") for c in stratum), "_cut")
+    ranked = hashed.join(cut, [F.col(c).eqNullSafe(F.col(f"_at_{c}")) for c in stratum], "left").drop(*(f"_at_{c}" for c in stratum))
     cm = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
     value = (F.col(answer).cast("decimal(20,4)") * 100).cast("decimal(20,1)").cast("string")
     if fine:

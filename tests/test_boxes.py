@@ -35,7 +35,8 @@ def shown(spark):
     b = [("c", 1, f, 100.0 + 2 * f, 300.0, 40.0, 120.0) for f in (0, 20, 40, 60)] + [("c", 2, f, 1.0, 10.0 * f, 40.0, 100.0) for f in (0, 20, 60)] + [("c", 4, f, 300.0 + 9 * (f // 20) ** 2, 300.0, 40.0, 60.0) for f in (0, 20, 40, 60)]
     det = spark.createDataFrame(b, "seq string, track int, frame int, x double, y double, w double, h double")
     names = lambda t: [f"c_w0_t{t}_f{f}" for f in (0, 20, 40, 60)]
-    cats = [("a", 1, "dynamics_speed_player", "q", None), ("b", 1, "dynamics_path_player", "q", None), ("c", 1, "dynamics_time_intercept", "q", None), ("d", 4, "relational_reasoning_dyn_accel", "(A) speeding up (B) slowing down", None), ("e", 4, "relational_reasoning_dyn_accel", "(A) slowing down (B) speeding up", None), ("f", 1, "relational_reasoning_dyn_faster", "q", 4), ("g", 2, "dynamics_speed_player", "q", None)]
+    tall = "Assume a typical player on this court is 1.93 m tall. "
+    cats = [("a", 1, "dynamics_speed_player", tall, None), ("b", 1, "dynamics_path_player", tall, None), ("c", 1, "dynamics_time_intercept", tall, None), ("h", 1, "dynamics_path_player", tall.replace("1.93", "3.86"), None), ("i", 1, "dynamics_path_player", "q", None), ("d", 4, "relational_reasoning_dyn_accel", "(A) speeding up (B) slowing down", None), ("e", 4, "relational_reasoning_dyn_accel", "(A) slowing down (B) speeding up", None), ("f", 1, "relational_reasoning_dyn_faster", "q", 4), ("g", 2, "dynamics_speed_player", "q", None)]
     items = spark.createDataFrame([(i, "c", t, 0, 60, [0, 20, 40, 60], names(t), c, q, 2.0, b2) for i, t, c, q, b2 in cats], "item string, seq string, track int, f0 int, f1 int, frames array<int>, image_ids array<string>, category string, question string, dur double, track_b int")
     return det, items
 
@@ -44,8 +45,8 @@ def test_sparse_oracle(spark, shown):
     det, items = shown
     balls = spark.createDataFrame([("c", 60, 240.0, 420.0 + 193.0)], "seq string, frame int, bx double, by double")
     got = {r.item: r.answer for r in boxes.sparse_oracle(items, det, balls).collect()}
-    # 120 px in 2 s at 1.93 / 120 m a px; the ball is 193 px away; 81 px at 1.93 / 60 is faster
-    assert got == {"a": "1.0", "b": "1.9", "c": f"{193 / 60:.1f}", "d": "A", "e": "B", "f": "B", "g": None}
+    # 120 px in 2 s at 1.93 / 120 m a px; the ball is 193 px away; 81 px at 1.93 / 60 is faster; the height is the question's
+    assert got == {"a": "1.0", "b": "1.9", "c": f"{193 / 60:.1f}", "d": "A", "e": "B", "f": "B", "g": None, "h": "3.9", "i": None}
 
 
 def test_box_checks(shown):
