@@ -210,3 +210,22 @@ def test_manifest_over_several_tiers(spark, tmp_path, monkeypatch, langs, rows):
     table = [(i, f"Text {i}", f"l{i % langs}", "s", i) for i in range(langs * rows)]
     spark.createDataFrame(table, SCHEMA).write.parquet(f"file://{tmp_path}/documents.parquet")
     assert sorted((tuple(r) for r in manifest.op13_manifest(spark, f"file://{tmp_path}").collect()), key=repr) == plain_manifest(table)
+
+
+# --- 9: the sample's bound ---------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_sample_bound_is_decided_on_lengths(spark, monkeypatch):
+    """A very long labelled text is left out of the fit without any task holding it beside the others."""
+    from kinetable.llm import toxicity
+
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append(texts) or {"share": len(texts) / 100})
+    rows = [(i, "spiteful words" if i % 2 else "kind words") for i in range(40)] + [(100, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    learnt = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    model = toxicity.train(docs, labels, max_bytes=1_000_000)
+    assert 0 < model["share"] * 100 <= len(learnt)
+    assert toxicity.train(docs, labels)["share"] == len(learnt) / 100
+    assert toxicity.train(docs.limit(0), labels) == {"share": 0.0}
