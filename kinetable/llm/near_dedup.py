@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import byte_column, discard, prepare, regrouped, spread_join, stored, table
+from .common import byte_column, discard, prepare, regrouped, release, spread_join, stored, table
 from .components import components
 from .decontaminate import grams, mix, word_hashes
 
@@ -148,6 +148,7 @@ def _signed(keyed: DataFrame) -> DataFrame:
             some = np.where(size > 0, BANDS, 0)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(some)].astype(np.int32)), pa.array(keys[size > 0].ravel()))
             yield from pa.table([*(part.column(k) for k in _KEY), raw, pa.array(size.astype(np.int64)), lists], [*_KEY, "node", "size", "bands"]).to_batches()
+        release()
 
     return keyed.mapInArrow(run, "z boolean, d long, h long, node binary, size long, bands array<long>")
 

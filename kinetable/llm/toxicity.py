@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, id_text, prepare, regrouped, stored, table
+from .common import discard, id_text, prepare, regrouped, release, stored, table
 
 #: Bounds of the training sample: documents and bytes of text.
 MAX_TOXIC, MAX_CLEAN, MAX_BYTES = 3000, 5000, 32 << 20
@@ -285,6 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         got = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
         got.sort(key=lambda r: r[0])
         model = fit([t or "" for _, t, _ in got], [int(y) for _, _, y in got])
+        del got
+        release()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
     some = rows.join(F.broadcast(within), "doc_id", "left_semi").select("doc_id", "text", "toxic")  # of 8,000 ids at most
@@ -329,6 +331,8 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
             texts = pc.fill_null(pc.struct_field(row, "text"), "").to_pylist()
             clean = pa.array([s < threshold for s, *_ in scorer(texts)], pa.bool_())
             yield from part.select(["_row"]).filter(clean).to_batches()
+        del scorer
+        release()
 
     return packed.mapInArrow(run, packed.schema).select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
