@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import geometry as geo
 from ..operators import more_geometry as more
-from ..operators import paired, stats
+from ..operators import paired
 from ..sources import adapters as A
 from . import scoring, trajectory
 
