@@ -30,6 +30,8 @@ LIMIT = 1 << 20
 #: Draws that are listed at a time.
 _RUN = 1 << 16
 _MOD = 1 << 32
+#: Factor of the mixing of trials; below 2^31, so that products fit signed longs.
+_MIX = 73244475
 
 
 def draw_sql(rep: str, draw: str) -> str:
@@ -47,6 +49,33 @@ def uniform(rep: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return (h * np.uint64(22695477) + np.uint64(1)) % np.uint64(_MOD)
 
 
+def trials_sql(source: str) -> str:
+    """``source`` (rep, draw from 0, ...) with h, a number in [0, 2^32) of replicate and trial, as SQL; ``trials`` is the same in numpy. Along the
+    draws of one replicate ``draw_sql`` is far more even than chance, so that counts of trials would vary too little."""
+
+    def mixed(s: str) -> str:
+        for _ in range(2):
+            s = f"SELECT * REPLACE (xor(h, h >> 16) * {_MIX} % {_MOD} AS h) FROM ({s})"
+        return f"SELECT * REPLACE (xor(h, h >> 16) AS h) FROM ({s})"
+
+    inner = mixed(f"SELECT *, draw % {_MOD} AS h FROM {source}")
+    return mixed(f"SELECT * REPLACE ((h + rep * 2654435761 + (draw >> 32) * 40503) % {_MOD} AS h) FROM ({inner})")
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(_MIX)
+    return h ^ (h >> np.uint32(16))
+
+
+def trials(rep: np.ndarray, draw: np.ndarray) -> np.ndarray:
+    """Rows of replicates, columns of draws."""
+    rep, draw = rep.astype(np.uint64), draw.astype(np.uint64)
+    low = lambda x: (x & np.uint64(_MOD - 1)).astype(np.uint32)
+    at = _mixed(low(draw)) + low(draw >> np.uint64(32)) * np.uint32(40503)
+    return _mixed(at + low(rep * np.uint64(2654435761))[:, None])
+
+
 # --- statistics of weighted rows: (columns as arrays, weights) -> number or None ------------------------------------------
 
 
@@ -271,20 +300,36 @@ def binomial_quantile(u: float, n: int, k: int) -> int:
     return low + int(np.searchsorted(upto, u, "left"))
 
 
-def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = BINOMIAL) -> DataFrame:
-    """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates. A replicate is the binomial's quantile at
-    one hashed uniform; quantiles keep the order of the uniforms, so only the two picked ones are inverted."""
-    u = np.sort((uniform(np.arange(1, b + 1), np.ones(b)) + 0.5) / _MOD)
-    ends = {"lo": float(u[int(0.025 * b)]), "hi": float(u[int(0.975 * b) - 1])}
+def _wins(rep: np.ndarray, first: int, last: int, share: float) -> np.ndarray:
+    """How many of the trials ``first`` to ``last`` (left out) of each replicate succeed; a few thousand are drawn at a time."""
+    won, most = np.zeros(len(rep), np.int64), 1 << 14
+    for at in range(first, last, most):
+        draw = np.arange(at, min(last, at + most))
+        step = max(1, most // len(draw))
+        for r in range(0, len(rep), step):
+            won[r : r + step] += np.count_nonzero(trials(rep[r : r + step], draw) < share * _MOD, axis=1)
+    return won
 
-    def inverted(at: float):
-        @F.pandas_udf("double")
-        def share(n: pd.Series, k: pd.Series) -> pd.Series:
-            return pd.Series([binomial_quantile(at, int(x), int(y)) / x for x, y in zip(n, k, strict=True)], dtype=float)
 
-        return share(F.col(n), F.col(k))
-
-    return rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), F.try_divide(k, n).alias("share"), *(inverted(at).alias(name) for name, at in ends.items()))
+def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = BINOMIAL) -> DataFrame:
+    """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates, each the share of successes among n drawn
+    trials. ``rows`` has one row a cell; no trials, no row; a null k has no interval. Trials are drawn in runs, replicates in blocks, each (cell,
+    block, run) a row of its own, so no cell's trials are in one task."""
+    cells = rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), F.try_divide(k, n).alias("share"))
+    runs = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-b // BLOCK) - 1)))).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _RUN))))
+    # A number of partitions is given because rows are few and small for their work, and would be put together in one task.
+    dealt = runs.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cell, "_block", "_run")
+
+    @F.pandas_udf("array<long>")
+    def wins(block: pd.Series, run: pd.Series, n: pd.Series, share: pd.Series) -> pd.Series:
+        reps = [np.arange(x * BLOCK + 1, min((x + 1) * BLOCK, b) + 1) for x in block]
+        return pd.Series([_wins(r, x * _RUN, min(int(y), (x + 1) * _RUN), z) for r, x, y, z in zip(reps, run, n, share, strict=True)])
+
+    won = dealt.select(*cell, "n", "share", "_block", F.posexplode(wins("_block", "_run", "n", "share")).alias("_place", "_won"))
+    reps = won.groupBy(*cell, "n", "share", "_block", "_place").agg(F.sum("_won").alias("_won"))
+    g = reps.groupBy(*cell, "n", "share").agg(F.sort_array(F.collect_list("_won")).alias("_vs"))
+    pick = lambda at: F.when(F.col("share").isNotNull(), F.get("_vs", F.lit(at)) / F.col("n"))
+    return g.select(*cell, "n", "share", pick(int(0.025 * b)).alias("lo"), pick(int(0.975 * b) - 1).alias("hi"))
 
 
 def _draw(rep: Column, draw: Column) -> Column:

@@ -162,8 +162,8 @@ ORACLES = {
     "bootstrap_time_blocks": f"""WITH both_blocks AS (SELECT 1), {_SPEEDS}, vals AS (SELECT seq || '/' || s AS cell, CAST(floor(f0 / 30.0::DOUBLE / s) AS BIGINT) AS cl, p AS x FROM speeds, (VALUES (5), (10)) b(s)), {_reps('vals', 'cell', 'cl')}, {_mean_reps('cell')}, out_ AS (WITH {_picks('cell')})
 SELECT split_part(cell, '/', 1) AS seq, CAST(split_part(cell, '/', 2) AS INT) AS seconds, * EXCLUDE (cell) FROM out_""",
     "binomial": f"""WITH c AS (SELECT CAST(o_custkey % 40 AS INT) AS cell, count(*) FILTER (o_orderkey % 3 = 0) AS k, count(*) AS n FROM orders GROUP BY 1
-), u AS (SELECT list_sort(list(({resample.draw_sql("rep", "1")} + 0.5::DOUBLE) / 4294967296)) AS us FROM (SELECT unnest(range(1, {resample.BINOMIAL + 1})) AS rep)
-), p AS (SELECT *, CASE WHEN k = 0 THEN CAST(i = 0 AS INT) WHEN k = n THEN CAST(i = n AS INT) ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(k / n) + (n - i) * ln(1 - k / n)) END AS mass FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM c)
-), f AS (SELECT *, sum(mass) OVER (PARTITION BY cell ORDER BY i) AS upto FROM p)
-SELECT cell, n, round(any_value(k / n), 6) AS share, round(min(i) FILTER (upto >= us[{int(0.025 * resample.BINOMIAL) + 1}]) / n, 6) AS lo, round(min(i) FILTER (upto >= us[{int(0.975 * resample.BINOMIAL)}]) / n, 6) AS hi FROM f, u GROUP BY cell, n""",
+), d AS (SELECT *, unnest(range(0, n)) AS draw FROM (SELECT *, unnest(range(1, {resample.BINOMIAL + 1})) AS rep FROM c)
+), t AS ({resample.trials_sql("d")}), v AS (SELECT cell, n, k / n AS share, rep, count(*) FILTER (h < k / n * 4294967296) / n AS v FROM t GROUP BY cell, n, k, rep
+), g AS (SELECT cell, n, share, list_sort(list(v)) AS vs FROM v GROUP BY ALL)
+SELECT cell, n, round(share, 6) AS share, round(vs[{int(0.025 * resample.BINOMIAL) + 1}], 6) AS lo, round(vs[{int(0.975 * resample.BINOMIAL)}], 6) AS hi FROM g""",
 }

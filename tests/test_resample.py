@@ -102,3 +102,46 @@ def test_binomial_quantiles_are_exact():
             assert resample.binomial_quantile(u, n, k) == want
     big = 10**12
     assert abs(resample.binomial_quantile(0.975, big, big // 4) - (big / 4 + 1.959964 * math.sqrt(big * 3 / 16))) < 5
+
+
+def plain_trials(rep, draw):
+    def mixed(h):
+        for _ in range(2):
+            h = (h ^ (h >> 16)) * 73244475 % 2**32
+        return h ^ (h >> 16)
+
+    return mixed((mixed(draw % 2**32) + rep * 2654435761 + (draw >> 32) * 40503) % 2**32)
+
+
+def test_binomial_replicates_draw_every_trial(spark):
+    cells = [("few", 7, 3), ("one", 1, 0), ("all", 9, 9), ("none", 0, 0), (None, 400, 150), ("run", resample._RUN, 300), ("runs", resample._RUN + 4000, 20000)]
+    b = resample.BLOCK + 30
+    found = resample.binomial_bootstrap(spark.createDataFrame(cells, "cell string, n long, k long"), ["cell"], "k", "n", b).collect()
+    want = set()
+    for cell, n, k in cells:
+        if n:
+            vs = sorted(int((plain_trials(rep, np.arange(n)) < k / n * 2**32).sum()) / n for rep in range(1, b + 1))
+            want.add((cell, n, k / n, vs[int(0.025 * b)], vs[int(0.975 * b) - 1]))
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_binomial_interval_of_unknown_successes_is_null(spark):
+    found = resample.binomial_bootstrap(spark.createDataFrame([("a", 5, None)], "cell string, n long, k long"), ["cell"], "k", "n", 40)
+    assert [tuple(r) for r in found.collect()] == [("a", 5, None, None, None)]
+
+
+@pytest.mark.parametrize(("n", "k"), [(20, 7), (375, 125), (3750, 1250), (3750, 10), (30000, 15000)])
+def test_drawn_replicates_spread_as_binomial_ones(n, k):
+    v = np.sort(resample._wins(np.arange(1, resample.BINOMIAL + 1), 0, n, k / n))
+    sd = math.sqrt(k * (1 - k / n))
+    assert abs(v.mean() - k) < 0.15 * sd and 0.9 < v.std() / sd < 1.1
+    for at, u in ((25, 0.025), (974, 0.975)):
+        assert abs(v[at] - resample.binomial_quantile(u, n, k)) <= 1 + 0.3 * sd
+
+
+def test_trials_in_sql_are_those_in_numpy():
+    duckdb = pytest.importorskip("duckdb")
+    odd = [(rep, draw) for rep in (1, 2, 1000) for draw in (0, 1, 65535, 65536, 2**32 - 1, 2**32, 5 * 2**32 + 7)]
+    found = duckdb.sql(f"SELECT rep, draw, h FROM ({resample.trials_sql('(VALUES ' + ', '.join(f'({r}::BIGINT, {d}::BIGINT)' for r, d in odd) + ') v(rep, draw)')})").fetchall()
+    assert sorted(found) == sorted((r, d, plain_trials(r, d)) for r, d in odd)
+    assert all(resample.trials(np.array([r]), np.array([d]))[0, 0] == h for r, d, h in found)
