@@ -51,7 +51,8 @@ def uniform(rep: np.ndarray, draw: np.ndarray) -> np.ndarray:
 
 def trials_sql(source: str) -> str:
     """``source`` (rep, draw from 0, ...) with h, a number in [0, 2^32) of replicate and trial, as SQL; ``trials`` is the same in numpy. Along the
-    draws of one replicate ``draw_sql`` is far more even than chance, so that counts of trials would vary too little."""
+    draws of one replicate ``draw_sql`` is a lattice, so that counts of trials would not vary as chance does (0.15 of the binomial deviation at
+    3,750 trials, 1.4 at 20)."""
 
     def mixed(s: str) -> str:
         for _ in range(2):
@@ -314,7 +315,7 @@ def _wins(rep: np.ndarray, first: int, last: int, share: float) -> np.ndarray:
 def binomial_bootstrap(rows: DataFrame, cell: list[str], k: str, n: str, b: int = BINOMIAL) -> DataFrame:
     """(cell, n, share, lo, hi): index-picked interval of a share k of n from ``b`` binomial replicates, each the share of successes among n drawn
     trials. ``rows`` has one row a cell; no trials, no row; a null k has no interval. Trials are drawn in runs, replicates in blocks, each (cell,
-    block, run) a row of its own, so no cell's trials are in one task."""
+    block, run) a row of its own, so that the trials of a large cell are spread over tasks."""
     cells = rows.where(F.col(n) > 0).select(*cell, F.col(n).alias("n"), F.try_divide(k, n).alias("share"))
     runs = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-b // BLOCK) - 1)))).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _RUN))))
     # A number of partitions is given because rows are few and small for their work, and would be put together in one task.
