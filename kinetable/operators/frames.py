@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,15 +136,39 @@ def manifest_overlaps(sources: DataFrame, markers: DataFrame, places: int = 8) -
     return hashes.unionByName(points).unionByName(seeds).select("kind", "key", F.array_join("s", ",").alias("splits"))
 
 
-def sequence_digest(samples: DataFrame, position: str, parts: int = 4096) -> DataFrame:
+def _digest_in_order(pieces: DataFrame) -> DataFrame:
+    """(n, digest): the hash of all pieces' hashes in order. They pass through one task as a stream, so that none are gathered."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, n, between = hashlib.sha256(), 0, ""
+        for b in batches:
+            if len(b):
+                whole.update((between + "|".join(b["h"])).encode())
+                n, between = n + int(b["n"].sum()), "|"
+        if between:
+            yield pd.DataFrame({"n": [n], "digest": [whole.hexdigest()]})
+
+    return pieces.select("_p", "n", "h").repartition(1).sortWithinPartitions("_p").mapInPandas(run, "n long, digest string")
+
+
+def _pieces(rows: DataFrame, parts: int, level: int) -> DataFrame:
+    """(_p, n, h) of each ``parts`` places of ``rows``, which has the same columns; on the lowest level hashes stand behind their place."""
+    text = F.col("h") if level else F.concat_ws(":", F.col("_p").cast("string"), "h")
+    whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", text.alias("t")))), lambda x: x["t"]), "|"), 256)
+    return rows.groupBy(F.floor(F.col("_p") / parts).alias("_k")).agg(F.sum("n").alias("n"), whole.alias("h")).withColumnRenamed("_k", "_p")
+
+
+def sequence_digest(samples: DataFrame, position: str, parts: int = 4096, levels: int | None = None) -> DataFrame:
     """(n, digest): an order-sensitive hash of a list of samples: a hash of each row, hashed in order within pieces of ``parts`` places, these
-    hashed in order within pieces of ``parts`` pieces, and so on to one. No more than ``parts`` hashes are ever gathered; no rows give no digest."""
+    hashed in order within pieces of ``parts`` pieces, and so on to one. No more than ``parts`` hashes are ever gathered; no rows give no digest.
+    With ``levels`` (two at least) the last of so many takes all pieces that are left, however many."""
     columns = sorted(c for c in samples.columns if c != position)
     row = samples.select(F.col(position).cast("long").alias("_p"), F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"), F.lit(1).cast("long").alias("n"))
+    if levels is not None:
+        for level in range(levels - 1):
+            row = _pieces(row, parts, level)
+        return _digest_in_order(row)
     last, level = row.agg(F.max("_p")).first()[0], 0
     while last is not None and (level < 2 or last > 0):
-        text = F.col("h") if level else F.concat_ws(":", F.col("_p").cast("string"), "h")
-        whole = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", text.alias("t")))), lambda x: x["t"]), "|"), 256)
-        row = row.groupBy(F.floor(F.col("_p") / parts).alias("_k")).agg(F.sum("n").alias("n"), whole.alias("h")).withColumnRenamed("_k", "_p")
-        last, level = last // parts, level + 1
+        row, last, level = _pieces(row, parts, level), last // parts, level + 1
     return row.select("n", F.col("h").alias("digest"))
