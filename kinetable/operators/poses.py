@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -62,52 +65,113 @@ def pose_windows(ground: DataFrame, boxes: DataFrame, win: int, hop: int, fps: f
     return out.select("clip", "cam", "window_index", "person", "f0", "f1", "path_m", "speed", "px_disp", "box_h")
 
 
-def fit(image: np.ndarray, pitch: np.ndarray, rounds: int = 64, most: float = 1.0, seed: int = 1) -> tuple[np.ndarray | None, int]:
-    """(image-to-pitch map, inliers) of labelled points: the best of seeded samples of four by points within ``most`` metres, then all of these."""
+#: Frames whose samples are tried at a time in one numpy call; these fit a core's cache.
+FRAMES = 16
 
-    def solve(a, b):
-        """Maps (k, 3, 3) of k sets of points (k, n, 2)."""
-        one, zero = np.ones((*a.shape[:2], 1)), np.zeros((*a.shape[:2], 3))
-        p = np.concatenate([a, one], 2)
-        rows = np.concatenate([np.concatenate([p, zero, -b[:, :, :1] * p], 2), np.concatenate([zero, p, -b[:, :, 1:] * p], 2)], 1)
-        return np.linalg.svd(rows)[2][:, -1].reshape(-1, 3, 3)
 
-    r = np.random.default_rng(seed)
-    centre, spread = image.mean(0), image.std(0) + 1e-9
+@lru_cache(4096)
+def _samples(seed: int, rounds: int, n: int) -> np.ndarray:
+    """(rounds, 4): four of ``n`` points in each round."""
+    return np.argsort(np.random.default_rng(seed).random((rounds, n)), 1)[:, :4].astype(np.int16)
+
+
+def _maps_of_four(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(k, 3, rounds, 3): the rows of the maps that take four points ``a`` to ``b`` (k, rounds, 4, 2), up to a factor: from the first four points to
+    the projective frame, from there to the others. Three points in a line give a map of lower rank, which no fourth point fits."""
+
+    def frame(p):
+        x, y = p[..., 0], p[..., 1]
+        across = [np.stack([y[..., i] - y[..., j], x[..., j] - x[..., i], x[..., i] * y[..., j] - x[..., j] * y[..., i]], -1) for i, j in ((1, 2), (2, 0), (0, 1))]
+        return across, [c[..., 0] * x[..., 3] + c[..., 1] * y[..., 3] + c[..., 2] for c in across]
+
+    (across, u), (_, v) = frame(a), frame(b)
+    parts = [(v[i] * u[(i + 1) % 3] * u[(i + 2) % 3])[..., None] * across[i] for i in range(3)]
+    return np.stack([sum(b[..., i, c, None] * parts[i] for i in range(3)) for c in (0, 1)] + [sum(parts)], 1)
+
+
+def fits(image: np.ndarray, pitch: np.ndarray, seeds: list[int], rounds: int = 64, most: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """(image-to-pitch maps (k, 3, 3), inliers (k)) of k sets of n labelled points (k, n, 2), six at least: the best of seeded samples of four by points
+    within ``most`` metres, then all of these. Sets of which fewer than six points agree have no map: NaN."""
+    k, n = image.shape[:2]
+    centre, spread = image.mean(1, keepdims=True), image.std(1, keepdims=True) + 1e-9
     image = (image - centre) / spread
-    some = np.argsort(r.random((rounds, len(image))), 1)[:, :4]
-    q = np.concatenate([image, np.ones((len(image), 1))], 1) @ solve(image[some], pitch[some]).transpose(0, 2, 1)
+    some = np.stack([_samples(s, rounds, n) for s in seeds])
+    each = np.arange(k)[:, None, None]
     with np.errstate(all="ignore"):
-        off = np.nan_to_num(np.linalg.norm(q[:, :, :2] / q[:, :, 2:] - pitch, axis=2), nan=np.inf) / most
+        maps = _maps_of_four(image[each, some], pitch[each, some])
+        seen = np.concatenate([image, np.ones((k, n, 1))], 2)
+        q = (maps.reshape(k, -1, 3) @ seen.transpose(0, 2, 1)).reshape(k, 3, rounds, n)
+        off = ((q[:, 0] / q[:, 2] - pitch[:, None, :, 0]) ** 2 + (q[:, 1] / q[:, 2] - pitch[:, None, :, 1]) ** 2) / most**2
     near = off <= 1
     # of maps with equally many points, the one that is nearest to them
-    best = near[(near.sum(1) - (np.minimum(off, 1) ** 2).sum(1) / (len(image) + 1)).argmax()]
-    if best.sum() < 6:
-        return None, int(best.sum())
-    h = solve(image[None, best], pitch[None, best])[0] @ np.array([[1 / spread[0], 0, -centre[0] / spread[0]], [0, 1 / spread[1], -centre[1] / spread[1]], [0, 0, 1]])
-    return (h / h[2, 2] if abs(h[2, 2]) > 1e-12 else h), int(best.sum())
+    best = near[np.arange(k), (near.sum(2) - np.fmin(off, 1).sum(2) / (n + 1)).argmax(1)]
+    found, inliers = np.full((k, 3, 3), np.nan), best.sum(1)
+    ok = inliers >= 6
+    if ok.any():
+        p, b, zero = seen[ok], pitch[ok], np.zeros((int(ok.sum()), n, 3))
+        rows = np.concatenate([np.concatenate([p, zero, -b[:, :, :1] * p], 2), np.concatenate([zero, p, -b[:, :, 1:] * p], 2)], 1)
+        rows = np.where(np.concatenate([best[ok], best[ok]], 1)[:, :, None], rows, 0.0)  # rows of zeros change nothing
+        turn = np.zeros((len(p), 3, 3))
+        turn[:, (0, 1), (0, 1)], turn[:, :2, 2], turn[:, 2, 2] = 1 / spread[ok, 0], -centre[ok, 0] / spread[ok, 0], 1
+        h = np.linalg.svd(rows, full_matrices=False)[2][:, -1].reshape(-1, 3, 3) @ turn
+        last = h[:, 2:, 2:]
+        found[ok] = h / np.where(np.abs(last) > 1e-12, last, 1.0)
+    return found, inliers
 
 
-def fit_homographies(points: DataFrame) -> DataFrame:
-    """(seq, frame, inliers, h00..h22) from labelled points (seq, frame, fx, fy, px, py) of frames with at least six, of which six must agree. One
-    small task a frame; samples are seeded by the frame."""
+def fit(image: np.ndarray, pitch: np.ndarray, rounds: int = 64, most: float = 1.0, seed: int = 1) -> tuple[np.ndarray | None, int]:
+    """(map or None, inliers) of one set of points: see ``fits``."""
+    h, n = fits(image[None], pitch[None], [seed], rounds, most)
+    return (h[0] if n[0] >= 6 else None), int(n[0])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["fx", "fy", "px", "py"])
-        h, n = fit(part[["fx", "fy"]].to_numpy(float), part[["px", "py"]].to_numpy(float), seed=int(part.frame.iloc[0])) if len(part) >= 6 else (None, 0)
-        rows = [(part.seq.iloc[0], part.frame.iloc[0], n, *h.ravel())] if h is not None else []
-        return pd.DataFrame(rows, columns=["seq", "frame", "inliers", *(f"h{i}{j}" for i in range(3) for j in range(3))])
 
-    cells = ", ".join(f"h{i}{j} double" for i in range(3) for j in range(3))
-    return points.groupBy("seq", "frame").applyInPandas(run, f"seq string, frame int, inliers int, {cells}")
+def fit_homographies(points: DataFrame) -> DataFrame:
+    """(seq, frame, inliers, h00..h22) from labelled points (seq, frame, fx, fy, px, py) of frames with at least six, of which six must agree.
+    Samples are seeded by the frame. Frames with equally many points are fitted together, ``FRAMES`` at a time."""
+    cells = [f"h{i}{j}" for i in range(3) for j in range(3)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, frames = batch.column("points"), batch.column("frame").to_numpy(zero_copy_only=False)
+            starts = np.asarray(lists.offsets)
+            flat = lists.values
+            values = np.stack([flat.field(c).to_numpy(zero_copy_only=False) for c in ("fx", "fy", "px", "py")], 1)
+            sizes = np.diff(starts)
+            h, inliers = np.full((len(frames), 9), np.nan), np.zeros(len(frames), np.int32)
+            for n in np.unique(sizes[sizes >= 6]):
+                alike = np.flatnonzero(sizes == n)
+                for at in (alike[i : i + FRAMES] for i in range(0, len(alike), FRAMES)):
+                    p = values[starts[at][:, None] + np.arange(n)]
+                    order = np.lexsort((*p.reshape(-1, 4).T[::-1], np.repeat(np.arange(len(at)), n)))
+                    p = p.reshape(-1, 4)[order].reshape(p.shape)
+                    maps, inliers[at] = fits(p[:, :, :2], p[:, :, 2:], [int(f) for f in frames[at]])
+                    h[at] = maps.reshape(-1, 9)
+            kept = np.flatnonzero(inliers >= 6)
+            yield pa.RecordBatch.from_arrays([batch.column("seq").take(pa.array(kept)), pa.array(frames[kept], pa.int32()), pa.array(inliers[kept]), *(pa.array(h[kept, i]) for i in range(9))], names=["seq", "frame", "inliers", *cells])
+
+    as_double = [F.col(c).cast("double").alias(c) for c in ("fx", "fy", "px", "py")]
+    sets = points.groupBy("seq", "frame").agg(F.collect_list(F.struct(*as_double)).alias("points"))
+    return sets.mapInArrow(run, f"seq string, frame int, inliers int, {', '.join(f'{c} double' for c in cells)}")
+
+
+def compared(frames: DataFrame, span: int = 50, hop: int = 25) -> DataFrame:
+    """The rows (frame, ...) of the frames whose maps ``camera_motion`` compares: the maps of all others needn't be fitted for it."""
+    start = lambda f: F.pmod(f - 1, F.lit(hop)) == 0
+    return frames.where(start(F.col("frame")) | start(F.col("frame") - span))
 
 
 def camera_motion(maps: DataFrame, span: int = 50, hop: int = 25, width: float = 1920, height: float = 1080, canvas: float = 960) -> DataFrame:
     """(seq, frame, motion): how far, in canvas pixels, fixed points of the pitch move in the image within ``span`` frames: the median over a grid of
-    points that one frame's map takes to the pitch and the inverse of the other's back. ``maps``: of ``fit_homographies``."""
+    points that one frame's map takes to the pitch and the inverse of the other's back. ``maps``: of ``fit_homographies``, one a frame; a map enters
+    once for its own frame and once for the earlier one, so that they are made once."""
     h = {(i, j): f"h{i}{j}" for i in range(3) for j in range(3)}
-    later = maps.select("seq", (F.col("frame") - span).alias("frame"), *(F.col(c).alias(f"g{c[1:]}") for c in h.values()))
-    j = maps.where(F.pmod(F.col("frame") - 1, F.lit(hop)) == 0).join(later, ["seq", "frame"])
+    cells = F.struct(*h.values())
+    none = F.when(F.lit(False), cells)
+    side = lambda frame, own, later: F.struct(frame.alias("frame"), own.alias("h"), later.alias("g"))
+    sides = F.array(side(F.col("frame"), cells, none), side(F.col("frame") - span, none, cells))
+    two = compared(maps, span, hop).select("seq", F.explode(sides).alias("s")).select("seq", "s.*").where(F.pmod(F.col("frame") - 1, F.lit(hop)) == 0)
+    j = two.groupBy("seq", "frame").agg(F.first("h", True).alias("h"), F.first("g", True).alias("g")).where("h is not null and g is not null")
+    j = j.select("seq", "frame", *(F.col(f"h.{c}").alias(c) for c in h.values()), *(F.col(f"g.{c}").alias(f"g{c[1:]}") for c in h.values()))
     g = lambda i, k: F.col(f"g{i}{k}")
     # the adjugate is the inverse but for a factor, which a projective map doesn't see
     inv = [[g((j + 1) % 3, (i + 1) % 3) * g((j + 2) % 3, (i + 2) % 3) - g((j + 1) % 3, (i + 2) % 3) * g((j + 2) % 3, (i + 1) % 3) for j in range(3)] for i in range(3)]

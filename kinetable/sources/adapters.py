@@ -140,7 +140,7 @@ def labelled_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, frame, fx, fy, px, py): corners of all boxes in the image with their place on the pitch under the clip's map and camera, in
     frames with at least four boxes; of each fifth box one corner is labelled wrongly."""
     d = detections(spark, sf_dir)
-    d = d.join(d.groupBy("seq", "frame").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n"), ["seq", "frame"], "left_semi")
+    d = d.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("seq", "frame"))).where("n >= 4").drop("n")
     d = d.withColumn("k", F.expr("CAST(substr(seq, 6) AS INT)")).withColumn("pan", F.expr(PAN))
     corners = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.col("x") + dx * F.col("w")).alias("fx"), (F.col("y") + dy * F.col("h")).alias("fy")) for i, (dx, dy) in enumerate(((0, 0), (1, 0), (0, 1), (1, 1)))))).alias("c")
     p = d.select("seq", "frame", "track", "pan", corners).select("seq", "frame", "track", "pan", "c.*").withColumn("u", F.col("fx") - F.col("pan"))
