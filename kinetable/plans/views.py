@@ -33,22 +33,23 @@ def alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(boxes.alignment(_instants(spark, sf_dir)))
 
 
-def _maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return poses.fit_homographies(A.labelled_points(spark, sf_dir))
+def _motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = poses.compared(A.labelled_points(spark, sf_dir), SPAN, HOP)
+    return poses.camera_motion(poses.fit_homographies(points), SPAN, HOP)
 
 
 def fitted_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_maps(spark, sf_dir), 5)
+    return _rounded(poses.fit_homographies(A.labelled_points(spark, sf_dir)), 5)
 
 
 def camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(poses.camera_motion(_maps(spark, sf_dir), SPAN, HOP), 3)
+    return _rounded(_motion(spark, sf_dir), 3)
 
 
 def stillest_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.expr("CAST(substr(seq, 6) AS INT)")
     clips = A.clips(A.detections(spark, sf_dir)).select("seq", F.expr("CAST(substr(seq, 6) AS INT) DIV 4").alias("game"), F.when(k % 4 == 0, "hidden").otherwise("visible").alias("visibility"))
-    motion = poses.camera_motion(_maps(spark, sf_dir), SPAN, HOP)
+    motion = poses.camera_motion(poses.fit_homographies(A.labelled_points(spark, sf_dir)), SPAN, HOP)
     return _rounded(poses.stillest_clips(motion.withColumn("motion", F.round("motion", 3)), clips, LEAST), 3)
 
 
