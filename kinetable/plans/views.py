@@ -49,7 +49,7 @@ def camera_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stillest_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.expr("CAST(substr(seq, 6) AS INT)")
     clips = A.clips(A.detections(spark, sf_dir)).select("seq", F.expr("CAST(substr(seq, 6) AS INT) DIV 4").alias("game"), F.when(k % 4 == 0, "hidden").otherwise("visible").alias("visibility"))
-    motion = poses.camera_motion(poses.fit_homographies(A.labelled_points(spark, sf_dir)), SPAN, HOP)
+    motion = _motion(spark, sf_dir)
     return _rounded(poses.stillest_clips(motion.withColumn("motion", F.round("motion", 3)), clips, LEAST), 3)
 
 
