@@ -169,6 +169,41 @@ def partial_rho(v: dict, w: np.ndarray) -> float | None:
     return None if xy is None or rest <= 1e-12 else float((xy - xz * yz) / np.sqrt(rest))
 
 
+# --- the same of many replicates at once: (columns as arrays, weights (replicates, rows)) -> numbers, NaN for None ---------
+
+
+def _many_ranks(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    values, which = np.unique(x, return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    total = np.add.reduceat(w[:, order], np.searchsorted(which[order], np.arange(len(values))), axis=1)
+    return (np.cumsum(total, 1) - total + (total + 1) / 2)[:, which]
+
+
+def many_rho(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``weighted_rho`` of values without NaN."""
+    n, sums = w.sum(1), lambda *of: np.einsum(",".join(["ij"] * len(of)) + "->i", *of)
+    with np.errstate(all="ignore"):
+        a, b = (r - (sums(w, r) / n)[:, None] for r in (_many_ranks(x, w), _many_ranks(y, w)))
+        below = sums(w, a, a) * sums(w, b, b)
+        return np.where((n >= 3) & (below > 1e-9), sums(w, a, b) / np.sqrt(below), np.nan)
+
+
+def many_partial_rho(v: dict, w: np.ndarray) -> np.ndarray:
+    ok = ~np.isnan(v["prediction"]) & ~np.isnan(v["reference_value"]) & ~np.isnan(v["covariate"])
+    if not ok.any():
+        return np.full(len(w), np.nan)
+    (x, y, z), w = (v[c][ok] for c in ("prediction", "reference_value", "covariate")), w[:, ok]
+    xy, xz, yz = many_rho(x, y, w), np.nan_to_num(many_rho(x, z, w)), np.nan_to_num(many_rho(y, z, w))
+    rest = (1 - xz * xz) * (1 - yz * yz)
+    with np.errstate(all="ignore"):
+        return np.where((w.sum(1) >= 4) & (rest > 1e-12), (xy - xz * yz) / np.sqrt(rest), np.nan)
+
+
+_MANY = {partial_rho: many_partial_rho}
+#: Weights that are held at a time.
+_WEIGHTS = 1 << 19
+
+
 # --- the same of rows weighted by _n, as (cell, v), for cells of any size ---------------------------------------------------
 
 
@@ -235,7 +270,15 @@ def _replicates(counts: DataFrame, cell: list[str], values: list[str], stat: Cal
         times, (_, which) = part["_n"].to_numpy(), np.unique(part["_cluster"].to_numpy(), return_inverse=True)
         block, clusters = int(part["_block"].iloc[0]), int(which.max()) + 1
         out = [(0, stat(v, times))] if block == 0 else []
-        for rep in range(block * BLOCK + 1, min((block + 1) * BLOCK, b) + 1):
+        if stat in _MANY:
+            reps = np.arange(block * BLOCK + 1, min((block + 1) * BLOCK, b) + 1)
+            step = max(1, _WEIGHTS // len(part))
+            for some in (reps[i : i + step] for i in range(0, len(reps), step)):
+                drawn = (uniform(some[:, None], np.arange(1, clusters + 1)[None]) * np.uint64(clusters) >> np.uint64(32)).astype(np.int64)
+                drawn += np.arange(len(some))[:, None] * clusters
+                often = np.bincount(drawn.ravel(), minlength=len(some) * clusters).reshape(len(some), clusters)
+                out += zip(some, _MANY[stat](v, (often[:, which] * times).astype(float)), strict=True)
+        for rep in range(block * BLOCK + 1, min((block + 1) * BLOCK, b) + 1) if stat not in _MANY else ():
             drawn = uniform(np.full(clusters, rep), np.arange(1, clusters + 1)) * np.uint64(clusters) >> np.uint64(32)
             out.append((rep, stat(v, times * np.bincount(drawn.astype(np.int64), minlength=clusters)[which])))
         first = {c: part[c].iloc[0] for c in cell}
