@@ -25,7 +25,7 @@ def presented(items: DataFrame, boxes: DataFrame, scale: float = 1.0, track: str
     b = boxes.select("seq", "track", "frame", *((F.col(c) * scale).alias(c) for c in "xywh"))
     j = at.join(b, ["seq", "track", "frame"], "left")
     box = F.when(F.col("h").isNotNull(), F.struct("frame", *"xywh"))
-    return j.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("i", box.alias("box")))).alias("_s")).select("item", F.transform("_s", lambda s: s["box"]).alias("shown"))
+    return j.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("i", box.alias("box")))).alias("_s")).select("item", F.transform("_s", lambda s: s["box"]).alias("shown"))
 
 
 def _steps(shown: Column) -> Column:
@@ -44,7 +44,7 @@ def _sum(a: Column) -> Column:
 
 
 def _median(a: Column) -> Column:
-    v = F.array_sort(F.filter(a, lambda x: x.isNotNull()))
+    v = F.sort_array(F.filter(a, lambda x: x.isNotNull()))
     n = F.size(v)
     return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
 

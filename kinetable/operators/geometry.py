@@ -110,23 +110,32 @@ def _at(frame: Column) -> Column:
     return F.get("at", frame - F.element_at("at", 1)["frame"])
 
 
-def _median_h(low: Column, high: Column) -> Column:
-    """Median of the heights of the boxes in frames low to high."""
+def _heights(low: Column, high: Column) -> Column:
+    """The heights of the boxes in frames low to high, in ascending order."""
     first = F.element_at("at", 1)["frame"]
     start = F.greatest(low, first)
     rows = F.slice("at", start - first + 1, F.greatest(high - start + 1, F.lit(0)))
-    h = F.array_sort(F.array_compact(rows["h"]))
-    n = F.size(h)
-    return F.when(n > 0, (F.get(h, F.floor((n - 1) / 2).cast("int")) + F.get(h, F.floor(n / 2).cast("int"))) / 2)
+    return F.sort_array(F.array_compact(rows["h"]))
 
 
-def _path(x: str, y: str, stride: int = STRIDE) -> Column:
-    """Sum of the steps between the points at a, a+stride, ..., b; null if any is missing."""
+def _middle(ordered: str) -> Column:
+    """Median of an array in ascending order; null if it is empty."""
+    n = F.size(ordered)
+    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+
+
+def _points(x: str, y: str, stride: int = STRIDE) -> Column:
+    """The points at a, a+stride, ..., b as structs of x and y, null where there is none. A column of its own, so that a path reads it more than once."""
     frames = F.array_distinct(F.concat(F.sequence("a", "b", F.lit(stride)), F.array("b")))
-    points = F.transform(frames, _at)
-    steps = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points)), lambda p, q: F.sqrt(F.pow(q[x] - p[x], 2) + F.pow(q[y] - p[y], 2)))
-    whole = F.forall(points, lambda p: p.isNotNull() & p[x].isNotNull())
-    return F.when((F.size(frames) >= 2) & whole, F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
+    first = F.element_at("at", 1)["frame"]
+    return F.transform(F.transform(frames, lambda i: F.get("at", i - first)), lambda p: F.struct(p[x].alias("x"), p[y].alias("y")))
+
+
+def _path(points: str) -> Column:
+    """Sum of the steps between neighbouring points; null if any is missing or there is one only."""
+    steps = F.zip_with(F.slice(points, 1, F.size(points) - 1), F.slice(points, 2, F.size(points)), lambda p, q: F.sqrt(F.pow(q["x"] - p["x"], 2) + F.pow(q["y"] - p["y"], 2)))
+    whole = F.forall(points, lambda p: p["x"].isNotNull())
+    return F.when((F.size(points) >= 2) & whole, F.aggregate(steps, F.lit(0.0), lambda s, v: s + v))
 
 
 def body_metrics(detections: DataFrame, clips: DataFrame, win_s: float = 2.0, hop_s: float = 1.0, height_m: float = HEIGHT_M) -> DataFrame:
@@ -137,8 +146,8 @@ def body_metrics(detections: DataFrame, clips: DataFrame, win_s: float = 2.0, ho
     the box in frame b itself."""
     w = _parts(_player_windows(detections, window_grid(clips, win_s, hop_s), ["sx", "sy"]))
     a, b = F.col("a"), F.col("b")
-    w = w.select("*", _median_h(a, b).alias("median_h"), _median_h(a, F.least(a + 10, b)).alias("_h0"), _median_h(F.greatest(b - 10, a), b).alias("_h1"), _path("sx", "sy").alias("path_px"), _at(b).alias("_foot"))
-    w = w.where("median_h is not null")
+    w = w.select("*", _heights(a, b).alias("_all"), _heights(a, F.least(a + 10, b)).alias("_early"), _heights(F.greatest(b - 10, a), b).alias("_late"), _points("sx", "sy").alias("_points"), _at(b).alias("_foot")).drop("at")
+    w = w.select("*", _middle("_all").alias("median_h"), _middle("_early").alias("_h0"), _middle("_late").alias("_h1"), _path("_points").alias("path_px")).where("median_h is not null")
     stable = F.when((F.col("_h0") > 0) & (F.col("_h1") > 0), F.abs(F.col("_h1") / F.col("_h0") - 1) <= STABLE).otherwise(False)
     w = w.withColumn("stable", stable).withColumn("path_m", F.when(F.col("stable"), F.col("path_px") * height_m / F.col("median_h")))
     return w.select("seq", "track", "window_index", "part", "a", "b", "fps", "median_h", "stable", "path_px", "path_m", (F.col("path_m") / ((b - a) / F.col("fps"))).alias("speed"), F.col("_foot.fx").alias("foot_x"), F.col("_foot.fy").alias("foot_y"))
@@ -169,7 +178,7 @@ def court_parts(detections: DataFrame, clips: DataFrame, homographies: DataFrame
         return rows.withColumns({"cx": cx, "cy": cy, "gx": gx, "gy": gy})
 
     w = _parts(_player_windows(detections, grid, ["cx", "cy", "gx", "gy"], points))
-    w = w.select("*", _path("cx", "cy").alias("path_m"), _at(F.col("b")).alias("_foot"))
+    w = w.select("*", _points("cx", "cy").alias("_points"), _at(F.col("b")).alias("_foot")).drop("at").withColumn("path_m", _path("_points"))
     speed = F.col("path_m") / ((F.col("b") - F.col("a")) / F.col("fps"))
     return w.select("seq", "track", "window_index", "part", "a", "b", "fps", "path_m", speed.alias("speed"), F.col("_foot.gx").alias("foot_x"), F.col("_foot.gy").alias("foot_y"))
 

@@ -9,13 +9,20 @@ from ..functions import texts
 from ..operators import boxes, generate, variants
 from ..operators import geometry as geo
 from ..sources import adapters as A
-from . import pool_building, trajectory
+from ..sources.shared import settled
+from . import pool_building
 from .scoring import SCORED, _rounded, _scored, _sql_rho
 
 
+def _metrics_and_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics and questions; these are written once, because queries read them for their frames, their boxes and their own columns."""
+    m, rows = pool_building._metrics_and_rows(spark, sf_dir)
+    rows = rows.withColumns({"item": F.concat_ws("/", "category", "seq", F.col("track").cast("string"), F.col("window_index").cast("string"), F.coalesce("pair_id", F.lit("")), F.coalesce("pair_role", F.lit(""))), "dur": F.lit(2.0)})
+    return m, settled(rows.withColumn("track_b", F.when(F.endswith("category", F.lit("_faster")), F.get("highlight", F.lit(1))["track"])))
+
+
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pool_building._all_rows(spark, sf_dir).withColumns({"item": F.concat_ws("/", "category", "seq", F.col("track").cast("string"), F.col("window_index").cast("string"), F.coalesce("pair_id", F.lit("")), F.coalesce("pair_role", F.lit(""))), "dur": F.lit(2.0)})
-    return rows.withColumn("track_b", F.when(F.endswith("category", F.lit("_faster")), F.get("highlight", F.lit(1))["track"]))
+    return _metrics_and_items(spark, sf_dir)[1]
 
 
 def box_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +43,12 @@ def presented_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _crowd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det, clips, w = trajectory._base(spark, sf_dir)
-    items = _items(spark, sf_dir).where(F.startswith("category", F.lit("dynamics_"))).select("item", "seq", "track", "window_index", "frames")
+    det = A.detections(spark, sf_dir)
+    m, items = _metrics_and_items(spark, sf_dir)
+    items = items.where(F.startswith("category", F.lit("dynamics_"))).select("item", "seq", "track", "window_index", "frames")
     shown = items.select("seq", "track", F.explode("frames").alias("frame")).distinct()
     overlaps = geo.box_overlap(det, shown.join(det, ["seq", "track", "frame"], "left_semi"))
-    px = geo.body_metrics(det, clips).where("part = 'full'").select("seq", "track", "window_index", F.round(F.col("path_px") * 0.1, 6).alias("px"))
+    px = m.where("part = 'full'").select("seq", "track", "window_index", F.round(F.col("path_px") * 0.1, 6).alias("px"))
     return boxes.crowd_signature(items, overlaps, items.join(px, ["seq", "track", "window_index"]).select("item", "px"))
 
 

@@ -15,12 +15,16 @@ from . import contracts, extended, trajectory
 _KEY = ["category", "seq", "track", "window_index"]
 
 
-def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _metrics_and_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     det, clips, w = trajectory._base(spark, sf_dir)
     m, items = trajectory._items(spark, sf_dir)
     balls = geo.split_roles(det).where("role = 'ball'").select("seq", F.col("track").alias("ball"))
     parts = (generate.numeric_rows(items, w, balls), generate.accel_rows(generate.accel_swap(m), w), generate.faster_rows(generate.faster_pairs(m), w))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return m, parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _metrics_and_rows(spark, sf_dir)[1]
 
 
 def _flat(df: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import texts
 from ..operators import generate as G
 from ..operators import geometry as geo
 from ..sources import adapters as A
+from ..sources.shared import settled
 
 
 def _base(spark: SparkSession, sf_dir: str):
@@ -46,8 +47,9 @@ def court_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metrics, which are written once because items and pairs read them several times, and the numeric items."""
     det, clips, _ = _base(spark, sf_dir)
-    m = geo.body_metrics(det, clips)
+    m = settled(geo.body_metrics(det, clips))
     return m, G.numeric_items(m, geo.time_to_intercept(det, m))
 
 
