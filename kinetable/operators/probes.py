@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
 from .resample import uniform
 from .stats import spearman
 
@@ -31,25 +32,27 @@ def shuffled(y: np.ndarray, clip: np.ndarray, times: int) -> np.ndarray:
     out = np.repeat(y[:, None], times + 1, 1)
     for c in np.unique(clip):
         rows = np.flatnonzero(clip == c)
-        for t in range(1, times + 1):
-            out[rows, t] = y[rows[np.argsort(uniform(np.full(len(rows), t), np.arange(1, len(rows) + 1)), kind="stable")]]
+        order = np.argsort(uniform(np.arange(1, times + 1)[:, None], np.arange(1, len(rows) + 1)[None]), 1, kind="stable")
+        out[rows, 1:] = y[rows[order]].T
     return out
 
 
 class RidgePath:
-    """Ridge predictions of all penalties and targets from one eigendecomposition of the training rows' Gram matrix."""
+    """Ridge predictions of all penalties and targets from one eigendecomposition, of the products of columns or of rows, whichever are fewer."""
 
-    def __init__(self, gram: np.ndarray, targets: np.ndarray):
-        self.values, self.vectors = np.linalg.eigh(gram)
+    def __init__(self, x: np.ndarray, targets: np.ndarray):
+        wide = x.shape[1] > x.shape[0]
+        self.values, vectors = np.linalg.eigh(x @ x.T if wide else x.T @ x)
         self.mean = targets.mean(0)
-        self.turned = self.vectors.T @ (targets - self.mean)
+        self.vectors = x.T @ vectors if wide else vectors
+        self.turned = vectors.T @ (targets - self.mean if wide else x.T @ (targets - self.mean))
 
-    def predict(self, cross: np.ndarray, penalty: float) -> np.ndarray:
-        """(rows of ``cross``, targets); ``cross`` has the products of the rows with the training rows."""
-        return (cross @ self.vectors) @ (self.turned / (np.maximum(self.values, 0) + penalty)[:, None]) + self.mean
+    def predict(self, rows: np.ndarray, penalty: float) -> np.ndarray:
+        """(rows, targets)"""
+        return (rows @ self.vectors) @ (self.turned / (np.maximum(self.values, 0) + penalty)[:, None]) + self.mean
 
 
-def best_penalties(gram: np.ndarray, targets: np.ndarray, groups: np.ndarray, penalties: tuple, folds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def best_penalties(x: np.ndarray, targets: np.ndarray, groups: np.ndarray, penalties: tuple, folds: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the penalty, R squared) for each target by grouped folds of these rows; the first of equals. No R squared, -inf, for a constant target."""
     fold = dealt(groups, folds, seed)
     guess = np.zeros((len(penalties), *targets.shape))
@@ -58,9 +61,9 @@ def best_penalties(gram: np.ndarray, targets: np.ndarray, groups: np.ndarray, pe
         if not len(rest):
             guess[:, out] = targets[out].mean(0)
             continue
-        path = RidgePath(gram[np.ix_(rest, rest)], targets[rest])
+        path = RidgePath(x[rest], targets[rest])
         for i, penalty in enumerate(penalties):
-            guess[i, out] = path.predict(gram[np.ix_(out, rest)], penalty)
+            guess[i, out] = path.predict(x[out], penalty)
     total = ((targets - targets.mean(0)) ** 2).sum(0)
     r2 = np.where(total > 0, 1 - ((guess - targets) ** 2).sum(1) / np.where(total > 0, total, 1), -np.inf)
     return r2.argmax(0), r2.max(0)
@@ -90,17 +93,17 @@ def nested_ridge(features: DataFrame, cell: list[str], permutations: int = PERMU
         held = dealt(groups, folds, 1) == fold
         if not held.any() or held.all():
             return pd.DataFrame(columns=names)
-        train, gram = np.flatnonzero(~held), x @ x.T
-        which, r2 = best_penalties(gram[np.ix_(train, train)], y[train], groups[train], penalties, folds, 2 + fold)
-        path = RidgePath(gram[np.ix_(train, train)], y[train])
+        train = np.flatnonzero(~held)
+        which, r2 = best_penalties(x[train], y[train], groups[train], penalties, folds, 2 + fold)
+        path = RidgePath(x[train], y[train])
         guess = np.empty((int(held.sum()), permutations + 1))
         for i in np.unique(which):
-            guess[:, which == i] = path.predict(gram[np.ix_(np.flatnonzero(held), train)], penalties[i])[:, which == i]
+            guess[:, which == i] = path.predict(x[held], penalties[i])[:, which == i]
         mirrors = still[still["item"].isin(item[held])]
         frozen = np.empty(0)
         if len(mirrors):
             z = (np.stack(mirrors["vec"].to_numpy()).astype(float) - mean) / scale
-            frozen = path.predict(z @ x[train].T, penalties[which[0]])[:, 0]
+            frozen = path.predict(z, penalties[which[0]])[:, 0]
         first = {c: part[c].iloc[0] for c in keys}
         out = [
             {**first, "rep": t, "penalty": penalties[which[t]], "r2": r2[t], "items": item[held], "guesses": guess[:, t], "ys": y[held, t], "still_items": mirrors["item"].to_numpy() if t == 0 else [], "still_guesses": frozen if t == 0 else [], "still_ys": mirrors["y"].to_numpy(float) if t == 0 else []}
@@ -115,7 +118,8 @@ def nested_ridge(features: DataFrame, cell: list[str], permutations: int = PERMU
     tried = rows.groupBy(*keys).applyInPandas(run, f"{kinds}, rep int, penalty double, r2 double, {lists}")
     # the highest score, the first feature by name of equals
     best = tried.groupBy(*cell, "fold", "rep").agg(F.max("r2").alias("best"), F.collect_list(F.struct("r2", "feature", F.struct("penalty", "items", "guesses", "ys", "still_items", "still_guesses", "still_ys").alias("of"))).alias("all"))
-    chosen = best.select(*cell, "fold", "rep", F.array_min(F.filter("all", lambda a: a["r2"] == F.col("best"))).alias("c"))
+    # written once: predictions, mirrors and their keys are all read from it, and each reading would fit everything again
+    chosen = settled(best.select(*cell, "fold", "rep", F.array_min(F.filter("all", lambda a: a["r2"] == F.col("best"))).alias("c")))
 
     def told(prefix: str) -> DataFrame:
         zipped = F.arrays_zip(*(F.col(f"c.of.{prefix}{n}").alias(n) for n in ("items", "guesses", "ys")))
