@@ -108,7 +108,7 @@ def speed_path_consistency(items: DataFrame, keys: list[str], cell: list[str], d
     aggs = [side("speed", value).alias("s"), side("path", value).alias("p")]
     if reference:
         aggs += [side("speed", reference).alias("rs"), side("path", reference).alias("rp")]
-    w = items.groupBy(*cell, *keys, dur).agg(*aggs).where("s is not null and p is not null")
+    w = items.where("category in ('speed', 'path')").groupBy(*cell, *keys, dur).agg(*aggs).where("s is not null and p is not null")
     s = F.when(F.col("s") > 0, F.try_divide(F.col("p"), F.col(dur) * F.col("s")))
     ok = F.abs(F.col("p") - F.col(dur) * F.col("s")) <= 0.05 * (1 + F.col(dur)) + 1e-9
     nominal = F.abs(F.col("p") - 2.0 * F.col("s")) <= 0.15 + 1e-9
