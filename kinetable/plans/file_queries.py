@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import poses
 from ..sources import adapters as A
 from ..sources import io
-from ..sources.shared import through_files
+from ..sources.shared import settled, through_files
 from . import trajectory, views
 from .scoring import _rounded
 
@@ -130,7 +130,7 @@ def io_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def io_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IO9: numeric items by category, as Parquet and as JSON lines."""
-    it = trajectory.numeric_items(spark, sf_dir).where("answer is not null").drop("reason")
+    it = settled(trajectory.numeric_items(spark, sf_dir).where("answer is not null").drop("reason"))  # written in two formats
     schema = "seq string, track int, window_index int, answer string, category string"
 
     def write(path: str) -> None:
